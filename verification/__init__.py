@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("clean", "search")
+_MODULES = ("clean", "search", "catalogue", "rule")
 
 
 def load():

@@ -108,8 +108,8 @@ SELECT o_custkey AS tic_id, CAST(1 + o_orderkey % 3 AS INTEGER) AS sector,
        (o_orderkey % 100) / 50.0::DOUBLE AS t0,
        0.05::DOUBLE + (o_orderkey % 20) / 100.0::DOUBLE AS duration,
        (o_orderkey % 500) / 100000.0::DOUBLE AS depth,
-       o_totalprice / 40000.0::DOUBLE AS sde,
-       o_totalprice / 40000.0::DOUBLE * 1.3::DOUBLE AS snr,
+       o_totalprice / 31250.0::DOUBLE AS sde,
+       o_totalprice / 31250.0::DOUBLE * 1.3::DOUBLE AS snr,
        (o_orderkey % 101) / 100.0::DOUBLE AS prob_pc,
        CAST(CASE WHEN o_orderkey % 7 = 6 THEN -1 ELSE o_orderkey % 4 END AS INTEGER) AS predicted_class,
        o_orderstatus AS status
@@ -119,7 +119,7 @@ FROM orders"""
 def cand(spark, sf):
     """One candidate per order; ``planet_num`` is unique within (tic_id, sector)."""
     key, price = F.col("o_orderkey"), F.col("o_totalprice")
-    sde = price / 40000.0
+    sde = price / 31250.0
     return table(spark, sf, "orders").select(
         F.col("o_custkey").alias("tic_id"),
         (F.lit(1) + key % 3).cast("int").alias("sector"),
