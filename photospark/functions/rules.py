@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from photospark.functions.scalars import is_number
+from photospark.functions.scalars import array_sum, is_number, let
 
 # Class order, names, report wording and thresholds.
 CLASS_NAMES = ("PC", "EB", "Blend", "StellarVar")
@@ -127,8 +127,8 @@ def crowdsap_gate(probs: Column, crowding: Column, threshold: float = 0.5) -> Co
         & (F.array_position(probs, F.array_max(probs)) == 1)
     )
     rest = F.transform(probs, lambda x, i: F.when(i == 0, F.lit(0.0)).otherwise(x))
-    total = F.aggregate(rest, F.lit(0.0), lambda acc, x: acc + x) + F.lit(1e-10)
-    return F.when(blocked, F.transform(rest, lambda x: x / total)).otherwise(probs)
+    scaled = let(array_sum(rest) + F.lit(1e-10), lambda total: F.transform(rest, lambda x: x / total))
+    return F.when(blocked, scaled).otherwise(probs)
 
 
 def classify_fpp(fpp: Column, nfpp: Column) -> Column:

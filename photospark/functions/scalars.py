@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,15 @@ SUN_RADIUS_M = 6.957e8
 DAY_SECONDS = 86400.0
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once.
+
+    Spark evaluates an expression inside a lambda again for every element; a
+    lambda variable is bound instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def phase01(t: Column, period: Column, t0: Column) -> Column:
     """Phase in [0, 1)."""
     return F.pmod(t - t0, period) / period
@@ -89,10 +98,21 @@ def shift_epoch(t0: Column, period: Column, reference: Column) -> Column:
 def softmax_t(logits: Column, temperature: Column) -> Column:
     """Softmax of an array divided by ``temperature``, shifted by its maximum."""
     scaled = F.transform(logits, lambda x: x / temperature)
-    top = F.array_max(scaled)
-    powers = F.transform(scaled, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = let(scaled, lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top))))
+    return let(powers, lambda e: let(array_sum(e), lambda total: F.transform(e, lambda x: x / total)))
+
+
+def array_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def array_median(values: Column) -> Column:
+    """Median of an array without nulls; null for an empty array."""
+    n = F.size(values)
+    low = F.floor((n - 1) / 2).cast("int")
+    high = F.floor(n / 2).cast("int")
+    middle = let(F.array_sort(values), lambda s: (F.get(s, low) + F.get(s, high)) / 2.0)
+    return F.when(n > 0, middle)
 
 
 def arg_max(values: Column) -> Column:

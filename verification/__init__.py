@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("clean", "search", "catalogue", "rule")
+_MODULES = ("clean", "search", "catalogue", "rule", "fold")
 
 
 def load():

@@ -57,14 +57,14 @@ def _(spark, sf):
 @query(
     "ag1_sigma_clip",
     with_views("lc") + f", {MASKED},\n{clip_rounds('masked', 'clipped')}\n"
-    f"SELECT tic_id, sector, count(*) AS n, {sql_r6('median(flux)')} AS med, {sql_r6('stddev_pop(flux)')} AS sd "
+    f"SELECT tic_id, sector, count(*) AS n, {sql_r6('median(flux)', 9)} AS med, {sql_r6('stddev_pop(flux)', 9)} AS sd "
     "FROM clipped GROUP BY tic_id, sector",
 )
 def _(spark, sf):
     kept = clean.sigma_clip(clean.quality_mask(views.lc(spark, sf)))
     return rounded(kept.groupBy(*SERIES_KEY).agg(
         F.count(F.lit(1)).alias("n"), F.median("flux").alias("med"), F.stddev_pop("flux").alias("sd")
-    ))
+    ), 9)
 
 
 @query(
