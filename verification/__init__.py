@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("clean", "search", "catalogue", "rule", "fold")
+_MODULES = ("clean", "search", "catalogue", "rule", "fold", "model")
 
 
 def load():
