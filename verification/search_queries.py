@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from photospark.operators import search
@@ -75,3 +77,88 @@ def _(spark, sf):
     return rounded(
         found.select("tic_id", "period", "t0", "depth", "sde", "snr", "chi2", "chi2_red", "disposition"), 4
     )
+
+
+def round_sql(points: str, n: int) -> str:
+    """CTE text of search round ``n`` over ``points``; ends in ``sig{n}`` with the candidate columns."""
+    text = f"trials AS (SELECT s.*, p FROM {points} s, grid)," + bins_sql("trials", "tic_id", str(DIP_DURATION_US)) + SEARCH_SQL.replace(
+        "FROM pts GROUP BY", f"FROM {points} GROUP BY"
+    )
+    for name in ("trials", "folded", "tot", "boxes", "depths", "scored", "bestbox", "spec", "st", "res", "sig"):
+        text = re.sub(rf"\b{name}\b", f"{name}{n}", text)
+    return text
+
+
+def masked_sql(points: str, n: int) -> str:
+    """CTE ``pts{n+1}``: series that go on after round ``n``, with its transits set to 1."""
+    half = DIP_DURATION_US / 2
+    distance = (
+        f"abs(((s.time_us - g.t0 * {DAY_US} + g.period * {DAY_US} / 2.0) % (g.period * {DAY_US}) + g.period * {DAY_US}) "
+        f"% (g.period * {DAY_US}) - g.period * {DAY_US} / 2.0)"
+    )
+    return (
+        f"pts{n + 1} AS (SELECT s.tic_id, s.time_us, CASE WHEN {distance} <= {half} THEN 1.0 ELSE s.flux END AS flux, s.w "
+        f"FROM {points} s JOIN sig{n} g USING (tic_id) WHERE g.sde >= 5)"
+    )
+
+
+_PTS1 = f", pts1 AS (SELECT tic_id, time_us, flux, 1.0::DOUBLE / (flux_err * flux_err) AS w FROM lc_dip), grid AS ({PERIOD_SQL})"
+_MULTI_COLS = ("period", "t0", "depth", "sde", "snr")
+
+MULTI_SQL = (
+    with_views("lc_dip") + _PTS1 + ", " + round_sql("pts1", 1) + ", " + masked_sql("pts1", 1) + ", " + round_sql("pts2", 2)
+    + ", " + masked_sql("pts2", 2) + ", " + round_sql("pts3", 3) + " UNION ALL ".join(
+        f"SELECT tic_id, {n}::BIGINT AS planet_num, {', '.join(sql_r6(c, 4) + ' AS ' + c for c in _MULTI_COLS)} FROM sig{n}" for n in (1, 2, 3)
+    )
+)
+
+
+@query("dm4_multi_search", MULTI_SQL)
+def _(spark, sf):
+    found = search.multi_search(views.lc_dip(spark, sf), PERIODS, DURATIONS)
+    return rounded(found.select("tic_id", "planet_num", *_MULTI_COLS), 4)
+
+
+@query(
+    "dm5_search_batch",
+    MULTI_SQL.replace("FROM lc_dip)", "FROM lc_dip WHERE tic_id NOT IN (SELECT r_regionkey + 4 FROM region))", 1),
+)
+def _(spark, sf):
+    done = table(spark, sf, "region").select((F.col("r_regionkey") + 4).cast("bigint").alias("tic_id"), F.lit(1).alias("sector"))
+    found = search.search_batch(views.lc_dip(spark, sf), done, PERIODS, DURATIONS)
+    return rounded(found.select("tic_id", "planet_num", *_MULTI_COLS), 4)
+
+
+_NARROW = f"""wanted AS (SELECT 1 + n_nationkey % 6 AS tic_id, n_nationkey AS planet_num, 2.7::DOUBLE + 0.025::DOUBLE * n_nationkey AS period FROM nation),
+w2 AS (SELECT *, CAST(round_even(period * {DAY_US}, 0) AS BIGINT) AS pu FROM wanted),
+w3 AS (SELECT *, greatest(8640000000, CAST(floor(pu * 0.95::DOUBLE) AS BIGINT)) AS lo, CAST(floor(pu * 1.05::DOUBLE) AS BIGINT) AS hi FROM w2),
+tr AS (SELECT planet_num, s.time_us, s.flux, 1.0::DOUBLE / (s.flux_err * s.flux_err) AS w, lo + i * (hi - lo) // 499 AS p FROM w3 JOIN lc_dip s USING (tic_id), range(500) r(i)),
+""" + bins_sql("tr", "planet_num", str(DIP_DURATION_US)) + """,
+bp AS (SELECT planet_num, arg_max(p, {'a': round(power, 7), 'b': -p}) AS bp FROM bestbox GROUP BY planet_num)"""
+
+
+def _narrow(spark, sf):
+    n = F.col("n_nationkey")
+    return table(spark, sf, "nation").select(
+        (F.lit(1) + n % 6).cast("bigint").alias("tic_id"), F.lit(1).alias("sector"), n.cast("int").alias("planet_num"),
+        (F.lit(2.7) + F.lit(0.025) * n).alias("period"), F.lit(DIP_DURATION_US / DAY_US).alias("duration"),
+    )
+
+
+@query(
+    "dm6_bls_consistent",
+    with_views("lc_dip") + f", {_NARROW} SELECT tic_id::BIGINT AS tic_id, planet_num::BIGINT AS planet_num, {sql_r6(f'bp / {DAY_US}::DOUBLE')} AS best_period, "
+    "coalesce(abs(bp - pu) / pu::DOUBLE < 0.02::DOUBLE, FALSE) AS bls_consistent FROM w3 LEFT JOIN bp USING (planet_num)",
+)
+def _(spark, sf):
+    checked = search.bls_consistent(_narrow(spark, sf), views.lc_dip(spark, sf))
+    return rounded(checked.select("tic_id", "planet_num", "best_period", "bls_consistent"))
+
+
+@query(
+    "wn5_candidate_ordinal",
+    with_views("cand") + "SELECT tic_id, CAST(sector AS BIGINT) AS sector, CAST(planet_num AS BIGINT) AS planet_num, "
+    "row_number() OVER (PARTITION BY tic_id, sector ORDER BY sde DESC, planet_num) AS ordinal FROM cand",
+)
+def _(spark, sf):
+    return rounded(search.candidate_ordinal(views.cand(spark, sf)).select("tic_id", "sector", "planet_num", "ordinal"))
