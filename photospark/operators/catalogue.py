@@ -374,7 +374,7 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, cl
     return spine.join(counted, "bin", "left").select("bin", "bin_start", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def describe_features(df: DataFrame, columns: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def describe_features(df: DataFrame, columns: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of every feature, one row each."""
     stacked = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     long = df.selectExpr(f"stack({len(columns)}, {stacked}) AS (feature, x)").filter("x is not null and not isnan(x)")

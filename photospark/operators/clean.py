@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photospark.functions import rules
-from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, split_by_size, with_group_median
+from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, row_limit, split_by_size, with_group_median
 from photospark.plans.lineage import pin
 from photospark.schema import DAY_US, SERIES_KEY
 
@@ -29,7 +29,7 @@ def sigma_clip(
     iters: int = 5,
     value: str = "flux",
     keys: Sequence[str] = SERIES_KEY,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Drop values further than ``sigma`` population deviations from the median, ``iters`` times over.
 
@@ -65,7 +65,7 @@ def sigma_clip(
 
 
 def median_normalise(
-    series: DataFrame, keys: Sequence[str] = SERIES_KEY, max_rows: int = MAX_GROUP_ROWS
+    series: DataFrame, keys: Sequence[str] = SERIES_KEY, max_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Divide flux and its error by the median flux of the series where that is positive."""
     scale = F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.lit(1.0))
@@ -133,7 +133,7 @@ def mark_gap_edges(
 
 
 def series_stats(
-    series: DataFrame, gaps: DataFrame, keys: Sequence[str] = SERIES_KEY, max_rows: int = MAX_GROUP_ROWS
+    series: DataFrame, gaps: DataFrame, keys: Sequence[str] = SERIES_KEY, max_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Row count, number of gaps and median flux error of every series."""
     counts = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cadences"))
@@ -238,7 +238,7 @@ def biweight_detrend(
 
 
 def transit_preserved(
-    series: DataFrame, candidates: DataFrame, fraction: float = 0.7, max_rows: int = MAX_GROUP_ROWS
+    series: DataFrame, candidates: DataFrame, fraction: float = 0.7, max_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Does each candidate keep at least ``fraction`` of its expected depth?
 
@@ -248,6 +248,7 @@ def transit_preserved(
     from photospark.functions.scalars import phase
 
     ckey = ["tic_id", "sector", "planet_num"]
+    max_rows = row_limit(series, SERIES_KEY, max_rows)
     joined = candidates.select(*ckey, "period", "t0", "duration", "depth").join(
         series.select("tic_id", "sector", "time", "flux"), ["tic_id", "sector"]
     )
@@ -286,7 +287,7 @@ def preprocess(
     edge_days: float = 0.5,
     min_cadences: int = 500,
     iterations: int = 6,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int | None = MAX_GROUP_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """The cleaning chain: (clean curves, one status row per series).
 
@@ -295,6 +296,7 @@ def preprocess(
     ``meta`` may list series without data; they get ``MISSING_RAW``.
     """
     keys = list(SERIES_KEY)
+    max_rows = row_limit(series, keys, max_rows)
     quality = F.col("quality") if "quality" in series.columns else None
     usable = rules.quality_ok(F.col("time"), F.col("flux"), F.col("flux_err"), quality)
     counts = series.groupBy(*keys).agg(

@@ -9,7 +9,7 @@ from photospark.functions.scalars import (
     array_median, array_sum, clean_num, epoch_parity, in_transit_wrapped, is_number, let,
 )
 from photospark.operators.catalogue import top_by_sde
-from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles
+from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, row_limit
 from photospark.schema import CANDIDATE_KEY, SERIES_KEY
 
 # The feature vector of the tabular classifier, in order.
@@ -19,12 +19,13 @@ FEATURE_COLUMNS = (
 )
 
 
-def odd_even_sigma(series: DataFrame, candidates: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def odd_even_sigma(series: DataFrame, candidates: DataFrame, max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Difference of the odd and even transit depths in units of its error, one row per candidate.
 
     0 where a side has fewer than three points or the error is 0.
     """
     keys = list(CANDIDATE_KEY)
+    max_rows = row_limit(series, SERIES_KEY, max_rows)
     joined = candidates.select(*keys, "period", "t0", "duration").join(
         series.select(*SERIES_KEY, "time", "flux"), list(SERIES_KEY)
     )
@@ -123,7 +124,7 @@ def view_features(views: DataFrame) -> DataFrame:
 
 
 def extract_features(
-    candidates: DataFrame, series: DataFrame, views: DataFrame, min_sde: float = 5.0, max_rows: int = MAX_GROUP_ROWS
+    candidates: DataFrame, series: DataFrame, views: DataFrame, min_sde: float = 5.0, max_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """The eight features of every candidate at or above ``min_sde``.
 
@@ -178,12 +179,13 @@ def frame_centroids(pixels: DataFrame) -> DataFrame:
     )
 
 
-def centroid_stats(pixels: DataFrame, candidates: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def centroid_stats(pixels: DataFrame, candidates: DataFrame, max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Centroid shift between transit and the rest, in pixels and in deviations of the rest.
 
     0 where there are fewer than three frames in transit, ten outside, or no scatter.
     """
     keys = list(CANDIDATE_KEY)
+    max_rows = row_limit(pixels, SERIES_KEY, max_rows)
     frames = candidates.select(*keys, "period", "t0", "duration").join(frame_centroids(pixels), list(SERIES_KEY))
     inside = in_transit_wrapped(F.col("time"), F.col("period"), F.col("t0"), F.col("duration"))
     frames = frames.select(*keys, "cx", "cy", inside.alias("_in"))
@@ -210,7 +212,7 @@ def centroid_stats(pixels: DataFrame, candidates: DataFrame, max_rows: int = MAX
 
 def centroid_shift(
     pixels: DataFrame, candidates: DataFrame, top_n: int = 200, min_sde: float = 7.0, blend_sigma: float = 3.0,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Centroid shift of the ``top_n`` candidates; those already ``centroid_computed`` are skipped.
 

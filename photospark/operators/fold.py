@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from photospark.functions.labels import LABEL_MAPS
 from photospark.functions.scalars import array_median, clean_num, is_number, let, phase
-from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, split_by_size, with_group_median
+from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, row_limit, split_by_size, with_group_median
 from photospark.schema import CANDIDATE_KEY, SERIES_KEY
 
 GLOBAL_BINS = 2001
@@ -68,7 +68,7 @@ def phase_bin(
     keys: Sequence[str] = CANDIDATE_KEY,
     series_keys: Sequence[str] = SERIES_KEY,
     small: tuple[float, float] | None = None,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Median flux per (candidate, view, bin) in half-open phase bins; empty bins have no row."""
     keys = list(keys)
@@ -151,7 +151,7 @@ def phase_fold(
     keys: Sequence[str] = CANDIDATE_KEY,
     series_keys: Sequence[str] = SERIES_KEY,
     small: tuple[float, float] | None = None,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Normalised global and local view of every candidate at or above ``min_sde``."""
     if min_sde is not None:
@@ -178,13 +178,14 @@ def _long_enough(series, min_points, keys):
 
 def phase_fold_toi(
     series: DataFrame, candidates: DataFrame, n_global: int = GLOBAL_BINS, n_local: int = LOCAL_BINS,
-    keys: Sequence[str] = CANDIDATE_KEY, series_keys: Sequence[str] = SERIES_KEY, max_rows: int = MAX_GROUP_ROWS,
+    keys: Sequence[str] = CANDIDATE_KEY, series_keys: Sequence[str] = SERIES_KEY, max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Fold of raw series: median normalisation, one clip at five deviations around 1, 50 points.
 
     Half widths below 0.005 become 0.05; a missing or non-positive duration counts as two hours.
     """
     sk = list(series_keys)
+    max_rows = row_limit(series, sk, max_rows)
     positive = with_group_median(_finite(series), sk, {"_m": F.col("flux")}, max_rows).filter(F.col("_m") > 0)
     scaled = positive.withColumn("flux", F.col("flux") / F.col("_m")).drop("_m")
     spread = scaled.groupBy(*sk).agg(F.stddev_pop("flux").alias("_s"))
@@ -199,7 +200,7 @@ def phase_fold_toi(
 
 def build_training_views(
     events: DataFrame, series: DataFrame, mapping: str = "kepler", n_global: int = GLOBAL_BINS,
-    n_local: int = LOCAL_BINS, min_points: int = 100, max_rows: int = MAX_GROUP_ROWS,
+    n_local: int = LOCAL_BINS, min_points: int = 100, max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Labelled views of events (tic_id, event_id, period, t0, duration, label_text) with a usable series.
 
@@ -207,6 +208,7 @@ def build_training_views(
     median, and are normalised by it; events with an unusable label are dropped.
     """
     keys, star = ["tic_id", "event_id"], ["tic_id"]
+    max_rows = row_limit(series, star, max_rows)
     labelled = events.withColumn("label", LABEL_MAPS[mapping](F.col("label_text"))).filter(F.col("label") >= 0)
     usable = _long_enough(_finite(series.join(labelled.select("tic_id"), star, "left_semi")), min_points, star)
     positive = with_group_median(usable, star, {"_m": F.col("flux")}, max_rows).filter(F.col("_m") > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photospark.functions.scalars import depth_ppm, duration_t14, is_number
-from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles
+from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, row_limit
 
 
 def with_derived(samples: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def with_derived(samples: DataFrame) -> DataFrame:
     return samples.withColumns({"depth_ppm": depth_ppm(F.col("rp")), "duration": F.when(is_number(t14), t14)})
 
 
-def posterior_quantiles(samples: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def posterior_quantiles(samples: DataFrame, max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Median and distances to the 16th and 84th percentile of five parameters, depth and duration."""
     names = {
         "rp": "mcmc_rp_rs", "inc": "mcmc_inclination", "a": "mcmc_a_rs", "t0": "mcmc_t0", "per": "mcmc_period",
@@ -24,6 +24,7 @@ def posterior_quantiles(samples: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> D
     wanted = {
         f"_{c}_{int(q * 100)}": (F.col(c), q) for c in names for q in (0.16, 0.5, 0.84)
     }
+    max_rows = row_limit(samples, ["tic_id"], max_rows)
     found = group_quantiles(with_derived(samples), ["tic_id"], wanted, max_rows)
     out = [F.col("tic_id")]
     for c, name in names.items():
@@ -68,7 +69,7 @@ def chain_gate(
 
 
 def summarise_posterior(
-    samples: DataFrame, acceptance: DataFrame, burn: int, thin: int, max_rows: int = MAX_GROUP_ROWS, **limits
+    samples: DataFrame, acceptance: DataFrame, burn: int, thin: int, max_rows: int | None = MAX_GROUP_ROWS, **limits
 ) -> DataFrame:
     """Gate of every star, with the quantiles of those that converged and nulls for the others."""
     gate = chain_gate(samples, acceptance, burn, thin, **limits)

@@ -173,7 +173,7 @@ def completeness_fraction(trials: DataFrame, min_sde: float = 7.0, tolerance: fl
 def completeness_map(
     series: DataFrame, periods_us: Sequence[int], durations_us: Sequence[int],
     depths_ppm: Sequence[float] | None = None, periods: Sequence[float] | None = None,
-    trials: int = 10, seed: int = 42, max_rows: int = MAX_GROUP_ROWS,
+    trials: int = 10, seed: int = 42, max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Injection and recovery: 10 depths from 50 to 2000 ppm by 10 periods from 0.5 to 30 days by default.
 

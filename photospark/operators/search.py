@@ -31,9 +31,11 @@ from photospark.schema import CANDIDATE_KEY, CANDIDATE_SCHEMA, DAY_US, SERIES_KE
 BINS_PER_DURATION = 4
 
 _PERIODOGRAM = (
-    "tic_id bigint, sector int, period_us bigint, duration_us bigint, power double, "
-    "start_bin int, n_bins int, depth double, w double, w_in double"
+    "tic_id bigint, sector int, period_us bigint, duration_us bigint, power double, start_bin int, n_bins int, "
+    "depth double, w double, w_in double, n bigint, first_us bigint, chi2_flat double"
 )
+#: Bins of one series that are kept between the rounds of a search (two doubles each).
+_BINS_KEPT = 8_000_000
 
 
 def linear_period_grid(low_us: int, high_us: int, n: int) -> np.ndarray:
@@ -56,49 +58,88 @@ def bin_count(period_us, duration_us, per_duration: int = BINS_PER_DURATION):
     return -(-(period_us * per_duration) // duration_us)
 
 
-def _periodogram(
-    times: np.ndarray, flux: np.ndarray, weight: np.ndarray,
-    periods: np.ndarray, durations: np.ndarray, k: int,
-) -> dict[str, np.ndarray]:
-    """Best box of every (period, duration) of one series."""
-    weighted = weight * flux
-    w_all, wf_all = weight.sum(), weighted.sum()
-    uniform = bool((weight == weight[0]).all())
-    rows = {name: [] for name in ("period_us", "duration_us", "power", "start_bin", "n_bins", "depth", "w_in")}
-    for period in periods:
-        folded = times % period
-        for duration in durations:
-            n_bins = int(bin_count(int(period), int(duration), k))
-            box = min(k, n_bins - 1)
-            index = folded * n_bins // period
-            if uniform:
-                w = np.bincount(index, minlength=n_bins) * weight[0]
+class _Folder:
+    """Folds one series over all trials and finds the best box of each.
+
+    The bins are kept, so that after a change of some fluxes only the changed
+    cadences are folded again.
+    """
+
+    def __init__(self, times, flux, weight, periods, durations, k=BINS_PER_DURATION):
+        self.times, self.flux, self.weight, self.k = times, flux.copy(), weight, k
+        self.trials = [(int(p), int(d), int(bin_count(int(p), int(d), k))) for p in periods for d in durations]
+        self.uniform = bool((weight == weight[0]).all())
+        self.w_all = weight.sum()
+        self.keep = sum(n for _, _, n in self.trials) <= _BINS_KEPT
+        self.bins = None
+
+    @staticmethod
+    def _index(times, period, n_bins):
+        return (times - times // period * period) * n_bins // period
+
+    def set_flux(self, where, value):
+        """Set the flux of some cadences and bring the kept bins up to date."""
+        at = np.flatnonzero(where)
+        change = self.weight[at] * (value - self.flux[at])
+        self.flux[at] = value
+        if self.bins is not None:
+            times = self.times[at]
+            for (period, _, n_bins), (_, wf) in zip(self.trials, self.bins):
+                wf += np.bincount(self._index(times, period, n_bins), weights=change, minlength=n_bins)
+
+    def _fold(self):
+        if self.bins is not None:
+            yield from self.bins
+            return
+        weighted = self.weight * self.flux
+        kept = []
+        for period, _, n_bins in self.trials:
+            index = self._index(self.times, period, n_bins)
+            if self.uniform:
+                w = np.bincount(index, minlength=n_bins) * self.weight[0]
             else:
-                w = np.bincount(index, weights=weight, minlength=n_bins)
-            wf = np.bincount(index, weights=weighted, minlength=n_bins)
-            w_sum = np.cumsum(np.concatenate(([0.0], w, w[: box - 1])))
-            wf_sum = np.cumsum(np.concatenate(([0.0], wf, wf[: box - 1])))
-            w_in = w_sum[box:] - w_sum[:-box]
-            wf_in = wf_sum[box:] - wf_sum[:-box]
+                w = np.bincount(index, weights=self.weight, minlength=n_bins)
+            pair = (w, np.bincount(index, weights=weighted, minlength=n_bins))
+            if self.keep:
+                kept.append(pair)
+            yield pair
+        self.bins = kept if self.keep else None
+
+    def periodogram(self) -> dict[str, np.ndarray]:
+        w_all, wf_all = self.w_all, (self.weight * self.flux).sum()
+        floor = 1e-9 * w_all
+        power_of, start_of, depth_of, w_in_of = [], [], [], []
+        for (_, _, n_bins), (w, wf) in zip(self.trials, self._fold()):
+            box = min(self.k, n_bins - 1)
+            w_in, wf_in = w.copy(), wf.copy()
+            for j in range(1, box):
+                w_in[: n_bins - j] += w[j:]
+                w_in[n_bins - j :] += w[:j]
+                wf_in[: n_bins - j] += wf[j:]
+                wf_in[n_bins - j :] += wf[:j]
             w_out = w_all - w_in
-            valid = (w_in > 1e-9 * w_all) & (w_out > 1e-9 * w_all)
-            depth = np.where(
-                valid,
-                (wf_all - wf_in) / np.where(valid, w_out, 1.0) - wf_in / np.where(valid, w_in, 1.0),
-                0.0,
-            )
-            power = np.where(depth > 0, depth * depth * w_in * w_out / w_all, 0.0)
+            valid = (w_in > floor) & (w_out > floor)
+            if not valid.all():
+                w_in, w_out = np.where(valid, w_in, 1.0), np.where(valid, w_out, 1.0)
+            depth = (wf_all - wf_in) / w_out - wf_in / w_in
+            power = np.where(valid & (depth > 0), depth * depth * w_in * w_out / w_all, 0.0)
             best = int(np.argmax(power))
-            rows["period_us"].append(int(period))
-            rows["duration_us"].append(int(duration))
-            rows["power"].append(float(power[best]))
-            rows["start_bin"].append(best)
-            rows["n_bins"].append(n_bins)
-            rows["depth"].append(float(depth[best]))
-            rows["w_in"].append(float(w_in[best]))
-    out = {name: np.asarray(values) for name, values in rows.items()}
-    out["w"] = np.full(len(out["power"]), w_all)
-    return out
+            power_of.append(power[best])
+            start_of.append(best)
+            depth_of.append(depth[best] if valid[best] else 0.0)
+            w_in_of.append(w_in[best])
+        count = len(self.trials)
+        return {
+            "period_us": np.array([p for p, _, _ in self.trials]), "duration_us": np.array([d for _, d, _ in self.trials]),
+            "power": np.array(power_of), "start_bin": np.array(start_of), "n_bins": np.array([n for _, _, n in self.trials]),
+            "depth": np.array(depth_of), "w": np.full(count, w_all), "w_in": np.array(w_in_of),
+            "n": np.full(count, len(self.times)), "first_us": np.full(count, self.times.min()),
+            "chi2_flat": np.full(count, self.chi2_flat()),
+        }
+
+    def chi2_flat(self) -> float:
+        weighted = self.weight * self.flux
+        return float((weighted * self.flux).sum() - weighted.sum() ** 2 / self.w_all)
 
 
 def _prepared(series: DataFrame) -> DataFrame:
@@ -122,10 +163,13 @@ def box_periodogram(
     periods_us: Sequence[int],
     durations_us: Sequence[int],
     blocks: int | None = None,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Score of the best box for every series, trial period and duration."""
     rows = _prepared(series)
+    if blocks is None:
+        n_series, max_rows = _profile(rows, max_rows)
+        blocks = _period_blocks(series.sparkSession, len(periods_us), n_series)
     small, large = split_by_size(rows, SERIES_KEY, max_rows)
     out = _periodogram_by_series(small, periods_us, durations_us, blocks)
     if large is None:
@@ -133,6 +177,13 @@ def box_periodogram(
     return out.unionByName(_periodogram_by_bins(large, periods_us, durations_us))
 
 
+def _profile(rows: DataFrame, max_rows: int | None) -> tuple[int, int | None]:
+    """Number of series, and ``max_rows`` if one of them is larger: one count for both."""
+    counts = rows.groupBy(*SERIES_KEY).agg(F.count(F.lit(1)).alias("_n"))
+    n_series, largest = counts.agg(F.count(F.lit(1)), F.max("_n")).first()
+    return n_series, max_rows if max_rows is not None and (largest or 0) > max_rows else None
+
+
 def _period_blocks(spark: SparkSession, n_periods: int, n_series: int) -> int:
     """Blocks of periods that keep all cores busy when there are few series."""
     cores = spark.sparkContext.defaultParallelism
@@ -142,17 +193,13 @@ def _period_blocks(spark: SparkSession, n_periods: int, n_series: int) -> int:
 def _periodogram_by_series(rows, periods_us, durations_us, blocks):
     periods = np.asarray(periods_us, dtype=np.int64)
     durations = np.asarray(durations_us, dtype=np.int64)
-    if blocks is None:
-        few = rows.select(*SERIES_KEY).distinct().limit(64).count()
-        blocks = _period_blocks(rows.sparkSession, len(periods), few)
     keyed = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         mine = periods[int(pdf["block"].iat[0]) :: blocks]
-        found = _periodogram(
-            pdf["time_us"].to_numpy(np.int64), pdf["flux"].to_numpy(float), pdf["w"].to_numpy(float),
-            mine, durations, BINS_PER_DURATION,
-        )
+        found = _Folder(
+            pdf["time_us"].to_numpy(np.int64), pdf["flux"].to_numpy(float), pdf["w"].to_numpy(float), mine, durations
+        ).periodogram()
         return pd.DataFrame({"tic_id": pdf["tic_id"].iat[0], "sector": pdf["sector"].iat[0], **found})
 
     return keyed.groupBy(*SERIES_KEY, "block").applyInPandas(search, _PERIODOGRAM)
@@ -238,16 +285,24 @@ def _periodogram_by_bins(rows, periods_us, durations_us):
     )
     return scored.groupBy(*trial, "n_bins").agg(
         F.max("power").alias("power"), best.alias("b"), F.first("w_all").alias("w")
-    ).select(*trial, "power", "b.start_bin", "n_bins", "b.depth", "w", "b.w_in")
+    ).join(_totals(rows), list(SERIES_KEY)).select(
+        *trial, "power", "b.start_bin", "n_bins", "b.depth", "w", "b.w_in", "n", "first_us", "chi2_flat"
+    )
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    w, f = F.col("w"), F.col("flux")
+    wf = F.sum(w * f)
+    return rows.groupBy(*SERIES_KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.min("time_us").alias("first_us"), (F.sum(w * f * f) - wf * wf / F.sum(w)).alias("chi2_flat")
+    )
 
 
-def best_signal(periodogram: DataFrame, series: DataFrame, min_sde: float = 1.0) -> DataFrame:
+def best_signal(periodogram: DataFrame, min_sde: float = 1.0) -> DataFrame:
     """One candidate per series from its periodogram; series below ``min_sde`` give none."""
+    rest = ("duration_us", "start_bin", "n_bins", "depth", "w", "w_in", "n", "first_us", "chi2_flat")
     per_period = periodogram.groupBy(*SERIES_KEY, "period_us").agg(
-        F.max_by(
-            F.struct("power", "duration_us", "start_bin", "n_bins", "depth", "w", "w_in"),
-            F.struct(F.col("power"), (-F.col("duration_us")).alias("short")),
-        ).alias("b")
+        F.max_by(F.struct("power", *rest), F.struct(F.col("power"), (-F.col("duration_us")).alias("short"))).alias("b")
     )
     peak = F.max_by(
         F.struct("period_us", "b.*"), F.struct(F.col("b.power"), (-F.col("period_us")).alias("short"))
@@ -256,22 +311,16 @@ def best_signal(periodogram: DataFrame, series: DataFrame, min_sde: float = 1.0)
         peak.alias("b"),
         F.max("b.power").alias("top"), F.avg("b.power").alias("mean"), F.stddev_pop("b.power").alias("sd"),
     )
-    w, f = F.col("w"), F.col("flux")
-    totals = _prepared(series).groupBy(*SERIES_KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.min("time_us").alias("first_us"),
-        F.sum(w * f * f).alias("wff"), F.sum(w * f).alias("wf"),
-    )
     b = F.col("b")
     # centre of the box, moved to the first transit at or after the start of the series
     centre_us = (b["start_bin"] + BINS_PER_DURATION / 2.0) * b["period_us"] / b["n_bins"]
-    first_us = centre_us + F.ceil((F.col("first_us") - centre_us) / b["period_us"]) * b["period_us"]
-    chi2 = F.col("wff") - F.col("wf") * F.col("wf") / b["w"] - b["power"]
+    first_us = centre_us + F.ceil((b["first_us"] - centre_us) / b["period_us"]) * b["period_us"]
+    chi2 = b["chi2_flat"] - b["power"]
     error = F.sqrt(F.lit(1.0) / b["w_in"] + F.lit(1.0) / (b["w"] - b["w_in"]))
     return (
         spectrum.filter("sd > 0")
         .withColumn("sde", (F.col("top") - F.col("mean")) / F.col("sd"))
         .filter(F.col("sde") >= min_sde)
-        .join(totals, list(SERIES_KEY))
         .select(
             *SERIES_KEY,
             F.lit(1).alias("planet_num"), F.lit(1).alias("candidate_num"),
@@ -279,7 +328,7 @@ def best_signal(periodogram: DataFrame, series: DataFrame, min_sde: float = 1.0)
             (b["duration_us"] / DAY_US).alias("duration"), b["depth"].alias("depth"),
             "sde", (b["depth"] / error).alias("snr"), F.lit(0.0).alias("cdpp"),
             chi2.alias("chi2"),
-            F.when(F.col("n") > 4, chi2 / (F.col("n") - 4)).alias("chi2_red"),
+            F.when(b["n"] > 4, chi2 / (b["n"] - 4)).alias("chi2_red"),
         )
     )
 
@@ -291,12 +340,12 @@ def period_search(
     min_points: int = 100,
     min_sde: float = 1.0,
     blocks: int | None = None,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Strongest dip of every series: period, epoch, duration, depth, SNR, chi-squared and SDE."""
     usable = enough_points(_searchable(series), min_points)
     power = box_periodogram(usable, periods_us, durations_us, blocks, max_rows)
-    return best_signal(power, usable, min_sde)
+    return best_signal(power, min_sde)
 
 
 def _searchable(series: DataFrame) -> DataFrame:
@@ -308,15 +357,12 @@ def _searchable(series: DataFrame) -> DataFrame:
 def _kernel_rounds(pdf, periods, durations, rounds, min_sde, stop_sde):
     """All rounds of one series in memory; the arithmetic of ``period_search`` per round."""
     times = pdf["time_us"].to_numpy(np.int64)
-    flux = pdf["flux"].to_numpy(float).copy()
-    w = pdf["w"].to_numpy(float)
+    folder = _Folder(times, pdf["flux"].to_numpy(float), pdf["w"].to_numpy(float), periods, durations)
     found = []
     for number in range(1, rounds + 1):
-        grid = _periodogram(times, flux, w, periods, durations, BINS_PER_DURATION)
-        table = pd.DataFrame(grid).sort_values(
+        table = pd.DataFrame(folder.periodogram()).sort_values(
             ["period_us", "power", "duration_us"], ascending=[True, False, True], kind="stable"
-        )
-        table = table.drop_duplicates("period_us")
+        ).drop_duplicates("period_us")
         power = table["power"].to_numpy()
         deviation = power.std()
         if not deviation > 0:
@@ -325,24 +371,20 @@ def _kernel_rounds(pdf, periods, durations, rounds, min_sde, stop_sde):
         sde = float((power.max() - power.mean()) / deviation)
         if not sde >= min_sde:
             break
-        period_us = int(best["period_us"])
-        duration_us = int(best["duration_us"])
+        period_us, duration_us = int(best["period_us"]), int(best["duration_us"])
         centre = (best["start_bin"] + BINS_PER_DURATION / 2.0) * period_us / best["n_bins"]
-        t0_us = centre + math.ceil((times.min() - centre) / period_us) * period_us
-        w_in, w_all = best["w_in"], best["w"]
-        wf = (w * flux).sum()
-        chi2 = float((w * flux * flux).sum() - wf * wf / w_all - best["power"])
-        error = math.sqrt(1.0 / w_in + 1.0 / (w_all - w_in))
+        t0_us = centre + math.ceil((best["first_us"] - centre) / period_us) * period_us
+        chi2 = float(best["chi2_flat"] - best["power"])
+        error = math.sqrt(1.0 / best["w_in"] + 1.0 / (best["w"] - best["w_in"]))
         found.append((
             pdf["tic_id"].iat[0], pdf["sector"].iat[0], number, number,
             period_us / DAY_US, t0_us / DAY_US, duration_us / DAY_US, best["depth"],
-            sde, best["depth"] / error, 0.0, chi2,
-            chi2 / (len(times) - 4) if len(times) > 4 else None,
+            sde, best["depth"] / error, 0.0, chi2, chi2 / (len(times) - 4) if len(times) > 4 else None,
         ))
-        if sde < stop_sde:
+        if sde < stop_sde or number == rounds:
             break
         distance = np.abs((times - t0_us + period_us / 2.0) % period_us - period_us / 2.0)
-        flux[distance <= duration_us / 2.0] = 1.0
+        folder.set_flux(distance <= duration_us / 2.0, 1.0)
     return pd.DataFrame(found, columns=CANDIDATE_SCHEMA.names)
 
 
@@ -354,7 +396,7 @@ def multi_search(
     min_points: int = 100,
     min_sde: float = 1.0,
     stop_sde: float = 5.0,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Up to ``rounds`` signals per series; after each one its transits are set to 1.
 
@@ -376,7 +418,7 @@ def multi_search(
     current = large
     for number in range(1, rounds + 1):
         power = _periodogram_by_bins(_prepared(current), periods_us, durations_us)
-        found = best_signal(power, current, min_sde).withColumns(
+        found = best_signal(power, min_sde).withColumns(
             {"planet_num": F.lit(number), "candidate_num": F.lit(number)}
         )
         found = pin(found)
@@ -417,7 +459,7 @@ def bls_consistent(
     tolerance: float = 0.02,
     min_points: int = 100,
     floor_days: float = 0.1,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``best_period`` and ``bls_consistent``: does a narrow search find the period again?
 
@@ -437,10 +479,9 @@ def bls_consistent(
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
         grid = linear_period_grid(int(first["_low"]), int(first["_high"]), n_periods)
-        found = _periodogram(
-            pdf["time_us"].to_numpy(np.int64), pdf["flux"].to_numpy(float), pdf["w"].to_numpy(float),
-            grid, np.asarray([first["_d"]], dtype=np.int64), BINS_PER_DURATION,
-        )
+        found = _Folder(
+            pdf["time_us"].to_numpy(np.int64), pdf["flux"].to_numpy(float), pdf["w"].to_numpy(float), grid, [first["_d"]]
+        ).periodogram()
         best = int(found["period_us"][int(np.argmax(found["power"]))])
         return pd.DataFrame({**{k: [first[k]] for k in ckey}, "_best": [best]})
 

@@ -26,14 +26,29 @@ _ACCURACY = 10_000
 _MAX_PASSES = 16
 
 
+def row_limit(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS) -> int | None:
+    """``max_rows`` if some group of ``df`` is larger, else ``None``.
+
+    Operators that only drop rows or split groups further cannot make a group
+    larger, so one count at the source serves a whole chain: ``None`` tells the
+    functions below that no group needs the way for large ones.
+    """
+    if max_rows is None:
+        return None
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return max_rows if (counts.agg(F.max("_rows")).first()[0] or 0) > max_rows else None
+
+
 def split_by_size(
-    df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:
     """Split ``df`` into the rows of groups up to ``max_rows`` and the rows of larger ones.
 
     The second part is ``None`` if there is no larger group. The list of larger
     groups has at most ``rows / max_rows`` entries; Spark picks the join by its size.
     """
+    if max_rows is None:
+        return df, None
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > max_rows)
     if large.isEmpty():
         return df, None
@@ -45,7 +60,7 @@ def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     values: dict[str, tuple[Column, float]],
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Exact quantiles per group, linearly interpolated, one output column per entry of ``values``.
 
@@ -65,7 +80,7 @@ def group_quantiles(
 
 
 def with_group_median(
-    df: DataFrame, keys: Sequence[str], values: dict[str, Column], max_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], values: dict[str, Column], max_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Add the exact median of each expression over its group as a column."""
     small, large = split_by_size(df, keys, max_rows)
