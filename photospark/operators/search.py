@@ -152,29 +152,24 @@ def _prepared(series: DataFrame) -> DataFrame:
     )
 
 
-def enough_points(series: DataFrame, min_points: int, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
-    """Rows of the series with at least ``min_points`` cadences."""
-    counts = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return series.join(counts.filter(F.col("_n") >= min_points).select(*keys), list(keys), "left_semi")
-
-
 def box_periodogram(
     series: DataFrame,
     periods_us: Sequence[int],
     durations_us: Sequence[int],
     blocks: int | None = None,
     max_rows: int | None = MAX_GROUP_ROWS,
+    min_points: int = 1,
 ) -> DataFrame:
-    """Score of the best box for every series, trial period and duration."""
+    """Score of the best box for every series of ``min_points`` cadences, trial period and duration."""
     rows = _prepared(series)
     if blocks is None:
         n_series, max_rows = _profile(rows, max_rows)
         blocks = _period_blocks(series.sparkSession, len(periods_us), n_series)
     small, large = split_by_size(rows, SERIES_KEY, max_rows)
-    out = _periodogram_by_series(small, periods_us, durations_us, blocks)
+    out = _periodogram_by_series(small, periods_us, durations_us, blocks, min_points)
     if large is None:
         return out
-    return out.unionByName(_periodogram_by_bins(large, periods_us, durations_us))
+    return out.unionByName(_periodogram_by_bins(large, periods_us, durations_us).filter(F.col("n") >= min_points))
 
 
 def _profile(rows: DataFrame, max_rows: int | None) -> tuple[int, int | None]:
@@ -190,12 +185,16 @@ def _period_blocks(spark: SparkSession, n_periods: int, n_series: int) -> int:
     return max(1, min(64, n_periods, math.ceil(2 * cores / max(1, n_series))))
 
 
-def _periodogram_by_series(rows, periods_us, durations_us, blocks):
+def _periodogram_by_series(rows, periods_us, durations_us, blocks, min_points):
     periods = np.asarray(periods_us, dtype=np.int64)
     durations = np.asarray(durations_us, dtype=np.int64)
     keyed = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
+    names = [part.split()[0] for part in _PERIODOGRAM.split(", ")]
+
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < min_points:
+            return pd.DataFrame(columns=names)
         mine = periods[int(pdf["block"].iat[0]) :: blocks]
         found = _Folder(
             pdf["time_us"].to_numpy(np.int64), pdf["flux"].to_numpy(float), pdf["w"].to_numpy(float), mine, durations
@@ -343,17 +342,10 @@ def period_search(
     max_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Strongest dip of every series: period, epoch, duration, depth, SNR, chi-squared and SDE."""
-    usable = enough_points(_searchable(series), min_points)
-    power = box_periodogram(usable, periods_us, durations_us, blocks, max_rows)
+    power = box_periodogram(series, periods_us, durations_us, blocks, max_rows, min_points)
     return best_signal(power, min_sde)
 
 
-def _searchable(series: DataFrame) -> DataFrame:
-    if "gap_mask" not in series.columns:
-        return series
-    return series.filter(~F.coalesce("gap_mask", F.lit(False))).drop("gap_mask")
-
-
 def _kernel_rounds(pdf, periods, durations, rounds, min_sde, stop_sde):
     """All rounds of one series in memory; the arithmetic of ``period_search`` per round."""
     times = pdf["time_us"].to_numpy(np.int64)
@@ -408,16 +400,20 @@ def multi_search(
 
     periods = np.asarray(periods_us, dtype=np.int64)
     durations = np.asarray(durations_us, dtype=np.int64)
-    usable = enough_points(_searchable(series), min_points)
-    small, large = split_by_size(usable, SERIES_KEY, max_rows)
-    out = _prepared(small).groupBy(*SERIES_KEY).applyInPandas(
-        lambda pdf: _kernel_rounds(pdf, periods, durations, rounds, min_sde, stop_sde), CANDIDATE_SCHEMA
-    )
+    rows = _prepared(series)
+    small, large = split_by_size(rows, SERIES_KEY, max_rows)
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < min_points:
+            return pd.DataFrame(columns=CANDIDATE_SCHEMA.names)
+        return _kernel_rounds(pdf, periods, durations, rounds, min_sde, stop_sde)
+
+    out = small.groupBy(*SERIES_KEY).applyInPandas(search, CANDIDATE_SCHEMA)
     if large is None:
         return out
     current = large
     for number in range(1, rounds + 1):
-        power = _periodogram_by_bins(_prepared(current), periods_us, durations_us)
+        power = _periodogram_by_bins(current, periods_us, durations_us).filter(F.col("n") >= min_points)
         found = best_signal(power, min_sde).withColumns(
             {"planet_num": F.lit(number), "candidate_num": F.lit(number)}
         )
@@ -426,7 +422,8 @@ def multi_search(
         if number < rounds:
             going = found.filter(F.col("sde") >= stop_sde)
             current = mask_transits(
-                current.join(going.select(*SERIES_KEY), list(SERIES_KEY), "left_semi"), going
+                current.join(going.select(*SERIES_KEY), list(SERIES_KEY), "left_semi")
+                .withColumn("time", F.col("time_us") / DAY_US), going
             )
     return out
 
@@ -473,10 +470,11 @@ def bls_consistent(
         *ckey, period_us.alias("_p"), F.rint(F.col("duration") * DAY_US).cast("bigint").alias("_d"),
         low.cast("bigint").alias("_low"), F.floor(period_us * (1.0 + width)).cast("bigint").alias("_high"),
     )
-    usable = enough_points(_prepared(_searchable(series)), min_points)
-    small, large = split_by_size(usable, SERIES_KEY, max_rows)
+    small, large = split_by_size(_prepared(series), SERIES_KEY, max_rows)
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < min_points:
+            return pd.DataFrame(columns=[*ckey, "_best"])
         first = pdf.iloc[0]
         grid = linear_period_grid(int(first["_low"]), int(first["_high"]), n_periods)
         found = _Folder(
