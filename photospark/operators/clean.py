@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photospark.functions import rules
-from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, row_limit, split_by_size, with_group_median
+from photospark.plans.groups import (
+    MAX_GROUP_ROWS, group_quantiles, join_to_groups, row_limit, small_side, split_by_size, with_group_median,
+)
 from photospark.plans.lineage import pin
 from photospark.schema import DAY_US, SERIES_KEY
 
@@ -38,7 +40,7 @@ def sigma_clip(
     shuffle for all rounds; series above ``max_rows`` go round by round through
     partial aggregates.
     """
-    small, large = split_by_size(series, keys, max_rows)
+    small, large, _ = split_by_size(series, keys, max_rows)
     x = F.col(value)
     window = Window.partitionBy(*keys)
     out = small.withColumn("_keep", F.lit(True))
@@ -57,7 +59,7 @@ def sigma_clip(
             kept_rows.groupBy(*keys).agg(F.stddev_pop(x).alias("_s")), list(keys)
         )
         kept_rows = (
-            kept_rows.join(pin(limits), list(keys))
+            kept_rows.join(small_side(limits), list(keys))
             .filter(~(F.abs(x - F.col("_m")) > F.col("_s") * sigma))
             .drop("_m", "_s")
         )
@@ -195,16 +197,20 @@ def biweight_detrend(
     cval: float = 5.0,
     chunk_days: float = 4.0,
     keys: Sequence[str] = SERIES_KEY,
+    piece_rows: int = 500_000,
 ) -> DataFrame:
     """Divide the flux by a sliding robust mean; adds ``trend`` and replaces ``flux``.
 
     A series shorter than the window uses half its span. Spark has no framed
     median, so a kernel works on pieces of ``chunk_days`` with half a window of
     neighbours on each side; a long series becomes many independent pieces.
+    Where a series is so dense that a piece would pass ``piece_rows``, its
+    pieces are shorter, down to an eighth of the window.
     """
     keys = list(keys)
-    chunk_us = int(chunk_days * DAY_US)
-    spans = series.groupBy(*keys).agg((F.max("time_us") - F.min("time_us")).alias("_span"))
+    spans = series.groupBy(*keys).agg(
+        (F.max("time_us") - F.min("time_us")).alias("_span"), F.count(F.lit(1)).alias("_rows")
+    )
     full = int(window * DAY_US)
     half = (
         F.when(F.col("_span") >= full, F.lit(full // 2))
@@ -212,18 +218,15 @@ def biweight_detrend(
         .otherwise(F.lit(int(0.1 * DAY_US) // 2))
         .cast("bigint")
     )
-    placed = series.join(spans.select(*keys, half.alias("_half")), keys).withColumn(
-        "_home", F.floor(F.col("time_us") / chunk_us).cast("bigint")
-    )
-    offset = F.col("time_us") - F.col("_home") * chunk_us
-    pieces = F.array_compact(
-        F.array(
-            F.col("_home"),
-            F.when(offset <= F.col("_half"), F.col("_home") - 1),
-            F.when(F.lit(chunk_us) - offset <= F.col("_half"), F.col("_home") + 1),
-        )
+    fitting = F.floor(F.lit(float(piece_rows)) * F.col("_span") / F.col("_rows")) - F.lit(full)
+    chunk = F.least(F.lit(int(chunk_days * DAY_US)), F.greatest(fitting, F.lit(full // 8))).cast("bigint")
+    placed = series.join(spans.select(*keys, half.alias("_half"), chunk.alias("_chunk")), keys).withColumn(
+        "_home", F.floor(F.col("time_us") / F.col("_chunk")).cast("bigint")
     )
-    placed = placed.withColumn("_piece", F.explode(pieces))
+    # a cadence serves every piece that its window reaches into
+    first = F.floor((F.col("time_us") - F.col("_half")) / F.col("_chunk")).cast("bigint")
+    last = F.floor((F.col("time_us") + F.col("_half")) / F.col("_chunk")).cast("bigint")
+    placed = placed.withColumn("_piece", F.explode(F.sequence(first, last)))
     columns = series.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields) + ", trend double"
 
@@ -254,9 +257,9 @@ def transit_preserved(
     from photospark.functions.scalars import phase
 
     ckey = ["tic_id", "sector", "planet_num"]
-    max_rows = row_limit(series, SERIES_KEY, max_rows)
-    joined = candidates.select(*ckey, "period", "t0", "duration", "depth").join(
-        series.select("tic_id", "sector", "time", "flux"), ["tic_id", "sector"]
+    joined, max_rows = join_to_groups(
+        candidates.select(*ckey, "period", "t0", "duration", "depth"), series.select("tic_id", "sector", "time", "flux"),
+        SERIES_KEY, max_rows,
     )
     distance = F.abs(phase(F.col("time"), F.col("period"), F.col("t0")))
     half = F.col("duration") / F.col("period") / 2.0

@@ -9,7 +9,7 @@ from photospark.functions.scalars import (
     array_median, array_sum, clean_num, epoch_parity, in_transit_wrapped, is_number, let,
 )
 from photospark.operators.catalogue import top_by_sde
-from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, row_limit
+from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, join_to_groups, row_limit
 from photospark.schema import CANDIDATE_KEY, SERIES_KEY
 
 # The feature vector of the tabular classifier, in order.
@@ -25,9 +25,8 @@ def odd_even_sigma(series: DataFrame, candidates: DataFrame, max_rows: int | Non
     0 where a side has fewer than three points or the error is 0.
     """
     keys = list(CANDIDATE_KEY)
-    max_rows = row_limit(series, SERIES_KEY, max_rows)
-    joined = candidates.select(*keys, "period", "t0", "duration").join(
-        series.select(*SERIES_KEY, "time", "flux"), list(SERIES_KEY)
+    joined, max_rows = join_to_groups(
+        candidates.select(*keys, "period", "t0", "duration"), series.select(*SERIES_KEY, "time", "flux"), SERIES_KEY, max_rows
     )
     t, p, t0 = F.col("time"), F.col("period"), F.col("t0")
     hits = joined.filter(in_transit_wrapped(t, p, t0, F.col("duration"))).select(
@@ -185,8 +184,8 @@ def centroid_stats(pixels: DataFrame, candidates: DataFrame, max_rows: int | Non
     0 where there are fewer than three frames in transit, ten outside, or no scatter.
     """
     keys = list(CANDIDATE_KEY)
-    max_rows = row_limit(pixels, SERIES_KEY, max_rows)
-    frames = candidates.select(*keys, "period", "t0", "duration").join(frame_centroids(pixels), list(SERIES_KEY))
+    wanted = candidates.select(*keys, "period", "t0", "duration")
+    frames, max_rows = join_to_groups(wanted, frame_centroids(pixels), SERIES_KEY, row_limit(pixels, SERIES_KEY, max_rows))
     inside = in_transit_wrapped(F.col("time"), F.col("period"), F.col("t0"), F.col("duration"))
     frames = frames.select(*keys, "cx", "cy", inside.alias("_in"))
     counts = frames.groupBy(*keys).agg(F.count_if("_in").alias("n_in"), F.count_if(~F.col("_in")).alias("n_out"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from photospark.functions.labels import LABEL_MAPS
 from photospark.functions.scalars import array_median, clean_num, is_number, let, phase
-from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, row_limit, split_by_size, with_group_median
+from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, join_to_groups, row_limit, with_group_median
 from photospark.schema import CANDIDATE_KEY, SERIES_KEY
 
 GLOBAL_BINS = 2001
@@ -32,12 +32,9 @@ def half_width(period: Column, duration: Column, small: tuple[float, float] | No
     return F.when(width < small[0], F.lit(small[1])).otherwise(width)
 
 
-def _binned(series, candidates, n_global, n_local, keys, series_keys, small):
+def _binned(joined, n_global, n_local, keys, small):
     """One row per (candidate, view, bin, cadence); phase 0.5 is in no bin."""
     width = half_width(F.col("period"), F.col("duration"), small)
-    joined = candidates.select(*keys, "period", "t0", "duration").join(
-        series.select(*series_keys, "time", "flux"), list(series_keys)
-    )
     p = F.col("_phase")
     return (
         joined.withColumn("_phase", phase(F.col("time"), F.col("period"), F.col("t0")))
@@ -72,15 +69,11 @@ def phase_bin(
 ) -> DataFrame:
     """Median flux per (candidate, view, bin) in half-open phase bins; empty bins have no row."""
     keys = list(keys)
-    short, long = split_by_size(series, series_keys, max_rows)
-    group = [*keys, "view", "bin"]
-    out = _binned(short, candidates, n_global, n_local, keys, series_keys, small).groupBy(*group).agg(
-        F.median("flux").alias("value")
+    joined, limit = join_to_groups(
+        candidates.select(*keys, "period", "t0", "duration"), series.select(*series_keys, "time", "flux"), series_keys, max_rows
     )
-    if long is None:
-        return out
-    rows = _binned(long, candidates, n_global, n_local, keys, series_keys, small)
-    return out.unionByName(group_quantiles(rows, group, {"value": (F.col("flux"), 0.5)}, max_rows))
+    rows = _binned(joined, n_global, n_local, keys, small)
+    return group_quantiles(rows, [*keys, "view", "bin"], {"value": (F.col("flux"), 0.5)}, limit)
 
 
 def _view(entries: Column, n: int, empty: str) -> Column:

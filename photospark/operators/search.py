@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photospark.functions import rules
-from photospark.plans.groups import MAX_GROUP_ROWS, split_by_size
-from photospark.plans.lineage import pin
+from photospark.plans.groups import MAX_GROUP_ROWS, small_side, split_by_size
 from photospark.schema import CANDIDATE_KEY, CANDIDATE_SCHEMA, DAY_US, SERIES_KEY
 
 BINS_PER_DURATION = 4
@@ -165,7 +164,7 @@ def box_periodogram(
     if blocks is None:
         n_series, max_rows = _profile(rows, max_rows)
         blocks = _period_blocks(series.sparkSession, len(periods_us), n_series)
-    small, large = split_by_size(rows, SERIES_KEY, max_rows)
+    small, large, _ = split_by_size(rows, SERIES_KEY, max_rows)
     out = _periodogram_by_series(small, periods_us, durations_us, blocks, min_points)
     if large is None:
         return out
@@ -401,7 +400,7 @@ def multi_search(
     periods = np.asarray(periods_us, dtype=np.int64)
     durations = np.asarray(durations_us, dtype=np.int64)
     rows = _prepared(series)
-    small, large = split_by_size(rows, SERIES_KEY, max_rows)
+    small, large, _ = split_by_size(rows, SERIES_KEY, max_rows)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < min_points:
@@ -417,7 +416,7 @@ def multi_search(
         found = best_signal(power, min_sde).withColumns(
             {"planet_num": F.lit(number), "candidate_num": F.lit(number)}
         )
-        found = pin(found)
+        found = small_side(found)
         out = out.unionByName(found)
         if number < rounds:
             going = found.filter(F.col("sde") >= stop_sde)
@@ -470,7 +469,7 @@ def bls_consistent(
         *ckey, period_us.alias("_p"), F.rint(F.col("duration") * DAY_US).cast("bigint").alias("_d"),
         low.cast("bigint").alias("_low"), F.floor(period_us * (1.0 + width)).cast("bigint").alias("_high"),
     )
-    small, large = split_by_size(_prepared(series), SERIES_KEY, max_rows)
+    small, large, large_keys = split_by_size(_prepared(series), SERIES_KEY, max_rows)
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < min_points:
@@ -486,7 +485,8 @@ def bls_consistent(
     schema = "tic_id bigint, sector int, planet_num int, _best bigint"
     best = wanted.join(small, list(SERIES_KEY)).groupBy(*ckey).applyInPandas(check, schema)
     if large is not None:
-        best = best.unionByName(_narrow_search_by_bins(wanted, large, n_periods))
+        theirs = small_side(wanted.join(large_keys, list(SERIES_KEY), "left_semi"))
+        best = best.unionByName(_narrow_search_by_bins(theirs, large, n_periods))
     difference = F.abs(F.col("_best") - F.col("_p")) / F.col("_p")
     return (
         candidates.join(wanted.select(*ckey, "_p").join(best, ckey), ckey, "left")

@@ -12,6 +12,7 @@ rank are left. Both ways are exact.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from photospark.plans.lineage import pin
 
 #: Rows of one group that one task may hold.
 MAX_GROUP_ROWS = 2_000_000
+#: Rows of a counted table that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 _GRID = 1000
 _ACCURACY = 10_000
@@ -39,21 +42,53 @@ def row_limit(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_GRO
     return max_rows if (counts.agg(F.max("_rows")).first()[0] or 0) > max_rows else None
 
 
-def split_by_size(
-    df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS
-) -> tuple[DataFrame, DataFrame | None]:
-    """Split ``df`` into the rows of groups up to ``max_rows`` and the rows of larger ones.
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` pinned and counted, hinted for broadcast only if it has at most ``max_rows`` rows.
 
-    The second part is ``None`` if there is no larger group. The list of larger
-    groups has at most ``rows / max_rows`` entries; Spark picks the join by its size.
+    Beyond that Spark chooses the join, with skew handling by adaptive execution.
+    """
+    pinned = pin(df)
+    return F.broadcast(pinned) if pinned.count() <= max_rows else pinned
+
+
+class Split(NamedTuple):
+    """Rows of normal groups, rows of large ones and the keys of the large ones (``None`` if there are none)."""
+
+    small: DataFrame
+    large: DataFrame | None
+    keys: DataFrame | None
+
+
+def split_by_size(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS) -> Split:
+    """Split ``df`` by the size of its groups at ``max_rows``.
+
+    There are at most ``rows / max_rows`` large groups; their key table is
+    counted before it is broadcast.
     """
     if max_rows is None:
-        return df, None
+        return Split(df, None, None)
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > max_rows)
     if large.isEmpty():
-        return df, None
-    large = pin(large.select(*keys))
-    return df.join(large, list(keys), "left_anti"), df.join(large, list(keys), "left_semi")
+        return Split(df, None, None)
+    large = small_side(large.select(*keys))
+    return Split(df.join(large, list(keys), "left_anti"), df.join(large, list(keys), "left_semi"), large)
+
+
+def join_to_groups(
+    few: DataFrame, many: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS
+) -> tuple[DataFrame, int | None]:
+    """Inner join of ``few`` (candidates) to ``many`` (their series) that no long series can gather.
+
+    Long series are joined apart: the candidates that belong to them are
+    counted and broadcast, so the rows of the series stay where they are. Also
+    returns ``max_rows`` if there are long series, else ``None``.
+    """
+    small, large, large_keys = split_by_size(many, keys, max_rows)
+    out = few.join(small, list(keys))
+    if large is None:
+        return out, None
+    theirs = small_side(few.join(large_keys, list(keys), "left_semi"))
+    return out.unionByName(theirs.join(large, list(keys)).select(*out.columns)), max_rows
 
 
 def group_quantiles(
@@ -66,13 +101,13 @@ def group_quantiles(
 
     ``values`` maps an output name to (expression, fraction). Null values are ignored.
     """
-    small, large = split_by_size(df, keys, max_rows)
+    small, large, large_keys = split_by_size(df, keys, max_rows)
     out = small.groupBy(*keys).agg(
         *[F.percentile(value, F.lit(frac)).alias(name) for name, (value, frac) in values.items()]
     )
     if large is None:
         return out
-    parts = large.select(*keys).distinct()
+    parts = large_keys
     for name, (value, frac) in values.items():
         part = _bracketed_quantile(large, keys, value, frac, name, max_rows)
         parts = parts.join(part, list(keys), "left")
@@ -83,13 +118,13 @@ def with_group_median(
     df: DataFrame, keys: Sequence[str], values: dict[str, Column], max_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Add the exact median of each expression over its group as a column."""
-    small, large = split_by_size(df, keys, max_rows)
+    small, large, _ = split_by_size(df, keys, max_rows)
     window = Window.partitionBy(*keys)
     out = small.withColumns({name: F.median(value).over(window) for name, value in values.items()})
     if large is None:
         return out
     medians = group_quantiles(large, keys, {n: (v, 0.5) for n, v in values.items()}, max_rows)
-    return out.unionByName(large.join(medians, list(keys), "left"))
+    return out.unionByName(large.join(small_side(medians), list(keys), "left"))
 
 
 def _bracketed_quantile(df, keys, value, frac, name, max_rows):
@@ -97,7 +132,7 @@ def _bracketed_quantile(df, keys, value, frac, name, max_rows):
     keys = list(keys)
     rows = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     position = (F.col("_n") - 1) * F.lit(float(frac))
-    state = pin(
+    state = small_side(
         rows.groupBy(*keys)
         .agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         .withColumn("_below", F.lit(0).cast("bigint"))
@@ -107,7 +142,7 @@ def _bracketed_quantile(df, keys, value, frac, name, max_rows):
     open_groups = (F.col("_inside") > max_rows) & (F.col("_lo") < F.col("_hi"))
     margin = 1
     for _ in range(_MAX_PASSES):
-        work = state.filter(open_groups)
+        work = small_side(state.filter(open_groups))
         if work.isEmpty():
             break
         grid = (
@@ -123,11 +158,11 @@ def _bracketed_quantile(df, keys, value, frac, name, max_rows):
         rank = (F.floor(position) - F.col("_below")) / F.col("_inside") * _GRID
         low = F.greatest(F.floor(rank) - margin, F.lit(0)).cast("int")
         high = F.least(F.ceil(rank) + 1 + margin, F.lit(_GRID)).cast("int")
-        narrowed = work.join(grid, keys).select(
+        narrowed = small_side(work.join(grid, keys).select(
             *keys, "_n",
             F.when(low == 0, F.col("_lo")).otherwise(F.get("_grid", low)).alias("_lo"),
             F.when(high == _GRID, F.col("_hi")).otherwise(F.get("_grid", high)).alias("_hi"),
-        )
+        ))
         counted = (
             rows.join(narrowed, keys)
             .groupBy(*keys)
@@ -143,7 +178,7 @@ def _bracketed_quantile(df, keys, value, frac, name, max_rows):
         )
         counted = pin(counted)
         before = work.agg(F.sum("_inside")).first()[0]
-        state = pin(state.join(counted, keys, "left_anti").unionByName(counted))
+        state = small_side(state.join(counted, keys, "left_anti").unionByName(counted))
         after = state.join(work, keys, "left_semi").agg(F.sum("_inside")).first()[0]
         if after * 2 > before:
             margin *= 2

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from photospark.plans.lineage import pin
 
+#: Rows that one cell, and so one sort, should hold at most.
+CELL_ROWS = 2_000_000
+
 
 def prefix_sum(
     df: DataFrame,
@@ -59,9 +62,12 @@ def ordinal(
 def range_cells(df: DataFrame, order: Sequence[Column], name: str, cells: int | None = None) -> DataFrame:
     """Add an integer cell that follows ``order``, balanced by Spark's range partitioning.
 
-    The result is pinned because the sampled range bounds must not change
-    between the branches that use the cell.
+    There are enough cells for one task to hold each. The result is pinned
+    because the sampled range bounds must not change between the branches that
+    use the cell.
     """
-    spark = df.sparkSession
-    cells = cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if cells is None:
+        df = pin(df)
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cells = max(partitions, -(-df.count() // CELL_ROWS))
     return pin(df.repartitionByRange(cells, *order).withColumn(name, F.spark_partition_id()))

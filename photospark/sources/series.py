@@ -30,19 +30,21 @@ def file_key(path: Column) -> list[Column]:
     ]
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path)
+def _files(
+    spark: SparkSession, path: str, sectors: Sequence[int] | None = None, kind: str | None = None
+) -> DataFrame:
+    """Archive files; sectors and kind are part of the name pattern, so other files are never opened."""
+    part = "*" if sectors is None else "{" + ",".join(f"{int(s):04d}" for s in sectors) + "}"
+    pattern = f"tic*_s{part}_{kind or '*'}.npz"
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
 
 
 def series_keys(
     spark: SparkSession, path: str, sectors: Sequence[int] | None = None, kind: str | None = None
 ) -> DataFrame:
     """Keys of the archive files of some sectors; the files are listed, not read."""
-    listed = _files(spark, path).select(*file_key(F.col("path")), F.col("path"), F.col("length"))
-    listed = listed.filter("tic_id is not null")
-    if sectors is not None:
-        listed = listed.filter(F.col("sector").isin(*[int(s) for s in sectors]))
-    return listed if kind is None else listed.filter(F.col("kind") == kind)
+    listed = _files(spark, path, sectors, kind).select(*file_key(F.col("path")), F.col("path"), F.col("length"))
+    return listed.filter("tic_id is not null")
 
 
 def _decode(tic, sector, kind, content) -> pd.DataFrame:
@@ -65,10 +67,7 @@ def _decode(tic, sector, kind, content) -> pd.DataFrame:
 
 
 def _selected(spark, path, sectors, kind):
-    files = _files(spark, path).select(*file_key(F.col("path")), "content").filter("tic_id is not null")
-    if sectors is not None:
-        files = files.filter(F.col("sector").isin(*[int(s) for s in sectors]))
-    return files if kind is None else files.filter(F.col("kind") == kind)
+    return _files(spark, path, sectors, kind).select(*file_key(F.col("path")), "content").filter("tic_id is not null")
 
 
 def read_series_archive(

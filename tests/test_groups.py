@@ -34,7 +34,8 @@ def test_group_quantiles_exact(spark, values, max_rows):
 
 def test_split_by_size(spark, values):
     df = spark.createDataFrame(values)
-    small, large = split_by_size(df, ["k"], 100)
+    small, large, keys = split_by_size(df, ["k"], 100)
+    assert {r.k for r in keys.collect()} == {1, 3, 4}
     assert {r.k for r in small.select("k").distinct().collect()} == {2}
     assert {r.k for r in large.select("k").distinct().collect()} == {1, 3, 4}
     assert small.count() + large.count() == len(values)
