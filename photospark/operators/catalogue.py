@@ -378,13 +378,12 @@ def describe_features(df: DataFrame, columns: Sequence[str], max_rows: int | Non
     """Count, mean, sample deviation, extremes and exact quartiles of every feature, one row each."""
     stacked = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     long = df.selectExpr(f"stack({len(columns)}, {stacked}) AS (feature, x)").filter("x is not null and not isnan(x)")
-    moments = long.groupBy("feature").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"),
-    )
     x = F.col("x")
-    quartiles = group_quantiles(long, ["feature"], {"p25": (x, 0.25), "p50": (x, 0.5), "p75": (x, 0.75)}, max_rows)
-    return moments.join(quartiles, "feature")
+    table = group_quantiles(
+        long, ["feature"], {"p25": (x, 0.25), "p50": (x, 0.5), "p75": (x, 0.75)}, max_rows,
+        {"n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)},
+    )
+    return table.select("feature", "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def tally(df: DataFrame, column: str, value) -> DataFrame:

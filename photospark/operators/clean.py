@@ -55,9 +55,7 @@ def sigma_clip(
         return out
     kept_rows = large
     for _ in range(iters):
-        limits = group_quantiles(kept_rows, keys, {"_m": (x, 0.5)}, max_rows).join(
-            kept_rows.groupBy(*keys).agg(F.stddev_pop(x).alias("_s")), list(keys)
-        )
+        limits = group_quantiles(kept_rows, keys, {"_m": (x, 0.5)}, max_rows, {"_s": F.stddev_pop(x)})
         kept_rows = (
             kept_rows.join(small_side(limits), list(keys))
             .filter(~(F.abs(x - F.col("_m")) > F.col("_s") * sigma))
@@ -138,13 +136,14 @@ def series_stats(
     series: DataFrame, gaps: DataFrame, keys: Sequence[str] = SERIES_KEY, max_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Row count, number of gaps and median flux error of every series."""
-    counts = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cadences"))
-    errors = group_quantiles(series, keys, {"median_flux_err": (F.col("flux_err"), 0.5)}, max_rows)
+    stats = group_quantiles(
+        series, keys, {"median_flux_err": (F.col("flux_err"), 0.5)}, max_rows, {"n_cadences": F.count(F.lit(1))}
+    )
     n_gaps = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gaps"))
     return (
-        counts.join(errors, list(keys), "left")
-        .join(n_gaps, list(keys), "left")
+        stats.join(n_gaps, list(keys), "left")
         .withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0).cast("bigint")))
+        .select(*keys, "n_cadences", "n_gaps", "median_flux_err")
     )
 
 
@@ -267,14 +266,15 @@ def transit_preserved(
         "_zone", F.when(distance <= half, "in").when(distance <= half * 3.0, "out")
     ).filter("_zone is not null")
     inside, outside = F.when(F.col("_zone") == "in", F.col("flux")), F.when(F.col("_zone") == "out", F.col("flux"))
-    counts = zoned.groupBy(*ckey).agg(F.count(inside).alias("n_in"), F.count(outside).alias("n_out"))
-    medians = group_quantiles(zoned, ckey, {"_in": (inside, 0.5), "_out": (outside, 0.5)}, max_rows)
+    zones = group_quantiles(
+        zoned, ckey, {"_in": (inside, 0.5), "_out": (outside, 0.5)}, max_rows,
+        {"n_in": F.count(inside), "n_out": F.count(outside)},
+    )
     measured = F.col("_out") - F.col("_in")
     zero = F.lit(0).cast("bigint")
     return (
         candidates.select(*ckey, "depth")
-        .join(counts, ckey, "left")
-        .join(medians, ckey, "left")
+        .join(zones, ckey, "left")
         .select(
             *ckey,
             F.coalesce("n_in", zero).alias("n_in"),

@@ -9,7 +9,8 @@ from photospark.functions.scalars import (
     array_median, array_sum, clean_num, epoch_parity, in_transit_wrapped, is_number, let,
 )
 from photospark.operators.catalogue import top_by_sde
-from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, join_to_groups, row_limit
+from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, join_to_groups
+from photospark.plans.lineage import pin
 from photospark.schema import CANDIDATE_KEY, SERIES_KEY
 
 # The feature vector of the tabular classifier, in order.
@@ -33,18 +34,17 @@ def odd_even_sigma(series: DataFrame, candidates: DataFrame, max_rows: int | Non
         *keys, "flux", epoch_parity(t, p, t0).alias("_parity")
     )
     side = {name: F.when(F.col("_parity") == value, F.col("flux")) for name, value in (("odd", 1), ("even", 0))}
-    moments = hits.groupBy(*keys).agg(
-        *[F.count(x).alias(f"n_{n}") for n, x in side.items()],
-        *[F.stddev_pop(x).alias(f"s_{n}") for n, x in side.items()],
+    sides = group_quantiles(
+        hits, keys, {f"m_{n}": (x, 0.5) for n, x in side.items()}, max_rows,
+        {**{f"n_{n}": F.count(x) for n, x in side.items()}, **{f"s_{n}": F.stddev_pop(x) for n, x in side.items()}},
     )
-    medians = group_quantiles(hits, keys, {f"m_{n}": (x, 0.5) for n, x in side.items()}, max_rows)
     variance = (
         F.col("s_odd") * F.col("s_odd") / F.col("n_odd") + F.col("s_even") * F.col("s_even") / F.col("n_even")
     )
     enough = (F.col("n_odd") >= 3) & (F.col("n_even") >= 3)
     return (
         candidates.select(*keys)
-        .join(moments.join(medians, keys), keys, "left")
+        .join(sides, keys, "left")
         .select(
             *keys,
             F.when(
@@ -185,15 +185,19 @@ def centroid_stats(pixels: DataFrame, candidates: DataFrame, max_rows: int | Non
     """
     keys = list(CANDIDATE_KEY)
     wanted = candidates.select(*keys, "period", "t0", "duration")
-    frames, max_rows = join_to_groups(wanted, frame_centroids(pixels), SERIES_KEY, row_limit(pixels, SERIES_KEY, max_rows))
+    theirs = pixels.join(wanted.select(*SERIES_KEY).distinct(), list(SERIES_KEY), "left_semi")
+    # one row per frame instead of one per pixel, read by three aggregations
+    reduced = pin(frame_centroids(theirs))
+    frames, max_rows = join_to_groups(wanted, reduced, SERIES_KEY, max_rows)
     inside = in_transit_wrapped(F.col("time"), F.col("period"), F.col("t0"), F.col("duration"))
     frames = frames.select(*keys, "cx", "cy", inside.alias("_in"))
-    counts = frames.groupBy(*keys).agg(F.count_if("_in").alias("n_in"), F.count_if(~F.col("_in")).alias("n_out"))
     picks = {
         f"{c}_{side}": (F.when(flag, F.col(c)), 0.5)
         for c in ("cx", "cy") for side, flag in (("in", F.col("_in")), ("out", ~F.col("_in")))
     }
-    medians = group_quantiles(frames, keys, picks, max_rows)
+    medians = group_quantiles(
+        frames, keys, picks, max_rows, {"n_in": F.count_if("_in"), "n_out": F.count_if(~F.col("_in"))}
+    )
     dx, dy = F.col("cx") - F.col("cx_out"), F.col("cy") - F.col("cy_out")
     scatter = (
         frames.filter(~F.col("_in")).join(medians.select(*keys, "cx_out", "cy_out"), keys)
@@ -202,7 +206,7 @@ def centroid_stats(pixels: DataFrame, candidates: DataFrame, max_rows: int | Non
     sx, sy = F.col("cx_in") - F.col("cx_out"), F.col("cy_in") - F.col("cy_out")
     enough = (F.col("n_in") >= 3) & (F.col("n_out") >= 10)
     shift = F.sqrt(sx * sx + sy * sy)
-    return counts.join(medians, keys).join(scatter, keys, "left").select(
+    return medians.join(scatter, keys, "left").select(
         *keys, "n_in", "n_out",
         F.when(enough, shift).otherwise(F.lit(0.0)).alias("shift_pixels"),
         F.when(enough & (F.col("_sigma") > 0), F.try_divide(shift, F.col("_sigma"))).otherwise(F.lit(0.0)).alias("centroid_shift_sigma"),

@@ -222,8 +222,18 @@ def shift_view(view: Column, k: Column) -> Column:
 
 
 def explode_view(df: DataFrame, column: str, keys: Sequence[str], name: str = "value") -> DataFrame:
-    """Long form of a view: one row per bin."""
-    return df.select(*keys, F.posexplode(column).alias("bin", name))
+    """Long form of a view: one row per bin.
+
+    The outer form keeps Spark from inferring a filter that would compute the view again.
+    """
+    return df.select(*keys, F.posexplode_outer(column).alias("bin", name)).filter("bin is not null")
+
+
+def explode_views(df: DataFrame, keys: Sequence[str], name: str = "value") -> DataFrame:
+    """Long form of both views, with a ``view`` column."""
+    both = F.array(*[F.struct(F.lit(v).alias("view"), F.col(f"{v}_view").alias("values")) for v in ("global", "local")])
+    each = df.select(*keys, F.explode_outer(both).alias("_v"))
+    return explode_view(each.select(*keys, "_v.view", F.col("_v.values").alias("_values")), "_values", [*keys, "view"], name)
 
 
 def bin_centres(n: int, low: float = -0.5, high: float = 0.5) -> Column:

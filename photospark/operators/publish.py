@@ -9,7 +9,7 @@ from photospark.functions import rules
 from photospark.functions.rules import relative_error
 from photospark.functions.scalars import clean_num, days_to_hours, is_number
 from photospark.operators.features import transit_epochs
-from photospark.operators.fold import bin_centres
+from photospark.operators.fold import bin_centres, explode_view
 from photospark.operators.recovery import fold_model
 from photospark.schema import CANDIDATE_KEY, SERIES_KEY
 
@@ -213,7 +213,7 @@ def class_bars(catalogue: DataFrame) -> DataFrame:
 
 def folded_model(views: DataFrame, fits: DataFrame, n: int, baseline: float = 1.0, keys: tuple[str, ...] = CANDIDATE_KEY) -> DataFrame:
     """Folded flux, model and residual per phase bin of fitted candidates."""
-    folded = views.select(*keys, F.posexplode("global_view").alias("bin", "flux"))
+    folded = explode_view(views, "global_view", keys, "flux")
     model = fold_model(fits, n, baseline, keys)
     return folded.join(model, [*keys, "bin"]).withColumn("residual", F.col("flux") - F.col("model"))
 

@@ -96,21 +96,26 @@ def group_quantiles(
     keys: Sequence[str],
     values: dict[str, tuple[Column, float]],
     max_rows: int | None = MAX_GROUP_ROWS,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Exact quantiles per group, linearly interpolated, one output column per entry of ``values``.
 
-    ``values`` maps an output name to (expression, fraction). Null values are ignored.
+    ``values`` maps an output name to (expression, fraction); null values are
+    ignored. ``extra`` holds other aggregates (counts, deviations) that come
+    from the same pass.
     """
+    keys = list(keys)
+    others = [column.alias(name) for name, column in (extra or {}).items()]
     small, large, large_keys = split_by_size(df, keys, max_rows)
     out = small.groupBy(*keys).agg(
-        *[F.percentile(value, F.lit(frac)).alias(name) for name, (value, frac) in values.items()]
+        *[F.percentile(value, F.lit(frac)).alias(name) for name, (value, frac) in values.items()], *others
     )
     if large is None:
         return out
-    parts = large_keys
+    parts = large.groupBy(*keys).agg(*others) if others else large_keys
     for name, (value, frac) in values.items():
         part = _bracketed_quantile(large, keys, value, frac, name, max_rows)
-        parts = parts.join(part, list(keys), "left")
+        parts = parts.join(part, keys, "left")
     return out.unionByName(parts)
 
 

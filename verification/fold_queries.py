@@ -44,11 +44,7 @@ norm AS (SELECT {keys}, view, bin, (value - med) / {scale} AS x FROM (SELECT *,
 
 
 def _long(folded, keys=KEY):
-    parts = [
-        fold.explode_view(folded.withColumn("view", F.lit(name)), f"{name}_view", [*keys, "view"], "x")
-        for name in ("global", "local")
-    ]
-    return rounded(parts[0].unionByName(parts[1]))
+    return rounded(fold.explode_views(folded, keys, "x"))
 
 
 CAND5 = "c5 AS (SELECT * FROM cand WHERE sde >= 5)"

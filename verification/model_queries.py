@@ -235,10 +235,7 @@ def _(spark, sf):
         (F.lit(3.0) + F.col("vec_id") % 5).alias("period"), F.lit(0.5).alias("duration"),
     )
     out = learn.augment_views(df, "vec_id")
-    parts = [
-        fold.explode_view(out.withColumn("view", F.lit(n)), f"{n}_view", ["vec_id", "variant", "view"], "x") for n in ("global", "local")
-    ]
-    return rounded(parts[0].unionByName(parts[1]))
+    return rounded(fold.explode_views(out, ["vec_id", "variant"], "x"))
 
 
 @query(
