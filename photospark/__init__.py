@@ -1,3 +1,10 @@
 """Survey photometry on Spark: clean, search, fold, vet, classify and publish light curves."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Kernels travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from photospark.functions import rules
 from photospark.plans.groups import (
-    MAX_GROUP_ROWS, group_quantiles, join_to_groups, row_limit, small_side, split_by_size, with_group_median,
+    MAX_GROUP_ROWS, group_quantiles, join_to_groups, row_limit, small_side, split_by_size, spread,
+    with_group_median,
 )
 from photospark.plans.lineage import pin
 from photospark.schema import DAY_US, SERIES_KEY
@@ -242,7 +243,7 @@ def biweight_detrend(
         out["trend"] = trend
         return out[core]
 
-    return placed.groupBy(*keys, "_piece").applyInPandas(detrend, schema)
+    return spread(placed, [*keys, "_piece"]).groupBy(*keys, "_piece").applyInPandas(detrend, schema)
 
 
 def transit_preserved(

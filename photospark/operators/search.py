@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photospark.functions import rules
-from photospark.plans.groups import MAX_GROUP_ROWS, small_side, split_by_size
+from photospark.plans.groups import MAX_GROUP_ROWS, small_side, split_by_size, spread
 from photospark.schema import CANDIDATE_KEY, CANDIDATE_SCHEMA, DAY_US, SERIES_KEY
 
 BINS_PER_DURATION = 4
@@ -161,11 +161,11 @@ def box_periodogram(
 ) -> DataFrame:
     """Score of the best box for every series of ``min_points`` cadences, trial period and duration."""
     rows = _prepared(series)
+    n_series, max_rows = _profile(rows, max_rows)
     if blocks is None:
-        n_series, max_rows = _profile(rows, max_rows)
         blocks = _period_blocks(series.sparkSession, len(periods_us), n_series)
     small, large, _ = split_by_size(rows, SERIES_KEY, max_rows)
-    out = _periodogram_by_series(small, periods_us, durations_us, blocks, min_points)
+    out = _periodogram_by_series(small, periods_us, durations_us, blocks, min_points, n_series)
     if large is None:
         return out
     return out.unionByName(_periodogram_by_bins(large, periods_us, durations_us).filter(F.col("n") >= min_points))
@@ -184,7 +184,7 @@ def _period_blocks(spark: SparkSession, n_periods: int, n_series: int) -> int:
     return max(1, min(64, n_periods, math.ceil(2 * cores / max(1, n_series))))
 
 
-def _periodogram_by_series(rows, periods_us, durations_us, blocks, min_points):
+def _periodogram_by_series(rows, periods_us, durations_us, blocks, min_points, n_series):
     periods = np.asarray(periods_us, dtype=np.int64)
     durations = np.asarray(durations_us, dtype=np.int64)
     keyed = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -200,7 +200,8 @@ def _periodogram_by_series(rows, periods_us, durations_us, blocks, min_points):
         ).periodogram()
         return pd.DataFrame({"tic_id": pdf["tic_id"].iat[0], "sector": pdf["sector"].iat[0], **found})
 
-    return keyed.groupBy(*SERIES_KEY, "block").applyInPandas(search, _PERIODOGRAM)
+    placed = spread(keyed, [*SERIES_KEY, "block"], n_series * blocks)
+    return placed.groupBy(*SERIES_KEY, "block").applyInPandas(search, _PERIODOGRAM)
 
 
 def phase_bins(
@@ -400,6 +401,7 @@ def multi_search(
     periods = np.asarray(periods_us, dtype=np.int64)
     durations = np.asarray(durations_us, dtype=np.int64)
     rows = _prepared(series)
+    n_series, max_rows = _profile(rows, max_rows)
     small, large, _ = split_by_size(rows, SERIES_KEY, max_rows)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -407,7 +409,7 @@ def multi_search(
             return pd.DataFrame(columns=CANDIDATE_SCHEMA.names)
         return _kernel_rounds(pdf, periods, durations, rounds, min_sde, stop_sde)
 
-    out = small.groupBy(*SERIES_KEY).applyInPandas(search, CANDIDATE_SCHEMA)
+    out = spread(small, SERIES_KEY, n_series).groupBy(*SERIES_KEY).applyInPandas(search, CANDIDATE_SCHEMA)
     if large is None:
         return out
     current = large
@@ -483,7 +485,7 @@ def bls_consistent(
         return pd.DataFrame({**{k: [first[k]] for k in ckey}, "_best": [best]})
 
     schema = "tic_id bigint, sector int, planet_num int, _best bigint"
-    best = wanted.join(small, list(SERIES_KEY)).groupBy(*ckey).applyInPandas(check, schema)
+    best = spread(wanted.join(small, list(SERIES_KEY)), ckey).groupBy(*ckey).applyInPandas(check, schema)
     if large is not None:
         theirs = small_side(wanted.join(large_keys, list(SERIES_KEY), "left_semi"))
         best = best.unionByName(_narrow_search_by_bins(theirs, large, n_periods))

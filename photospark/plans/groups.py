@@ -51,6 +51,21 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(pinned) if pinned.count() <= max_rows else pinned
 
 
+def spread(df: DataFrame, keys: Sequence[str], n_groups: int | None = None) -> DataFrame:
+    """Hash ``df`` by ``keys`` into enough partitions for a kernel that costs time rather than bytes.
+
+    Adaptive execution merges small partitions by their bytes, which would run
+    costly groups one after the other; a given number of partitions is kept.
+    About eight groups per task if there are many, many partitions per group
+    (so that few share one) if there are few.
+    """
+    spark = df.sparkSession
+    n = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if n_groups is not None:
+        n = max(1, min(16 * n_groups, max(n, min(n_groups // 8, 50_000))))
+    return df.repartition(n, *keys)
+
+
 class Split(NamedTuple):
     """Rows of normal groups, rows of large ones and the keys of the large ones (``None`` if there are none)."""
 
