@@ -54,13 +54,19 @@ def sigma_clip(
     out = out.filter("_keep").drop("_keep", "_m", "_s")
     if large is None:
         return out
-    kept_rows = large
+    kept_rows, before = large, None
     for _ in range(iters):
-        limits = group_quantiles(kept_rows, keys, {"_m": (x, 0.5)}, max_rows, {"_s": F.stddev_pop(x)})
+        limits = small_side(
+            group_quantiles(kept_rows, keys, {"_m": (x, 0.5)}, max_rows, {"_s": F.stddev_pop(x), "_n": F.count(x)})
+        )
+        left = limits.agg(F.sum("_n")).first()[0]
+        if left == before:
+            break
+        before = left
         kept_rows = (
-            kept_rows.join(small_side(limits), list(keys))
+            kept_rows.join(limits, list(keys))
             .filter(~(F.abs(x - F.col("_m")) > F.col("_s") * sigma))
-            .drop("_m", "_s")
+            .drop("_m", "_s", "_n")
         )
     return out.unionByName(kept_rows)
 

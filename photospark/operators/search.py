@@ -42,14 +42,17 @@ def linear_period_grid(low_us: int, high_us: int, n: int) -> np.ndarray:
     return low_us + np.arange(n, dtype=np.int64) * (high_us - low_us) // (n - 1)
 
 
-def frequency_period_grid(
+def period_grid(
     span_days: float, duration_days: float, low_days: float = 0.5, high_days: float = 30.0, oversampling: float = 2.0
 ) -> np.ndarray:
-    """Periods equally spaced in frequency: over ``span_days`` neighbours drift by duration / oversampling."""
-    step = duration_days / (oversampling * span_days * low_days)
-    n = int(math.ceil((1.0 / low_days - 1.0 / high_days) / step)) + 1
-    frequency = np.linspace(1.0 / high_days, 1.0 / low_days, n)
-    return np.unique(np.round(DAY_US / frequency).astype(np.int64))
+    """Trial periods for series of ``span_days``.
+
+    Over the span, neighbouring periods drift apart by at most
+    duration / oversampling, which makes the grid geometric.
+    """
+    step = math.log1p(duration_days / (oversampling * span_days))
+    n = int(math.ceil(math.log(high_days / low_days) / step)) + 1
+    return np.unique(np.round(DAY_US * np.geomspace(low_days, high_days, n)).astype(np.int64))
 
 
 def bin_count(period_us, duration_us, per_duration: int = BINS_PER_DURATION):

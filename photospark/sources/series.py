@@ -78,6 +78,11 @@ def read_series_archive(
     A file that cannot be decoded does not stop the read: with ``errors`` the
     result is the list (tic_id, sector, kind, error) of such files instead.
     """
+    return decode_series(_selected(spark, path, sectors, kind), errors)
+
+
+def decode_series(files: DataFrame, errors: bool = False) -> DataFrame:
+    """Decode archive contents (tic_id, sector, kind, content) into cadences, or list the broken ones."""
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for tic, sector, name, content in zip(batch["tic_id"], batch["sector"], batch["kind"], batch["content"]):
@@ -88,7 +93,7 @@ def read_series_archive(
                     row.update(tic_id=[tic], sector=[sector], kind=[name], error=[f"{type(error).__name__}: {error}"[:200]])
                     yield pd.DataFrame(row)
 
-    rows = _selected(spark, path, sectors, kind).mapInPandas(decode, _ROWS)
+    rows = files.select("tic_id", "sector", "kind", "content").mapInPandas(decode, _ROWS)
     if errors:
         return rows.filter("error is not null").select("tic_id", "sector", "kind", "error")
     return rows.filter("error is null").drop("error")

@@ -16,12 +16,11 @@ def test_registry():
 
 
 def test_every_operator_family_is_registered():
-    """Inventory ids without a query are file sources and sinks, tested in test_sources."""
     names = {n.split("_")[0] for n in entry.queries()}
     wanted = (
         [f"pr{i}" for i in range(1, 28)] + [f"jn{i}" for i in range(1, 18)] + [f"ag{i}" for i in range(1, 31)]
         + [f"wn{i}" for i in range(1, 8)] + [f"sl{i}" for i in range(1, 8)] + [f"st{i}" for i in range(1, 7)]
-        + [f"dm{i}" for i in range(1, 29)]
+        + [f"dm{i}" for i in range(1, 29)] + [f"io{i}" for i in range(1, 14)]
     )
     assert [w for w in wanted if w not in names] == []
 

@@ -13,8 +13,10 @@ DURATIONS = [int(0.15 * DAY_US)]
 
 
 def test_grids():
-    f = search.frequency_period_grid(27.0, 0.15)
+    f = search.period_grid(27.0, 0.15)
     assert f[0] == int(0.5 * DAY_US) and f[-1] == 30 * DAY_US and (np.diff(f) > 0).all()
+    drift = np.diff(f) / f[:-1] * 27.0
+    assert drift.max() <= 0.15 / 2 + 1e-6
     assert search.linear_period_grid(10, 20, 11).tolist() == list(range(10, 21))
 
 
