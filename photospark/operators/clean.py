@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from photospark.functions import rules
 from photospark.plans.groups import (
-    MAX_GROUP_ROWS, group_quantiles, join_to_groups, row_limit, small_side, split_by_size, spread,
+    MAX_GROUP_ROWS, group_quantiles, join_to_groups, small_side, split_by_size, spread,
     with_group_median,
 )
 from photospark.plans.lineage import pin
@@ -312,15 +312,13 @@ def preprocess(
     ``meta`` may list series without data; they get ``MISSING_RAW``.
     """
     keys = list(SERIES_KEY)
-    max_rows = row_limit(series, keys, max_rows)
     quality = F.col("quality") if "quality" in series.columns else None
     usable = rules.quality_ok(F.col("time"), F.col("flux"), F.col("flux_err"), quality)
-    counts = series.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_raw"), F.count_if(usable).alias("n_masked")
-    )
-    enough = counts.filter(F.col("n_masked") >= min_cadences).select(*keys)
-    masked = quality_mask(series).join(enough, keys, "left_semi")
-    normal = pin(median_normalise(sigma_clip(masked, max_rows=max_rows), max_rows=max_rows))
+    counts = pin(series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(usable).alias("n_masked")))
+    # cleaning only drops rows, so the largest series decides for the whole chain
+    if max_rows is not None and (counts.agg(F.max("n_raw")).first()[0] or 0) <= max_rows:
+        max_rows = None
+    normal = pin(median_normalise(sigma_clip(quality_mask(series), max_rows=max_rows), max_rows=max_rows))
     gaps = find_gaps(normal, gap_threshold)
     good = mark_gap_edges(normal, gaps, edge_days).filter(~F.col("gap_mask")).drop("gap_mask")
     stats = series_stats(good, gaps, max_rows=max_rows)

@@ -170,13 +170,12 @@ def evaluate(df: DataFrame, y: str = "label", pred: str = "pred", probs: str = "
     Rows without label or prediction are left out.
     """
     rows = df.filter(F.col(y).isNotNull() & F.col(pred).isNotNull())
-    rates = binary_rates(rows, y, pred)
-    one = F.lit(1)
-    joined = rates.withColumn("_one", one)
+    table = binary_rates(rows, y, pred)
     for part in (
         expected_calibration_error(rows, y, probs),
         macro_f1(class_report(rows, y, pred)),
         macro_auc(roc_auc_ovr(rows, y, probs)),
     ):
-        joined = joined.join(part.withColumn("_one", one), "_one", "left")
-    return binary_gates(joined.drop("_one"))
+        table = table.unionByName(part, allowMissingColumns=True)
+    # four rows, each with its own columns filled
+    return binary_gates(table.agg(*[F.max(c).alias(c) for c in table.columns]))

@@ -208,18 +208,19 @@ def _periodogram_by_series(rows, periods_us, durations_us, blocks, min_points, n
 
 
 def phase_bins(
-    rows: DataFrame, periods_us: Sequence[int], durations_us: Sequence[int], series_in_memory: int = 16
+    rows: DataFrame, periods_us: Sequence[int], durations_us: Sequence[int], bins_in_memory: int = 16_000_000
 ) -> DataFrame:
     """Weight and weighted flux per (series, period, duration, bin), added up without gathering a series.
 
     Each task adds its rows to the bins of the series it meets, at most
-    ``series_in_memory`` at a time, and emits those partial bins.
+    ``bins_in_memory`` at a time, and emits those partial bins.
     """
     periods = np.asarray(periods_us, dtype=np.int64)
     durations = np.asarray(durations_us, dtype=np.int64)
 
     trials = [(int(p), int(d), int(bin_count(int(p), int(d)))) for p in periods for d in durations]
     offsets = np.concatenate(([0], np.cumsum([n for _, _, n in trials])))
+    series_in_memory = max(1, bins_in_memory // int(offsets[-1]))
 
     def emit(held):
         for (tic, sector), (w, wf) in held.items():

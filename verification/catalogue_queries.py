@@ -196,7 +196,7 @@ def _(spark, sf):
     with_views("cand") + _FITS_SQL + f"""SELECT {CK},
 CASE WHEN p.ok THEN 'mcmc' WHEN s.tic_id IS NOT NULL THEN 'nelder_mead' ELSE 'none' END AS model_source,
 {sql_r6('CASE WHEN p.ok THEN p.rp ELSE s.rp END')} AS rp,
-{sql_r6('CASE WHEN p.ok THEN 0.0 WHEN s.tic_id IS NOT NULL THEN 0.1 END')} AS t0
+{sql_r6('CASE WHEN p.ok THEN 0.0::DOUBLE WHEN s.tic_id IS NOT NULL THEN 0.1::DOUBLE END')} AS t0
 FROM cand LEFT JOIN post p USING (tic_id) LEFT JOIN simp s USING (tic_id)""",
 )
 def _(spark, sf):

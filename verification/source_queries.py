@@ -128,7 +128,7 @@ def _(spark, sf):
 
 @query(
     "io10_export_catalogue_csv",
-    with_views("cand") + f"SELECT CAST(tic_id AS VARCHAR) AS tic_id, printf('%.6f', sde) AS sde, {_DISP_SQL} AS disposition, NULL AS rp_rs FROM cand",
+    with_views("cand") + f"SELECT CAST(tic_id AS VARCHAR) AS tic_id, printf('%.6f', sde) AS sde, {_DISP_SQL} AS disposition, NULL::VARCHAR AS rp_rs FROM cand",
 )
 def _(spark, sf):
     path = scratch_path(spark, "csv")

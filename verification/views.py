@@ -57,14 +57,14 @@ def _events(spark: SparkSession, sf: str, tic) -> DataFrame:
 
 
 _EVENT_SQL = """
-SELECT CAST({tic} AS BIGINT) AS tic_id, CAST(1 AS INTEGER) AS sector,
+SELECT CAST({tic} AS BIGINT) AS tic_id, CAST(1 AS BIGINT) AS sector,
        epoch_us(ts) - 1704067200000000 AS time_us,
        (epoch_us(ts) - 1704067200000000) / 86400000000.0::DOUBLE AS time,
        CASE WHEN event_id % 97 = 0 THEN 'NaN'::DOUBLE
             ELSE 1.0::DOUBLE + value / 1000.0::DOUBLE END AS flux,
        0.001::DOUBLE AS flux_err,
-       CASE WHEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) < 10
-            THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) ELSE 0 END AS quality
+       CASE WHEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) < 10
+            THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) ELSE 0 END AS quality
 FROM events"""
 
 SQL["lc"] = _EVENT_SQL.format(
@@ -102,8 +102,8 @@ def lc_dip(spark, sf):
 
 
 SQL["cand"] = """
-SELECT o_custkey AS tic_id, CAST(1 + o_orderkey % 3 AS INTEGER) AS sector,
-       CAST(o_orderkey // 3 AS INTEGER) AS planet_num,
+SELECT o_custkey AS tic_id, CAST(1 + o_orderkey % 3 AS BIGINT) AS sector,
+       CAST(o_orderkey // 3 AS BIGINT) AS planet_num,
        0.5::DOUBLE + (o_orderkey % 2950) / 100.0::DOUBLE AS period,
        (o_orderkey % 100) / 50.0::DOUBLE AS t0,
        0.05::DOUBLE + (o_orderkey % 20) / 100.0::DOUBLE AS duration,
@@ -111,7 +111,7 @@ SELECT o_custkey AS tic_id, CAST(1 + o_orderkey % 3 AS INTEGER) AS sector,
        o_totalprice / 31250.0::DOUBLE AS sde,
        o_totalprice / 31250.0::DOUBLE * 1.3::DOUBLE AS snr,
        (o_orderkey % 101) / 100.0::DOUBLE AS prob_pc,
-       CAST(CASE WHEN o_orderkey % 7 = 6 THEN -1 ELSE o_orderkey % 4 END AS INTEGER) AS predicted_class,
+       CAST(CASE WHEN o_orderkey % 7 = 6 THEN -1 ELSE o_orderkey % 4 END AS BIGINT) AS predicted_class,
        o_orderstatus AS status
 FROM orders"""
 
@@ -137,7 +137,7 @@ def cand(spark, sf):
 
 
 SQL["meta"] = """
-SELECT c_custkey AS tic_id, CAST(1 + c_nationkey % 3 AS INTEGER) AS sector,
+SELECT c_custkey AS tic_id, CAST(1 + c_nationkey % 3 AS BIGINT) AS sector,
        CASE WHEN c_custkey % 50 <> 0 THEN 4.0::DOUBLE + (c_custkey % 120) / 10.0::DOUBLE END AS tmag,
        CASE WHEN c_custkey % 33 <> 0 THEN 3000.0::DOUBLE + c_acctbal * 0.7::DOUBLE END AS teff,
        CASE WHEN c_custkey % 13 <> 0 THEN (c_custkey % 13) / 10.0::DOUBLE END AS contratio,
@@ -197,12 +197,12 @@ def _softmax_sql(first):
 
 
 SQL["pred_raw"] = f"""
-SELECT vec_id, CAST(label % 4 AS INTEGER) AS label, (vec_id % 10) / 10.0::DOUBLE AS crowdsap,
+SELECT vec_id, CAST(label % 4 AS BIGINT) AS label, (vec_id % 10) / 10.0::DOUBLE AS crowdsap,
        {_softmax_sql(1)} AS cnn, {_softmax_sql(5)} AS xgb
 FROM embeddings"""
 SQL["pred"] = """
 SELECT vec_id, label, crowdsap, cnn, xgb, cnn AS probs,
-       CAST(list_position(cnn, list_max(cnn)) - 1 AS INTEGER) AS pred
+       CAST(list_position(cnn, list_max(cnn)) - 1 AS BIGINT) AS pred
 FROM pred_raw"""
 
 
@@ -223,9 +223,9 @@ def pred(spark, sf):
 
 
 SQL["pixels"] = """
-SELECT l_suppkey AS tic_id, CAST(1 AS INTEGER) AS sector, l_orderkey AS cadence,
+SELECT l_suppkey AS tic_id, CAST(1 AS BIGINT) AS sector, l_orderkey AS cadence,
        l_orderkey * 172800000 / 86400000000.0::DOUBLE AS time,
-       CAST(l_linenumber % 5 AS INTEGER) AS row, CAST(l_partkey % 5 AS INTEGER) AS col, l_quantity AS flux
+       CAST(l_linenumber % 5 AS BIGINT) AS row, CAST(l_partkey % 5 AS BIGINT) AS col, l_quantity AS flux
 FROM lineitem"""
 
 
@@ -240,7 +240,7 @@ def pixels(spark, sf):
 
 
 SQL["star_cand"] = """
-SELECT s_suppkey AS tic_id, CAST(1 AS INTEGER) AS sector, CAST(1 AS INTEGER) AS planet_num,
+SELECT s_suppkey AS tic_id, CAST(1 AS BIGINT) AS sector, CAST(1 AS BIGINT) AS planet_num,
        1.0::DOUBLE + s_suppkey % 7 AS period, (s_suppkey % 10) / 10.0::DOUBLE AS t0,
        0.2::DOUBLE + (s_suppkey % 3) / 10.0::DOUBLE AS duration,
        s_acctbal / 1000.0::DOUBLE + 5.0::DOUBLE AS sde, s_nationkey % 4 = 0 AS computed
@@ -259,7 +259,7 @@ def star_cand(spark, sf):
 
 
 SQL["samples"] = """
-SELECT l_suppkey AS tic_id, CAST(l_linenumber AS INTEGER) AS walker, l_orderkey AS step,
+SELECT l_suppkey AS tic_id, CAST(l_linenumber AS BIGINT) AS walker, l_orderkey AS step,
        0.05::DOUBLE + l_discount AS rp, least(85.0::DOUBLE + l_quantity / 10.0::DOUBLE, 90.0::DOUBLE) AS inc,
        5.0::DOUBLE + l_quantity / 5.0::DOUBLE AS a, l_tax AS t0, 1.0::DOUBLE + l_tax AS per
 FROM lineitem"""
@@ -277,7 +277,7 @@ def samples(spark, sf):
     )
 
 
-SQL["view64"] = "SELECT vec_id, CAST(label % 4 AS INTEGER) AS label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
+SQL["view64"] = "SELECT vec_id, CAST(label % 4 AS BIGINT) AS label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
 
 
 def view64(spark, sf):
