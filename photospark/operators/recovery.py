@@ -14,7 +14,7 @@ from photospark.functions.rules import relative_error
 from photospark.functions.scalars import duration_t14, is_number
 from photospark.operators.learn import portable_hash, uniform
 from photospark.operators.search import period_search
-from photospark.plans.groups import MAX_GROUP_ROWS, small_side
+from photospark.plans.groups import MAX_GROUP_ROWS, row_limit, small_side
 from photospark.plans.lineage import pin
 from photospark.plans.prefix import ordinal
 from photospark.schema import SERIES_KEY
@@ -183,7 +183,9 @@ def completeness_map(
     depths_ppm = depths_ppm or space(50.0, 2000.0)
     periods = periods or space(0.5, 30.0)
     plan = small_side(injection_trials(series, depths_ppm, periods, trials, seed))
-    found = period_search(inject_box(series, plan), periods_us, durations_us, max_rows=max_rows)
+    found = period_search(
+        inject_box(series, plan), periods_us, durations_us, max_rows=row_limit(series, SERIES_KEY, max_rows), n_series=plan.count()
+    )
     scored = plan.select("trial", "depth_ppm", "period").join(
         found.select(F.col("tic_id").alias("trial"), F.col("period").alias("found_period"), "sde"), "trial", "left"
     )

@@ -161,10 +161,16 @@ def box_periodogram(
     blocks: int | None = None,
     max_rows: int | None = MAX_GROUP_ROWS,
     min_points: int = 1,
+    n_series: int | None = None,
 ) -> DataFrame:
-    """Score of the best box for every series of ``min_points`` cadences, trial period and duration."""
+    """Score of the best box for every series of ``min_points`` cadences, trial period and duration.
+
+    A caller that knows the number of series, and with ``max_rows=None`` that
+    none of them is large, saves the count of the series.
+    """
     rows = _prepared(series)
-    n_series, max_rows = _profile(rows, max_rows)
+    if n_series is None or max_rows is not None:
+        n_series, max_rows = _profile(rows, max_rows)
     if blocks is None:
         blocks = _period_blocks(series.sparkSession, len(periods_us), n_series)
     small, large, _ = split_by_size(rows, SERIES_KEY, max_rows)
@@ -344,9 +350,10 @@ def period_search(
     min_sde: float = 1.0,
     blocks: int | None = None,
     max_rows: int | None = MAX_GROUP_ROWS,
+    n_series: int | None = None,
 ) -> DataFrame:
     """Strongest dip of every series: period, epoch, duration, depth, SNR, chi-squared and SDE."""
-    power = box_periodogram(series, periods_us, durations_us, blocks, max_rows, min_points)
+    power = box_periodogram(series, periods_us, durations_us, blocks, max_rows, min_points, n_series)
     return best_signal(power, min_sde)
 
 
