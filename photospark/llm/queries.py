@@ -54,3 +54,30 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("distance2", 4).alias("distance2"))
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    from photospark.llm.bestfit import pack
+
+    return pack(table(spark, sf, "documents"))
+
+
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from photospark.llm.sentence import digests
+
+    return digests(table(spark, sf, "documents"))
+
+
+@query("op5_packed_binary")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    from photospark.llm.binary import write_packed
+    from photospark.llm.scratch import scratch_path
+
+    rows = write_packed(table(spark, sf, "documents"), scratch_path(spark, "packed-ids"))
+    listed = F.transform(F.arrays_zip("segment_docs", "segment_pieces"), lambda s: F.concat_ws(":", s["segment_docs"], s["segment_pieces"]))
+    return rows.select(
+        "sequence_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.size("segment_docs").cast("bigint").alias("n_segments"),
+        F.crc32("input_ids").alias("row_crc32"), F.array_join("cu_seqlens", ",").alias("cu_seqlens"),
+        F.array_join("position_resets", ",").alias("position_resets"), F.array_join(listed, ",").alias("segments"))
