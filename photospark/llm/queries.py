@@ -81,3 +81,10 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
         "sequence_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.size("segment_docs").cast("bigint").alias("n_segments"),
         F.crc32("input_ids").alias("row_crc32"), F.array_join("cu_seqlens", ",").alias("cu_seqlens"),
         F.array_join("position_resets", ",").alias("position_resets"), F.array_join(listed, ",").alias("segments"))
+
+
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    from photospark.llm.substrings import dedup
+
+    return dedup(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
