@@ -88,3 +88,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     from photospark.llm.substrings import dedup
 
     return dedup(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    from photospark.llm.suffixes import dedup
+
+    return dedup(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

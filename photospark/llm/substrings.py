@@ -14,7 +14,6 @@ of the single windows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
