@@ -95,3 +95,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     from photospark.llm.suffixes import dedup
 
     return dedup(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from photospark.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents"))
