@@ -102,3 +102,22 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     from photospark.llm.jaccard import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op1_nearest_neighbours", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from photospark.llm.neighbours import search
+
+    vectors = table(spark, sf, "embeddings")
+    return search(vectors.filter(F.col("vec_id") % 100 == 0), vectors)
