@@ -121,3 +121,10 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 
     vectors = table(spark, sf, "embeddings")
     return search(vectors.filter(F.col("vec_id") % 100 == 0), vectors)
+
+
+@query("op10_language_model")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    from photospark.llm.language import score
+
+    return score(table(spark, sf, "documents"))
