@@ -112,20 +112,26 @@ def _spans(kind: Kind, text: Column, found: Column) -> Column:
     return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LEAST)
 
 
+def _found(docs: DataFrame) -> DataFrame:
+    """row (all columns of ``docs``), text (null: empty) and pii."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    none = F.array().cast("array<string>")
+    for i, kind in enumerate(KINDS):
+        cue = F.contains("text", F.lit(kind.cue)) if kind.cue else F.col("text").rlike("[0-9]")
+        rows = rows.withColumn(f"m{i}", F.when(cue, F.regexp_extract_all("text", F.lit(kind.pattern), 0)).otherwise(none))
+    empty = F.array().cast("array<struct<kind:string,start:int,stop:int,score:double>>")
+    spans = [F.when(F.size(f"m{i}") > 0, _spans(kind, F.col("text"), F.col(f"m{i}"))).otherwise(empty) for i, kind in enumerate(KINDS)]
+    return rows.select("row", "text", F.concat(*spans).alias("pii"))
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_text`` (null: empty) and ``pii``: one array of spans (kind, start, stop, score) in the order of ``KINDS``.
+    """``docs`` with ``pii``: an array of spans (kind, start, stop, score) in the order of ``KINDS``.
 
     Positions are code points, stops exclusive. Base kinds are complete
-    whatever their score; added kinds need ``LEAST``. No shuffle.
+    whatever their score; added kinds need ``LEAST``. A null text has no spans.
+    A column ``pii`` that is there already is replaced. No shuffle.
     """
-    rows = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    none = F.array().cast("array<string>")
-    for i, kind in enumerate(KINDS):
-        cue = F.contains("_text", F.lit(kind.cue)) if kind.cue else F.col("_text").rlike("[0-9]")
-        rows = rows.withColumn(f"_m{i}", F.when(cue, F.regexp_extract_all("_text", F.lit(kind.pattern), 0)).otherwise(none))
-    empty = F.array().cast("array<struct<kind:string,start:int,stop:int,score:double>>")
-    spans = [F.when(F.size(f"_m{i}") > 0, _spans(kind, F.col("_text"), F.col(f"_m{i}"))).otherwise(empty) for i, kind in enumerate(KINDS)]
-    return rows.withColumn("pii", F.concat(*spans)).drop(*[f"_m{i}" for i in range(len(KINDS))])
+    return _found(docs).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "pii"], "pii")
 
 
 def listed(spans: Column) -> Column:
@@ -136,20 +142,23 @@ def listed(spans: Column) -> Column:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in brackets; overlapping spans become one, named after the first.
 
-    Null texts stay null. Other columns are kept.
+    Null texts stay null, ``n_chars``, if there is one, follows a changed text,
+    and other columns stay as they are.
     """
     ordered = F.sort_array(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
 
     def put(acc, s):
-        stop = -s["back"]
         inside = s["start"] < acc["at"]
         return F.struct(
-            F.greatest(acc["at"], stop).alias("at"),
+            F.greatest(acc["at"], -s["back"]).alias("at"),
             F.when(inside, acc["out"]).otherwise(F.concat(
-                acc["out"], F.substring("_text", acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
+                acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(ordered, start, put, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
-    clean = F.when(F.size("pii") > 0, masked).otherwise(F.col("text"))
-    return find(docs.drop("_text", "pii")).withColumn("text", clean).select(*docs.columns)
+    masked = F.aggregate(ordered, start, put, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    rows = _found(docs).withColumn("masked", F.when(F.size("pii") > 0, masked))
+    new = {"text": F.coalesce("masked", F.col("row")["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("masked").isNotNull(), F.length("masked")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -214,8 +214,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     ``n_chars``, if there is one, follows the text. All rows and columns stay.
     """
-    left = dedup(docs, width).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    out = docs.join(left, docs["doc_id"] == left["_id"], "left")
-    text = F.coalesce(F.col("_kept"), F.col("text"))
-    chars = {"n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.withColumns({"text": text, **chars}).select(*docs.columns)
+    left = dedup(docs, width).filter("n_removed > 0").select("doc_id", "kept")
+    rows = docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(left, "doc_id", "left")
+    new = {"text": F.coalesce("kept", F.col("row")["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
