@@ -91,7 +91,9 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
         vocabulary = public_tokenizers.path(VOCABULARY)
 
     def flush(held: list[tuple], first: int) -> pa.RecordBatch:
-        doc, piece, length, ids, at = (np.concatenate(c) for c in zip(*held, strict=True))
+        docs, *arrays = zip(*held, strict=True)
+        doc = pa.concat_arrays([d.cast(pa.int64()) for d in docs])
+        piece, length, ids, at = map(np.concatenate, arrays)
         bins = best_fit_decreasing(length.tolist(), capacity)
         matrix = np.full((len(bins), capacity), PAD, dtype)
         cuts = []
@@ -101,10 +103,12 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                 row[here[-1] : here[-1] + length[i]] = ids[at[i] : at[i] + length[i]]
                 here.append(here[-1] + int(length[i]))
             cuts.append(here)
+        segments = np.array([i for b in bins for i in b], np.int64)
+        ends = pa.array(np.cumsum([0, *map(len, bins)]), pa.int32())
         return pa.RecordBatch.from_arrays([
             pa.array(first + np.arange(len(bins))), pa.array([c[-1] for c in cuts], pa.int32()), pa.array([row.tobytes() for row in matrix], pa.binary()),
             pa.array(cuts, pa.list_(pa.int32())), pa.array([c[:-1] for c in cuts], pa.list_(pa.int32())),
-            pa.array([doc[b] for b in bins], pa.list_(pa.int64())), pa.array([piece[b].astype(np.int32) for b in bins], pa.list_(pa.int32())),
+            pa.ListArray.from_arrays(ends, doc.take(pa.array(segments))), pa.ListArray.from_arrays(ends, pa.array(piece[segments].astype(np.int32))),
         ], ["sequence_id", "n_tokens", "input_ids", "cu_seqlens", "position_resets", "segment_docs", "segment_pieces"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +116,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
         held: list[tuple] = []
         total = 0
         for doc_id, piece, _, length, ids, at in pieces(batches, vocabulary, capacity, end):
-            held.append((doc_id.to_numpy(zero_copy_only=False), piece, length, ids, at + total))
+            held.append((doc_id, piece, length, ids, at + total))
             total += len(ids)
             if total >= BUFFER_IDS:
                 yield (out := flush(held, sequence))
