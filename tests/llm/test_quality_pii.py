@@ -36,17 +36,23 @@ def luhn(digits):
     return total % 10 == 0
 
 
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
 def base_spans(text):
     out = []
-    for kind in pii.BASE:
-        for m in re.finditer(kind.pattern, text or ""):
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text or ""):
             digits = re.sub("[^0-9]", "", m[0])
             ok = {
                 "email": lambda m=m: True, "ip": lambda m=m: all(int(x) <= 255 for x in m[0].split(".")),
                 "card": lambda d=digits: 16 <= len(d) <= 19 and luhn(d), "phone": lambda d=digits: 8 <= len(d) <= 15,
-            }[kind.name]()
+            }[kind]()
             if ok:
-                out.append(f"{kind.name}:{m.start()}:{m.end()}")
+                out.append(f"{kind}:{m.start()}:{m.end()}")
     return ",".join(out)
 
 
@@ -97,8 +103,8 @@ TEXTS = [
 
 def test_base_spans(spark):
     rng = random.Random(3)
-    bits = ["a@b.c", "4111111111111111", "1.2.3.4", "+49 30 1234567", "x", "é", " ", "-", ".", "7", "@", "\n"]
-    texts = TEXTS + ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(200)] + ["7 " * 50_000 + "a@b.cd"]
+    bits = ["a@b.c", "_", "@b.", "c", "4111111111111111", "1.2.3.4", "+49 30 1234567", "x", "é", " ", "-", ".", "7", "@", "\n"]
+    texts = TEXTS + ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(200)] + ["7 " * 50_000 + "a@b.cd", "x" * 20_000 + "@", "1" * 20_000 + ".1.1", "a@b" + ".c" * 20_000, "+1" + " 2" * 20_000]
     found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
     base = F.filter("pii", lambda s: s["kind"].isin([k.name for k in pii.BASE]))
     got = {r["doc_id"]: r["spans"] for r in found.select("doc_id", pii.listed(base).alias("spans")).collect()}
