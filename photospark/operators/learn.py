@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel, Pipeline
@@ -12,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from photospark.functions.draws import cell, draw, normal, uniform
 from photospark.functions.scalars import arg_max, array_sum, clean_num
 from photospark.operators.evaluate import N_CLASSES, class_report, class_weights
 from photospark.operators.features import FEATURE_COLUMNS
@@ -19,24 +19,6 @@ from photospark.operators.fold import shift_view
 from photospark.plans.lineage import pin
 from photospark.plans.prefix import ordinal
 
-# Fixed values of the portable integer hash.
-HASH_MULTIPLIER = 1103515245
-HASH_SEED_STEP = 12345
-HASH_MODULUS = 1000003
-
-
-def portable_hash(value: Column, seed: int | Column = 0) -> Column:
-    """Integer hash in [0, 1000003) that any SQL engine can repeat."""
-    offset = F.lit(seed * HASH_SEED_STEP) if isinstance(seed, int) else seed * HASH_SEED_STEP
-    reduced = F.pmod(value.cast("bigint"), F.lit(HASH_MODULUS))
-    return F.pmod(reduced * F.lit(HASH_MULTIPLIER) + offset.cast("bigint"), F.lit(HASH_MODULUS))
-
-
-def uniform(value: Column, seed: int | Column = 0) -> Column:
-    """Pseudo-random number in [0, 1) from a key; two rounds of the hash."""
-    return portable_hash(portable_hash(value, seed) + value, 7) / float(HASH_MODULUS)
-
-
 def group_split(
     df: DataFrame, group: str, label: str, fractions: dict[str, float] | None = None, seed: int = 42
 ) -> DataFrame:
@@ -50,8 +32,8 @@ def group_split(
     leading = counts.groupBy(group).agg(
         F.max_by(label, F.struct(F.col("_n"), (-F.col(label)).alias("low"))).alias(label)
     )
-    hashed = leading.withColumn("_h", portable_hash(F.col(group), seed))
-    placed = ordinal(hashed, [label], F.col("_h"), [F.col("_h"), F.col(group)], "_pos")
+    hashed = leading.withColumn("_h", draw("split", seed, F.col(group)))
+    placed = ordinal(hashed, [label], cell(F.col("_h")), [F.col("_h"), F.col(group)], "_pos")
     sizes = leading.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     share = (F.col("_pos") - 1) / F.col("_size")
     names, limit = list(fractions), 0.0
@@ -65,8 +47,8 @@ def group_split(
 
 def kfold(df: DataFrame, k: int, seed: int = 42, key: str = "tic_id", label: str = "label") -> DataFrame:
     """Add ``fold`` 0..k-1: rows of a label are dealt out in hash order."""
-    hashed = df.withColumn("_h", portable_hash(F.col(key), seed))
-    placed = ordinal(hashed, [label], F.col("_h"), [F.col("_h"), F.col(key)], "_pos")
+    hashed = df.withColumn("_h", draw("fold", seed, F.col(key)))
+    placed = ordinal(hashed, [label], cell(F.col("_h")), [F.col("_h"), F.col(key)], "_pos")
     return placed.withColumn("fold", ((F.col("_pos") - 1) % k).cast("int")).drop("_h", "_pos")
 
 
@@ -76,14 +58,9 @@ def _gauss_dip(view: Column, centre: Column, sigma: Column, depth: Column) -> Co
     )
 
 
-def _noise(view: Column, sigma: Column, key: Column, seed: Column) -> Column:
-    """Add Gaussian noise; the two uniforms of a bin come from the key and the bin number."""
-    def draw(i: Column) -> Column:
-        at = key * 4099 + i
-        u = F.greatest(uniform(at, seed), F.lit(0.5 / HASH_MODULUS))
-        return F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2.0 * math.pi) * uniform(at, seed + 1))
-
-    return F.transform(view, lambda x, i: x + sigma * draw(i))
+def _noise(view: Column, sigma: Column, key: Column, stream: str, seed: int) -> Column:
+    """Add Gaussian noise, drawn independently for every key and bin."""
+    return F.transform(view, lambda x, i: x + sigma * normal(stream, seed, key, i))
 
 
 def augment_views(
@@ -98,12 +75,11 @@ def augment_views(
     """
     sigma = F.lit(float(noise)) if noise is not None else F.coalesce(F.col("median_flux_err"), F.lit(0.001))
     base = df.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    draw = F.col(key) * 7 + F.col("variant")
-    u1, u2 = uniform(draw, seed), uniform(draw, seed + 1)
+    which = (F.col(key), F.col("variant"))
     g, v, variant = F.col("global_view"), F.col("local_view"), F.col("variant")
-    shift = (F.floor(u1 * 11) - 5).cast("int")
+    shift = (F.floor(uniform("shift", seed, *which) * 11) - 5).cast("int")
     if variant_style == "scale":
-        factor = F.lit(0.9) + u1 * 0.2
+        factor = F.lit(0.9) + uniform("stretch", seed, *which) * 0.2
         from photospark.functions.scalars import array_median, let
 
         stretch = lambda x: let(array_median(x), lambda m: F.transform(x, lambda e: m + (e - m) * factor))
@@ -111,28 +87,27 @@ def augment_views(
     else:
         low = F.array_min(v)
         view_depth = F.when(low < -0.01, F.abs(low)).otherwise(F.lit(0.5))
-        ppm = F.lit(50e-6) + u1 * 150e-6
+        ppm = F.lit(50e-6) + uniform("depth", seed, *which) * 150e-6
         depth = F.least(F.greatest(view_depth * (ppm / 100e-6), F.lit(0.05)), F.lit(0.25))
         width = F.greatest(F.lit(5), F.floor(F.col("duration") / F.col("period") * F.size(g)).cast("int"))
         room = F.greatest(F.size(g) - width * 2, F.lit(1))
-        centre = width + F.floor(u2 * room)
+        centre = width + F.floor(uniform("centre", seed, *which) * room)
         late_g = _gauss_dip(g, F.col("_centre"), F.col("_width") / 4.0, F.col("_depth"))
         late_l = _gauss_dip(
             v, F.floor(F.size(v) / 2), F.greatest(F.lit(3), F.floor(F.col("_width") / 4)), F.col("_depth")
         )
         base = base.withColumns({"_centre": centre, "_width": width, "_depth": depth})
-    tag = F.lit(seed).cast("bigint")
     base = base.withColumns({"_shift": shift, "_sigma": sigma})
 
-    def version(view: Column, late: Column, stream: int) -> Column:
+    def version(view: Column, late: Column, stream: str) -> Column:
         return (
             F.when(variant == 0, view)
-            .when(variant == 1, _noise(view, F.col("_sigma"), F.col(key), tag + stream))
+            .when(variant == 1, _noise(view, F.col("_sigma"), F.col(key), stream, seed))
             .when(variant == 2, shift_view(view, F.col("_shift")))
             .otherwise(late)
         )
 
-    out = base.withColumns({"_g": version(g, late_g, 10), "_l": version(v, late_l, 20)})
+    out = base.withColumns({"_g": version(g, late_g, "noise-global"), "_l": version(v, late_l, "noise-local")})
     return out.drop("global_view", "local_view", "_centre", "_width", "_depth", "_shift", "_sigma").withColumnsRenamed(
         {"_g": "global_view", "_l": "local_view"}
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from photospark.functions.rules import relative_error
 from photospark.functions.scalars import duration_t14, is_number
-from photospark.operators.learn import portable_hash, uniform
+from photospark.functions.draws import cell, draw, uniform
 from photospark.operators.search import period_search
 from photospark.plans.groups import MAX_GROUP_ROWS, row_limit, small_side
 from photospark.plans.lineage import pin
@@ -124,22 +124,22 @@ def validation_report(fits: DataFrame, published: DataFrame, **options) -> DataF
 def injection_trials(
     series: DataFrame, depths_ppm: Sequence[float], periods: Sequence[float], trials: int = 10, seed: int = 42
 ) -> DataFrame:
-    """One row per (depth, period, trial): the series it uses and the epoch, both from a hash.
+    """One row per (depth, period, trial): the series it uses and the epoch, both from draws of its number.
 
-    Series are numbered in hash order; a trial takes the number its own hash points at.
+    Series are numbered in the order of their draws; a trial takes the number its own draw points at.
     """
     spans = series.groupBy(*SERIES_KEY).agg(F.min("time").alias("_first"))
-    hashed = spans.withColumn("_h", portable_hash(F.col("tic_id") * 1009 + F.col("sector"), seed)).withColumn("_all", F.lit(1))
-    stars = pin(ordinal(hashed, ["_all"], F.col("_h"), [F.col("_h"), F.col("tic_id"), F.col("sector")], "_no"))
+    hashed = spans.withColumn("_h", draw("star", seed, F.col("tic_id"), F.col("sector"))).withColumn("_all", F.lit(1))
+    stars = pin(ordinal(hashed, ["_all"], cell(F.col("_h")), [F.col("_h"), F.col("tic_id"), F.col("sector")], "_no"))
     n_stars = stars.count()
     cells = [(i, float(d), j, float(p)) for i, d in enumerate(depths_ppm) for j, p in enumerate(periods)]
     grid = series.sparkSession.createDataFrame(cells, "depth_no int, depth_ppm double, period_no int, period double")
     number = (F.col("depth_no") * len(periods) + F.col("period_no")) * trials + F.col("trial_no")
     rows = grid.withColumn("trial_no", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("trial", number.cast("bigint"))
-    rows = rows.withColumn("_no", portable_hash(F.col("trial"), seed + 1) % max(n_stars, 1) + 1)
+    rows = rows.withColumn("_no", draw("trial", seed, F.col("trial")) % max(n_stars, 1) + 1)
     return rows.join(stars, "_no").select(
         "trial", "depth_ppm", "period", *SERIES_KEY,
-        (F.col("_first") + uniform(F.col("trial"), seed + 2) * F.col("period")).alias("t0"),
+        (F.col("_first") + uniform("epoch", seed, F.col("trial")) * F.col("period")).alias("t0"),
     )
 
 

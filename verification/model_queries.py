@@ -184,15 +184,19 @@ def _(spark, sf):
 # ---- training data ----------------------------------------------------------------
 
 
-def hash_sql(value, seed):
-    return f"(((({value}) % 1000003) * 1103515245 + ({seed}) * 12345) % 1000003)"
+def draw_sql(stream, *key, seed=42):
+    return f"('0x' || substr(md5(concat_ws(':', '{stream}', '{seed}', {', '.join(key)})), 1, 13))::BIGINT"
+
+
+def uniform_sql(stream, *key, seed=42):
+    return f"(({draw_sql(stream, *key, seed=seed)} + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
 
 
 @query(
     "dm14_group_split",
     with_views("cand") + f""", n AS (SELECT tic_id, predicted_class AS label, count(*) AS n FROM cand WHERE predicted_class >= 0 GROUP BY ALL),
 d AS (SELECT tic_id, arg_max(label, {{'n': n, 'l': -label}}) AS label FROM n GROUP BY tic_id),
-o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hash_sql('tic_id', 42)}, tic_id) AS pos, count(*) OVER (PARTITION BY label) AS size FROM d)
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {draw_sql('split', 'tic_id')}, tic_id) AS pos, count(*) OVER (PARTITION BY label) AS size FROM d)
 SELECT tic_id, CAST(label AS BIGINT) AS label, CASE WHEN (pos - 1) / size::DOUBLE < 0.6::DOUBLE THEN 'train' WHEN (pos - 1) / size::DOUBLE < 0.8::DOUBLE THEN 'calibration' ELSE 'test' END AS split FROM o""",
 )
 def _(spark, sf):
@@ -202,29 +206,28 @@ def _(spark, sf):
 
 @query(
     "dm15_kfold",
-    with_views("view64") + f" SELECT vec_id, CAST(label AS BIGINT) AS label, CAST((row_number() OVER (PARTITION BY label ORDER BY {hash_sql('vec_id', 42)}, vec_id) - 1) % 5 AS BIGINT) AS fold FROM view64",
+    with_views("view64") + f" SELECT vec_id, CAST(label AS BIGINT) AS label, CAST((row_number() OVER (PARTITION BY label ORDER BY {draw_sql('fold', 'vec_id')}, vec_id) - 1) % 5 AS BIGINT) AS fold FROM view64",
 )
 def _(spark, sf):
     return rounded(learn.kfold(views.view64(spark, sf), 5, key="vec_id").select("vec_id", "label", "fold"))
 
 
-def _uniform_sql(value, seed):
-    return f"({hash_sql(hash_sql(value, seed) + ' + ' + value, 7)} / 1000003.0::DOUBLE)"
-
-
-_D = "(vec_id * 7 + variant)"
-_AUG = f"""a AS (SELECT vec_id, v, variant, {_uniform_sql(_D, 42)} AS u1, {_uniform_sql(_D, 43)} AS u2, 3.0::DOUBLE + vec_id % 5 AS period, 0.5::DOUBLE AS duration
+_D = ("vec_id", "variant")
+_AUG = f"""a AS (SELECT vec_id, v, variant, {uniform_sql('shift', *_D)} AS u0, {uniform_sql('depth', *_D)} AS u1, {uniform_sql('centre', *_D)} AS u2, 3.0::DOUBLE + vec_id % 5 AS period, 0.5::DOUBLE AS duration
   FROM view64, range(7) r(variant)),
-b AS (SELECT *, CAST(floor(u1 * 11) - 5 AS BIGINT) AS sh, CASE WHEN list_min(v) < -0.01 THEN abs(list_min(v)) ELSE 0.5 END AS vd, greatest(5, CAST(floor(duration / period * 64) AS BIGINT)) AS w FROM a),
+b AS (SELECT *, CAST(floor(u0 * 11) - 5 AS BIGINT) AS sh, CASE WHEN list_min(v) < -0.01 THEN abs(list_min(v)) ELSE 0.5 END AS vd, greatest(5, CAST(floor(duration / period * 64) AS BIGINT)) AS w FROM a),
 c AS (SELECT *, least(greatest(vd * ((50e-6::DOUBLE + u1 * 150e-6::DOUBLE) / 100e-6::DOUBLE), 0.05), 0.25) AS dp, w + floor(u2 * greatest(64 - w * 2, 1)) AS ce FROM b),
-e AS (SELECT c.*, view, i, v[i + 1] AS x, vec_id * 4099 + i AS atx, CASE view WHEN 'global' THEN 52 ELSE 62 END AS sd FROM c, range(64) r(i), (VALUES ('global'), ('local')) q(view))"""
+e AS (SELECT c.*, view, i, v[i + 1] AS x FROM c, range(64) r(i), (VALUES ('global'), ('local')) q(view))"""
+
+
+_NOISE = uniform_sql("noise-' || view || '-{}", "vec_id", "i")
 
 
 @query(
     "dm18_augment_views",
     with_views("view64") + f", {_AUG} SELECT vec_id, variant, view, i AS bin, "
     + sql_r6(
-        f"CASE variant WHEN 0 THEN x WHEN 1 THEN x + 0.01::DOUBLE * (sqrt(-2.0::DOUBLE * ln(greatest({_uniform_sql('atx', 'sd')}, 0.5 / 1000003))) * cos(2.0::DOUBLE * pi() * {_uniform_sql('atx', 'sd + 1')})) "
+        f"CASE variant WHEN 0 THEN x WHEN 1 THEN x + 0.01::DOUBLE * (sqrt(-2.0::DOUBLE * ln({_NOISE.format('radius')})) * cos(2.0::DOUBLE * pi() * {_NOISE.format('angle')})) "
         "WHEN 2 THEN v[least(greatest(i - sh, 0), 63) + 1] ELSE x - dp * exp(-0.5::DOUBLE * CASE view WHEN 'global' THEN ((i - ce) / (w / 4.0::DOUBLE)) * ((i - ce) / (w / 4.0::DOUBLE)) "
         "ELSE ((i - 32) / greatest(3, w // 4)::DOUBLE) * ((i - 32) / greatest(3, w // 4)::DOUBLE) END) END"
     ) + " AS x FROM e",
@@ -240,7 +243,7 @@ def _(spark, sf):
 
 @query(
     "dm18_augment_views_scale",
-    with_views("view64") + f""", a AS (SELECT vec_id, v, variant, 0.9::DOUBLE + {_uniform_sql(_D, 42)} * 0.2::DOUBLE AS f, list_median(v) AS m FROM view64, range(3, 7) r(variant))
+    with_views("view64") + f""", a AS (SELECT vec_id, v, variant, 0.9::DOUBLE + {uniform_sql('stretch', *_D)} * 0.2::DOUBLE AS f, list_median(v) AS m FROM view64, range(3, 7) r(variant))
 SELECT vec_id, variant, unnest(range(64)) AS bin, round(unnest(list_transform(v, lambda x: m + (x - m) * f)), 6) + 0.0 AS x FROM a""",
 )
 def _(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from photospark.functions import rules
 from photospark.operators import recovery
 from verification import views
-from verification.model_queries import _uniform_sql, hash_sql
+from verification.model_queries import draw_sql, uniform_sql
 from verification.registry import query, rounded, sql_r6, table
 from verification.search_queries import DURATIONS, PERIOD_SQL, PERIODS, SEARCH_SQL, bins_sql
 from verification.views import DIP_DURATION_US, with_views
@@ -111,11 +111,11 @@ _DUR = (
     "dm19_completeness_map",
     with_views("lc") + f""", ser AS (SELECT * FROM lc WHERE NOT isnan(flux)),
 sts AS (SELECT tic_id, sector, min(time) AS first FROM ser GROUP BY ALL),
-so AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('tic_id * 1009 + sector', 42)}, tic_id) AS no FROM sts),
+so AS (SELECT *, row_number() OVER (ORDER BY {draw_sql('star', 'tic_id', 'sector')}, tic_id) AS no FROM sts),
 tg AS (SELECT d, p, (i * {len(_PERIODS)} + j) * {_TRIALS} + k AS trial FROM (VALUES {', '.join(f'({i}, {d!r}::DOUBLE)' for i, d in enumerate(_DEPTHS))}) a(i, d),
   (VALUES {', '.join(f'({j}, {p!r}::DOUBLE)' for j, p in enumerate(_PERIODS))}) b(j, p), range({_TRIALS}) c(k)),
-tt AS (SELECT trial, d AS depth_ppm, p AS period, so.tic_id AS star, first + {_uniform_sql('trial', 44)} * p AS t0, sqrt(d * 1e-6::DOUBLE) AS rp
-  FROM tg JOIN so ON so.no = {hash_sql('trial', 43)} % (SELECT count(*) FROM so) + 1),
+tt AS (SELECT trial, d AS depth_ppm, p AS period, so.tic_id AS star, first + {uniform_sql('epoch', 'trial')} * p AS t0, sqrt(d * 1e-6::DOUBLE) AS rp
+  FROM tg JOIN so ON so.no = {draw_sql('trial', 'trial')} % (SELECT count(*) FROM so) + 1),
 td AS (SELECT *, {_DUR} AS dur FROM tt),
 pts AS (SELECT trial AS tic_id, time_us, flux * CASE WHEN ((time - t0 + dur / 2.0) % period + period) % period < dur THEN 1.0::DOUBLE - depth_ppm * 1e-6::DOUBLE ELSE 1.0 END AS flux,
   1.0::DOUBLE / (flux_err * flux_err) AS w FROM td JOIN ser ON ser.tic_id = td.star),
