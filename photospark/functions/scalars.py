@@ -25,9 +25,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def positive(x: Column) -> Column:
+    """``x`` where it is a finite number above 0, else null: what may be divided by."""
+    return F.when((x > 0) & (x < float("inf")), x)
+
+
 def phase01(t: Column, period: Column, t0: Column) -> Column:
-    """Phase in [0, 1)."""
-    return F.pmod(t - t0, period) / period
+    """Phase in [0, 1); null where the period is not a positive number."""
+    p = positive(period)
+    return F.pmod(t - t0, p) / p
 
 
 def phase(t: Column, period: Column, t0: Column) -> Column:
@@ -37,20 +43,20 @@ def phase(t: Column, period: Column, t0: Column) -> Column:
 
 
 def in_transit(t: Column, period: Column, t0: Column, duration: Column) -> Column:
-    """Centred form: the phase is at most half the duration away from 0."""
-    return F.abs(phase(t, period, t0)) <= duration / period / 2.0
+    """Centred form: the phase is at most half the duration away from 0; false without a usable period."""
+    return F.coalesce(F.abs(phase(t, period, t0)) <= duration / positive(period) / 2.0, F.lit(False))
 
 
 def in_transit_wrapped(t: Column, period: Column, t0: Column, duration: Column) -> Column:
-    """Wrap-around form: the phase is strictly inside half a duration of 0 or 1."""
+    """Wrap-around form: the phase is strictly inside half a duration of 0 or 1; false without a usable period."""
     p = phase01(t, period, t0)
-    half = duration / period / 2.0
-    return (p < half) | (p > F.lit(1.0) - half)
+    half = duration / positive(period) / 2.0
+    return F.coalesce((p < half) | (p > F.lit(1.0) - half), F.lit(False))
 
 
 def epoch_number(t: Column, period: Column, t0: Column) -> Column:
-    """Nearest transit number, half to even."""
-    return F.rint((t - t0) / period).cast("bigint")
+    """Nearest transit number, half to even; null without a usable period."""
+    return F.rint((t - t0) / positive(period)).try_cast("bigint")
 
 
 def epoch_parity(t: Column, period: Column, t0: Column) -> Column:
@@ -62,7 +68,7 @@ def a_over_rs(period: Column, mass: Column, radius: Column) -> Column:
     """Semi-major axis in stellar radii by Kepler's third law (days, solar masses, solar radii)."""
     seconds = period * DAY_SECONDS
     cube = F.lit(GRAVITY) * (mass * SUN_MASS_KG) * (seconds * seconds) / (4.0 * math.pi * math.pi)
-    return F.cbrt(cube) / (radius * SUN_RADIUS_M)
+    return F.cbrt(cube) / (positive(radius) * SUN_RADIUS_M)
 
 
 def duration_t14(period: Column, a: Column, inclination: Column, rp: Column) -> Column:
@@ -70,7 +76,7 @@ def duration_t14(period: Column, a: Column, inclination: Column, rp: Column) ->
     angle = F.radians(inclination)
     impact = a * F.cos(angle)
     chord = F.sqrt(F.greatest((rp + 1.0) * (rp + 1.0) - impact * impact, F.lit(0.0)))
-    arg = F.lit(1.0) / a * chord / F.sin(angle)
+    arg = F.try_divide(F.try_divide(F.lit(1.0), a) * chord, F.sin(angle))
     return period / math.pi * F.asin(F.greatest(F.least(arg, F.lit(1.0)), F.lit(-1.0)))
 
 
@@ -91,8 +97,8 @@ def days_to_hours(days: Column) -> Column:
 
 
 def shift_epoch(t0: Column, period: Column, reference: Column) -> Column:
-    """Move an epoch by whole periods to the one nearest ``reference``."""
-    return t0 + F.rint((reference - t0) / period) * period
+    """Move an epoch by whole periods to the one nearest ``reference``; null without a usable period."""
+    return t0 + F.rint((reference - t0) / positive(period)) * period
 
 
 def softmax_t(logits: Column, temperature: Column) -> Column:

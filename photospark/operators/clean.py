@@ -260,7 +260,7 @@ def transit_preserved(
     In transit is a centred phase up to half the duration, out of transit the
     next half duration to three halves; both need three points.
     """
-    from photospark.functions.scalars import phase
+    from photospark.functions.scalars import phase, positive
 
     ckey = ["tic_id", "sector", "planet_num"]
     joined, max_rows = join_to_groups(
@@ -268,7 +268,7 @@ def transit_preserved(
         SERIES_KEY, max_rows,
     )
     distance = F.abs(phase(F.col("time"), F.col("period"), F.col("t0")))
-    half = F.col("duration") / F.col("period") / 2.0
+    half = F.col("duration") / positive(F.col("period")) / 2.0
     zoned = joined.withColumn(
         "_zone", F.when(distance <= half, "in").when(distance <= half * 3.0, "out")
     ).filter("_zone is not null")

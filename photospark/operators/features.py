@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photospark.functions.scalars import (
-    array_median, array_sum, clean_num, epoch_parity, in_transit_wrapped, is_number, let,
+    array_median, array_sum, clean_num, epoch_parity, in_transit_wrapped, is_number, let, positive,
 )
 from photospark.operators.catalogue import top_by_sde
 from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, join_to_groups
@@ -155,10 +155,10 @@ def feature_matrix(features: DataFrame) -> DataFrame:
 
 
 def transit_epochs(series: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Transit times inside the observed span of each candidate's series."""
+    """Transit times inside the observed span of each candidate's series; none without a usable period."""
     spans = series.groupBy(*SERIES_KEY).agg(F.min("time").alias("_a"), F.max("time").alias("_b"))
-    first = F.ceil((F.col("_a") - F.col("t0")) / F.col("period"))
-    last = F.floor((F.col("_b") - F.col("t0")) / F.col("period"))
+    first = F.ceil((F.col("_a") - F.col("t0")) / positive(F.col("period")))
+    last = F.floor((F.col("_b") - F.col("t0")) / positive(F.col("period")))
     return (
         candidates.select(*CANDIDATE_KEY, "period", "t0").join(spans, list(SERIES_KEY))
         .withColumn("_first", first).withColumn("_last", last)

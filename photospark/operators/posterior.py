@@ -21,10 +21,10 @@ def posterior_quantiles(samples: DataFrame, max_rows: int | None = MAX_GROUP_ROW
         "rp": "mcmc_rp_rs", "inc": "mcmc_inclination", "a": "mcmc_a_rs", "t0": "mcmc_t0", "per": "mcmc_period",
         "depth_ppm": "mcmc_depth_ppm", "duration": "mcmc_duration",
     }
-    wanted = {
-        f"_{c}_{int(q * 100)}": (F.col(c), q) for c in names for q in (0.16, 0.5, 0.84)
-    }
-    max_rows = row_limit(samples, ["tic_id"], max_rows)
+    columns = {c: F.col(c) for c in names}
+    wanted = {f"_{c}_{int(q * 100)}": (columns[c], q) for c in names for q in (0.16, 0.5, 0.84)}
+    # a group is held once per value column
+    max_rows = row_limit(samples, ["tic_id"], None if max_rows is None else max(1, max_rows // len(names)))
     found = group_quantiles(with_derived(samples), ["tic_id"], wanted, max_rows)
     out = [F.col("tic_id")]
     for c, name in names.items():

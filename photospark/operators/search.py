@@ -24,16 +24,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photospark.functions import rules
-from photospark.plans.groups import MAX_GROUP_ROWS, small_side, split_by_size, spread
+from photospark.functions.scalars import positive
+from photospark.plans.groups import MAX_GROUP_ROWS, row_limit, small_side, split_by_size, spread
 from photospark.schema import CANDIDATE_KEY, CANDIDATE_SCHEMA, DAY_US, SERIES_KEY
 
 BINS_PER_DURATION = 4
+#: Digits to which scores are rounded before they are compared.
+RANK_DIGITS = 7
 
 _PERIODOGRAM = (
     "tic_id bigint, sector int, period_us bigint, duration_us bigint, power double, start_bin int, n_bins int, "
     "depth double, w double, w_in double, n bigint, first_us bigint, chi2_flat double"
 )
-#: Bins of one series that are kept between the rounds of a search (two doubles each).
+#: Bins of one series that are kept between the rounds of a search (two doubles each). Beyond, they are folded
+#: anew each round: the same sums in another order, which the rounded comparison of scores levels out.
 _BINS_KEPT = 8_000_000
 
 
@@ -60,6 +64,20 @@ def bin_count(period_us, duration_us, per_duration: int = BINS_PER_DURATION):
     return -(-(period_us * per_duration) // duration_us)
 
 
+def ranked(power):
+    """Scores as they are compared: rounded, so that the order of a sum does not decide; ties go to what comes first."""
+    return np.round(power, RANK_DIGITS) if isinstance(power, np.ndarray) else F.round(power, RANK_DIGITS)
+
+
+def _scored(boxes: DataFrame) -> DataFrame:
+    """Add ``depth`` and ``power`` to boxes (w_in, wf_in) of a cycle (w_all, wf_all); as the kernel, a side without weight scores 0."""
+    w_out, floor = F.col("w_all") - F.col("w_in"), F.col("w_all") * 1e-9
+    valid = (F.col("w_in") > floor) & (w_out > floor)
+    depth = F.when(valid, F.try_divide(F.col("wf_all") - F.col("wf_in"), w_out) - F.try_divide(F.col("wf_in"), F.col("w_in"))).otherwise(F.lit(0.0))
+    power = F.col("depth") * F.col("depth") * F.col("w_in") * w_out / F.col("w_all")
+    return boxes.withColumn("depth", depth).withColumn("power", F.when(F.col("depth") > 0, power).otherwise(F.lit(0.0)))
+
+
 class _Folder:
     """Folds one series over all trials and finds the best box of each.
 
@@ -125,7 +143,7 @@ class _Folder:
                 w_in, w_out = np.where(valid, w_in, 1.0), np.where(valid, w_out, 1.0)
             depth = (wf_all - wf_in) / w_out - wf_in / w_in
             power = np.where(valid & (depth > 0), depth * depth * w_in * w_out / w_all, 0.0)
-            best = int(np.argmax(power))
+            best = int(np.argmax(ranked(power)))
             power_of.append(power[best])
             start_of.append(best)
             depth_of.append(depth[best] if valid[best] else 0.0)
@@ -228,15 +246,17 @@ def phase_bins(
     offsets = np.concatenate(([0], np.cumsum([n for _, _, n in trials])))
     series_in_memory = max(1, bins_in_memory // int(offsets[-1]))
 
+    n_of, first_of = np.array([n for _, _, n in trials]), offsets[:-1]
+    period_of, duration_of = (np.array([t[i] for t in trials]) for i in (0, 1))
+
     def emit(held):
         for (tic, sector), (w, wf) in held.items():
-            for (period, duration, n_bins), start in zip(trials, offsets):
-                part = w[start : start + n_bins]
-                used = np.flatnonzero(part)
-                yield pd.DataFrame({
-                    "tic_id": tic, "sector": sector, "period_us": period, "duration_us": duration,
-                    "bin": used, "w": part[used], "wf": wf[start : start + n_bins][used],
-                })
+            used = np.flatnonzero(w)
+            trial = np.repeat(np.arange(len(trials)), n_of)[used]
+            yield pd.DataFrame({
+                "tic_id": tic, "sector": sector, "period_us": period_of[trial], "duration_us": duration_of[trial],
+                "bin": used - first_of[trial], "w": w[used], "wf": wf[used],
+            })
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -279,23 +299,11 @@ def _periodogram_by_bins(rows, periods_us, durations_us):
         *trial, "n_bins", "w_all", "wf_all",
         F.pmod(F.col("bin") - F.col("_back"), F.col("n_bins")).alias("start_bin"),
     ).agg(F.sum("w").alias("w_in"), F.sum("wf").alias("wf_in"))
-    w_out = F.col("w_all") - F.col("w_in")
-    valid = w_out > F.col("w_all") * 1e-9
-    depth = F.when(
-        valid, F.try_divide(F.col("wf_all") - F.col("wf_in"), w_out) - F.col("wf_in") / F.col("w_in")
-    ).otherwise(F.lit(0.0))
-    scored = boxes.withColumn("depth", depth).withColumn(
-        "power",
-        F.when(F.col("depth") > 0, F.col("depth") * F.col("depth") * F.col("w_in") * w_out / F.col("w_all"))
-        .otherwise(F.lit(0.0)),
-    )
     best = F.max_by(
-        F.struct("start_bin", "depth", "w_in"), F.struct(F.col("power"), (-F.col("start_bin")).alias("early"))
+        F.struct("power", "start_bin", "depth", "w_in"), F.struct(ranked(F.col("power")).alias("rank"), (-F.col("start_bin")).alias("early"))
     )
-    return scored.groupBy(*trial, "n_bins").agg(
-        F.max("power").alias("power"), best.alias("b"), F.first("w_all").alias("w")
-    ).join(_totals(rows), list(SERIES_KEY)).select(
-        *trial, "power", "b.start_bin", "n_bins", "b.depth", "w", "b.w_in", "n", "first_us", "chi2_flat"
+    return _scored(boxes).groupBy(*trial, "n_bins").agg(best.alias("b"), F.first("w_all").alias("w")).join(_totals(rows), list(SERIES_KEY)).select(
+        *trial, "b.power", "b.start_bin", "n_bins", "b.depth", "w", "b.w_in", "n", "first_us", "chi2_flat"
     )
 
 
@@ -311,10 +319,10 @@ def best_signal(periodogram: DataFrame, min_sde: float = 1.0) -> DataFrame:
     """One candidate per series from its periodogram; series below ``min_sde`` give none."""
     rest = ("duration_us", "start_bin", "n_bins", "depth", "w", "w_in", "n", "first_us", "chi2_flat")
     per_period = periodogram.groupBy(*SERIES_KEY, "period_us").agg(
-        F.max_by(F.struct("power", *rest), F.struct(F.col("power"), (-F.col("duration_us")).alias("short"))).alias("b")
+        F.max_by(F.struct("power", *rest), F.struct(ranked(F.col("power")).alias("rank"), (-F.col("duration_us")).alias("short"))).alias("b")
     )
     peak = F.max_by(
-        F.struct("period_us", "b.*"), F.struct(F.col("b.power"), (-F.col("period_us")).alias("short"))
+        F.struct("period_us", "b.*"), F.struct(ranked(F.col("b.power")).alias("rank"), (-F.col("period_us")).alias("short"))
     )
     spectrum = per_period.groupBy(*SERIES_KEY).agg(
         peak.alias("b"),
@@ -363,14 +371,15 @@ def _kernel_rounds(pdf, periods, durations, rounds, min_sde, stop_sde):
     folder = _Folder(times, pdf["flux"].to_numpy(float), pdf["w"].to_numpy(float), periods, durations)
     found = []
     for number in range(1, rounds + 1):
-        table = pd.DataFrame(folder.periodogram()).sort_values(
-            ["period_us", "power", "duration_us"], ascending=[True, False, True], kind="stable"
+        table = pd.DataFrame(folder.periodogram())
+        table = table.assign(rank=ranked(table["power"].to_numpy())).sort_values(
+            ["period_us", "rank", "duration_us"], ascending=[True, False, True], kind="stable"
         ).drop_duplicates("period_us")
         power = table["power"].to_numpy()
         deviation = power.std()
         if not deviation > 0:
             break
-        best = table.iloc[int(np.argmax(power))]
+        best = table.iloc[int(np.argmax(table["rank"].to_numpy()))]
         sde = float((power.max() - power.mean()) / deviation)
         if not sde >= min_sde:
             break
@@ -476,30 +485,33 @@ def bls_consistent(
     Candidates without a series, or with too few points, get false.
     """
     ckey = list(CANDIDATE_KEY)
-    period_us = F.rint(F.col("period") * DAY_US).cast("bigint")
+    period_us = F.rint(positive(F.col("period")) * DAY_US).try_cast("bigint")
     low = F.greatest(F.rint(F.lit(floor_days * DAY_US)).cast("bigint"), F.floor(period_us * (1.0 - width)))
     wanted = candidates.select(
-        *ckey, period_us.alias("_p"), F.rint(F.col("duration") * DAY_US).cast("bigint").alias("_d"),
+        *ckey, period_us.alias("_p"), F.rint(positive(F.col("duration")) * DAY_US).try_cast("bigint").alias("_d"),
         low.cast("bigint").alias("_low"), F.floor(period_us * (1.0 + width)).cast("bigint").alias("_high"),
     )
+    wanted = wanted.filter((F.col("_p") > 0) & (F.col("_d") > 0) & (F.col("_low") <= F.col("_high")))
     small, large, large_keys = split_by_size(_prepared(series), SERIES_KEY, max_rows)
 
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < min_points:
+    def check(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) < min_points:
             return pd.DataFrame(columns=[*ckey, "_best"])
-        first = pdf.iloc[0]
-        grid = linear_period_grid(int(first["_low"]), int(first["_high"]), n_periods)
-        found = _Folder(
-            pdf["time_us"].to_numpy(np.int64), pdf["flux"].to_numpy(float), pdf["w"].to_numpy(float), grid, [first["_d"]]
-        ).periodogram()
-        best = int(found["period_us"][int(np.argmax(found["power"]))])
-        return pd.DataFrame({**{k: [first[k]] for k in ckey}, "_best": [best]})
-
+        times, flux, weight = rows["time_us"].to_numpy(np.int64), rows["flux"].to_numpy(float), rows["w"].to_numpy(float)
+        best = []
+        for row in mine.itertuples(index=False):
+            grid = linear_period_grid(int(row[4]), int(row[5]), n_periods)
+            found = _Folder(times, flux, weight, grid, [row[3]]).periodogram()
+            best.append((*row[:3], int(found["period_us"][int(np.argmax(ranked(found["power"])))])))
+        return pd.DataFrame(best, columns=[*ckey, "_best"])
+
+    named = wanted.select(*ckey, F.col("_d").alias("d"), F.col("_low").alias("low"), F.col("_high").alias("high"))
     schema = "tic_id bigint, sector int, planet_num int, _best bigint"
-    best = spread(wanted.join(small, list(SERIES_KEY)), ckey).groupBy(*ckey).applyInPandas(check, schema)
+    theirs = small.join(wanted.select(*SERIES_KEY).distinct(), list(SERIES_KEY), "left_semi")
+    best = theirs.groupBy(*SERIES_KEY).cogroup(named.groupBy(*SERIES_KEY)).applyInPandas(check, schema)
     if large is not None:
-        theirs = small_side(wanted.join(large_keys, list(SERIES_KEY), "left_semi"))
-        best = best.unionByName(_narrow_search_by_bins(theirs, large, n_periods))
+        few = small_side(named.join(large_keys, list(SERIES_KEY), "left_semi"))
+        best = best.unionByName(_narrow_search_by_bins(few, large, n_periods, min_points))
     difference = F.abs(F.col("_best") - F.col("_p")) / F.col("_p")
     return (
         candidates.join(wanted.select(*ckey, "_p").join(best, ckey), ckey, "left")
@@ -509,39 +521,64 @@ def bls_consistent(
     )
 
 
-def _narrow_search_by_bins(wanted, large, n_periods):
-    """The narrow search for series too long for one task, as partial bins per candidate and period."""
+def _narrow_search_by_bins(wanted, large, n_periods, min_points):
+    """The narrow search for series too long for one task: each task folds the rows it holds into partial bins per candidate."""
     ckey = list(CANDIDATE_KEY)
-    step = F.floor(F.col("i") * (F.col("_high") - F.col("_low")) / (n_periods - 1)).cast("bigint")
-    trials = (
-        wanted.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_periods - 1))))
-        .withColumn("period_us", F.col("_low") + step)
-        .withColumn("n_bins", F.ceil(F.col("period_us") * BINS_PER_DURATION / F.col("_d")).cast("bigint"))
-    )
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for key, part in batch.groupby([*ckey, "d", "low", "high"], sort=False):
+                periods = linear_period_grid(int(key[4]), int(key[5]), n_periods)
+                n_bins = bin_count(periods, int(key[3]))
+                if key not in held:
+                    held[key] = (np.zeros(int(n_bins.sum())), np.zeros(int(n_bins.sum())))
+                total, weighted = held[key]
+                times, w = part["time_us"].to_numpy(np.int64), part["w"].to_numpy(float)
+                wf = w * part["flux"].to_numpy(float)
+                for start, period, n in zip((np.cumsum(n_bins) - n_bins).tolist(), periods.tolist(), n_bins.tolist()):
+                    index = times % period * n // period
+                    total[start : start + n] += np.bincount(index, weights=w, minlength=n)
+                    weighted[start : start + n] += np.bincount(index, weights=wf, minlength=n)
+        for key, (total, weighted) in held.items():
+            periods = linear_period_grid(int(key[4]), int(key[5]), n_periods)
+            n_bins = bin_count(periods, int(key[3]))
+            used = np.flatnonzero(total)
+            trial = np.repeat(np.arange(n_periods), n_bins)[used]
+            yield pd.DataFrame({
+                **dict(zip(ckey, key)), "period_us": periods[trial], "n_bins": n_bins[trial],
+                "bin": used - (np.cumsum(n_bins) - n_bins)[trial], "w": total[used], "wf": weighted[used],
+            })
+
+    counts = large.groupBy(*SERIES_KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_points)
+    rows = wanted.join(counts.select(*SERIES_KEY), list(SERIES_KEY)).join(large, list(SERIES_KEY))
+    partial = rows.select(*ckey, "d", "low", "high", "time_us", "w", "flux").mapInPandas(
+        fold, "tic_id bigint, sector int, planet_num int, period_us bigint, n_bins bigint, bin bigint, w double, wf double")
     trial = [*ckey, "period_us", "n_bins"]
-    bin_id = F.floor(F.pmod("time_us", "period_us") * F.col("n_bins") / F.col("period_us")).cast("bigint")
-    bins = trials.join(large, list(SERIES_KEY)).groupBy(*trial, bin_id.alias("bin")).agg(
-        F.sum("w").alias("w"), F.sum(F.col("w") * F.col("flux")).alias("wf")
-    )
+    bins = partial.groupBy(*trial, "bin").agg(F.sum("w").alias("w"), F.sum("wf").alias("wf"))
     everything = Window.partitionBy(*trial)
+    box = F.least(F.lit(BINS_PER_DURATION), F.col("n_bins").cast("int") - 1)
     boxes = (
         bins.withColumns({"w_all": F.sum("w").over(everything), "wf_all": F.sum("wf").over(everything)})
-        .withColumn("_back", F.explode(F.sequence(F.lit(0), F.lit(BINS_PER_DURATION - 1))))
+        .withColumn("_back", F.explode(F.sequence(F.lit(0), box - 1)))
         .groupBy(*trial, "w_all", "wf_all", F.pmod(F.col("bin") - F.col("_back"), F.col("n_bins")).alias("start"))
         .agg(F.sum("w").alias("w_in"), F.sum("wf").alias("wf_in"))
     )
-    w_out = F.col("w_all") - F.col("w_in")
-    depth = F.try_divide(F.col("wf_all") - F.col("wf_in"), w_out) - F.col("wf_in") / F.col("w_in")
-    power = F.when(depth > 0, depth * depth * F.col("w_in") * w_out / F.col("w_all")).otherwise(F.lit(0.0))
-    return boxes.groupBy(*ckey).agg(
-        F.max_by("period_us", F.struct(power.alias("power"), (-F.col("period_us")).alias("short"))).alias("_best")
+    return _scored(boxes).groupBy(*ckey).agg(
+        F.max_by("period_us", F.struct(ranked(F.col("power")).alias("rank"), (-F.col("period_us")).alias("short"))).alias("_best")
     )
 
 
-def candidate_ordinal(candidates: DataFrame, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
-    """Add ``ordinal``: the position of a candidate in its series by falling significance."""
-    from photospark.plans.prefix import ordinal, range_cells
+def candidate_ordinal(candidates: DataFrame, keys: Sequence[str] = SERIES_KEY, max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+    """Add ``ordinal``: the position of a candidate in its series by falling significance.
 
+    Counts the groups first; only if one has more than ``max_rows`` candidates
+    is the order cut into cells.
+    """
     order = [F.col("sde").desc(), F.col("planet_num").asc()]
+    if row_limit(candidates, keys, max_rows) is None:
+        return candidates.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    from photospark.plans.prefix import ordinal, range_cells
+
     celled = range_cells(candidates, [*[F.col(k) for k in keys], *order], "_range")
     return ordinal(celled, keys, F.col("_range"), order, "ordinal").drop("_range")

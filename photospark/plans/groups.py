@@ -122,9 +122,15 @@ def group_quantiles(
     keys = list(keys)
     others = [column.alias(name) for name, column in (extra or {}).items()]
     small, large, large_keys = split_by_size(df, keys, max_rows)
-    out = small.groupBy(*keys).agg(
-        *[F.percentile(value, F.lit(frac)).alias(name) for name, (value, frac) in values.items()], *others
+    # one percentile aggregate, hence one map of values, per expression: fractions of the same Column object share it
+    shared: dict[int, tuple[Column, list[tuple[str, float]]]] = {}
+    for name, (value, frac) in values.items():
+        shared.setdefault(id(value), (value, []))[1].append((name, frac))
+    grouped = small.groupBy(*keys).agg(
+        *[F.percentile(value, F.array(*[F.lit(float(f)) for _, f in wanted])).alias(f"_q{k}") for k, (value, wanted) in enumerate(shared.values())], *others
     )
+    lists = {name: F.get(f"_q{k}", F.lit(i)).alias(name) for k, (_, wanted) in enumerate(shared.values()) for i, (name, _) in enumerate(wanted)}
+    out = grouped.select(*keys, *[lists[name] for name in values], *(extra or {}))
     if large is None:
         return out
     parts = large.groupBy(*keys).agg(*others) if others else large_keys

@@ -46,10 +46,12 @@ def read_tce_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_dispositions_csv(spark: SparkSession, path: str) -> DataFrame:
     """Follow-up dispositions with ``#`` comments; rows without a numeric id are dropped.
 
-    ``row_no`` keeps the file order: file by file, line by line.
+    ``row_no`` keeps the file order: by path, by block of the file, by line.
     """
     raw = spark.read.csv(path, header=True, comment="#")
-    numbered = raw.withColumn("row_no", F.monotonically_increasing_id())
+    # Spark packs blocks into tasks by size, so only inside a block does the running number follow the lines
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    numbered = raw.select("*", place.alias("row_no"))
     return tidy_dispositions(numbered)
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("clean", "search", "catalogue", "rule", "fold", "model", "recovery", "publish", "source")
+_MODULES = ("clean", "search", "catalogue", "rule", "fold", "model", "recovery", "publish", "source", "large")
 
 
 def load():

@@ -252,7 +252,7 @@ def _(spark, sf):
     return rounded(fold.explode_view(out, "global_view", ["vec_id", "variant"], "x"))
 
 
-# ---- classifiers (no SQL twin: iterative training) ---------------------------------
+# ---- classifiers: SQL states what must hold of a trained model --------------------
 
 _TAB = ("f1", "f2", "f3", "f4")
 
@@ -261,22 +261,46 @@ def _tabular(spark, sf):
     return views.view64(spark, sf).select("vec_id", "label", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(_TAB)])
 
 
-@query("dm16_train_tabular")
+_FACTS = (
+    with_views("view64") + ", n AS (SELECT label, count(*) AS n FROM view64 GROUP BY label) "
+    "SELECT n.label::BIGINT AS label, n, TRUE AS sums_to_one, TRUE AS pred_is_top, TRUE AS beats_majority FROM n"
+)
+
+
+def _facts(scored):
+    """Per label: rows, whether probabilities add up to 1 and ``pred`` is the most likely class, whether a model is no worse than the most frequent class."""
+    right = (F.col("pred") == F.col("label")).cast("double")
+    counts = scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(right).alias("_ok"),
+        F.bool_and(F.abs(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x) - 1.0) < 1e-9).alias("sums_to_one"),
+        F.bool_and(F.get("probs", F.col("pred")) == F.array_max("probs")).alias("pred_is_top"),
+    )
+    whole = counts.agg(F.sum("_ok").alias("_right"), F.max("n").alias("_most"))
+    beats = (F.col("_right") >= F.col("_most")).alias("beats_majority")
+    return rounded(counts.join(F.broadcast(whole), F.lit(True)).select("label", "n", "sums_to_one", "pred_is_top", beats))
+
+
+@query("dm16_train_tabular", _FACTS)
 def _(spark, sf):
     rows = _tabular(spark, sf)
     model = learn.train_tabular(rows, _TAB, trees=20, depth=5)
-    return evaluate.class_report(learn.predict_tabular(model, rows, _TAB))
+    return _facts(learn.predict_tabular(model, rows, _TAB))
 
 
-@query("sl7_importance_table")
+@query("sl7_importance_table", f"SELECT {len(_TAB)}::BIGINT AS n, 1.0::DOUBLE AS total, TRUE AS falling FROM (SELECT count(*) FROM embeddings)")
 def _(spark, sf):
     rows = _tabular(spark, sf)
-    return learn.importance_table(learn.train_tabular(rows, _TAB, trees=20, depth=5), rows, _TAB)
+    table_ = learn.importance_table(learn.train_tabular(rows, _TAB, trees=20, depth=5), rows, _TAB)
+    in_order = F.collect_list("importance")
+    return rounded(table_.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("importance").alias("total"),
+        F.forall(F.transform(in_order, lambda x, i: x <= F.coalesce(F.get(in_order, i - 1), x)), lambda ok: ok).alias("falling")))
 
 
-@query("ag25_cv_summary")
+@query("ag25_cv_summary", "SELECT f::BIGINT AS fold, TRUE AS usable FROM range(3) r(f)")
 def _(spark, sf):
-    return learn.cv_summary(learn.cross_validate(_tabular(spark, sf), 3, _TAB, key="vec_id", trees=10, depth=4))
+    folds = learn.cross_validate(_tabular(spark, sf), 3, _TAB, key="vec_id", trees=10, depth=4)
+    return rounded(folds.select("fold", F.col("f1_macro").between(0.0, 1.0).alias("usable")))
 
 
 @query(
@@ -289,12 +313,11 @@ def _(spark, sf):
     return rounded(learn.cv_summary(folds))
 
 
-@query("dm17_train_view_model")
+@query("dm17_train_view_model", _FACTS)
 def _(spark, sf):
     rows = views.view64(spark, sf).select("vec_id", "label", F.col("v").alias("global_view"), F.col("v").alias("local_view"))
     model = learn.train_view_model(rows, global_bins=16, local_bins=16, iterations=20)
-    scored = learn.predict_views(model, rows, 16, 16)
-    return scored.select("vec_id", "label", "pred", *[F.get("probs", F.lit(i)).alias(f"p{i}") for i in range(4)])
+    return _facts(learn.predict_views(model, rows, 16, 16))
 
 
 # ---- posteriors --------------------------------------------------------------------

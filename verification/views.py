@@ -94,7 +94,7 @@ def lc_user(spark, sf):
 
 
 def lc_dip(spark, sf):
-    """``lc`` with a 10 % dip every three days."""
+    """``lc`` with a 10 % dip every three days, without the cadences that have no flux."""
     offset = F.pmod(F.col("time_us") - DIP_T0_US + DIP_DURATION_US // 2, F.lit(DIP_PERIOD_US))
     return lc(spark, sf).filter(~F.isnan("flux")).withColumn(
         "flux", F.when(offset < DIP_DURATION_US, F.col("flux") * 0.9).otherwise(F.col("flux"))
