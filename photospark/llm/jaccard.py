@@ -4,9 +4,9 @@ A set is its n-gram hashes; equal sets form a class that is handled once. Sets
 are split recursively: a node of the tree samples ``FANOUT`` coordinates of a
 min-hash signature (shared tokens in the sense of the method), and a set goes
 to the child of its own token at each. Buckets of up to ``SMALL`` sets are
-compared by brute force, larger ones are split again down to ``DEPTH``; what is
-still large there is cut into blocks, and every pair of blocks is a unit of
-work of its own. ``runs`` trees are grown until the chance that a pair at the
+compared by brute force, larger ones are split again, down to ``DEPTH`` or until a child
+holds most of its parent; what is still large there is cut into blocks, and
+every pair of blocks is a unit of work of its own. ``runs`` trees are grown until the chance that a pair at the
 threshold meets nowhere is below ``1 - RECALL``.
 
 A pair that meets in several buckets counts in the first only, which both
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from photospark.llm.fragments import slices
 from photospark.llm.repeats import Rolling, mix
-from photospark.llm.scratch import keep
+from photospark.llm.scratch import keep, small
 from photospark.llm.substrings import word_codes
 
 NGRAM = 5
@@ -42,6 +42,8 @@ DEPTH = 3
 #: Largest bucket that is compared at once, and block of a larger one that could not be split.
 SMALL = 64
 BLOCK = 256
+#: A large bucket is compared without further splitting if one of its children holds this share of it.
+ALIKE = 0.5
 #: Pairs with fewer equal signature tokens are not verified (a pair at 0.8 has 25.6 on average; 11 or fewer happens once in 10**8).
 LEAST_EQUAL = 12
 #: Rows of a task that are worked on at a time.
@@ -123,18 +125,23 @@ def _buckets(classes: DataFrame, nodes: list[tuple[int, ...]], runs: int) -> tup
         rows = keep(rows, "paths")
         sizes = keep(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket-sizes")
         met = rows.join(sizes, "bucket")
-        split = (F.col("size") > SMALL) & F.lit(depth < DEPTH - 1)
-        leaves.append(met.filter(~split).select("rep", "node", "bucket", "size"))
         if depth == DEPTH - 1:
+            leaves.append(met.select("rep", "node", "bucket", "size"))
             break
-        larger = met.filter(split)
-        opened.append(larger.select("rep", "node"))
+        leaves.append(met.filter(F.col("size") <= SMALL).select("rep", "node", "bucket", "size"))
+        larger = keep(met.filter(F.col("size") > SMALL), "larger")
         level = [p for p in nodes if len(p) == depth + 1]
         kids = F.create_map(*[v for i, path in enumerate(level, begin) for v in (F.lit(i), F.array(*[
             F.struct(F.lit(c).alias("node"), F.lit(t).alias("token")) for c, t in children[path]]))])
         begin += len(level)
-        grown = larger.select("rep", "sig", "bucket", F.explode(F.get(F.array(kids), 0)[F.col("node")]).alias("x"))
-        rows = grown.select("rep", "sig", "x.node", F.xxhash64("bucket", "x.node", F.get("sig", F.col("x.token"))).alias("bucket"))
+        grown = larger.select("rep", "sig", "size", F.col("bucket").alias("parent"), F.explode(F.get(F.array(kids), 0)[F.col("node")]).alias("x"))
+        grown = grown.select("rep", "sig", "size", "parent", "x.node", F.xxhash64("parent", "x.node", F.get("sig", F.col("x.token"))).alias("bucket"))
+        # where a child holds most of its parent, the sets are alike and splitting them further only repeats them
+        parts = grown.groupBy("parent", "bucket", "size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= ALIKE * F.col("size"))
+        alike = small(keep(parts.select(F.col("parent").alias("bucket")).distinct(), "alike"))
+        leaves.append(larger.join(alike, "bucket", "left_semi").select("rep", "node", "bucket", "size"))
+        opened.append(larger.join(alike, "bucket", "left_anti").select("rep", "node"))
+        rows = grown.join(alike.withColumnRenamed("bucket", "parent"), "parent", "left_anti").select("rep", "sig", "node", "bucket")
     return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, opened)
 
 
