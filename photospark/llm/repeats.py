@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 CLAIMS = "anchor bigint, content bigint, doc bigint, place bigint"
 #: Claims that a task combines at a time.
 COMBINED = 300_000
-#: place = first start << 12 | (starts - 1) << 2 | weight; weight 0: known as repeated, 1: one, 2: more than one.
-SPAN_BITS, WEIGHT_BITS = 10, 2
+#: place = first start << 18 | anchor - first start << 10 | (starts - 1) << 2 | weight; weight 0: known as repeated, 1: one, 2: more than one.
+SPAN_BITS, WEIGHT_BITS = 8, 2
+FIRST_AT = 2 * SPAN_BITS + WEIGHT_BITS
+#: Most starts of a run, hence largest width of a window of words.
 MOST_STARTS = 1 << SPAN_BITS
 
 
@@ -61,12 +63,9 @@ class Rolling:
         return mix((self._sums[width:] - self._sums[:-width]) * self._back[: len(self._sums) - width] + np.uint64(width))
 
 
-def place(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return (first << (SPAN_BITS + WEIGHT_BITS)) | ((last - first) << WEIGHT_BITS) | 1
-
-
-def first_of(place: Column) -> Column:
-    return F.shiftright(place, SPAN_BITS + WEIGHT_BITS)
+def place(first: np.ndarray, last: np.ndarray, anchor: np.ndarray | int = 0) -> np.ndarray:
+    """Place of the starts first..last, whose anchor begins ``anchor`` after the first."""
+    return (first << FIRST_AT) | (anchor << (SPAN_BITS + WEIGHT_BITS)) | ((last - first) << WEIGHT_BITS) | 1
 
 
 def weight_of(place: Column) -> Column:
@@ -75,10 +74,14 @@ def weight_of(place: Column) -> Column:
 
 def unpack(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first starts, last starts) of places."""
-    first = places >> (SPAN_BITS + WEIGHT_BITS)
+    first = places >> FIRST_AT
     return first, first + ((places >> WEIGHT_BITS) & (MOST_STARTS - 1))
 
 
+def anchor_of(places: np.ndarray) -> np.ndarray:
+    return (places >> (SPAN_BITS + WEIGHT_BITS)) & (MOST_STARTS - 1)
+
+
 def combine(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Claims as Arrow batches; of equal claims within a batch the first in (doc, place) gets weight 2, the others 0."""
     held: list[tuple] = []

@@ -136,6 +136,8 @@ def repeated(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataF
     what is left undecided (windows at the ends of common stretches) is decided
     window by window. Writes the shared claims to the shared folder.
     """
+    if width > repeats.MOST_STARTS:
+        raise ValueError(f"windows of at most {repeats.MOST_STARTS} words")
     named = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,11 @@ digit from the most significant one, and a group of one leaves at once:
   suffixes share it, so one row stands for a run of suffixes;
 * digit 2: all bytes that a run of suffixes covers. Where a group of digit 1
   holds one value of it, its suffixes are equal pairwise and done;
-* digit 3, only in groups that are still mixed: the ``width`` bytes of each
-  single suffix.
+* digit 3, only in groups that are still mixed: the chunk with half of the
+  bytes that are left, before or behind it. Each suffix holds one of the two,
+  and again one row stands for the suffixes that hold the same;
+* digit 4, only in what is mixed after that: the ``width`` bytes of each single
+  suffix.
 
 The groups that remain are exactly the repeated strings; each keeps its first
 occurrence and marks the others.
@@ -18,6 +21,7 @@ occurrence and marks the others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +75,7 @@ def claims_of(body: np.ndarray, offsets: np.ndarray, ids: np.ndarray, width: int
         last = np.minimum(np.append(first[1:], len(anchor)) - 1, fits)
         content = repeats.mix(rolling(first, last + width) + (anchor[first] - first).astype(np.uint64))
         text = offsets[row[first]] - base
-        yield chunks[anchor[first]], content, ids[row[first]], repeats.place(first - text, last - text)
+        yield chunks[anchor[first]], content, ids[row[first]], repeats.place(first - text, last - text, anchor[first] - first)
 
 
 def later(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK) -> DataFrame:
@@ -79,6 +83,8 @@ def later(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK) -> DataFrame:
 
     Documents without id take no part. Writes the shared claims to the shared folder.
     """
+    if width - chunk + 1 > repeats.MOST_STARTS:
+        raise ValueError(f"width may exceed chunk by {repeats.MOST_STARTS - 1} at most")
     named = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,31 +95,60 @@ def later(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK) -> DataFrame:
 
         return repeats.combine(parts())
 
-    order = Window.partitionBy("key", "content").orderBy("doc", "place")
-    found = repeats.shared(named.mapInArrow(claims, repeats.CLAIMS)).withColumn("nth", F.row_number().over(order))
-    again = (F.col("weight") == 0) | (F.col("nth") > 1)
-    found = keep(found.select("doc", "place", again.alias("again"), F.col("mixed").alias("mixed")).filter("again or mixed"), "suffixes")
+    def in_blocks(batch: pa.RecordBatch, row: np.ndarray, at: np.ndarray) -> Iterator[tuple[repeats.Rolling, np.ndarray, int]]:
+        """Hashes of a stretch of the texts, which of ``at`` (starts in texts ``row``) lie in it, and where it starts."""
+        body, offsets = raw(batch.column(1))
+        whole = offsets[row] + at
+        for base in range(0, len(body), BLOCK):
+            here = np.flatnonzero((whole >= base) & (whole < base + BLOCK))
+            if len(here):
+                low = max(base - width, 0)
+                yield repeats.Rolling(CODES[body[low : base + BLOCK + 2 * width]]), here, offsets[row[here]] - low
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = (width - chunk) // 2
+
+        def parts():
+            for batch in slices(batches):
+                places, counts = repeats.place_lists(batch)
+                row = np.repeat(np.arange(batch.num_rows), counts)
+                first, last = repeats.unpack(places)
+                anchor = first + repeats.anchor_of(places)
+                ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)[row]
+                for rolling, here, text in in_blocks(batch, row, first) if len(row) else ():
+                    f, e, a, d = first[here], last[here], anchor[here], ids[here]
+                    for before in (True, False):
+                        s, t = (f, np.minimum(e, a - side)) if before else (np.maximum(f, a - side + 1), e)
+                        some = s <= t
+                        s, t, x, at = s[some], t[some], a[some], text[some]
+                        key = rolling(at + x - side, at + x + chunk) if before else rolling(at + x, at + x + width - side + 1)
+                        content = repeats.mix(rolling(at + s, at + t + width) + (x - s).astype(np.uint64))
+                        yield key + np.uint64(before), content, d[some], repeats.place(s, t, x - s)
+
+        return repeats.combine(parts())
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
             for batch in slices(batches):
                 row, start, _ = repeats.starts_of(batch)
-                if not len(row):
-                    continue
-                body, offsets = raw(batch.column(1))
                 ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)
-                for base in range(0, len(body), BLOCK):
-                    here = (offsets[row] + start >= base) & (offsets[row] + start < base + BLOCK)
-                    rolling = repeats.Rolling(CODES[body[base : base + BLOCK + width]])
-                    at = (offsets[row] + start)[here] - base
+                for rolling, here, text in in_blocks(batch, row, start) if len(row) else ():
+                    at = text + start[here]
                     yield rolling(at, at + width), rolling(at, at + width // 2), ids[row[here]], repeats.place(start[here], start[here])
 
         return repeats.combine(parts())
 
-    open_ = repeats.with_places(docs, found.filter("mixed and not again").select("doc", "place"))
-    ranked = repeats.dealt(open_.mapInArrow(single, repeats.CLAIMS)).withColumn("nth", F.row_number().over(order))
-    alone = ranked.filter((repeats.weight_of(F.col("place")) == 0) | (F.col("nth") > 1)).select("doc", "place")
-    return found.filter("again").select("doc", "place").unionByName(alone)
+    def sorted_out(rows: DataFrame) -> DataFrame:
+        """doc, place, again (starts earlier too), open (other suffixes of its group may be equal to some of its own)."""
+        order = Window.partitionBy("key", "content").orderBy("doc", "place")
+        again = (F.col("weight") == 0) | (F.row_number().over(order) > 1)
+        rows = repeats.shared(rows).withColumn("again", again)
+        return rows.select("doc", "place", "again", (F.col("mixed") & ~F.col("again")).alias("open")).filter("again or open")
+
+    found = keep(sorted_out(named.mapInArrow(claims, repeats.CLAIMS)), "suffixes")
+    further = sorted_out(repeats.with_places(docs, found.filter("open").select("doc", "place")).mapInArrow(halves, repeats.CLAIMS))
+    last = sorted_out(repeats.with_places(docs, further.filter("open").select("doc", "place")).mapInArrow(single, repeats.CLAIMS))
+    return reduce(DataFrame.unionByName, [rows.filter("again").select("doc", "place") for rows in (found, further, last)])
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK) -> DataFrame:
