@@ -1,6 +1,7 @@
 """The registered queries and their SQL twins."""
 
 import os
+import re
 
 import pytest
 
@@ -12,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 def test_registry():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"dm16_train_tabular", "dm17_train_view_model", "sl7_importance_table", "ag25_cv_summary"}
+    # operators of training data have brute-force tests of their own
+    assert not [n for n in set(queries) - set(oracles) if not re.match(r"op\d+_|pipeline$", n)]
 
 
 def test_every_operator_family_is_registered():
