@@ -359,8 +359,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))], ["rep", "grams"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-        needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = small(keep(needed.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     whole = texts.mapInArrow(grams, "rep bigint, grams array<bigint>")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
