@@ -113,8 +113,8 @@ def _buckets(classes: DataFrame, nodes: list[tuple[int, ...]], runs: int) -> tup
     """(leaf rows: rep, node, bucket, size; open rows: rep, node) of all sets that share a bucket."""
     sigs = classes.select("rep", "sig")
     first = range(runs * FANOUT)
-    rows = sigs.select("rep", "sig", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("node"), F.xxhash64(F.lit(i), F.get("sig", nodes[i][0])).alias("bucket")) for i in first])).alias("x")).select("rep", "sig", "x.*")
+    rows = sigs.select("rep", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("node"), F.xxhash64(F.lit(i), F.get("sig", nodes[i][0])).alias("bucket")) for i in first])).alias("x")).select("rep", "x.*")
     leaves, opened = [], []
     children = {path: [] for path in nodes}
     for i, path in enumerate(nodes):
@@ -129,7 +129,8 @@ def _buckets(classes: DataFrame, nodes: list[tuple[int, ...]], runs: int) -> tup
             leaves.append(met.select("rep", "node", "bucket", "size"))
             break
         leaves.append(met.filter(F.col("size") <= SMALL).select("rep", "node", "bucket", "size"))
-        larger = keep(met.filter(F.col("size") > SMALL), "larger")
+        # only what is split further needs its signature again
+        larger = keep(met.filter(F.col("size") > SMALL).join(sigs, "rep"), "larger")
         level = [p for p in nodes if len(p) == depth + 1]
         kids = F.create_map(*[v for i, path in enumerate(level, begin) for v in (F.lit(i), F.array(*[
             F.struct(F.lit(c).alias("node"), F.lit(t).alias("token")) for c, t in children[path]]))])
@@ -141,7 +142,7 @@ def _buckets(classes: DataFrame, nodes: list[tuple[int, ...]], runs: int) -> tup
         alike = small(keep(parts.select(F.col("parent").alias("bucket")).distinct(), "alike"))
         leaves.append(larger.join(alike, "bucket", "left_semi").select("rep", "node", "bucket", "size"))
         opened.append(larger.join(alike, "bucket", "left_anti").select("rep", "node"))
-        rows = grown.join(alike.withColumnRenamed("bucket", "parent"), "parent", "left_anti").select("rep", "sig", "node", "bucket")
+        rows = grown.join(alike.withColumnRenamed("bucket", "parent"), "parent", "left_anti").select("rep", "node", "bucket")
     return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, opened)
 
 
