@@ -1,18 +1,19 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is an interpolated n-gram model over words. Single-word counts cover
-the whole corpus and grow with it: texts are cut into blocks, a block asks for
-the counts of its own words and gets them back by a shuffle, so no task holds
-the vocabulary. Pairs and triples are kept if their share of all tokens is at
-least ``SHARE``; by that definition there are at most ``1 / SHARE`` of each, a
-bound that does not depend on the corpus, so this part is broadcast. It is
-found in two passes: what is frequent nowhere locally cannot be frequent, and
-the few that may be are then counted exactly.
-
-The kept n-grams become an automaton: a state per context, an arc per kept
+The model is an interpolated n-gram model over words. All its counts cover the
+whole corpus and grow with it: single words, and every pair and triple that
+occurs at least ``LEAST`` times in the training texts. Texts are cut into
+blocks. A block asks for the counts of its own n-grams: codes go by their
+leading bits to parts, a part adds them up over the corpus and answers each
+block with those that are in the model. The contexts of the kept n-grams (how
+many arcs leave them, with what count in all) go the same way: each n-gram is
+added to its context by the block that comes first in its part. So no task and
+no driver holds the n-grams of the corpus, and nothing is broadcast.
+
+The kept n-grams are an automaton: a state per context, an arc per kept
 continuation with its smoothed probability, and a failure arc to the shorter
-context with the weight of what is left. A text is scored by one traversal from
-left to right.
+context with the weight of what is left. A block builds the part of it that its
+texts can reach.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photospark.llm.fragments import slices
@@ -32,15 +33,15 @@ from photospark.llm.repeats import mix
 from photospark.llm.scratch import keep
 from photospark.llm.substrings import word_codes
 
-#: Least share of all training tokens of a kept pair or triple.
-SHARE = 4e-5
+#: Least count of a pair or triple of the model.
+LEAST = 2
 #: Discount taken from each kept count, and what is added to each single-word count.
 DISCOUNT = 0.5
 ADDED = 0.1
 ORDER = 3
-#: Text bytes of a block, and tokens that a task counts at a time.
+#: Text bytes of a block, and least number of leading bits of a code that name its part (there are at least as many parts as blocks).
 BLOCK_BYTES = 8 << 20
-COUNTED = 1 << 20
+PART_BITS = 8
 #: Code of the end of a text; 0 fills the unused places of shorter n-grams.
 END = np.uint64(0x9AE16A3B2F90404F)
 
@@ -59,36 +60,13 @@ def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Place of each value in an ordered array, -1 where it is not in it."""
     if not len(ordered):
         return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-    return np.where(ordered[at] == values, at, -1)
-
-
-def _frequent(codes: np.ndarray, doc: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(first, second, third, count) of the n-grams with at least ``share`` of the given tokens, order by order."""
-    least = max(1.0, share * len(codes))
-    words, place, count = np.unique(codes, return_inverse=True, return_counts=True)
-    good = count >= least
-    zero = np.zeros(len(words), np.uint64)
-    yield words[good], zero[good], zero[good], count[good]
-    rank = place.astype(np.int64)
-    alive = good[place]
-    parts = words[:, None]
-    for n in range(2, ORDER + 1):
-        # an n-gram is frequent only if both (n-1)-grams in it are
-        m = len(codes) - n + 1
-        if m <= 0:
-            return
-        at = np.flatnonzero(alive[:m] & alive[1 : m + 1] & (doc[:m] == doc[n - 1 :]))
-        last = place[at + n - 1]
-        grams, where, count = np.unique(rank[at] * len(words) + last, return_inverse=True, return_counts=True)
-        good = count >= least
-        parts = np.column_stack([parts[grams // len(words)], words[grams % len(words)]])
-        shown = np.column_stack([parts, np.zeros((len(parts), ORDER - n), np.uint64)])[good]
-        yield shown[:, 0], shown[:, 1], shown[:, 2], count[good]
-        alive = np.zeros(m, bool)
-        alive[at] = good[where]
-        rank = np.zeros(m, np.int64)
-        rank[at] = where
+    # ordered questions walk through memory in order
+    order = np.argsort(values)
+    asked = values[order]
+    at = np.minimum(np.searchsorted(ordered, asked), len(ordered) - 1)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.where(ordered[at] == asked, at, -1)
+    return out
 
 
 def _gram_code(*parts: np.ndarray) -> np.ndarray:
@@ -98,6 +76,123 @@ def _gram_code(*parts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _unique(codes: np.ndarray) -> np.ndarray:
+    """Distinct codes in order."""
+    s = np.sort(codes)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+
+
+def _within(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How often each wanted code is among ``codes``."""
+    s = np.sort(codes)
+    return np.searchsorted(s, wanted, side="right") - np.searchsorted(s, wanted, side="left")
+
+
+def _grams(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair that ends at each place, is there one, triple, is there one); they do not reach over texts."""
+    pair, triple = np.zeros_like(codes), np.zeros_like(codes)
+    has2, has3 = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+    has2[1:] = row[1:] == row[:-1]
+    pair[1:] = _gram_code(codes[:-1], codes[1:])
+    has3[2:] = row[2:] == row[:-2]
+    triple[2:] = mix(pair[1:-1] * np.uint64(3) + mix(codes[2:]))
+    return pair, has2, triple, has3
+
+
+def _bounds(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Ends of the parts (leading bits) in ordered codes, a 0 in front."""
+    if not bits:
+        return np.array([0, len(codes)])
+    return np.append(np.searchsorted(codes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(codes))
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """One binary value per stretch of ``values``: its length and its numbers (of codes, which are ordered, the differences), byte plane by byte plane, compressed."""
+    codec, out = pa.Codec("zstd", 1), []
+    steps = values.copy()
+    if values.dtype == np.uint64:
+        steps[1:] -= values[:-1]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if a == b:
+            out.append(b"")
+            continue
+        part = steps[a:b].copy()
+        part[0] = values[a]
+        out.append((b - a).to_bytes(4, "little") + codec.compress(part.view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True))
+    return pa.array(out, pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, number of values in each row)."""
+    codec, out = pa.Codec("zstd", 1), [np.zeros(0, kind)]
+    for value in column.to_pylist():
+        n = int.from_bytes(value[:4], "little")
+        if n:
+            planes = np.frombuffer(codec.decompress(value[4:], 8 * n), np.uint8).reshape(8, n)
+            part = np.ascontiguousarray(planes.T).view(kind).ravel()
+            out.append(np.cumsum(part, dtype=kind) if kind is np.uint64 else part)
+        else:
+            out.append(out[0])
+    return np.concatenate(out), np.fromiter(map(len, out[1:]), np.int64, len(out) - 1)
+
+
+def _asked(block: int, codes: np.ndarray, numbers: list[np.ndarray], bits: int, kind: int) -> pa.RecordBatch:
+    """Rows of one block: its ordered codes and their numbers, a row per part that has any."""
+    bounds = _bounds(codes, bits)
+    rows = len(bounds) - 1
+    out = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(rows, dtype=np.int32)), pa.array(np.full(rows, block, np.int64)), pa.array(np.full(rows, kind, np.int32)), _packed(codes, bounds), *[_packed(x, bounds) for x in numbers]],
+        ["part", "block", "kind", "codes", "a", "b"][: 4 + len(numbers)])
+    return out.filter(pa.array(np.diff(bounds) > 0))
+
+
+def _added(rows: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, int]:
+    """All rows of a part: (codes, codes of each row, sums of each number over equal codes, first of its kind, number of distinct codes)."""
+    codes, size = _unpacked(rows.column("codes"), np.uint64)
+    numbers = [_unpacked(rows.column(k), np.int64)[0] for k in names]
+    order = np.argsort(codes)
+    s = codes[order]
+    start = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+    place = np.empty(len(codes), np.int64)
+    place[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(s))))
+    first = np.zeros(len(codes), bool)
+    first[order[start]] = True
+    sums = [np.add.reduceat(x[order], start)[place] if len(start) else x for x in numbers]
+    return codes, size, sums, first, len(start)
+
+
+def _answers(rows: pa.Table, size: np.ndarray, good: np.ndarray, kind: int, *columns: np.ndarray) -> pa.Table:
+    """One row for each asking one, with its good codes only."""
+    upto = np.concatenate([[0], np.cumsum(good)])
+    bounds = upto[np.concatenate([[0], np.cumsum(size)])]
+    packed = [_packed(c[good], bounds) for c in columns]
+    return pa.table([rows.column("block").cast(pa.int64()), pa.array(np.full(len(size), kind, np.int32)), *packed], ["block", "kind", "codes", "a", "b"])
+
+
+class _Known:
+    """What a block was told: ordered codes of one kind with their numbers."""
+
+    def __init__(self, told: pa.Table, kind: int):
+        rows = told.filter(pc.equal(told.column("kind"), kind))
+        codes = _unpacked(rows.column("codes"), np.uint64)[0]
+        a, b = (_unpacked(rows.column(k), np.int64)[0] for k in ("a", "b"))
+        order = np.argsort(codes, kind="stable")
+        s = codes[order]
+        # a block that two tasks read was told the same twice, and one of the answers may say that it comes first
+        start = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+        self.codes = s[start]
+        self.a = a[order][start]
+        self.b = np.maximum.reduceat(b[order], start) if len(start) else b
+
+    def of(self, values: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Places of the values in ``codes``, -1 where they are not known or not ``there``."""
+        return np.where(there, _in(values, self.codes), -1)
+
+    def number(self, at: np.ndarray, column: str = "a") -> np.ndarray:
+        """Numbers at places, 0 for -1."""
+        return np.append(getattr(self, column), 0)[at]
+
+
 class Automaton:
     """States, arcs and failure arcs of the kept n-grams; symbols are the kept words."""
 
@@ -161,6 +256,33 @@ class Automaton:
         return total
 
 
+class BlockAutomaton:
+    """The part of the automaton that a block's texts can reach, as ordered arrays.
+
+    ``grams`` are the arcs with their counts, ``contexts`` the states with the
+    count and the number of their arcs. The state after a word is the longest
+    context that ends there, so all places of a text take their arc, or their
+    failure arcs, at once.
+    """
+
+    def __init__(self, grams: _Known, contexts: _Known):
+        self.grams, self.contexts = grams, contexts
+
+    def chances(self, codes: np.ndarray, row: np.ndarray, counts: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """Probability of each word after the words before it; ``counts`` and ``single`` are those of the words alone."""
+        pair, has2, triple, has3 = _grams(codes, row)
+        lower, n_pair = single, self.grams.number(self.grams.of(pair, has2))
+        n_triple = self.grams.number(self.grams.of(triple, has3))
+        for there, n, context, context_n in ((has2, n_pair, codes, counts), (has3, n_triple, pair, n_pair)):
+            # the context of a place ends at the place before
+            context, context_n = np.roll(context, 1), np.maximum(np.roll(context_n, 1), 1)
+            state = self.contexts.of(context, there)
+            taken = (self.contexts.number(state) - DISCOUNT * self.contexts.number(state, "b")) / context_n
+            arc = np.where(n > 0, (n - DISCOUNT) / context_n, 0.0)
+            lower = np.where(state >= 0, arc + np.maximum(1.0 - taken, 1e-9) * lower, lower)
+        return lower
+
+
 def _placed(docs: DataFrame) -> DataFrame:
     """doc_id, text, held_out and the place of each row in its file; a frame that is not read from Parquet is written first."""
     rows = docs.select("doc_id", "text")
@@ -173,153 +295,130 @@ def _placed(docs: DataFrame) -> DataFrame:
     return placed.withColumn("held_out", held)
 
 
-def _candidates(docs: DataFrame, share: float) -> DataFrame:
-    """a, b, c, n: what is locally frequent; first row kinds: a = b = c = 0 carries tokens, bytes and rows in n, bytes, rows."""
+def _ask(docs: DataFrame, bits: int) -> DataFrame:
+    """part, block, kind, codes, a: the words (kind 1) and the pairs and triples (kind 2) of each block with their counts in training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        count = texts = size = 0
-
-        def flush() -> pa.RecordBatch:
-            codes, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            found = [np.concatenate(x) for x in zip(*_frequent(codes, doc, share), strict=True)] if len(codes) else [np.zeros(0, np.uint64)] * 3 + [np.zeros(0, np.int64)]
-            columns = [np.append(c, np.zeros(1, c.dtype)).view(np.int64) for c in found[:3]]
-            fill = np.zeros(len(columns[0]), np.int64)
-            more = [np.append(found[3], len(codes)), fill.copy(), fill.copy()]
-            more[1][-1], more[2][-1] = size, texts
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *more)], ["a", "b", "c", "n", "bytes", "rows"])
+        held: list[tuple[np.ndarray, ...]] = []
+        current, texts = None, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            codes, row, train = (np.concatenate(x) for x in zip(*held, strict=True))
+            pair, has2, triple, has3 = _grams(codes, row)
+            for kind, parts in ((1, [(codes, np.ones(len(codes), bool))]), (2, [(pair, has2), (triple, has3)])):
+                mine = _unique(np.concatenate([c[there] for c, there in parts]))
+                yield _asked(current, mine, [_within(np.concatenate([c[there & train] for c, there in parts]), mine)], bits, kind)
 
         for batch in slices(batches):
-            codes, off = tokens(batch.column(1))
-            train = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            codes, off = tokens(batch.column(0))
             row = np.repeat(np.arange(batch.num_rows), np.diff(off))
-            inside = train[row]
-            held.append((codes[inside], row[inside] + texts))
-            count += int(inside.sum())
+            train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[row]
+            block = batch.column(2).to_numpy()[row]
+            edge = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            for a, b in zip(edge, np.append(edge[1:], len(block)), strict=True):
+                if current is not None and block[a] != current:
+                    yield from flush()
+                    held = []
+                current = block[a]
+                held.append((codes[a:b], row[a:b] + texts, train[a:b]))
             texts += batch.num_rows
-            size += int(pc.sum(pc.binary_length(batch.column(1))).as_py() or 0)
-            if count >= COUNTED:
-                yield flush()
-                held, count, texts, size = [], 0, 0, 0
         if held:
-            yield flush()
+            yield from flush()
 
-    few = docs.coalesce(8 * docs.sparkSession.sparkContext.defaultParallelism)
-    return few.select("doc_id", "text", "held_out").mapInArrow(run, "a bigint, b bigint, c bigint, n bigint, bytes bigint, rows bigint")
+    return docs.select("text", "held_out", "block").mapInArrow(run, "part int, block bigint, kind int, codes binary, a binary")
 
 
-def score(docs: DataFrame, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _train_tokens(docs: DataFrame) -> int:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens(batch.column(0))[0])])], ["n"])
+
+    return docs.filter(~F.col("held_out")).select("text").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def score(docs: DataFrame, share: float | None = None, block_bytes: int = BLOCK_BYTES, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all documents.
 
     Learns from documents whose crc32 of the id (as text) is no multiple of
-    10; documents without id are learned from too. ``base_score`` is the
+    10; documents without id are learned from too. Pairs and triples that occur
+    ``least`` times are in the model; a ``share`` of the training tokens takes
+    the place of ``least`` if one is given. ``base_score`` is the
     add-``ADDED`` single-word model, ``score`` the automaton's log10
     probability. A null text is empty: its end alone. Runs jobs while it is
     built; the counts of the blocks are written to the shared folder.
     """
-    spark = docs.sparkSession
     placed = _placed(docs)
-    local = keep(_candidates(placed, share / 2), "frequent")
-    sums = local.filter("a = 0 and b = 0 and c = 0").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).first()
-    n_train, n_rows = sums["n"] or 0, sums["rows"] or 0
-    # whoever has the full share has half of it where it is locally frequent, and of those there are at most 2 / share per order
-    grams = local.filter("a <> 0 or b <> 0 or c <> 0").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).filter(F.col("n") >= n_train * share / 2)
-    likely = np.array([tuple(r) for r in grams.select("a", "b", "c").collect()], np.int64).reshape(-1, ORDER).view(np.uint64)
-    order = (likely != 0).sum(axis=1)
-    listed = {n: likely[order == n][:, :n] for n in range(1, ORDER + 1)}
-    codes_of = {n: _gram_code(*part.T) for n, part in listed.items()}
-    listed = {n: part[np.argsort(codes_of[n])] for n, part in listed.items()}
-    codes_of = {n: np.sort(c) for n, c in codes_of.items()}
-    shared = spark.sparkContext.broadcast((codes_of, sum(map(len, codes_of.values()))))
-    per_block = max(1, int(block_bytes * n_rows / max(1, sums["bytes"] or 0)))
+    sums = placed.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    n_rows, n_bytes = sums["rows"], sums["bytes"] or 0
+    floor = least if share is None else share * _train_tokens(placed)
+    per_block = max(1, int(block_bytes * n_rows / max(1, n_bytes)))
+    bits = max(PART_BITS, math.ceil(math.log2(max(1, n_bytes / block_bytes))))
     blocked = placed.select("doc_id", "text", "held_out", F.xxhash64("file", F.floor(F.col("row") / per_block)).alias("block"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n_known = shared.value
-        exact = {n: np.zeros(len(c), np.int64) for n, c in known.items()}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        current = None
-
-        def flush() -> pa.RecordBatch:
-            codes, train = (np.concatenate(x) for x in zip(*held, strict=True))
-            words, place = np.unique(codes, return_inverse=True)
-            n = np.bincount(place, weights=train, minlength=len(words)).astype(np.int64)
-            rare = _in(words, known[1]) < 0
-            words, n = words[rare], n[rare]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(words), current)), pa.array(words.view(np.int64)), pa.array(n), pa.array(np.zeros(len(words), np.int32))], ["block", "code", "n", "kind"])
-
-        for batch in slices(batches):
+    answer = "block bigint, kind int, codes binary, a binary, b binary"
+
+    def count(rows: pa.Table) -> pa.Table:
+        """Counts of a part's codes over the corpus for whoever asked; its totals as kind 0."""
+        outs, n_train, n_types = [], 0, 0
+        for kind in (1, 2):
+            mine = rows.filter(pc.equal(rows.column("kind"), kind))
+            codes, size, (total,), first, _ = _added(mine, ["a"])
+            good = total > 0 if kind == 1 else (total > 0) & (total >= floor)
+            if kind == 1:
+                n_train, n_types = int(total[first].sum()), int((first & good).sum())
+            outs.append(_answers(mine, size, good, kind, codes, total, first.astype(np.int64)))
+        outs.append(pa.table([pa.array([0], pa.int32()), pa.array([n_train]), pa.array([n_types])], ["kind", "n_train", "n_types"]))
+        return pa.concat_tables(outs, promote_options="default")
+
+    told = keep(_ask(blocked, bits).groupBy("part").applyInArrow(count, answer + ", n_train bigint, n_types bigint"), "gram-counts")
+    whole = told.agg(F.sum("n_train").alias("n_train"), F.sum("n_types").alias("n_types")).first()
+    n_train = whole["n_train"] or 0
+    below = n_train + ADDED * ((whole["n_types"] or 0) + 1)
+    told = told.filter("kind > 0").select("block", "kind", "codes", "a", "b")
+
+    def contexts(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        """What the block adds to the contexts of the kept n-grams that come first in it, and the contexts that it asks for."""
+        words, grams = _Known(counts, 1), _Known(counts, 2)
+        before = np.zeros(len(grams.codes), np.uint64)
+        asked = []
+        for batch in slices(iter(texts.combine_chunks().to_batches())):
             codes, off = tokens(batch.column(1))
-            train = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(off))
-            block = batch.column(3).to_numpy()[row]
-            inside = train[row]
-            alive = (_in(codes, known[1]) >= 0) & inside
-            exact[1] += np.bincount(_in(codes[alive], known[1]), minlength=len(exact[1]))
-            for n in range(2, ORDER + 1):
-                m = len(codes) - n + 1
-                if m <= 0 or not len(known[n]):
-                    break
-                at = np.flatnonzero(np.logical_and.reduce([alive[k : k + m] for k in range(n)]) & (row[:m] == row[n - 1 :]))
-                found = _in(_gram_code(*[codes[at + k] for k in range(n)]), known[n])
-                exact[n] += np.bincount(found[found >= 0], minlength=len(exact[n]))
-            edge = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            for a, b in zip(edge, np.append(edge[1:], len(block)), strict=True):
-                if current is not None and block[a] != current:
-                    yield flush()
-                    held = []
-                current = block[a]
-                held.append((codes[a:b], inside[a:b]))
-        if held:
-            yield flush()
-        for n, counts in exact.items():
-            used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(used), np.int64)), pa.array(used.astype(np.int64)), pa.array(counts[used]), pa.array(np.full(len(used), n, np.int32))], ["block", "code", "n", "kind"])
-
-    word = Window.partitionBy("kind", "code", "salt")
-    asked = blocked.select("doc_id", "text", "held_out", "block").mapInArrow(count, "block bigint, code bigint, n bigint, kind int")
-    # exact counts of frequent n-grams come once per task; they are dealt at random and added up below
-    asked = asked.withColumn("salt", F.when(F.col("kind") > 0, F.xxhash64("n", F.spark_partition_id()) % 64).otherwise(0))
-    counted = keep(asked.select(
-        "block", "code", "kind", "n", F.sum("n").over(word).alias("total"), (F.row_number().over(word.orderBy("block")) == 1).alias("first")), "word-counts")
-    exact = {(r["kind"], r["code"]): r["n"] for r in counted.filter("kind > 0").groupBy("kind", "code").agg(F.sum("n").alias("n")).collect()}
-    n_rare = counted.filter("kind = 0 and first and total > 0").count()
-    frequent = {n: [(tuple(g), exact.get((n, i), 0)) for i, g in enumerate(part.tolist())] for n, part in listed.items()}
-    types = n_rare + sum(1 for _, n in frequent[1] if n > 0)
-    total = n_train + ADDED * (types + 1)
-    kept = [(g, n) for part in frequent.values() for g, n in part if len(g) == 1 or n >= share * n_train]
-    model = spark.sparkContext.broadcast((kept, total))
-    cache: list[tuple] = []
+            pair, has2, triple, has3 = _grams(codes, np.repeat(np.arange(batch.num_rows), np.diff(off)))
+            for gram, there, context, context_n in (
+                (pair, has2, codes, words.number(words.of(codes, np.ones(len(codes), bool)))), (triple, has3, pair, grams.number(grams.of(pair, has2)))):
+                after = np.flatnonzero(there)
+                at = grams.of(gram, there)[after]
+                before[at[at >= 0]] = context[after - 1][at >= 0]
+                asked.append(_unique(context[after - 1][context_n[after - 1] >= max(1, floor)]))
+        mine = grams.b > 0
+        codes = np.concatenate([*asked, before[mine]])
+        n = np.concatenate([np.zeros(len(codes) - int(mine.sum()), np.int64), grams.a[mine]])
+        kinds = np.concatenate([np.zeros(len(codes) - int(mine.sum()), np.int64), np.ones(int(mine.sum()), np.int64)])
+        order = np.argsort(codes)
+        s = codes[order]
+        start = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+        numbers = [np.add.reduceat(x[order], start) if len(start) else x for x in (n, kinds)]
+        return pa.Table.from_batches([_asked(texts.column("block")[0].as_py() if texts.num_rows else 0, s[start], numbers, bits, 3)])
+
+    def add(rows: pa.Table) -> pa.Table:
+        codes, size, (n, kinds), _, _ = _added(rows, ["a", "b"])
+        return _answers(rows, size, kinds > 0, 3, codes, n, kinds)
+
+    asked = blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(contexts, "part int, block bigint, kind int, codes binary, a binary, b binary")
+    told = told.unionByName(asked.groupBy("part").applyInArrow(add, answer))
 
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        if not cache:
-            grams, _ = model.value
-            words = sorted(((g[0], n) for g, n in grams if len(g) == 1))
-            cache.append((Automaton(grams, model.value[1]), np.array([w for w, _ in words], np.uint64), np.array([n for _, n in words], np.int64)))
-        automaton, common, common_n = cache[0]
-        own = counts.column("code").to_numpy().view(np.uint64)
-        order = np.argsort(own, kind="stable")
-        own, own_n = own[order], counts.column("total").to_numpy()[order]
+        words, automaton = _Known(counts, 1), BlockAutomaton(_Known(counts, 2), _Known(counts, 3))
         outs = []
         for batch in slices(iter(texts.combine_chunks().to_batches())):
             codes, off = tokens(batch.column(1))
-            symbol, rare = _in(codes, common), _in(codes, own)
-            c = np.zeros(len(codes), np.int64)
-            if len(common_n):
-                c = np.where(symbol >= 0, common_n[symbol], c)
-            if len(own_n):
-                c = np.where((symbol < 0) & (rare >= 0), own_n[rare], c)
-            single = np.log10((c + ADDED) / model.value[1])
-            scores = [automaton.score(symbol[a:b].tolist(), single[a:b].tolist()) for a, b in zip(off[:-1], off[1:], strict=True)]
-            known = np.add.reduceat((c > 0).astype(np.int64), off[:-1]) if len(off) > 1 else np.zeros(0, np.int64)
-            base = np.add.reduceat(single, off[:-1]) if len(off) > 1 else np.zeros(0)
+            c = words.number(words.of(codes, np.ones(len(codes), bool)))
+            single = (c + ADDED) / below
+            chance = automaton.chances(codes, np.repeat(np.arange(batch.num_rows), np.diff(off)), c, single)
+            known, base, full = (np.add.reduceat(x, off[:-1]) for x in ((c > 0).astype(np.int64), np.log10(single), np.log10(chance)))
             outs.append(pa.table([
                 batch.column(0).cast(pa.int64()), batch.column(2), pa.array(np.diff(off)), pa.array(known), pa.array(np.full(batch.num_rows, n_train, np.int64)),
-                pa.array(base), pa.array(scores, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+                pa.array(base), pa.array(full)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         ddl = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables(outs).cast(ddl) if outs else ddl.empty_table()
 
-    own = counted.filter("kind = 0").select("block", "code", "total")
-    return blocked.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(
+    return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
         scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

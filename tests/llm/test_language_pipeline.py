@@ -130,3 +130,16 @@ def test_pipeline(spark, tmp_path):
             assert {r["doc_id"] for r in out.collect()} == set(state)
         frame = out
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frame.count()
+
+
+def test_rare_ngrams_stay_in_large_corpora(spark):
+    """The registered model has every pair and triple seen twice, however many tokens there are."""
+    rng = random.Random(14)
+    texts = {i: " ".join(f"w{rng.randrange(40)}" for _ in range(1000)) for i in range(130)}
+    pairs = [i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 10][:2]
+    texts |= {i: "rare pair here" for i in pairs}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    rows = {r["doc_id"]: tuple(r)[1:] for r in language.score(df, block_bytes=100_000).collect()}
+    total = next(iter(rows.values()))[3]
+    assert 2 < 4e-5 * total
+    check(rows, direct(texts, 2 / total))
