@@ -4,7 +4,9 @@ Rules are counted per text with array functions. The outlier step describes each
 text by four transformed statistics and estimates, per language and source, the
 minimum-covariance-determinant location and scatter: start from median and
 quartile range, then repeat concentration steps (keep the ``SUPPORT`` share with
-the smallest Mahalanobis distance, estimate again). Statistics are fixed-point
+the smallest Mahalanobis distance, estimate again). The estimate of a source is
+drawn towards that of its language by a weight that grows smoothly with its
+documents; nothing is borrowed from other languages. Statistics are fixed-point
 integers, so every sum is exact and the verdict does not depend on how the rows
 are dealt to tasks.
 """
@@ -24,14 +26,13 @@ SUPPORT = 0.75
 CONSISTENCY = 1.485
 #: Concentration steps; each lowers the determinant, and few are needed from a robust start.
 STEPS = 3
-#: Groups below this use the estimate over all documents.
-MIN_GROUP = 50
+#: What the estimate of its language weighs in that of a source, in documents.
+PRIOR = 50
 #: Squared distance beyond which a document is rejected (ten robust deviations).
 CUT = 100.0
 #: Fixed-point unit of the statistics, and the least deviation of each (keeps a constant statistic invertible).
 UNIT = 1000
 FLOOR = 40
-_ALL = "*"
 
 
 def bind(value: Column, body) -> Column:
@@ -106,8 +107,12 @@ def text_rules(docs: DataFrame) -> DataFrame:
     )
 
 
-def _key(lang: str = "lang", source: str = "source") -> Column:
-    return F.concat_ws("\x1f", lang, source)
+def _own() -> Column:
+    return F.concat(F.length("lang").cast("string"), F.lit(":"), "lang", "source")
+
+
+def _language() -> Column:
+    return F.concat(F.lit("*"), "lang")
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -131,9 +136,9 @@ def _start(rows: DataFrame) -> DataFrame:
         (F.col(f"s{i}") * F.col(f"s{i}") + FLOOR * FLOOR if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in p if j <= i])
 
 
-def _distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance by a Cholesky factor written out in columns."""
-    out = rows.join(small(model), "grp")
+def _distance(rows: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame:
+    """Squared Mahalanobis distance by a Cholesky factor written out in columns; null where a left join finds no model."""
+    out = rows.join(small(model), "grp", how)
     p = range(len(STATS))
     for j in p:
         for i in p:
@@ -166,27 +171,56 @@ def _concentrate(rows: DataFrame, model: DataFrame) -> DataFrame:
         for i in p for j in p if j <= i]), "mcd")
 
 
+def _shrunk(groups: DataFrame, model: DataFrame) -> DataFrame:
+    """Centre and scatter of each source, drawn towards its language; no row where the language has too few documents for an estimate.
+
+    A scatter of ``p`` statistics needs more than ``p`` documents in the inner
+    share. A source with ``x`` more than that weighs ``x`` against ``PRIOR``, and
+    the scatter takes in the offset between the two centres, as that of a
+    mixture does. Scatters are widened by what the documents of the language
+    are short of (the factor of Hotelling's distance of a new observation).
+    """
+    p = range(len(STATS))
+    pairs = [(i, j) for i in p for j in p if j <= i]
+    names = [f"m{i}" for i in p] + [f"c{i}{j}" for i, j in pairs]
+    sizes = groups.groupBy("language").agg(F.sum("n").alias("n_language"))
+    own = model.select(F.col("grp").alias("own"), *[F.col(c).alias(f"own_{c}") for c in names])
+    whole = model.select(F.col("grp").alias("language"), *[F.col(c).alias(f"whole_{c}") for c in names])
+    more = F.greatest(SUPPORT * F.col("n") - len(STATS), F.lit(0.0))
+    rows = groups.join(small(sizes), "language").join(small(own), "own").join(small(whole), "language")
+    rows = rows.withColumn("w", more / (more + PRIOR)).withColumn("sure", 1 - len(STATS) / (SUPPORT * F.col("n_language"))).filter("sure > 0")
+
+    def mixed(c: str) -> Column:
+        return F.col("w") * F.col(f"own_{c}") + (1 - F.col("w")) * F.col(f"whole_{c}")
+
+    def apart(i: int) -> Column:
+        return F.col(f"own_m{i}") - F.col(f"whole_m{i}")
+
+    return rows.select(F.col("own").alias("grp"), *[mixed(f"m{i}").alias(f"m{i}") for i in p], *[
+        ((mixed(f"c{i}{j}") + F.col("w") * (1 - F.col("w")) * apart(i) * apart(j)) / F.col("sure")).alias(f"c{i}{j}") for i, j in pairs])
+
+
 def quality(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """``text_rules`` with ``distance2`` (null where the rules failed already) and ``kept``.
 
     A document is kept if the rules pass and its robust distance from its
-    language and source is at most ``cut`` squared deviations. Groups of fewer
-    than ``MIN_GROUP`` passing documents use the estimate over all. Runs small
+    language and source is at most ``cut`` squared deviations. The fewer
+    documents a source has, the more its estimate is that of its language
+    (``_shrunk``). Where a language has too few documents for an estimate (5 that
+    pass the rules), they are kept and ``distance2`` is null. Runs small
     jobs while it is built: the statistics are written once, the estimates are
     a row per group. An empty table gives an empty one.
     """
     rules = keep(text_rules(docs), "quality")
-    passed = rules.filter(~F.col("base_failed")).withColumn("own", _key())
-    sizes = keep(passed.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_GROUP).select("own"), "mcd-groups")
-    fit = passed.select("own", *STATS).join(small(sizes.withColumn("large", F.lit(True))), "own", "left")
-    fit = fit.withColumn("grp", F.explode(F.array_compact(F.array(F.when(F.col("large"), F.col("own")), F.lit(_ALL))))).select("grp", *STATS)
+    passed = rules.filter(~F.col("base_failed")).withColumn("grp", _own())
+    groups = keep(passed.groupBy(F.col("grp").alias("own"), _language().alias("language")).agg(F.count(F.lit(1)).alias("n")), "mcd-groups")
+    fit = passed.withColumn("grp", F.explode(F.array("grp", _language()))).select("grp", *STATS)
     model = keep(_start(fit), "mcd-start")
     for _ in range(STEPS):
         model = _concentrate(fit, model)
-    scored = passed.join(small(sizes.withColumn("large", F.lit(True))), "own", "left")
-    scored = _distance(scored.withColumn("grp", F.when(F.col("large"), F.col("own")).otherwise(_ALL)), model)
+    scored = _distance(passed, keep(_shrunk(groups, model), "mcd-shrunk"), "left")
     names = [c for c in rules.columns if c not in STATS]
-    kept = scored.select(*names, F.col("d2").alias("distance2"), (F.col("d2") <= cut).alias("kept"))
+    kept = scored.select(*names, F.col("d2").alias("distance2"), F.coalesce(F.col("d2") <= cut, F.lit(True)).alias("kept"))
     lost = rules.filter("base_failed").select(*names, F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept"))
     return kept.unionByName(lost)
 

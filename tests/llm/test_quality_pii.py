@@ -81,6 +81,33 @@ def test_outliers_go_and_plain_texts_stay(spark):
     assert not any(verdict[i] for i, *_ in junk)
 
 
+def test_small_groups_are_judged_by_their_language(spark):
+    """Clean texts of a small language that looks unlike the others stay, junk in it goes, and nothing happens at 50 documents."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("aeinorst") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+
+    def plain():
+        return " ".join(" ".join(rng.choice(vocabulary) for _ in range(8)).capitalize() + "." for _ in range(8))
+
+    def joined():
+        return " ".join("".join(rng.choice(vocabulary) for _ in range(5)) for _ in range(30))
+
+    rows = [(i, plain(), "en", "s", 1) for i in range(300)]
+    rows += [(1000 + i, joined(), "zz", f"s{i % 4}", 1) for i in range(45)]
+    rows += [(2000 + i, joined(), "yy", "s", 1) for i in range(5)]
+    junk = [(3000, " ".join("#$" + w.upper() + "!!" for w in joined().split()), "zz", "s0", 1)]
+
+    def verdict(more):
+        return {r["doc_id"]: (r["kept"], r["distance2"]) for r in quality.quality(spark.createDataFrame(rows + junk + more, DOCS)).collect()}
+
+    got = verdict([])
+    assert all(got[i][0] for i, *_ in rows)
+    assert not got[3000][0]
+    assert all(got[2000 + i][1] is None for i in range(5))
+    later = verdict([(4000 + i, joined(), "zz", "s0", 1) for i in range(10)])
+    assert all(later[i][0] for i, *_ in rows) and not later[3000][0]
+
+
 def test_quality_of_odd_rows(spark):
     empty = spark.createDataFrame([], DOCS)
     assert quality.quality(empty).count() == 0
