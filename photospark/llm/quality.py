@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photospark.llm.scratch import keep, small
+from photospark.llm.scratch import keep, keyed, small
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 STATS = ("z_length", "z_symbol", "z_upper", "z_punct")
@@ -226,6 +226,7 @@ def quality(docs: DataFrame, cut: float = CUT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """The documents that ``quality`` keeps, all columns of ``docs``; an id that occurs more than once stays if any of its rows is kept."""
-    good = quality(docs, cut).filter("kept").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    """The documents that ``quality`` keeps, all columns of ``docs``; each row by its own verdict, also where ids are null or repeated."""
+    rows = keyed(docs)
+    good = quality(rows, cut).filter("kept").select("doc_id")
+    return rows.join(good, "doc_id", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +22,26 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame) -> DataFrame:
     """``df`` hinted for broadcast if it has at most ``BROADCAST_ROWS`` rows; beyond, Spark chooses the join."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` as the struct ``row``, with a ``doc_id`` that is unique to each row (its place in the files it is read from) in place of its own.
+
+    ``text``, ``lang`` and ``source`` stay columns where there are such. What is
+    not a plain Parquet table is written to the shared folder first.
+    """
+    def placed(rows: DataFrame) -> DataFrame:
+        own = [c for c in ("text", "lang", "source") if c in rows.columns]
+        return rows.select(
+            F.struct(*[rows[c] for c in rows.columns]).alias("row"), *own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+
+    # above other plans (a join, an explode) two rows can have the same place
+    plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
+    try:
+        rows = placed(docs if plain else keep(docs, "rows"))
+    except AnalysisException:
+        rows = placed(keep(docs, "rows"))
+    names = sorted(r["file"] for r in rows.select("file").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(name, i) for i, name in enumerate(names)], "file string, number bigint")
+    rows = rows.join(small(files), "file")
+    return rows.withColumn("doc_id", F.shiftleft("number", 40) + F.col("place")).drop("file", "number", "place")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from photospark.llm import repeats
 from photospark.llm.fragments import slices
-from photospark.llm.scratch import keep
+from photospark.llm.scratch import keep, keyed
 
 WIDTH = 35
 #: Rounds of naming; more give fewer, longer symbols with wider contexts.
@@ -214,10 +214,12 @@ def dedup(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFram
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without repeated passages: texts that lose words become their kept words joined by a space, others stay as they are.
 
-    ``n_chars``, if there is one, follows the text. All rows and columns stay.
+    ``n_chars``, if there is one, follows the text. All rows and columns stay,
+    and rows with a null or repeated id lose their own repeated words.
     """
-    left = dedup(docs, width).filter("n_removed > 0").select("doc_id", "kept")
-    rows = docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(left, "doc_id", "left")
+    keys = keyed(docs)
+    left = dedup(keys.select("doc_id", "text"), width).filter("n_removed > 0").select("doc_id", "kept")
+    rows = keys.select("doc_id", "row").join(left, "doc_id", "left")
     new = {"text": F.coalesce("kept", F.col("row")["text"])}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)

@@ -143,3 +143,22 @@ def test_rare_ngrams_stay_in_large_corpora(spark):
     total = next(iter(rows.values()))[3]
     assert 2 < 4e-5 * total
     check(rows, direct(texts, 2 / total))
+
+
+def test_stages_keep_rows_with_null_and_repeated_ids(spark):
+    """Every row gets its own verdict and loses its own words, whatever its id."""
+    from photospark.llm.quality import keep_good
+    from photospark.llm.substrings import remove_repeats
+
+    rng = random.Random(15)
+
+    def text(n):
+        return " ".join("".join(rng.choice("aeinorst") for _ in range(5)) for _ in range(n))
+
+    passage, alone = text(60), [text(30) for _ in range(6)]
+    rows = [(i, f"{a} {passage}") for i, a in zip([7, 7, 7, None, 8, None], alone, strict=True)] + [(8, "short"), (None, "short")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' lang", "'s' source")
+    want = sorted((str(i), a) for (i, _), a in zip(rows, [*alone, "short", "short"], strict=True))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in remove_repeats(df).collect()) == want
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in keep_good(df).collect())
+    assert kept == sorted((str(i), t) for i, t in rows if t != "short")
