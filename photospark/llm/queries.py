@@ -128,3 +128,10 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     from photospark.llm.language import score
 
     return score(table(spark, sf, "documents"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from photospark.llm.whitening import whiten
+
+    return whiten(table(spark, sf, "embeddings"))
