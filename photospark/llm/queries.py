@@ -135,3 +135,16 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     from photospark.llm.whitening import whiten
 
     return whiten(table(spark, sf, "embeddings"))
+
+
+@query("op12_warc_archives", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM p LEFT JOIN f USING (payload_digest)
+""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from photospark.llm.warc import round_trip
+
+    return round_trip(table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
