@@ -148,3 +148,10 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     from photospark.llm.warc import round_trip
 
     return round_trip(table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from photospark.llm.alignment import align
+
+    return align(table(spark, sf, "documents"))

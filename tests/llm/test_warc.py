@@ -65,9 +65,10 @@ def test_archives_hold_the_payloads_and_follow_the_format(spark, pages, tmp_path
     ids = {r["record_id"] for r in rows}
     for r in warc.read_archives(spark, folder, manifest).filter("record_type = 'revisit'").collect():
         assert r["payload"] is None and r["record_id"] not in ids
-    data = next((tmp_path / "out").glob("*.warc.zst")).read_bytes()
-    magic, size = struct.unpack("<II", data[:8])
-    assert magic == 0x184D2A5D
+    files = [f.read_bytes() for f in (tmp_path / "out").glob("*.warc.zst")]
+    # the archive of the one long page has too few records for a dictionary
+    data = next(f for f in files if f[:4] == struct.pack("<I", 0x184D2A5D))
+    size = struct.unpack("<I", data[4:8])[0]
     dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompressobj().decompress(data[8 : 8 + size]))
     one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
     assert one.decompress(data[8 + size :]).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and one.unused_data
