@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -26,11 +27,14 @@ from photospark.llm import bytebpe, sentence
 from photospark.llm.fragments import raw, slices
 from photospark.llm.scratch import keep
 
-#: Distinct fragments held between slices, and bits of a token id of side B in the code of a pair.
-REMEMBERED = 100_000
+#: Bytes of text of a block, and distinct fragments remembered between blocks.
+SLICE_BYTES = 3 << 20
+REMEMBERED = 250_000
+#: Fragments that are aligned at a time, and pairs that are expanded at a time.
+ALIGNED = 50_000
+EXPANDED = 1_000_000
+#: Bits of a token id of side B in the code of a pair.
 BITS = 32
-#: Token pairs of groups that are expanded at a time.
-EXPANDED = 4_000_000
 
 
 def labels(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,10 +120,10 @@ class Aligner:
         shown = _byte_values()
         size = self._a.get_vocab_size()
         # added tokens keep their own text
-        self._bytes_a = [bytes(shown[c] for c in t) if all(c in shown for c in t) else t.encode() for t in map(self._a.id_to_token, range(size))]
+        bytes_a = [bytes(shown[c] for c in t) if all(c in shown for c in t) else t.encode() for t in map(self._a.id_to_token, range(size))]
         pieces = map(self._b.id_to_piece, range(self._b.get_piece_size()))
-        self._bytes_b = [bytes([int(p[1:-1], 16)]) if self._b.is_byte(i) else p.replace(sentence.SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self._len_a, self._len_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self._bytes_a, self._bytes_b))
+        bytes_b = [bytes([int(p[1:-1], 16)]) if self._b.is_byte(i) else p.replace(sentence.SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self._spelt = [_Spelling(bytes_a), _Spelling(bytes_b)]
         agenda = sentence.Agenda(self._b)
         self.cuts = bytebpe._cuts() & sentence._cuts(agenda)
         self.whole = bytebpe.WHOLE.rpartition("|")[0] + "|" + sentence.WHOLE
@@ -130,14 +134,16 @@ class Aligner:
         a = [e.ids for e in self._a.encode_batch_fast(fragments, add_special_tokens=False)]
         # a new line is part of no piece, so it shields the fragment from the library's own leading space
         b = [ids[self._lead:] for ids in self._b.encode(["\n" + f for f in fragments], num_threads=1)]
-        told = [f.encode() for f in fragments]
-        good = np.array([b"".join(map(self._bytes_a.__getitem__, x)) == t == b"".join(map(self._bytes_b.__getitem__, y))
-                         for x, y, t in zip(a, b, told, strict=True)], bool)
-        a, b = ([x if g else [] for x, g in zip(side, good.tolist(), strict=True)] for side in (a, b))
-        n_a, n_b = (np.fromiter(map(len, side), np.int64, n) for side in (a, b))
-        ids_a, ids_b = (np.fromiter((i for x in side for i in x), np.int64) for side in (a, b))
+        body, off = raw(pa.array(fragments, pa.large_string()))
+        good, sides = np.ones(n, bool), []
+        for side, spelt in zip((a, b), self._spelt, strict=True):
+            count = np.fromiter(map(len, side), np.int64, n)
+            ids = np.fromiter(chain.from_iterable(side), np.int64, int(count.sum()))
+            good &= spelt.same(ids, count, body, off)
+            sides.append((ids, count))
+        (ids_a, n_a), (ids_b, n_b) = ((ids[np.repeat(good, count)], count * good) for ids, count in sides)
         # all fragments one after the other: their bounds are ends on both sides
-        group_a, group_b = labels(np.cumsum(self._len_a[ids_a]), np.cumsum(self._len_b[ids_b]))
+        group_a, group_b = labels(*(np.cumsum(x.length[ids]) for x, ids in zip(self._spelt, (ids_a, ids_b), strict=True)))
         groups = int(group_a[-1]) + 1 if len(group_a) else 0
         owner = np.zeros(groups, np.int64)
         owner[group_a] = np.repeat(np.arange(n), n_a)
@@ -167,34 +173,56 @@ def _byte_values() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
+class _Spelling:
+    """The bytes of the tokens of a vocabulary, for comparing runs of tokens with texts."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self._off = np.concatenate([[0], np.cumsum(self.length)])
+        self._flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def same(self, ids: np.ndarray, count: np.ndarray, body: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each text (``count`` of them) spell it; texts are not empty."""
+        total = np.concatenate([[0], np.cumsum(self.length[ids])])[np.concatenate([[0], np.cumsum(count)])]
+        size = np.diff(off)
+        fits = np.diff(total) == size
+        told = self._flat[_rows(self._off, ids[np.repeat(fits, count)])]
+        wrong = told != body[np.repeat(fits, size)]
+        out = fits.copy()
+        out[np.repeat(np.flatnonzero(fits), size[fits])[wrong]] = False
+        return out
+
+
 class _Memory:
-    """Alignments of fragments, kept between slices as rows of growing columns; two generations, so that frequent ones stay."""
+    """Alignments of fragments as growing columns. Past ``remembered`` rows only those of the last slice stay, hence the frequent ones."""
 
     def __init__(self, aligner: Aligner, remembered: int = REMEMBERED):
         self._aligner, self._remembered = aligner, remembered
-        self._old: dict[str, tuple] = {}
-        self._new: dict[str, tuple] = {}
-
-    def __call__(self, fragments: list[str]) -> list[tuple]:
-        """(n_a, n_b, n_groups, n_links, listed, pairs, links) of each of the distinct fragments."""
-        if len(self._new) > self._remembered:
-            self._old, self._new = self._new, {}
-        missing = []
-        for f in fragments:
-            if f not in self._new:
-                if (known := self._old.get(f)) is None:
-                    missing.append(f)
-                else:
-                    self._new[f] = known
-        for at in range(0, len(missing), 50_000):
-            part = missing[at : at + 50_000]
-            x = self._aligner(part)
-            bounds = x.bounds.tolist()
-            rows = zip(x.n_a.tolist(), x.n_b.tolist(), x.n_groups.tolist(), x.n_links.tolist(), x.listed, strict=True)
-            for i, (f, row) in enumerate(zip(part, rows, strict=True)):
-                # copies, or a row would keep the arrays of all
-                self._new[f] = (*row, x.pairs[bounds[i] : bounds[i + 1]].tobytes(), x.links[bounds[i] : bounds[i + 1]].tobytes())
-        return [self._new[f] for f in fragments]
+        self._row: dict[str, int] = {}
+        self._counts, self._listed, self._off = np.zeros((0, 4), np.int64), [], np.zeros(1, np.int64)
+        self._pairs, self._links = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __call__(self, fragments: list[str]) -> tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray, np.ndarray]:
+        """(counts, texts of groups, offsets into pairs, pairs, links) of distinct fragments."""
+        missing = [f for f in fragments if f not in self._row]
+        parts = [self._aligner(missing[at : at + ALIGNED]) for at in range(0, len(missing), ALIGNED)]
+        if parts:
+            self._row.update(zip(missing, range(len(self._row), len(self._row) + len(missing)), strict=True))
+            self._counts = np.concatenate([self._counts, *(np.stack([x.n_a, x.n_b, x.n_groups, x.n_links], axis=1) for x in parts)])
+            for x in parts:
+                self._listed += x.listed
+            self._off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(self._off), *(np.diff(x.bounds) for x in parts)]))])
+            self._pairs = np.concatenate([self._pairs, *(x.pairs for x in parts)])
+            self._links = np.concatenate([self._links, *(x.links for x in parts)])
+        at = np.fromiter(map(self._row.__getitem__, fragments), np.int64, len(fragments))
+        entries = _rows(self._off, at)
+        off = np.concatenate([[0], np.cumsum(np.diff(self._off)[at])])
+        out = self._counts[at], [self._listed[i] for i in at.tolist()], off, self._pairs[entries], self._links[entries]
+        if len(self._row) > self._remembered:
+            self._row = dict(zip(fragments, range(len(fragments)), strict=True))
+            self._counts, self._listed, self._off, self._pairs, self._links = out
+            self._listed = list(self._listed)
+        return out
 
 
 _BLOCKS = "block string, pairs array<bigint>, documents array<bigint>, body binary"
@@ -203,18 +231,27 @@ _BLOCKS = "block string, pairs array<bigint>, documents array<bigint>, body bina
 def _pack(**arrays: np.ndarray) -> bytes:
     import io
 
+    import zstandard
+
     out = io.BytesIO()
     np.savez(out, **arrays)
-    return out.getvalue()
+    return zstandard.ZstdCompressor(level=1).compress(out.getbuffer())
 
 
 def _unpack(body: bytes) -> dict[str, np.ndarray]:
     import io
 
-    with np.load(io.BytesIO(body)) as stored:
+    import zstandard
+
+    with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(body))) as stored:
         return {k: stored[k] for k in stored.files}
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _rows(off: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Positions of the entries of rows ``at`` of a table with offsets ``off``, row after row."""
     size = np.diff(off)[at]
@@ -235,47 +272,45 @@ def _block(ids: pa.Array, text: pa.Array, aligner: Aligner, memory: _Memory) ->
     start[off[:-1][off[:-1] < off[1:]]] = True
     places = np.flatnonzero(start)
     frags = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(np.append(places, len(body))), pa.py_buffer(body)).dictionary_encode()
-    known = memory(frags.dictionary.to_pylist())
-    codes = frags.indices.to_numpy().astype(np.int64)
-    doc = np.searchsorted(off, places, side="right") - 1
-    counts = np.array([r[:4] for r in known], np.int64).reshape(-1, 4)
-    bad = np.array([r[4] is None for r in known], bool)
-    spoilt = np.zeros(n, bool)
-    spoilt[doc[bad[codes]]] = True
-    held = ~spoilt[doc]
-    doc, codes = doc[held], codes[held]
-    totals = np.zeros((n, 4), np.int64)
-    np.add.at(totals, doc, counts[codes])
-    listed = [r[4] for r in known]
-    bounds = np.searchsorted(doc, np.arange(n + 1))
-    shas = [hashlib.sha256(";".join(map(listed.__getitem__, codes[bounds[i] : bounds[i + 1]].tolist())).encode()).hexdigest()
-            if bounds[i] < bounds[i + 1] else "" for i in range(n)]
+    counts, listed, pair_off, flat, links = memory(frags.dictionary.to_pylist())
+    codes = frags.indices.to_numpy()
+    size = np.diff(np.searchsorted(places, off))
+    bad = np.array([text is None for text in listed], bool)
+    if bad.any():
+        spoilt = np.zeros(n, bool)
+        spoilt[np.repeat(np.arange(n), size)[bad[codes]]] = True
+        codes, size = codes[~np.repeat(spoilt, size)], np.where(spoilt, 0, size)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[codes], axis=0)])
+    totals = sums[bounds[1:]] - sums[bounds[:-1]]
+    named = list(map(listed.__getitem__, codes.tolist()))
+    cut = bounds.tolist()
+    shas = [hashlib.sha256(";".join(named[x:y]).encode()).digest() if x < y else bytes(32) for x, y in zip(cut, cut[1:], strict=False)]
     # a document's distinct fragments, with how often they occur
-    doc, frag, occurs = _counted(doc, codes, np.ones(len(codes), np.int64))
-    own = [np.frombuffer(r[5], np.int64) for r in known]
-    pair_off = np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)])
-    flat = np.concatenate(own) if own else np.zeros(0, np.int64)
-    links = np.frombuffer(b"".join(r[6] for r in known), np.int64)
+    key, occurs = np.unique(np.repeat(np.arange(n), size) * max(len(listed), 1) + codes, return_counts=True)
+    doc, frag = np.divmod(key, max(len(listed), 1))
+    held = np.bincount(doc, minlength=n)
     pairs, number = np.unique(flat, return_inverse=True)
     number = number.reshape(-1)
     holders = np.zeros(len(pairs), np.int64)
     # in portions of documents, so that what is expanded stays bounded (or one document)
-    width = np.cumsum(np.diff(pair_off)[frag])
+    ends = np.cumsum(held)
+    width = np.concatenate([[0], np.cumsum(np.diff(pair_off)[frag])])[np.concatenate([[0], ends])]
     at = 0
-    while at < len(frag):
-        limit = (width[at - 1] if at else 0) + EXPANDED
-        to = int(np.searchsorted(doc, doc[min(max(at, int(np.searchsorted(width, limit, side="right")) - 1), len(doc) - 1)], side="left"))
-        to = to if to > at else int(np.searchsorted(doc, doc[at], side="right"))
-        entries = number[_rows(pair_off, frag[at:to])]
-        key = np.repeat(doc[at:to], np.diff(pair_off)[frag[at:to]]) * len(pairs) + entries
-        np.add.at(holders, np.unique(key) % len(pairs), 1)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(width, width[at] + EXPANDED, side="right")) - 1)
+        part = frag[ends[at] - held[at] : ends[to - 1]]
+        owner = np.repeat(np.repeat(np.arange(to - at), held[at:to]), np.diff(pair_off)[part])
+        found = np.sort(owner * len(pairs) + number[_rows(pair_off, part)])
+        first = np.ones(len(found), bool)
+        first[1:] = found[1:] != found[:-1]
+        holders += np.bincount(found[first] % max(len(pairs), 1), minlength=len(pairs))
         at = to
     used = holders > 0
     stored = _pack(
-        doc_id=ids.fill_null(0).to_numpy(), no_id=ids.is_null().to_numpy(zero_copy_only=False), totals=totals,
-        sha=np.frombuffer(b"".join(bytes.fromhex(s) if s else bytes(32) for s in shas), np.uint8), empty=np.array([not s for s in shas], bool),
-        doc=doc.astype(np.int32), frag=frag.astype(np.int32), occurs=occurs.astype(np.int32), pair_off=pair_off,
-        number=(np.cumsum(used) - 1)[number].astype(np.int32), links=links.astype(np.int32) if links.max(initial=0) < 1 << 31 else links)
+        doc_id=ids.fill_null(0).to_numpy(), no_id=ids.is_null().to_numpy(zero_copy_only=False), totals=totals, sha=np.frombuffer(b"".join(shas), np.uint8),
+        held=_narrow(held), frag=_narrow(frag), occurs=_narrow(occurs), width=_narrow(np.diff(pair_off)), number=_narrow((np.cumsum(used) - 1)[number] * used[number]),
+        links=_narrow(links * used[number]))
     return pairs[used], holders[used], stored
 
 
@@ -285,7 +320,7 @@ def _blocks(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str) -> Dat
 
         aligner = Aligner(byte_vocabulary, piece_vocabulary)
         memory = _Memory(aligner)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             pairs, holders, body = _block(batch.column(0), batch.column(1), aligner, memory)
             one = pa.array([0, len(pairs)], pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -345,14 +380,18 @@ def _scored(block: pa.Table, answers: pa.Table) -> pa.Table:
     count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     count[place], best[place] = answers.column("count").to_numpy(), answers.column("best").to_numpy()
     n = len(x["doc_id"])
-    out = np.zeros((n, 2), np.int64)
-    # per fragment, its links weighted by what their pairs are worth; the last entry is for pairs of no document
-    for k, worth in enumerate((best, count)):
-        total = np.concatenate([[0], np.cumsum(x["links"].astype(np.int64) * np.append(worth, 0)[x["number"]])])
-        np.add.at(out[:, k], x["doc"], (total[x["pair_off"][1:]] - total[x["pair_off"][:-1]])[x["frag"]] * x["occurs"])
-    shas = x["sha"].tobytes()
-    listed = ["" if none else shas[32 * i : 32 * i + 32].hex() for i, none in enumerate(x["empty"].tolist())]
+    ends = np.concatenate([[0], np.cumsum(x["held"].astype(np.int64))])
+    cut = np.concatenate([[0], np.cumsum(x["width"].astype(np.int64))])
+    frag, occurs, links = x["frag"].astype(np.int64), x["occurs"].astype(np.int64), x["links"].astype(np.int64)
+    out = []
+    # a fragment is worth its links times what their pairs are worth; pairs of no document have no links
+    for worth in (best, count):
+        total = np.concatenate([[0], np.cumsum(links * (worth[x["number"]] if len(worth) else 0))])
+        total = np.concatenate([[0], np.cumsum((total[cut[1:]] - total[cut[:-1]])[frag] * occurs)])
+        out.append(total[ends[1:]] - total[ends[:-1]])
+    shas, none = x["sha"].tobytes(), (x["held"] == 0).tolist()
+    listed = ["" if none[i] else shas[32 * i : 32 * i + 32].hex() for i in range(n)]
     totals = x["totals"]
     return pa.table({
         "doc_id": pa.array(x["doc_id"], pa.int64(), mask=x["no_id"]), "n_a": totals[:, 0], "n_b": totals[:, 1], "n_groups": totals[:, 2],
-        "n_links": totals[:, 3], "n_best": out[:, 0], "count_sum": out[:, 1], "groups_sha256": pa.array(listed, pa.string())})
+        "n_links": totals[:, 3], "n_best": out[0], "count_sum": out[1], "groups_sha256": pa.array(listed, pa.string())})

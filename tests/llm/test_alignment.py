@@ -86,7 +86,7 @@ def test_small_slices_portions_and_memory(spark, texts, monkeypatch):
     monkeypatch.setattr(alignment, "EXPANDED", 50)
     memory = alignment._Memory.__init__
     monkeypatch.setattr(alignment._Memory, "__init__", lambda self, aligner: memory(self, aligner, 40))
-    monkeypatch.setattr(alignment, "slices", lambda batches, cut=alignment.slices: cut(batches, 2000))
+    monkeypatch.setattr(alignment, "slices", lambda batches, limit, cut=alignment.slices: cut(batches, 2000))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(2)
     got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in alignment.align(docs).collect()}
     assert [got[i] for i in range(len(texts))] == wanted(texts)
