@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from photospark.llm.fragments import FragmentEncoder, slices
+from photospark.llm.fragments import FragmentEncoder, held, slices
 
 #: The id that ends each document.
 END = 2
@@ -45,7 +45,7 @@ def pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, en
     Yields (doc ids of the pieces, piece numbers, starts within the document,
     lengths, all ids, starts within all ids).
     """
-    encode = encoder(vocabulary)
+    encode = held(("bytes", vocabulary), lambda: encoder(vocabulary))
     for batch in slices(batches):
         plain, off = encode(batch.column(batch.schema.get_field_index("text")))
         docs = np.arange(batch.num_rows)

@@ -20,6 +20,22 @@ SLICE_BYTES = 6 << 20
 REMEMBERED = 250_000
 
 
+def held(key: tuple, make: Callable):
+    """What ``make`` gives, kept in the worker process for its next tasks with this key; another key takes its place.
+
+    Kernels travel by value, so their own module would be new in every task.
+    """
+    import sys
+    import types
+
+    place = sys.modules.setdefault("photospark_worker", types.ModuleType("photospark_worker"))
+    if getattr(place, "key", None) != key:
+        place.key = place.value = None
+        place.value = make()
+        place.key = key
+    return place.value
+
+
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the text of each holds about ``limit`` bytes (or one row); null texts become empty."""
     for batch in batches:
@@ -52,20 +68,19 @@ class FragmentEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], cuts: np.ndarray, whole: str, remembered: int = REMEMBERED):
         self._encode, self._cuts, self._whole, self._remembered = encode, cuts, whole, remembered
-        self._forget()
-
-    def _forget(self) -> None:
         self._rows: dict[str, int] = {}
         self._lists: list[np.ndarray] = []
 
     def _look_up(self, distinct: list[str]) -> list[np.ndarray]:
-        if len(self._rows) > self._remembered:
-            self._forget()
         new = [f for f in distinct if f not in self._rows]
         for f, ids in zip(new, self._encode(new), strict=True):
             self._rows[f] = len(self._lists)
             self._lists.append(np.array(ids, np.uint32))
-        return [self._lists[self._rows[f]] for f in distinct]
+        found = [self._lists[self._rows[f]] for f in distinct]
+        if len(self._rows) > self._remembered:
+            # those of the last slice stay, hence the frequent ones
+            self._rows, self._lists = dict(zip(distinct, range(len(distinct)), strict=True)), list(found)
+        return found
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint32, offsets of the texts in them)."""

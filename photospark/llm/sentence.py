@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photospark.llm.fragments import FragmentEncoder, slices
+from photospark.llm.fragments import FragmentEncoder, held, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -120,7 +120,7 @@ def _encoded(docs: DataFrame, vocabulary: str | None, rows, names: list[str], sc
 
         vocabulary = public_tokenizers.path(VOCABULARY)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made():
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
@@ -140,7 +140,10 @@ def _encoded(docs: DataFrame, vocabulary: str | None, rows, names: list[str], sc
                 out.append(own)
             return out
 
-        encoder = FragmentEncoder(checked, _cuts(agenda), WHOLE)
+        return library, FragmentEncoder(checked, _cuts(agenda), WHOLE), wrong
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library, encoder, wrong = held(("pieces", vocabulary), made)
         for batch in slices(batches):
             text = batch.column(batch.schema.get_field_index("text"))
             given = pc.if_else(pc.equal(text, ""), text, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, pa.scalar("", pa.large_string())))
