@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photospark.llm import bytebpe, sentence
-from photospark.llm.fragments import raw, slices
+from photospark.llm.fragments import held, raw, slices
 from photospark.llm.scratch import keep
 
 #: Bytes of text of a block, and distinct fragments remembered between blocks.
-SLICE_BYTES = 3 << 20
-REMEMBERED = 250_000
+SLICE_BYTES = 2 << 20
+REMEMBERED = 150_000
 #: Fragments that are aligned at a time, and pairs that are expanded at a time.
-ALIGNED = 50_000
-EXPANDED = 1_000_000
+ALIGNED = 20_000
+EXPANDED = 300_000
 #: Bits of a token id of side B in the code of a pair.
 BITS = 32
 
@@ -318,8 +318,11 @@ def _blocks(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        aligner = Aligner(byte_vocabulary, piece_vocabulary)
-        memory = _Memory(aligner)
+        def made():
+            aligner = Aligner(byte_vocabulary, piece_vocabulary)
+            return aligner, _Memory(aligner)
+
+        aligner, memory = held(("aligned", byte_vocabulary, piece_vocabulary), made)
         for batch in slices(batches, SLICE_BYTES):
             pairs, holders, body = _block(batch.column(0), batch.column(1), aligner, memory)
             one = pa.array([0, len(pairs)], pa.int32())
