@@ -16,6 +16,8 @@ REPORT_DISPOSITIONS = (
 )
 BELOW_THRESHOLD = "SUB-THRESHOLD"
 QUALITY_BITMASK = 175
+#: Stars brighter than this saturate the detector.
+BRIGHT_TMAG = 6.0
 SDE_DISCARD = 5.0
 SDE_FULL = 7.0
 GOLD_CONFIDENCE = 0.90
@@ -30,7 +32,7 @@ def quality_ok(time: Column, flux: Column, err: Column, quality: Column | None,
     return ok & (F.coalesce(quality, F.lit(0)).bitwiseAND(F.lit(bitmask)) == 0)
 
 
-def exclusion_reason(tmag: Column, n_cadences: Column, min_cadences: int = 500, bright: float = 6.0) -> Column:
+def exclusion_reason(tmag: Column, n_cadences: Column, min_cadences: int = 500, bright: float = BRIGHT_TMAG) -> Column:
     """``SATURATED`` before ``TOO_FEW_CADENCES`` before ``NONE``; a missing magnitude never excludes."""
     return (
         F.when(is_number(tmag) & (tmag < bright), "SATURATED")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photospark.functions import rules
+from photospark.functions.ranktree import biweight_location
 from photospark.plans.groups import (
     MAX_GROUP_ROWS, group_quantiles, join_to_groups, small_side, split_by_size, spread,
     with_group_median,
@@ -17,6 +18,11 @@ from photospark.plans.groups import (
 from photospark.plans.lineage import pin
 from photospark.schema import DAY_US, SERIES_KEY
 
+#: Cadences of a window up to which it is cheaper to sort each window than to build a rank tree.
+DIRECT_WINDOW = 400
+#: Microseconds by which the two times of a cadence may differ.
+TIME_SLACK_US = 500_000
+
 
 def quality_mask(series: DataFrame, bitmask: int = rules.QUALITY_BITMASK) -> DataFrame:
     """Drop cadences with a missing measurement or a flagged quality bit."""
@@ -154,11 +160,20 @@ def series_stats(
     )
 
 
-def biweight_location(times: np.ndarray, values: np.ndarray, half: np.ndarray, iterations: int, cval: float) -> np.ndarray:
-    """Tukey biweight of the values within ``half`` of each time; times are sorted integers."""
-    n = len(times)
-    first = np.searchsorted(times, times - half, side="left")
-    last = np.searchsorted(times, times + half, side="right")
+def sliding_biweight(times: np.ndarray, values: np.ndarray, half: np.ndarray, iterations: int, cval: float) -> np.ndarray:
+    """Tukey biweight of the finite values within ``half`` of each time; times are sorted integers.
+
+    Windows of few cadences are sorted one by one, larger ones go through a
+    rank tree whose cost does not depend on what a window holds. Both are exact.
+    """
+    first, last = np.searchsorted(times, times - half, side="left"), np.searchsorted(times, times + half, side="right")
+    if len(times) and (last - first).max() <= DIRECT_WINDOW and np.isfinite(values).all():
+        return _direct_biweight(values, first, last, iterations, cval)
+    return biweight_location(times, values, half, iterations, cval)
+
+
+def _direct_biweight(values: np.ndarray, first: np.ndarray, last: np.ndarray, iterations: int, cval: float) -> np.ndarray:
+    n = len(values)
     out = np.empty(n)
     width = int((last - first).max())
     step = max(1, 131_072 // width)  # a block of windows stays in the processor cache
@@ -203,7 +218,7 @@ def biweight_detrend(
     cval: float = 5.0,
     chunk_days: float = 4.0,
     keys: Sequence[str] = SERIES_KEY,
-    piece_rows: int = 500_000,
+    piece_rows: int = 100_000,
 ) -> DataFrame:
     """Divide the flux by a sliding robust mean; adds ``trend`` and replaces ``flux``.
 
@@ -211,7 +226,8 @@ def biweight_detrend(
     median, so a kernel works on pieces of ``chunk_days`` with half a window of
     neighbours on each side; a long series becomes many independent pieces.
     Where a series is so dense that a piece would pass ``piece_rows``, its
-    pieces are shorter, down to an eighth of the window.
+    pieces are shorter, down to an eighth of the window. Values that are no
+    finite number take no part in the trend.
     """
     keys = list(keys)
     spans = series.groupBy(*keys).agg(
@@ -242,7 +258,7 @@ def biweight_detrend(
         if not core.any():
             return pdf.iloc[:0][columns].assign(trend=pd.Series(dtype=float))
         flux = pdf["flux"].to_numpy(float)
-        trend = biweight_location(pdf["time_us"].to_numpy(), flux, pdf["_half"].to_numpy(), iterations, cval)
+        trend = sliding_biweight(pdf["time_us"].to_numpy(), flux, pdf["_half"].to_numpy(), iterations, cval)
         out = pdf[columns].copy()
         with np.errstate(divide="ignore", invalid="ignore"):
             out["flux"] = np.where(trend == 0, np.nan, flux / trend)
@@ -295,29 +311,21 @@ def transit_preserved(
     )
 
 
-def preprocess(
+def _preprocess_large(
     series: DataFrame,
     meta: DataFrame,
-    window: float = 0.75,
-    gap_threshold: float = 0.1,
-    edge_days: float = 0.5,
-    min_cadences: int = 500,
-    iterations: int = 6,
-    max_rows: int | None = MAX_GROUP_ROWS,
+    window: float,
+    gap_threshold: float,
+    edge_days: float,
+    min_cadences: int,
+    iterations: int,
+    max_rows: int | None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The cleaning chain: (clean curves, one status row per series).
-
-    Mask, clip and normalise, drop gap edges, apply the exclusion rules,
-    detrend. Only series that reach ``PREPROCESSED`` appear in the curves.
-    ``meta`` may list series without data; they get ``MISSING_RAW``.
-    """
+    """The chain for series too long for one task, step by step over partial aggregates: (clean curves, status)."""
     keys = list(SERIES_KEY)
     quality = F.col("quality") if "quality" in series.columns else None
     usable = rules.quality_ok(F.col("time"), F.col("flux"), F.col("flux_err"), quality)
     counts = pin(series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(usable).alias("n_masked")))
-    # cleaning only drops rows, so the largest series decides for the whole chain
-    if max_rows is not None and (counts.agg(F.max("n_raw")).first()[0] or 0) <= max_rows:
-        max_rows = None
     normal = pin(median_normalise(sigma_clip(quality_mask(series), max_rows=max_rows), max_rows=max_rows))
     gaps = find_gaps(normal, gap_threshold)
     good = mark_gap_edges(normal, gaps, edge_days).filter(~F.col("gap_mask")).drop("gap_mask")
@@ -347,6 +355,140 @@ def preprocess(
     return biweight_detrend(kept, window, iterations), status
 
 
+#: Columns of a status row beside the series key.
+STATUS = ("status", "n_cadences", "n_gaps", "median_flux_err")
+
+
+def clip_mask(flux: np.ndarray, sigma: float = 5.0, iters: int = 5) -> np.ndarray:
+    """Which values ``sigma_clip`` keeps, for one series in memory."""
+    keep = np.ones(len(flux), bool)
+    for _ in range(iters):
+        kept = flux[keep]
+        if not len(kept):
+            break
+        wide = keep & (np.abs(flux - np.median(kept)) > sigma * kept.std())
+        if not wide.any():
+            break
+        keep &= ~wide
+    return keep
+
+
+def gap_edges(time: np.ndarray, threshold: float, edge_days: float) -> tuple[int, np.ndarray]:
+    """(number of gaps, which cadences lie within ``edge_days`` of one) for sorted times."""
+    at = np.flatnonzero(np.diff(time) > threshold)
+    near = np.zeros(len(time) + 1, np.int64)
+    for low, high in ((time[at] - edge_days, time[at]), (time[at + 1], time[at + 1] + edge_days)):
+        np.add.at(near, np.searchsorted(time, low, side="left"), 1)
+        np.add.at(near, np.searchsorted(time, high, side="right"), -1)
+    return len(at), np.cumsum(near)[:-1] > 0
+
+
+def _scaled(values: np.ndarray) -> float:
+    """What the median divides by: 1 where it is not positive."""
+    middle = float(np.median(values)) if len(values) else 1.0
+    return middle if middle > 0 else 1.0
+
+
+def _clean_series(pdf: pd.DataFrame, tmags: list, window, gap_threshold, edge_days, min_cadences, iterations) -> tuple[list, pd.DataFrame | None]:
+    """(status rows, clean curve or ``None``) of one series, one status row per entry of ``tmags``."""
+    if not len(pdf):
+        return [("MISSING_RAW", None, None, None)] * len(tmags), None
+    apart = np.abs(pdf["time"].to_numpy(float) * DAY_US - pdf["time_us"].to_numpy(float)) > TIME_SLACK_US
+    if apart.any():
+        raise ValueError(f"{int(apart.sum())} of {len(pdf)} cadences have two different times")
+    good = pdf[["time", "flux", "flux_err"]].notna().all(axis=1).to_numpy()
+    if "quality" in pdf:
+        good &= (pdf["quality"].fillna(0).to_numpy(np.int64) & rules.QUALITY_BITMASK) == 0
+    n_masked = int(good.sum())
+    pdf = pdf[good].sort_values("time_us", kind="stable")
+    pdf = pdf[clip_mask(pdf["flux"].to_numpy(float))]
+    scale = _scaled(pdf["flux"].to_numpy(float))
+    pdf = pdf.assign(flux=pdf["flux"] / scale, flux_err=pdf["flux_err"] / scale)
+    n_gaps, near = gap_edges(pdf["time"].to_numpy(float), gap_threshold, edge_days)
+    pdf = pdf[~near]
+
+    def status(tmag) -> str:
+        if n_masked < min_cadences:
+            return "TOO_FEW_CADENCES"
+        if tmag is not None and tmag < rules.BRIGHT_TMAG:
+            return "SATURATED"
+        return "TOO_FEW_CADENCES" if len(pdf) < min_cadences else "PREPROCESSED"
+
+    done = ("PREPROCESSED", len(pdf), n_gaps, float(pdf["flux_err"].median())) if len(pdf) else None
+    rows = [done if (s := status(t)) == "PREPROCESSED" else (s, None, None, None) for t in tmags]
+    if done not in rows:
+        return rows, None
+    flux, times = pdf["flux"].to_numpy(float), pdf["time_us"].to_numpy(np.int64)
+    full = int(window * DAY_US)
+    span = int(times[-1] - times[0])
+    half = full // 2 if span >= full else span // 4 if span > 0 else int(0.1 * DAY_US) // 2
+    trend = sliding_biweight(times, flux, np.full(len(times), half), iterations, 5.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return rows, pdf.assign(flux=np.where(trend == 0, np.nan, flux / trend), flux_norm=flux / _scaled(flux), trend=trend)
+
+
+def preprocess_rows(
+    series: DataFrame,
+    meta: DataFrame,
+    window: float = 0.75,
+    gap_threshold: float = 0.1,
+    edge_days: float = 0.5,
+    min_cadences: int = 500,
+    iterations: int = 6,
+    max_rows: int | None = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """The cleaning chain in one frame: clean cadences (``status`` null) and one status row per series.
+
+    Mask, clip and normalise, drop gap edges, apply the exclusion rules,
+    detrend, in one kernel per series: the series are shuffled once and nothing
+    is written in between. A series that fails does not end the job; it gives
+    ``ERROR: `` and the reason, and no cadences. Only series that reach
+    ``PREPROCESSED`` have cadences. ``meta`` may list series without data; they
+    get ``MISSING_RAW``. Series above ``max_rows`` take the steps one by one.
+    """
+    keys = list(SERIES_KEY)
+    options = (window, gap_threshold, edge_days, min_cadences, iterations)
+    columns = [*series.columns, "flux_norm", "trend", *STATUS]
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields} | {
+        "flux_norm": "double", "trend": "double", "status": "string", "n_cadences": "bigint", "n_gaps": "bigint", "median_flux_err": "double"}
+    counts = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n_series, largest = counts.agg(F.count(F.lit(1)), F.max("_n")).first()
+    small, stars, large = series, meta.select(*keys, F.col("tmag").cast("double").alias("tmag")), None
+    if max_rows is not None and (largest or 0) > max_rows:
+        small, large, large_keys = split_by_size(series, keys, max_rows)
+        theirs, stars = stars.join(large_keys, keys, "left_semi"), stars.join(large_keys, keys, "left_anti")
+
+    def kernel(key: tuple, rows: pd.DataFrame, star: pd.DataFrame) -> pd.DataFrame:
+        tmags = [None if pd.isna(t) else float(t) for t in star["tmag"]] or [None]
+        try:
+            status, curve = _clean_series(rows, tmags, *options)
+        except Exception as error:  # noqa: BLE001 - whatever is wrong with one series, the others go on
+            status, curve = [(f"ERROR: {error}", None, None, None)] * len(tmags), None
+        out = pd.DataFrame(status, columns=list(STATUS)).assign(**dict(zip(keys, key)))
+        out[["n_cadences", "n_gaps"]] = out[["n_cadences", "n_gaps"]].astype("Int64")
+        if curve is not None:
+            out = pd.concat([curve.reset_index(drop=True), out], ignore_index=True)
+        return out.reindex(columns=columns)
+
+    placed = [spread(df, keys, n_series).groupBy(*keys) for df in (small, stars)]
+    out = placed[0].cogroup(placed[1]).applyInPandas(kernel, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    if large is None:
+        return out
+    curves, status = _preprocess_large(large, theirs, *options, max_rows)
+    return out.unionByName(curves, allowMissingColumns=True).unionByName(status.select(*keys, *STATUS), allowMissingColumns=True)
+
+
+def preprocess(series: DataFrame, meta: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """``preprocess_rows`` as (clean curves, one status row per series).
+
+    Both sides are views of one plan: to keep both, write ``preprocess_rows``
+    once and split it by ``status``.
+    """
+    rows = preprocess_rows(series, meta, **options)
+    done = F.col("status").isNotNull()
+    return rows.filter(~done).drop(*STATUS), rows.filter(done).select(*SERIES_KEY, *STATUS)
+
+
 def mask_transits(series: DataFrame, candidates: DataFrame, value: float = 1.0) -> DataFrame:
     """Set the flux inside the transits of each series' candidates to ``value``."""
     from photospark.functions.scalars import in_transit

@@ -107,6 +107,34 @@ def test_preprocess_statuses(spark):
     assert {r.tic_id for r in curves.select("tic_id").distinct().collect()} == {1}
 
 
+@pytest.mark.parametrize("max_rows", [None, 1_000_000, 500])
+def test_preprocess_ways_agree_and_a_broken_series_is_told(spark, max_rows):
+    broken = transit_curve(n=700, tic=5).assign(time_us=0)
+    gappy = transit_curve(n=1500, tic=2)
+    gappy = gappy[(gappy.time < 8) | (gappy.time > 11)]
+    df = series_df(spark, transit_curve(n=1200, tic=1), gappy, transit_curve(n=330, tic=3), broken)
+    meta = spark.createDataFrame([(t, 1, 10.0) for t in range(1, 7)] + [(1, 1, 3.0)], "tic_id bigint, sector int, tmag double")
+    if max_rows == 500:  # the step-by-step way has no kernel that could fail
+        df, meta = df.filter("tic_id < 5"), meta.filter("tic_id <> 5")
+    curves, status = clean.preprocess(df, meta, min_cadences=200, max_rows=max_rows)
+    got = sorted((r.tic_id, r.status, r.n_cadences, r.n_gaps) for r in status.collect())
+    n = int(((gappy.time < 7.5) | (gappy.time > 11.5)).sum())
+    want = [(1, "PREPROCESSED", 1200, 0), (1, "SATURATED", None, None), (2, "PREPROCESSED", n, 1), (3, "PREPROCESSED", 330, 0),
+            (4, "MISSING_RAW", None, None), (5, "ERROR: 699 of 700 cadences have two different times", None, None), (6, "MISSING_RAW", None, None)]
+    assert [g[:2] for g in got] == [w[:2] for w in want if max_rows != 500 or w[0] != 5]
+    assert abs(dict((g[0], g[2]) for g in got)[2] - n) <= 2
+    rows = curves.toPandas().sort_values(["tic_id", "time_us"])
+    assert set(rows.tic_id) == {1, 2, 3} and rows.columns.tolist() == [*df.columns, "flux_norm", "trend"]
+    assert rows.trend.between(0.98, 1.02).all() and np.allclose(rows.flux * rows.trend / rows.flux_norm, 1, atol=0.02)
+
+
+def test_preprocess_shuffles_the_series_once(spark):
+    df = series_df(spark, transit_curve(n=700))
+    meta = spark.createDataFrame([(1, 1, 10.0)], "tic_id bigint, sector int, tmag double")
+    plan = clean.preprocess_rows(df, meta)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 2 and plan.count("FlatMapCoGroups") == 1
+
+
 def test_exclusion_boundaries(spark):
     rows = spark.createDataFrame(
         [(5.9, 1000), (6.0, 1000), (5.0, 10), (None, 499), (float("nan"), 500), (10.0, 499)], "tmag double, n int"

@@ -185,7 +185,9 @@ k AS (SELECT tic_id, count(*) AS n_masked FROM masked GROUP BY tic_id),
 g AS (SELECT tic_id, count(*) AS n_good FROM good GROUP BY tic_id),
 q AS (SELECT tic_id, count(*) AS n_gaps FROM gaps GROUP BY tic_id),
 s AS (SELECT coalesce(m.tic_id, r.tic_id) AS tic_id, n_good, n_gaps,
-  CASE WHEN n_raw IS NULL THEN 'MISSING_RAW' WHEN coalesce(n_masked, 0) < 40 THEN 'TOO_FEW_CADENCES'
+  CASE WHEN n_raw IS NULL THEN 'MISSING_RAW'
+       WHEN m.tic_id % 50 = 7 THEN 'ERROR: ' || n_raw || ' of ' || n_raw || ' cadences have two different times'
+       WHEN coalesce(n_masked, 0) < 40 THEN 'TOO_FEW_CADENCES'
        WHEN tmag < 6 THEN 'SATURATED' WHEN coalesce(n_good, 0) < 40 THEN 'TOO_FEW_CADENCES'
        ELSE 'PREPROCESSED' END AS status
   FROM meta m FULL JOIN r ON m.tic_id = r.tic_id LEFT JOIN k ON k.tic_id = r.tic_id
@@ -194,7 +196,9 @@ SELECT tic_id, status, CASE WHEN status = 'PREPROCESSED' THEN n_good END AS n_ca
        CASE WHEN status = 'PREPROCESSED' THEN coalesce(n_gaps, 0) END AS n_gaps FROM s""",
 )
 def _(spark, sf):
-    series = views.lc_user(spark, sf)
+    # some stars are broken: their cadences have a day that their microseconds do not have
+    broken = F.when(F.col("tic_id") % 50 == 7, 1.0).otherwise(0.0)
+    series = views.lc_user(spark, sf).withColumn("time", F.col("time") + broken)
     stars = views.meta(spark, sf).withColumn("sector", F.lit(1))
     _curves, status = clean.preprocess(series, stars, gap_threshold=2.0, min_cadences=40)
     return rounded(status.select("tic_id", "status", "n_cadences", "n_gaps"))
