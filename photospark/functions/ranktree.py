@@ -1,10 +1,12 @@
 """Order statistics and robust means of sliding windows, for all windows at once.
 
-A tree over the ranks of the values keeps, at every level, the values grouped
-by rank range in time order. A window of neighbouring cadences is then a range
-at every node, so its k-th value, and sums over the values of a window that lie
-in a value range, take one step per level whatever the window holds. All
-windows descend together in NumPy vectors. Sums are kept about the middle of
+A tree over the ranks of the values keeps, at every level, the values of a
+node (a range of ranks) next to each other in time order: those that go left
+before those that go right (the layout of a wavelet matrix, so one count per
+position leads to the next level). A window of neighbouring cadences is then a
+range at every node, so its k-th value, and sums over the values of a window
+that lie in a value range, take one step per level whatever the window holds.
+All windows descend together in NumPy vectors. Sums are kept about the middle of
 each node and only nodes inside the value range are added, so nothing cancels.
 """
 
@@ -31,45 +33,36 @@ class RankTree:
         layout = ranks
         for level in range(self.levels):
             shift = self.levels - 1 - level
-            right = (layout >> shift) & 1
-            self._lower.append(np.concatenate([[0], np.cumsum(1 - right)]))
-            layout = layout[np.argsort(layout >> shift, kind="stable")]
+            left = (layout >> shift) & 1 == 0
+            self._lower.append(np.concatenate([[0], np.cumsum(left)]))
+            layout = np.concatenate([layout[left], layout[~left]])
             node = layout >> shift
-            first = self._start(level + 1, np.arange((n >> shift) + 1))
-            last = np.append(first[1:], n) - 1
+            # a node holds the ranks that share its leading bits
+            bounds = np.clip(np.arange((n >> shift) + 2) << shift, 1, n + 1) - 1
+            first, last = bounds[:-1], bounds[1:] - 1
             held = last >= first
             low, high = self.sorted[np.minimum(first, n - 1)], self.sorted[np.maximum(last, 0)]
             middle, half = np.where(held, 0.5 * (low + high), 0.0), np.where(held, 0.5 * (high - low), 0.0)
             t = (self.sorted[layout - 1] - middle[node]) / np.where(half > 0, half, 1.0)[node]
             powers = np.zeros((n + 1, _POWERS))
-            np.cumsum(t[:, None] ** np.arange(1, _POWERS + 1), axis=0, out=powers[1:])
+            power = np.ones(n)
+            for p in range(_POWERS):
+                power = power * t
+                np.cumsum(power, out=powers[1:, p])
             self._sums.append(powers)
             self._middle.append(middle)
             self._half.append(half)
 
-    def _start(self, level: int, node: np.ndarray) -> np.ndarray:
-        """First position of a node in the layout of its level."""
-        return np.minimum(np.maximum(node << (self.levels - level), 1) - 1, self.n)
-
-    def _children(self, level: int, node: np.ndarray, first: np.ndarray, last: np.ndarray):
-        """The window in the left child and in the right child of its node."""
-        lower = self._lower[level]
-        start = self._start(level, node)
-        middle = self._start(level + 1, 2 * node + 1)
-        before = lower[start]
-        a, b = lower[first] - before, lower[last] - before
-        return (start + a, start + b), (middle + first - start - a, middle + last - start - b)
-
     def kth(self, first: np.ndarray, last: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The ``k``-th smallest value (from 0) of every window; ``k`` lies in the window."""
         node, k = np.zeros(len(first), np.int64), k.copy()
-        for level in range(self.levels):
-            left, right = self._children(level, node, first, last)
-            count = left[1] - left[0]
+        for lower in self._lower:
+            a, b = lower.take(first), lower.take(last)
+            count = b - a
             up = k >= count
-            k -= np.where(up, count, 0)
-            first, last = np.where(up, right[0], left[0]), np.where(up, right[1], left[1])
-            node = 2 * node + up
+            k -= count * up
+            first, last = np.where(up, lower[-1] + first - a, a), np.where(up, lower[-1] + last - b, b)
+            node += node + up
         return self.sorted[node - 1]
 
     def medians(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,29 +105,33 @@ class RankTree:
         low = np.searchsorted(self.sorted, centre - scale, side="right")
         high = np.maximum(np.searchsorted(self.sorted, centre + scale, side="left"), low) + 1
         ends = [[low, np.zeros_like(low), first, last], [high, np.zeros_like(low), first, last]]
-        for level in range(self.levels):
+        for level, lower in enumerate(self._lower):
             shift = self.levels - 1 - level
             apart = ends[0][1] != ends[1][1]
             for side, end in enumerate(ends):
-                bound, node, a, b = end
-                left, right = self._children(level, node, a, b)
+                bound, node, x, y = end
+                a, b = lower.take(x), lower.take(y)
                 up = (bound >> shift) & 1 == 1
+                right = lower[-1] + x - a, lower[-1] + y - b
                 # the child between the two bounds lies wholly in the value range
-                inner, wanted = (left, up) if side else (right, ~up)
-                at = np.flatnonzero(apart & wanted & (inner[1] > inner[0]))
-                self._add(level + 1, 2 * node[at] + (1 - side), inner[0][at], inner[1][at], centre[at], scale[at], weight, moment, at)
-                end[1:] = 2 * node + up, np.where(up, right[0], left[0]), np.where(up, right[1], left[1])
+                at = np.flatnonzero(apart & (up if side else ~up))
+                p, q = (a[at], b[at]) if side else (right[0][at], right[1][at])
+                some = q > p
+                at, p, q = at[some], p[some], q[some]
+                self._add(level + 1, 2 * node[at] + (1 - side), p, q, centre[at], scale[at], weight, moment, at)
+                end[1:] = 2 * node + up, np.where(up, right[0], a), np.where(up, right[1], b)
         return weight, moment
 
     def _add(self, level, node, first, last, centre, scale, weight, moment, at) -> None:
         """Add the sums of whole nodes, moved from the middle of the node to the centre of the window."""
         a, b = (self._middle[level][node] - centre) / scale, self._half[level][node] / scale
-        sums = (self._sums[level][last] - self._sums[level][first]) * b[:, None] ** np.arange(1, _POWERS + 1)
-        one, two, three, four, five = sums.T
-        none, aa = (last - first).astype(float), a * a
+        one, two, three, four, five = (self._sums[level].take(last, axis=0) - self._sums[level].take(first, axis=0)).T
+        bb, aa = b * b, a * a
+        one, two, three, four, five = one * b, two * bb, three * (bb * b), four * (bb * bb), five * (bb * bb * b)
         rest = 1 - aa
-        weight[at] += none * rest * rest - 4 * a * rest * one + (6 * aa - 2) * two + 4 * a * three + four
-        moment[at] += (none * a * rest * rest + (1 - 6 * aa + 5 * aa * aa) * one + a * (10 * aa - 6) * two + (10 * aa - 2) * three + 5 * a * four + five)
+        none = (last - first) * rest * rest
+        weight[at] += none - 4 * a * (rest * one - three) + (6 * aa - 2) * two + four
+        moment[at] += a * (none + (10 * aa - 6) * two + 5 * four) + (1 - 6 * aa + 5 * aa * aa) * one + (10 * aa - 2) * three + five
 
 
 def biweight_location(times: np.ndarray, values: np.ndarray, half: np.ndarray, iterations: int, cval: float) -> np.ndarray:
