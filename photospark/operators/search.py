@@ -29,6 +29,8 @@ from photospark.plans.groups import MAX_GROUP_ROWS, row_limit, small_side, split
 from photospark.schema import CANDIDATE_KEY, CANDIDATE_SCHEMA, DAY_US, SERIES_KEY
 
 BINS_PER_DURATION = 4
+#: Durations of the search without a grid: 1.2, 2.4 and 4.8 hours.
+DEFAULT_DURATIONS_US = (DAY_US // 20, DAY_US // 10, DAY_US // 5)
 #: Digits to which scores are rounded before they are compared.
 RANK_DIGITS = 7
 
@@ -59,6 +61,19 @@ def period_grid(
     return np.unique(np.round(DAY_US * np.geomspace(low_days, high_days, n)).astype(np.int64))
 
 
+def frequency_grid(
+    span_days: float, duration_days: float, low_days: float = 0.5, high_days: float = 30.0, oversampling: float = 2.0
+) -> np.ndarray:
+    """Trial periods even in frequency for series of ``span_days``, longest first period last.
+
+    The step is such that over the span even the longest period drifts from its
+    neighbour by at most duration / oversampling.
+    """
+    step = duration_days / (oversampling * span_days * high_days)
+    n = int(math.ceil((1 / low_days - 1 / high_days) / step)) + 1
+    return np.unique(np.round(DAY_US / np.linspace(1 / high_days, 1 / low_days, n)).astype(np.int64))
+
+
 def bin_count(period_us, duration_us, per_duration: int = BINS_PER_DURATION):
     """Number of phase bins, so that ``per_duration`` of them cover a duration."""
     return -(-(period_us * per_duration) // duration_us)
@@ -315,9 +330,104 @@ def _totals(rows: DataFrame) -> DataFrame:
     )
 
 
+def fold_tree(rows: np.ndarray) -> np.ndarray:
+    """Fold ``rows`` (..., a power of two of cycles, bins of a cycle) at all drifts of 0 to cycles - 1 bins over the rows.
+
+    Folds of neighbouring drifts share the folds of their halves: each level
+    adds up pairs of blocks, the second turned by half of the drift.
+    """
+    cycles, bins = rows.shape[-2:]
+    out, size = rows[..., None, :], 1
+    while size < cycles:
+        size *= 2
+        drift = np.arange(size)
+        turned = (np.arange(bins) + ((drift + 1) // 2)[:, None]) % bins
+        out = out[..., ::2, drift // 2, :] + out[..., 1::2, :, :][..., (drift // 2)[:, None], turned]
+    return out[..., 0, :, :]
+
+
+def tree_trials(n: int, low: int, high: int) -> list[tuple[int, int]]:
+    """(bins of the base period, cycles as a power of two) for a series of ``n`` bins; periods leave room for two cycles."""
+    return [(p, 1 << (-(-n // p) - 1).bit_length()) for p in range(max(low, BINS_PER_DURATION + 1), min(high, n // 2) + 1)]
+
+
+_TREE = _PERIODOGRAM.split(", n bigint")[0] + ", centre_us double"
+_TREE_NAMES = [part.split()[0] for part in _TREE.split(", ")]
+
+
+def _tree_kernel(duration: int, width: int, low: int, high: int, blocks: int, max_bins: int):
+    """The search of one series (and block of base periods) from its time bins."""
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["bin"].to_numpy(np.int64)
+        first = int(at.min())
+        n = int(at.max()) - first + 1
+        if n > max_bins:
+            raise ValueError(f"series of {n} bins of {width} us")
+        flat = np.zeros((2, n))
+        flat[:, at - first] = pdf["w"].to_numpy(float), pdf["wf"].to_numpy(float)
+        w_all, wf_all = flat.sum(axis=1)
+        found = []
+        for p, cycles in tree_trials(n, low, high)[int(pdf["block"].iat[0]) :: blocks]:
+            padded = np.zeros((2, cycles * p))
+            padded[:, :n] = flat
+            folded = fold_tree(padded.reshape(2, cycles, p))[:, :-1]
+            w_in, wf_in = sum(np.roll(folded, -k, axis=-1) for k in range(BINS_PER_DURATION))
+            w_out = w_all - w_in
+            valid = (w_in > 1e-9 * w_all) & (w_out > 1e-9 * w_all)
+            w_in, w_out = np.where(valid, w_in, 1.0), np.where(valid, w_out, 1.0)
+            depth = (wf_all - wf_in) / w_out - wf_in / w_in
+            power = np.where(valid & (depth > 0), depth * depth * w_in * w_out / w_all, 0.0)
+            best = np.argmax(ranked(power), axis=1)
+            j = np.arange(cycles - 1)
+            found.append(pd.DataFrame({
+                "period_us": np.rint(width * (p + j / (cycles - 1))).astype(np.int64), "power": power[j, best], "start_bin": best, "n_bins": p,
+                "depth": np.where(valid[j, best], depth[j, best], 0.0), "w": w_all, "w_in": w_in[j, best],
+                "centre_us": (first + best + BINS_PER_DURATION / 2.0) * width}))
+        if not found:
+            return pd.DataFrame(columns=_TREE_NAMES)
+        return pd.concat(found).assign(tic_id=pdf["tic_id"].iat[0], sector=pdf["sector"].iat[0], duration_us=duration)[_TREE_NAMES]
+
+    return search
+
+
+def fast_periodogram(
+    series: DataFrame,
+    durations_us: Sequence[int] = DEFAULT_DURATIONS_US,
+    low_days: float = 0.5,
+    high_days: float = 30.0,
+    min_points: int = 1,
+    max_bins: int = 4_000_000,
+) -> DataFrame:
+    """Score of the best box for every series over its own grid of trial periods, by a folding tree.
+
+    Cadences are added up in time bins of a quarter of the duration, before
+    anything is shuffled, so no series is ever gathered. A base period of p
+    bins and its cycles (a power of two M) give the M - 1 periods p + j / (M - 1)
+    bins: the grid is as fine as the span needs, and neighbouring periods share
+    partial folds. Columns as ``box_periodogram``, and ``centre_us``, the time of the
+    centre of the box. Series of more than ``max_bins`` bins are an error.
+    """
+    rows = _prepared(series)
+    totals = _totals(rows).filter(F.col("n") >= min_points)
+    n_series = totals.count()
+    blocks = _period_blocks(series.sparkSession, 64, n_series * len(durations_us))
+    out = None
+    for duration in map(int, durations_us):
+        width = -(-duration // BINS_PER_DURATION)
+        low, high = -(-int(low_days * DAY_US) // width), int(high_days * DAY_US) // width
+        bins = rows.groupBy(*SERIES_KEY, F.floor(F.col("time_us") / F.lit(width)).alias("bin")).agg(
+            F.sum("w").alias("w"), F.sum(F.col("w") * F.col("flux")).alias("wf"))
+        keyed = bins.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        kernel = _tree_kernel(duration, width, low, high, blocks, max_bins)
+        part = spread(keyed, [*SERIES_KEY, "block"], n_series * blocks).groupBy(*SERIES_KEY, "block").applyInPandas(kernel, _TREE)
+        out = part if out is None else out.unionByName(part)
+    return out.join(totals, list(SERIES_KEY))
+
+
 def best_signal(periodogram: DataFrame, min_sde: float = 1.0) -> DataFrame:
     """One candidate per series from its periodogram; series below ``min_sde`` give none."""
-    rest = ("duration_us", "start_bin", "n_bins", "depth", "w", "w_in", "n", "first_us", "chi2_flat")
+    timed = "centre_us" in periodogram.columns
+    rest = ("duration_us", "start_bin", "n_bins", "depth", "w", "w_in", "n", "first_us", "chi2_flat", *(["centre_us"] if timed else []))
     per_period = periodogram.groupBy(*SERIES_KEY, "period_us").agg(
         F.max_by(F.struct("power", *rest), F.struct(ranked(F.col("power")).alias("rank"), (-F.col("duration_us")).alias("short"))).alias("b")
     )
@@ -330,7 +440,7 @@ def best_signal(periodogram: DataFrame, min_sde: float = 1.0) -> DataFrame:
     )
     b = F.col("b")
     # centre of the box, moved to the first transit at or after the start of the series
-    centre_us = (b["start_bin"] + BINS_PER_DURATION / 2.0) * b["period_us"] / b["n_bins"]
+    centre_us = b["centre_us"] if timed else (b["start_bin"] + BINS_PER_DURATION / 2.0) * b["period_us"] / b["n_bins"]
     first_us = centre_us + F.ceil((b["first_us"] - centre_us) / b["period_us"]) * b["period_us"]
     chi2 = b["chi2_flat"] - b["power"]
     error = F.sqrt(F.lit(1.0) / b["w_in"] + F.lit(1.0) / (b["w"] - b["w_in"]))
@@ -352,16 +462,23 @@ def best_signal(periodogram: DataFrame, min_sde: float = 1.0) -> DataFrame:
 
 def period_search(
     series: DataFrame,
-    periods_us: Sequence[int],
-    durations_us: Sequence[int],
+    periods_us: Sequence[int] | None = None,
+    durations_us: Sequence[int] | None = None,
     min_points: int = 100,
     min_sde: float = 1.0,
     blocks: int | None = None,
     max_rows: int | None = MAX_GROUP_ROWS,
     n_series: int | None = None,
 ) -> DataFrame:
-    """Strongest dip of every series: period, epoch, duration, depth, SNR, chi-squared and SDE."""
-    power = box_periodogram(series, periods_us, durations_us, blocks, max_rows, min_points, n_series)
+    """Strongest dip of every series: period, epoch, duration, depth, SNR, chi-squared and SDE.
+
+    Without ``periods_us`` every series has a grid of its own, from half a day
+    to 30 days as far as its span holds two cycles (``fast_periodogram``).
+    """
+    if periods_us is None:
+        power = fast_periodogram(series, durations_us or DEFAULT_DURATIONS_US, min_points=min_points)
+    else:
+        power = box_periodogram(series, periods_us, durations_us or DEFAULT_DURATIONS_US, blocks, max_rows, min_points, n_series)
     return best_signal(power, min_sde)
 
 

@@ -20,6 +20,39 @@ def test_grids():
     assert search.linear_period_grid(10, 20, 11).tolist() == list(range(10, 21))
 
 
+def test_fold_tree_equals_folding_at_each_drift():
+    rng = np.random.default_rng(1)
+    for cycles, bins in ((1, 5), (2, 7), (8, 6), (32, 11)):
+        rows = rng.normal(size=(2, cycles, bins))
+        got = search.fold_tree(rows)
+        levels = cycles.bit_length() - 1
+        for j in range(cycles):
+            want = np.zeros((2, bins))
+            for r in range(cycles):
+                shift = sum((r >> (level - 1) & 1) * (((j >> (levels - level)) + 1) >> 1) for level in range(1, levels + 1))
+                assert abs(shift - j * r / max(1, cycles - 1)) <= levels / 2 + 0.5
+                want += np.roll(rows[:, r], -shift, axis=-1)
+            assert np.allclose(got[:, j], want)
+
+
+def test_frequency_grid():
+    f = 1 / (search.frequency_grid(27.0, 0.1) / DAY_US)
+    assert np.allclose([f.max(), f.min()], [2.0, 1 / 30]) and np.allclose(np.diff(f), np.diff(f)[0], rtol=1e-3)
+    assert -np.diff(f)[0] * 30 * 27 <= 0.1 / 2 + 1e-9
+
+
+def test_search_without_a_grid(spark, deep):
+    found = {r.tic_id: r for r in search.period_search(deep).collect()}
+    assert sorted(found) == [1, 2]
+    r = found[1]
+    assert r.period == pytest.approx(3.0, rel=0.01) and r.sde > 7 and r.depth == pytest.approx(0.01, rel=0.3)
+    assert abs((r.t0 - 1.5 + 1.5) % 3.0 - 1.5) < 0.1 and r.duration in (0.1, 0.2)
+    assert found[2].sde < r.sde
+    assert search.fast_periodogram(deep.filter("tic_id = 9")).count() == 0
+    with pytest.raises(Exception, match="bins of"):
+        search.fast_periodogram(deep, max_bins=10).count()
+
+
 @pytest.fixture(scope="module")
 def deep(spark):
     return series_df(spark, transit_curve(), transit_curve(tic=2, seed=7, depth=0.0), series_frame(np.linspace(0, 1, 50), np.ones(50), tic=3)).cache()

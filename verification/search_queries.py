@@ -51,6 +51,46 @@ def _(spark, sf):
     return rounded(found.select("tic_id", "period_us", "power"), 3)
 
 
+# The folding tree in closed form: cycle r of M = 2^L turns by a share of drift j that its bits give.
+TREE_SQL = f""", pts AS (SELECT tic_id, time_us, flux, 1.0::DOUBLE / (flux_err * flux_err) AS w FROM lc_dip),
+tb AS (SELECT tic_id, CAST(floor(time_us / {DIP_DURATION_US // 4}) AS BIGINT) AS bin, sum(w) AS w, sum(w * flux) AS wf FROM pts GROUP BY ALL),
+sp AS (SELECT tic_id, min(bin) AS b0, max(bin) - min(bin) + 1 AS n, sum(w) AS w_all, sum(wf) AS wf_all FROM tb GROUP BY ALL),
+base AS (SELECT tic_id, b0, n, w_all, wf_all, CAST(p AS BIGINT) AS p, CAST(ceil(log2((n + p - 1) // p)) AS BIGINT) AS lev
+  FROM sp, range({-(-DAY_US // 2 // (DIP_DURATION_US // 4))}, {30 * DAY_US // (DIP_DURATION_US // 4)} + 1) r(p) WHERE p <= n // 2),
+levels AS (SELECT DISTINCT lev FROM base),
+turns AS (SELECT lev, r, j, CAST(list_sum(list_transform(range(1, lev + 1), lambda l: ((r >> CAST(l - 1 AS INT)) & 1)
+    * (((j >> CAST(lev - l AS INT)) + 1) >> 1))) AS BIGINT) AS s
+  FROM levels, range(0, 1024) a(r), range(0, 1023) b(j) WHERE r < (1 << CAST(lev AS INT)) AND j < (1 << CAST(lev AS INT)) - 1),
+placed AS (SELECT tb.tic_id, p, lev, (bin - b0) // p AS r, (bin - b0) % p AS c, w, wf FROM tb JOIN base USING (tic_id)),
+folded AS (SELECT tic_id, p, lev, j, (c - s % p + p) % p AS b, sum(w) AS w, sum(wf) AS wf FROM placed JOIN turns USING (lev, r) GROUP BY ALL),
+boxes AS (SELECT tic_id, p, lev, j, (b - k + p) % p AS start_bin, sum(w) AS w_in, sum(wf) AS wf_in FROM folded, range(4) q(k) GROUP BY ALL),
+depths AS (SELECT *, w_all - w_in AS w_out,
+  CASE WHEN w_all - w_in > w_all * 1e-9 THEN (wf_all - wf_in) / (w_all - w_in) - wf_in / w_in ELSE 0.0 END AS depth
+  FROM boxes JOIN base USING (tic_id, p, lev)),
+best AS (SELECT tic_id, p, lev, j, max(CASE WHEN depth > 0 THEN depth * depth * w_in * w_out / w_all ELSE 0.0 END) AS power FROM depths GROUP BY ALL),
+tree AS (SELECT tic_id, CAST(round_even({DIP_DURATION_US // 4} * (p + j / ((1 << CAST(lev AS INT)) - 1)), 0) AS BIGINT) AS period_us, power FROM best)
+"""
+
+
+@query(
+    "dm2_fast_periodogram",
+    with_views("lc_dip") + TREE_SQL + f"SELECT tic_id, period_us, {sql_r6('power', 3)} AS power FROM tree",
+)
+def _(spark, sf):
+    found = search.fast_periodogram(views.lc_dip(spark, sf), DURATIONS)
+    return rounded(found.select("tic_id", "period_us", "power"), 3)
+
+
+@query(
+    "dm3_period_search_default_grid",
+    with_views("lc_dip") + TREE_SQL + f"""SELECT tic_id, arg_max(period_us, {{'a': round(power, 7), 'b': -period_us}}) / {DAY_US}.0::DOUBLE AS period,
+  {sql_r6('(max(power) - avg(power)) / stddev_pop(power)', 4)} AS sde FROM tree GROUP BY tic_id""",
+)
+def _(spark, sf):
+    found = search.period_search(views.lc_dip(spark, sf), durations_us=DURATIONS)
+    return found.select("tic_id", "period", F.round("sde", 4).alias("sde"))
+
+
 SEARCH_SQL = f""",
 spec AS (SELECT tic_id, arg_max({{'p': p, 'nb': nb, 'w': w_all, 'x': x, 'power': power}},
   {{'a': round(power, 7), 'b': -p}}) AS m, max(power) AS top, avg(power) AS mean, stddev_pop(power) AS sd
