@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from photospark.llm.fragments import slices
 from photospark.llm.repeats import Rolling, mix
-from photospark.llm.scratch import keep, small
+from photospark.llm.scratch import keep, keyed, small
 from photospark.llm.substrings import word_codes
 
 NGRAM = 5
@@ -381,6 +381,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, width: int = NGRAM) -> DataFrame:
-    """``docs`` with one document of each connected group of near duplicates: the smallest id. Documents without id stay."""
-    gone = near_duplicates(docs, threshold, width).filter("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each connected group of near duplicates: the one with the smallest id, the first of such rows, rows without id last.
+
+    Rows count by themselves, whatever their id: texts that are unlike stay even
+    if they share an id, and copies go even if they have none.
+    """
+    rows = keyed(docs)
+    classes = near_duplicates(rows.select("doc_id", "text"), threshold, width).select("doc_id", "class_id")
+    own = rows.select("doc_id", F.col("row")["doc_id"].alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "doc_id"))["doc_id"]
+    kept = classes.join(own, "doc_id").groupBy("class_id").agg(first.alias("doc_id")).select("doc_id")
+    return rows.join(kept, "doc_id", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
