@@ -11,15 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photospark.schema import DAY_US, META_SCHEMA
-
-# Fixed value: archive file names, e.g. tic0000000022529346_s0001_raw.npz
-FILE_NAME = r"tic(\d{1,16})_s(\d{1,4})_(\w+)\.npz$"
-
-_ROWS = (
-    "tic_id bigint, sector int, kind string, time_us bigint, time double, flux double, flux_err double, "
-    "quality int, gap_mask boolean, error string"
-)
+from photospark.schema import META_SCHEMA
+from photospark.sources import archive
+from photospark.sources.archive import FILE_NAME
 
 
 def file_key(path: Column) -> list[Column]:
@@ -47,25 +41,6 @@ def series_keys(
     return listed.filter("tic_id is not null")
 
 
-def _decode(tic, sector, kind, content) -> pd.DataFrame:
-    with np.load(io.BytesIO(content), allow_pickle=False) as data:
-        time = np.asarray(data["time"], float)
-        n = len(time)
-        valid = np.isfinite(time)
-        out = pd.DataFrame({
-            "tic_id": np.full(n, tic), "sector": np.full(n, sector), "kind": kind,
-            "time_us": pd.array(np.round(np.where(valid, time, 0.0) * DAY_US).astype(np.int64), dtype="Int64"),
-            "time": time, "flux": np.asarray(data["flux"], float), "flux_err": np.asarray(data["flux_err"], float),
-        })
-        out.loc[~valid, "time_us"] = pd.NA
-        quality = data["quality"] if "quality" in data.files else None
-        mask = data["gap_mask"] if "gap_mask" in data.files else None
-        out["quality"] = pd.array(quality.astype(np.int64) if quality is not None else [pd.NA] * n, dtype="Int64")
-        out["gap_mask"] = pd.array(mask.astype(bool) if mask is not None else [pd.NA] * n, dtype="boolean")
-        out["error"] = None
-        return out
-
-
 def _selected(spark, path, sectors, kind):
     return _files(spark, path, sectors, kind).select(*file_key(F.col("path")), "content").filter("tic_id is not null")
 
@@ -75,10 +50,23 @@ def read_series_archive(
 ) -> DataFrame:
     """One row per cadence of the archive files.
 
-    A file that cannot be decoded does not stop the read: with ``errors`` the
-    result is the list (tic_id, sector, kind, error) of such files instead.
+    Sectors, kind and any later filter on ``tic_id`` or ``sector`` choose files by
+    name; the others are never opened. A file that cannot be decoded does not
+    stop the read: with ``errors`` the result is the list (tic_id, sector, kind,
+    error) of such files instead.
     """
-    return decode_series(_selected(spark, path, sectors, kind), errors)
+    rows = archive.read_archives(spark, path)
+    if sectors is not None:
+        rows = rows.filter(F.col("sector").isin([int(s) for s in sectors]))
+    if kind is not None:
+        rows = rows.filter(F.col("kind") == kind)
+    return _told(rows, errors)
+
+
+def _told(rows: DataFrame, errors: bool) -> DataFrame:
+    if errors:
+        return rows.filter("error is not null").select("tic_id", "sector", "kind", "error")
+    return rows.filter("error is null").drop("error")
 
 
 def decode_series(files: DataFrame, errors: bool = False) -> DataFrame:
@@ -87,16 +75,11 @@ def decode_series(files: DataFrame, errors: bool = False) -> DataFrame:
         for batch in batches:
             for tic, sector, name, content in zip(batch["tic_id"], batch["sector"], batch["kind"], batch["content"]):
                 try:
-                    yield _decode(tic, sector, name, content)
+                    yield archive.decode(tic, sector, name, content)
                 except Exception as error:
-                    row = {c.split()[0]: [None] for c in _ROWS.split(", ")}
-                    row.update(tic_id=[tic], sector=[sector], kind=[name], error=[f"{type(error).__name__}: {error}"[:200]])
-                    yield pd.DataFrame(row)
+                    yield archive.broken(tic, sector, name, error)
 
-    rows = files.select("tic_id", "sector", "kind", "content").mapInPandas(decode, _ROWS)
-    if errors:
-        return rows.filter("error is not null").select("tic_id", "sector", "kind", "error")
-    return rows.filter("error is null").drop("error")
+    return _told(files.select("tic_id", "sector", "kind", "content").mapInPandas(decode, archive.ROWS), errors)
 
 
 def read_series_meta(

@@ -36,6 +36,36 @@ def test_archive_round_trip(spark, tmp_path):
     assert meta[42].tmag == 9.5 and meta[42].ra is None and meta[42].download_status == "SUCCESS" and meta[44].meta_json is None
 
 
+def test_archive_files_are_chosen_by_name(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringContains
+
+    from photospark.sources import archive
+
+    curve = transit_curve(n=40)
+    content = {}
+    for tic in (1, 2, 30):
+        with open(tmp_path / "x", "wb") as out:
+            np.savez_compressed(out, time=curve.time + tic, flux=curve.flux, flux_err=curve.flux_err)
+        content[tic] = (tmp_path / "x").read_bytes()
+    rows = [(t, s, "raw", content[t]) for t in content for s in (1, 2)] + [(5, 3, "raw", b"cut off")]
+    path = str(tmp_path / "arch")
+    names = archive.write_archives(spark.createDataFrame(rows, "tic_id bigint, sector int, kind string, content binary").repartition(3), path)
+    assert names.count() == 7 and {p.name for p in (tmp_path / "arch").iterdir() if not p.name.startswith(".")} == {r.name for r in names.collect()}
+    read = archive.read_archives(spark, path)
+    assert read.count() == 241 and [r.tic_id for r in read.filter("error is not null").collect()] == [5]
+    reader = archive.Reader(path)
+    left = list(reader.pushFilters([In(("sector",), (1, 3)), GreaterThan(("tic_id",), 1), EqualTo(("flux",), 1.0), StringContains(("kind",), "r")]))
+    assert [type(f).__name__ for f in left] == ["EqualTo", "StringContains"]
+    assert [f[1:3] for p in reader.partitions() for f in p.files] == [(2, 1), (5, 3), (30, 1)]
+    # the filters leave one file, which goes before the rows are read: nothing else is opened instead
+    (tmp_path / "arch" / "tic0000000000000030_s0002_raw.npz").write_bytes(b"broken too")
+    assert series.read_series_archive(spark, path, sectors=[2]).filter("tic_id < 30").count() == 80
+    assert series.read_series_archive(spark, path, errors=True).filter("tic_id < 30").count() == 1
+    assert series.read_series_archive(spark, path, sectors=[1], errors=True).count() == 0
+    plan = series.read_series_archive(spark, path, sectors=[2])._jdf.queryExecution().executedPlan().toString()
+    assert "sector" not in plan.partition("Filter")[2].split("BatchScan")[0]
+
+
 def test_series_parquet_prunes_sectors(spark, tmp_path):
     path = str(tmp_path / "lc")
     df = series_df(spark, transit_curve(n=50, sector=1), transit_curve(n=60, sector=2)).withColumn("flux_norm", F.col("flux"))

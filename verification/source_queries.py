@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from photospark.functions.scalars import clean_num
+from photospark.plans.groups import spread
 from photospark.plans.lineage import scratch_path
 from photospark.schema import TRICERATOPS_SCHEMA
 from photospark.sources import publish as sink
-from photospark.sources import series, tables
+from photospark.sources import archive, series, tables
 from verification import views
 from verification.catalogue_queries import CK
 from verification.registry import query, rounded, sql_r6, table
@@ -38,7 +39,7 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 )
 def _(spark, sf):
     blocks = views.lc_user(spark, sf).withColumn("block", F.floor(F.col("time")).cast("int"))
-    files = blocks.groupBy("tic_id", "block").applyInPandas(_pack, "tic_id bigint, sector int, kind string, content binary")
+    files = spread(blocks, ["tic_id", "block"]).groupBy("tic_id", "block").applyInPandas(_pack, "tic_id bigint, sector int, kind string, content binary")
     rows = series.decode_series(files)
     return rounded(rows.groupBy("tic_id", "sector").agg(
         F.count(F.lit(1)).alias("n"), F.sum(clean_num(F.col("flux"))).alias("total"),
@@ -46,6 +47,47 @@ def _(spark, sf):
     ))
 
 
+def _archives(spark, sf):
+    """Archives of every star and third of a month of ``lc_user`` in the shared folder; those of some stars are cut off."""
+    path = scratch_path(spark, "archives")
+    blocks = views.lc_user(spark, sf).withColumn("block", F.floor(F.col("time") / 10).cast("int"))
+    files = spread(blocks, ["tic_id", "block"]).groupBy("tic_id", "block").applyInPandas(_pack, "tic_id bigint, sector int, kind string, content binary")
+    cut = F.when(F.col("tic_id") % 10 == 3, F.expr("substring(content, 1, 100)")).otherwise(F.col("content"))
+    archive.write_archives(files.withColumn("content", cut), path)
+    return path
+
+
+_FILES_SQL = with_views("lc_user") + "SELECT tic_id, CAST(time_us // 864000000000 AS BIGINT) AS sector"
+
+
+@query(
+    "io1_read_series_archive",
+    _FILES_SQL + f", count(*) AS n, {sql_r6('sum(CASE WHEN isnan(flux) THEN 0 ELSE flux END)')} AS total, "
+    "CAST(sum(quality) AS BIGINT) AS quality, CAST(sum(time_us) AS BIGINT) AS time_us FROM lc_user WHERE tic_id % 10 <> 3 GROUP BY ALL",
+)
+def _(spark, sf):
+    rows = series.read_series_archive(spark, _archives(spark, sf), kind="raw")
+    return rounded(rows.groupBy("tic_id", "sector").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(clean_num(F.col("flux"))).alias("total"),
+        F.sum("quality").alias("quality"), F.sum("time_us").alias("time_us"),
+    ))
+
+
+@query(
+    "io1_archive_errors",
+    _FILES_SQL + ", 'raw' AS kind, TRUE AS told FROM lc_user WHERE tic_id % 10 = 3 AND time_us // 864000000000 IN (0, 2) GROUP BY ALL",
+)
+def _(spark, sf):
+    bad = series.read_series_archive(spark, _archives(spark, sf), sectors=[0, 2], errors=True)
+    return rounded(bad.select("tic_id", "sector", "kind", (F.length("error") > 0).alias("told")))
+
+
+@query("io3_series_keys_listed", _FILES_SQL + ", 'raw' AS kind FROM lc_user WHERE time_us // 864000000000 IN (0, 2) GROUP BY ALL")
+def _(spark, sf):
+    listed = series.series_keys(spark, _archives(spark, sf), sectors=[0, 2])
+    return rounded(listed.select("tic_id", "sector", "kind"))
+
+
 @query("io2_write_series", with_views("lc") + "SELECT tic_id, time_us, CAST(1 AS BIGINT) AS sector, flux_err FROM lc")
 def _(spark, sf):
     path = scratch_path(spark, "series")
