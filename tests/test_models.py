@@ -130,3 +130,31 @@ def test_posterior_summary(spark):
     few = posterior.chain_gate(samples, good, 450, 1).first()
     assert few.flag.startswith("MCMC poorly mixed")
     assert posterior.burn_in(50, 20, 5000) == (100, 10) and posterior.burn_in(3000, 1, 5000) == (2500, 1)
+
+
+def test_autocorrelation_time_of_a_known_process(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    share, n = 0.8, 3000  # a first-order process has time (1 + share) / (1 - share) = 9
+    frames = []
+    for walker in range(8):
+        x = np.zeros(n)
+        for i, e in enumerate(rng.normal(size=n)[1:], 1):
+            x[i] = share * x[i - 1] + e
+        frames.append(pd.DataFrame({"tic_id": 1, "walker": walker, "step": np.arange(n), "rp": x, "inc": rng.normal(size=n), "a": 3.0, "t0": x, "per": x}))
+    chains = spark.createDataFrame(pd.concat(frames).sample(frac=1.0, random_state=1))
+    got = {r.parameter: r.tau for r in posterior.autocorrelation_times(chains).collect()}
+    assert got["rp"] == pytest.approx(9.0, rel=0.15) and got["inc"] == pytest.approx(1.0, abs=0.15) and got["a"] is None
+    plan = posterior.chain_plan(chains).first()
+    assert (plan.burn, plan.thin) == posterior.burn_in(max(got["rp"], got["inc"]), min(got["rp"], got["inc"]), n)
+    still = posterior.chain_plan(chains.withColumns({c: F.lit(1.0) for c in posterior.PARAMETERS})).first()
+    assert (still.burn, still.thin) == (1000, 10)
+    walk = [rng.normal(size=m).cumsum() for m in (40, 25, 40)]
+    direct = []
+    for lag in range(40):
+        own = [np.dot(w[: len(w) - lag] - w.mean(), w[lag:] - w.mean()) / np.dot(w - w.mean(), w - w.mean()) for w in walk if len(w) > lag]
+        direct.append(np.mean(own))
+    assert np.allclose(posterior.autocorrelation(walk), direct)
+    assert posterior.integrated_time(np.zeros(0)) is None

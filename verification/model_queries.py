@@ -366,6 +366,34 @@ def _(spark, sf):
     return rounded(posterior.chain_gate(views.samples(spark, sf), _acceptance(spark, sf), 1000, 2, min_samples=270))
 
 
+_TAU = """long AS (UNPIVOT (SELECT tic_id, walker, rp, inc, a, t0, per, row_number() OVER (PARTITION BY tic_id, walker ORDER BY step, rp, inc, a, t0, per) AS i FROM samples) ON rp, inc, a, t0, per INTO NAME parameter VALUE x),
+chain AS (SELECT tic_id, walker, parameter, i, x - avg(x) OVER (PARTITION BY tic_id, walker, parameter) AS d, x FROM long),
+moves AS (SELECT tic_id, walker, parameter, sum(d * d) AS v, count(*) AS n FROM chain GROUP BY ALL HAVING sum(d * d) > 1e-20 * count(*) * greatest(1, max(abs(x)) ^ 2)),
+own AS (SELECT tic_id, walker, parameter, q.i - p.i AS lag, sum(p.d * q.d) / any_value(v) AS rho
+  FROM chain p JOIN chain q USING (tic_id, walker, parameter) JOIN moves USING (tic_id, walker, parameter) WHERE q.i >= p.i GROUP BY ALL),
+mean AS (SELECT tic_id, parameter, lag, avg(rho) AS rho FROM own GROUP BY ALL),
+grown AS (SELECT tic_id, parameter, lag, 2 * sum(rho) OVER (PARTITION BY tic_id, parameter ORDER BY lag) - 1 AS t FROM mean),
+tau AS (SELECT tic_id, parameter, coalesce(arg_min(t, lag) FILTER (WHERE lag >= 5 * t), arg_max(t, lag)) AS tau FROM grown GROUP BY ALL),
+steps AS (SELECT tic_id, max(n) AS n_steps FROM (SELECT tic_id, walker, count(*) AS n FROM samples GROUP BY ALL) GROUP BY ALL),
+plan AS (SELECT tic_id, greatest(CAST(trunc(2 * max(tau)) AS BIGINT), 0) AS b, greatest(CAST(trunc(0.5 * min(tau)) AS BIGINT), 1) AS thin, any_value(n_steps) AS n_steps
+  FROM tau JOIN steps USING (tic_id) GROUP BY tic_id)"""
+
+
+@query("ag22_autocorrelation_times", with_views("samples") + f", {_TAU} SELECT tic_id, parameter, n_steps, {sql_r6('tau')} AS tau FROM tau JOIN steps USING (tic_id)")
+def _(spark, sf):
+    return rounded(posterior.autocorrelation_times(views.samples(spark, sf)))
+
+
+_OWN = _GATE.replace("th AS (SELECT * FROM samples WHERE step >= 1000 AND (step - 1000) % 2 = 0)", f"""{_TAU},
+th AS (SELECT s.* FROM samples s JOIN plan USING (tic_id), LATERAL (SELECT CASE WHEN b >= n_steps THEN n_steps // 2 ELSE b END AS burn) x
+  WHERE step >= burn AND (step - burn) % thin = 0)""")
+
+
+@query("ag22_chain_gate_own_burn_in", with_views("samples") + f", {_OWN} SELECT {_GATE_COLS} FROM gg")
+def _(spark, sf):
+    return rounded(posterior.chain_gate(views.samples(spark, sf), _acceptance(spark, sf), min_samples=270))
+
+
 @query(
     "dm21_summarise_posterior",
     with_views("samples") + f", {_GATE}, kept AS (SELECT * FROM th WHERE tic_id IN (SELECT tic_id FROM gg WHERE ok)), q AS ({_quantile_sql('kept')}) "
