@@ -11,6 +11,8 @@ from photospark.llm.fragments import FragmentEncoder, held, slices
 
 #: The id that ends each document.
 END = 2
+#: Distinct fragments remembered: their ids are short arrays.
+REMEMBERED = 500_000
 #: Texts with white space beyond ASCII, file separators or the vocabulary's own special token are encoded whole.
 WHOLE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|endoftext\|>"
 
@@ -34,7 +36,7 @@ def encoder(vocabulary: str) -> FragmentEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
-    return FragmentEncoder(lambda part: [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)], _cuts(), WHOLE)
+    return FragmentEncoder(lambda part: [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)], _cuts(), WHOLE, REMEMBERED)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, end: int = END) -> Iterator[tuple]:
