@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 from photospark.functions import rules
 from photospark.functions.labels import LABEL_MAPS
 from photospark.functions.scalars import is_number, norm_code, strip_spaces
-from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles
+from photospark.plans.groups import MAX_GROUP_ROWS, group_quantiles, join_to_groups
 from photospark.schema import CANDIDATE_KEY, SERIES_KEY
 
 # ---- joins -----------------------------------------------------------------
 
 
-def attach_series(candidates: DataFrame, series: DataFrame) -> DataFrame:
-    """Candidates with their cadences; a candidate without series stays, with ``has_series`` false."""
-    marked = series.withColumn("has_series", F.lit(True))
-    return candidates.join(marked, list(SERIES_KEY), "left").withColumn(
-        "has_series", F.coalesce("has_series", F.lit(False))
-    )
+def attach_series(candidates: DataFrame, series: DataFrame, max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+    """Candidates with their cadences; a candidate without series stays, with ``has_series`` false.
+
+    Series longer than ``max_rows`` are not gathered: their few candidates go to them.
+    """
+    keys = list(SERIES_KEY)
+    joined, _ = join_to_groups(candidates, series.withColumn("has_series", F.lit(True)), keys, max_rows)
+    alone = candidates.join(series.select(*keys).distinct(), keys, "left_anti").withColumn("has_series", F.lit(False))
+    return joined.unionByName(alone, allowMissingColumns=True)
 
 
 def series_available(candidates: DataFrame, series: DataFrame) -> DataFrame:

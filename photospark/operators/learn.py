@@ -154,14 +154,15 @@ def predict_tabular(model: PipelineModel, df: DataFrame, features: Sequence[str]
 def cross_validate(
     df: DataFrame, k: int = 5, features: Sequence[str] = FEATURE_COLUMNS, label: str = "label", key: str = "tic_id", seed: int = 42, **options
 ) -> DataFrame:
-    """(fold, f1_macro) of the tabular model in stratified cross-validation."""
+    """(fold, f1_macro, n) of the tabular model in stratified cross-validation; ``n`` rows were left out of the training and scored."""
     folded = pin(kfold(_labelled(df, label), k, seed, key, label))
     parts = None
     for fold in range(k):
         model = train_tabular(folded.filter(F.col("fold") != fold), features, label, seed=seed, **options)
         scored = predict_tabular(model, folded.filter(F.col("fold") == fold), features)
         report = class_report(scored, label, "pred")
-        row = report.filter(F.col("support") > 0).agg(F.avg("f1").alias("f1_macro")).select(F.lit(fold).alias("fold"), "f1_macro")
+        row = report.filter(F.col("support") > 0).agg(F.avg("f1").alias("f1_macro"), F.sum("support").alias("n")).select(
+            F.lit(fold).alias("fold"), "f1_macro", "n")
         parts = row if parts is None else parts.unionByName(row)
     return parts
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from photospark.operators import contracts, publish
+from photospark.operators import contracts, publish, search
+from photospark.schema import CANDIDATE_KEY
 from verification import views
 from verification.catalogue_queries import _TIER_SQL, CK
 from verification.registry import query, r6, rounded, sql_r6, table
 from verification.rule_queries import _CLASS_SQL, _DISP_SQL
+from verification.search_queries import DURATIONS, PERIODS, PTS
 from verification.views import with_views
 
 KEY = ("tic_id", "sector", "planet_num")
@@ -196,6 +198,46 @@ def _(spark, sf):
     return rounded(publish.class_bars(probs))
 
 
+def _diagnostics(spark, sf, series, periodogram=None):
+    cand = views.cand(spark, sf).withColumns({"prob_eb": F.lit(0.0), "prob_blend": F.lit(0.0), "prob_sv": F.lit(0.0)})
+    flat = cand.select(*CANDIDATE_KEY, F.array(F.lit(1.0)).alias("global_view"))
+    fits = cand.select(*CANDIDATE_KEY, "period", "duration", "depth", F.lit(0.0).alias("t0_shift"), F.lit(0.5).alias("ingress"))
+    return publish.diagnostic_tables(cand, series, flat, series if periodogram is None else periodogram, fits, 1)
+
+
+@query(
+    "dm26_light_curve",
+    with_views("lc_user", "cand") + f"SELECT tic_id, sector, time_us, {sql_r6('CASE WHEN isnan(flux) THEN NULL ELSE flux END')} AS flux FROM lc_user "
+    "WHERE (tic_id, sector) IN (SELECT (tic_id, sector) FROM cand)",
+)
+def _(spark, sf):
+    return rounded(_diagnostics(spark, sf, views.lc_user(spark, sf))["light_curve"].select("tic_id", "sector", "time_us", "flux"))
+
+
+@query(
+    "dm26_epochs",
+    with_views("lc_user", "cand") + f""", sp AS (SELECT tic_id, sector, min(time) AS a, max(time) AS b FROM lc_user GROUP BY ALL)
+SELECT {CK}, count(*) AS n, {sql_r6('min(t0 + e * period)')} AS first, {sql_r6('max(t0 + e * period)')} AS last
+FROM (SELECT {CK}, period, t0, unnest(range(CAST(ceil((a - t0) / period) AS BIGINT), CAST(floor((b - t0) / period) AS BIGINT) + 1)) AS e
+  FROM cand JOIN sp USING (tic_id, sector)) GROUP BY {CK}""",
+)
+def _(spark, sf):
+    epochs = _diagnostics(spark, sf, views.lc_user(spark, sf))["epochs"]
+    return rounded(epochs.groupBy(*CANDIDATE_KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.min("epoch_time").alias("first"), F.max("epoch_time").alias("last")))
+
+
+@query(
+    "dm26_periodogram",
+    with_views("lc_dip", "cand") + PTS + f"SELECT tic_id, p AS period_us, {sql_r6('power', 3)} AS power FROM bestbox "
+    "WHERE (tic_id, 1) IN (SELECT (tic_id, sector) FROM cand)",
+)
+def _(spark, sf):
+    series = views.lc_dip(spark, sf)
+    table_ = _diagnostics(spark, sf, series, search.box_periodogram(series, PERIODS, DURATIONS))["periodogram"]
+    return rounded(table_.select("tic_id", "period_us", "power"), 3)
+
+
 @query(
     "dm26_folded_model",
     with_views("view64") + f""", f AS (SELECT vec_id, v, 2.0::DOUBLE AS period, 0.4::DOUBLE AS dur, 0.01::DOUBLE * (vec_id % 10) AS depth FROM view64),

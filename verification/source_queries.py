@@ -154,8 +154,8 @@ def _(spark, sf):
     path = scratch_path(spark, "results")
     table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("tic_id"), (F.col("s_acctbal") / 10000).alias("fpp"), F.col("s_name").alias("status"), F.lit(1).alias("other")
-    ).write.json(path)
-    read = spark.read.schema(TRICERATOPS_SCHEMA).json(path)
+    ).repartition(F.col("tic_id")).write.option("maxRecordsPerFile", 1).json(path)
+    read = tables.read_results_json(spark, path, TRICERATOPS_SCHEMA)
     return rounded(read.select("tic_id", "fpp", "nfpp", "status"))
 
 
