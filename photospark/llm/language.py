@@ -3,17 +3,22 @@
 The model is an interpolated n-gram model over words. All its counts cover the
 whole corpus and grow with it: single words, and every pair and triple that
 occurs at least ``LEAST`` times in the training texts. Texts are cut into
-blocks. A block asks for the counts of its own n-grams: codes go by their
-leading bits to parts, a part adds them up over the corpus and answers each
-block with those that are in the model. The contexts of the kept n-grams (how
-many arcs leave them, with what count in all) go the same way: each n-gram is
-added to its context by the block that comes first in its part. So no task and
-no driver holds the n-grams of the corpus, and nothing is broadcast.
-
-The kept n-grams are an automaton: a state per context, an arc per kept
-continuation with its smoothed probability, and a failure arc to the shorter
-context with the weight of what is left. A block builds the part of it that its
-texts can reach.
+blocks, written once as word numbers into a table bucketed by block, so that
+the steps below bring answers to the blocks and move no text.
+
+1. A block sends its words, and a short fingerprint of each of its pairs and
+   triples, to the parts that their leading bits name. A part adds up and
+   answers, in the order it was asked, with the counts of the words and with a
+   bit for each fingerprint: may it be in the model?
+2. For those only the block sends the full code with its count, and is told
+   the count over the corpus. The bit errs to one side only, so the model is exact.
+3. The contexts of the kept n-grams (how many arcs leave them, with what count
+   in all) go the same way: each n-gram is added to its context by the block
+   that comes first in its part.
+
+So no task and no driver holds the n-grams of the corpus, and nothing is
+broadcast. A block then builds the part of the automaton that its texts can
+reach and walks it (``automaton``).
 """
 
 from __future__ import annotations
@@ -24,26 +29,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from photospark.llm.automaton import ADDED, Automaton
 from photospark.llm.fragments import slices
 from photospark.llm.repeats import mix
-from photospark.llm.scratch import keep
+from photospark.llm.scratch import keep, keep_by
 from photospark.llm.substrings import word_codes
 
 #: Least count of a pair or triple of the model.
 LEAST = 2
-#: Discount taken from each kept count, and what is added to each single-word count.
-DISCOUNT = 0.5
-ADDED = 0.1
-ORDER = 3
 #: Text bytes of a block, and least number of leading bits of a code that name its part (there are at least as many parts as blocks).
 BLOCK_BYTES = 8 << 20
 PART_BITS = 8
-#: Code of the end of a text; 0 fills the unused places of shorter n-grams.
+#: Bits of a fingerprint beyond the logarithm of the number of places: about 1 of 2**4 that are not in the model is asked for in full.
+SPARE_BITS = 4
+#: Code of the end of a text.
 END = np.uint64(0x9AE16A3B2F90404F)
+#: Kinds of what is asked: words, fingerprints, pairs and triples, contexts.
+WORDS, PRINTS, GRAMS, CONTEXTS = 1, 2, 3, 4
+ASKED = "part int, block bigint, kind int, codes binary, a binary, b binary"
+TOLD = "part int, block bigint, kind int, a binary, b binary"
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,58 +64,18 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, off + np.arange(n + 1)
 
 
-def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Place of each value in an ordered array, -1 where it is not in it."""
-    if not len(ordered):
-        return np.full(len(values), -1, np.int64)
-    # ordered questions walk through memory in order
-    order = np.argsort(values)
-    asked = values[order]
-    at = np.minimum(np.searchsorted(ordered, asked), len(ordered) - 1)
-    out = np.empty(len(values), np.int64)
-    out[order] = np.where(ordered[at] == asked, at, -1)
-    return out
+def _gram_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Code of what ``a`` stands for followed by the word ``b``."""
+    return mix(a * np.uint64(3) + mix(b))
 
 
-def _gram_code(*parts: np.ndarray) -> np.ndarray:
-    out = parts[0]
-    for p in parts[1:]:
-        out = mix(out * np.uint64(3) + mix(p))
-    return out
-
-
-def _unique(codes: np.ndarray) -> np.ndarray:
-    """Distinct codes in order."""
-    s = np.sort(codes)
-    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
-
-
-def _within(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """How often each wanted code is among ``codes``."""
-    s = np.sort(codes)
-    return np.searchsorted(s, wanted, side="right") - np.searchsorted(s, wanted, side="left")
-
-
-def _grams(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pair that ends at each place, is there one, triple, is there one); they do not reach over texts."""
-    pair, triple = np.zeros_like(codes), np.zeros_like(codes)
-    has2, has3 = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
-    has2[1:] = row[1:] == row[:-1]
-    pair[1:] = _gram_code(codes[:-1], codes[1:])
-    has3[2:] = row[2:] == row[:-2]
-    triple[2:] = mix(pair[1:-1] * np.uint64(3) + mix(codes[2:]))
-    return pair, has2, triple, has3
-
-
-def _bounds(codes: np.ndarray, bits: int) -> np.ndarray:
-    """Ends of the parts (leading bits) in ordered codes, a 0 in front."""
-    if not bits:
-        return np.array([0, len(codes)])
-    return np.append(np.searchsorted(codes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(codes))
+def _bounds(codes: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """Ends of the parts (leading bits) in ordered codes of ``width`` bits, a 0 in front."""
+    return np.append(np.searchsorted(codes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)), len(codes))
 
 
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """One binary value per stretch of ``values``: its length and its numbers (of codes, which are ordered, the differences), byte plane by byte plane, compressed."""
+    """One binary value per stretch of ``values``: its length and its numbers (of codes the differences), byte plane by byte plane, compressed."""
     codec, out = pa.Codec("zstd", 1), []
     steps = values.copy()
     if values.dtype == np.uint64:
@@ -118,17 +86,17 @@ def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
             continue
         part = steps[a:b].copy()
         part[0] = values[a]
-        out.append((b - a).to_bytes(4, "little") + codec.compress(part.view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True))
+        out.append((b - a).to_bytes(4, "little") + codec.compress(part.view(np.uint8).reshape(b - a, -1).T.tobytes(), asbytes=True))
     return pa.array(out, pa.binary())
 
 
 def _unpacked(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """(all values, number of values in each row)."""
-    codec, out = pa.Codec("zstd", 1), [np.zeros(0, kind)]
+    codec, width, out = pa.Codec("zstd", 1), np.dtype(kind).itemsize, [np.zeros(0, kind)]
     for value in column.to_pylist():
         n = int.from_bytes(value[:4], "little")
         if n:
-            planes = np.frombuffer(codec.decompress(value[4:], 8 * n), np.uint8).reshape(8, n)
+            planes = np.frombuffer(codec.decompress(value[4:], width * n), np.uint8).reshape(width, n)
             part = np.ascontiguousarray(planes.T).view(kind).ravel()
             out.append(np.cumsum(part, dtype=kind) if kind is np.uint64 else part)
         else:
@@ -136,203 +104,148 @@ def _unpacked(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out), np.fromiter(map(len, out[1:]), np.int64, len(out) - 1)
 
 
-def _asked(block: int, codes: np.ndarray, numbers: list[np.ndarray], bits: int, kind: int) -> pa.RecordBatch:
-    """Rows of one block: its ordered codes and their numbers, a row per part that has any."""
-    bounds = _bounds(codes, bits)
+def _ask(block: int, kind: int, codes: np.ndarray, bits: int, *numbers: np.ndarray, width: int = 64) -> pa.Table:
+    """Rows of one block: its ordered codes of ``width`` bits and up to two numbers of each, a row per part that has any."""
+    bounds = _bounds(codes, bits, width)
     rows = len(bounds) - 1
-    out = pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(rows, dtype=np.int32)), pa.array(np.full(rows, block, np.int64)), pa.array(np.full(rows, kind, np.int32)), _packed(codes, bounds), *[_packed(x, bounds) for x in numbers]],
-        ["part", "block", "kind", "codes", "a", "b"][: 4 + len(numbers)])
+    nothing = pa.nulls(rows, pa.binary())
+    packed = [*[_packed(x.astype(np.int32), bounds) for x in numbers], nothing, nothing][:2]
+    out = pa.table(
+        [pa.array(np.arange(rows, dtype=np.int32)), pa.array(np.full(rows, block, np.int64)), pa.array(np.full(rows, kind, np.int32)), _packed(codes, bounds), *packed],
+        ["part", "block", "kind", "codes", "a", "b"])
     return out.filter(pa.array(np.diff(bounds) > 0))
 
 
-def _added(rows: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, int]:
-    """All rows of a part: (codes, codes of each row, sums of each number over equal codes, first of its kind, number of distinct codes)."""
+def _added(rows: pa.Table, *names: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """All rows of a part: (ends of the rows, sums of each number over equal codes, first of its kind), in the order of the rows."""
     codes, size = _unpacked(rows.column("codes"), np.uint64)
-    numbers = [_unpacked(rows.column(k), np.int64)[0] for k in names]
     order = np.argsort(codes)
     s = codes[order]
     start = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-    place = np.empty(len(codes), np.int64)
-    place[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(s))))
+    length = np.diff(np.append(start, len(s)))
     first = np.zeros(len(codes), bool)
     first[order[start]] = True
-    sums = [np.add.reduceat(x[order], start)[place] if len(start) else x for x in numbers]
-    return codes, size, sums, first, len(start)
-
-
-def _answers(rows: pa.Table, size: np.ndarray, good: np.ndarray, kind: int, *columns: np.ndarray) -> pa.Table:
-    """One row for each asking one, with its good codes only."""
-    upto = np.concatenate([[0], np.cumsum(good)])
-    bounds = upto[np.concatenate([[0], np.cumsum(size)])]
-    packed = [_packed(c[good], bounds) for c in columns]
-    return pa.table([rows.column("block").cast(pa.int64()), pa.array(np.full(len(size), kind, np.int32)), *packed], ["block", "kind", "codes", "a", "b"])
-
-
-class _Known:
-    """What a block was told: ordered codes of one kind with their numbers."""
-
-    def __init__(self, told: pa.Table, kind: int):
-        rows = told.filter(pc.equal(told.column("kind"), kind))
-        codes = _unpacked(rows.column("codes"), np.uint64)[0]
-        a, b = (_unpacked(rows.column(k), np.int64)[0] for k in ("a", "b"))
+    sums = []
+    for name in names:
+        x = _unpacked(rows.column(name), np.int32)[0].astype(np.int64)
+        total = np.empty_like(x)
+        total[order] = np.repeat(np.add.reduceat(x[order], start), length) if len(start) else x
+        sums.append(total)
+    return np.append(0, np.cumsum(size)), sums, first
+
+
+def _tell(rows: pa.Table, bounds: np.ndarray, *numbers: np.ndarray) -> pa.Table:
+    """One row for each asking one, with numbers in the order of its codes."""
+    nothing = pa.nulls(rows.num_rows, pa.binary())
+    packed = [*[_packed(x, bounds) for x in numbers], nothing][:2]
+    return pa.table([*[rows.column(c) for c in ("part", "block", "kind")], *packed], ["part", "block", "kind", "a", "b"])
+
+
+class _Told:
+    """Answers to one block, kind by kind in the order of what it asked."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+
+    def __call__(self, kind: int, column: str, dtype: type) -> np.ndarray:
+        mine = self.rows.filter(pc.equal(self.rows.column("kind"), kind)).sort_by("part")
+        return _unpacked(mine.column(column), dtype)[0]
+
+
+class _Block:
+    """Words, pairs and triples of a block by numbers of its own; all that it asks for and is told is in an order that follows from its texts."""
+
+    def __init__(self, row: pa.Table):
+        self.key = row.column("block")[0].as_py()
+        self.ids, held, lengths = (row.column(c).combine_chunks().flatten() for c in ("ids", "held", "lengths"))
+        self.held = held.to_numpy(zero_copy_only=False).astype(bool)
+        self.off = np.append(0, np.cumsum(lengths.to_numpy().astype(np.int64)))
+        self.codes = _unpacked(row.column("vocabulary"), np.uint64)[0]
+        self.words = _unpacked(row.column("words"), np.int32)[0].astype(np.int64)
+        text = np.repeat(np.arange(len(self.held)), np.diff(self.off))
+        train = ~self.held[text]
+        self.count = np.bincount(self.words[train], minlength=len(self.codes))
+        self.word_order = np.argsort(self.codes)
+        # places whose word ends a pair, and a triple, within its text
+        two = np.flatnonzero(text[1:] == text[:-1]) + 1
+        three = np.flatnonzero(text[2:] == text[:-2]) + 2
+        size = max(1, len(self.codes))
+        pairs, at = np.unique(self.words[two - 1] * size + self.words[two], return_inverse=True)
+        self.pair = (pairs // size, pairs % size)
+        self.pair_count = np.bincount(at[train[two]], minlength=len(pairs))
+        pair_at = np.zeros(len(self.words), np.int64)
+        pair_at[two] = at
+        triples, where, at = np.unique(pair_at[three - 1] * size + self.words[three], return_index=True, return_inverse=True)
+        self.triple = (triples // size, triples % size, pair_at[three[where]])
+        self.triple_count = np.bincount(at[train[three]], minlength=len(triples))
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order of pairs and then triples by code, their ordered codes, their counts in it)."""
+        self.pair_codes = _gram_code(self.codes[self.pair[0]], self.codes[self.pair[1]])
+        codes = np.concatenate([self.pair_codes, _gram_code(self.pair_codes[self.triple[0]], self.codes[self.triple[1]])])
         order = np.argsort(codes, kind="stable")
-        s = codes[order]
-        # a block that two tasks read was told the same twice, and one of the answers may say that it comes first
-        start = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-        self.codes = s[start]
-        self.a = a[order][start]
-        self.b = np.maximum.reduceat(b[order], start) if len(start) else b
-
-    def of(self, values: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """Places of the values in ``codes``, -1 where they are not known or not ``there``."""
-        return np.where(there, _in(values, self.codes), -1)
-
-    def number(self, at: np.ndarray, column: str = "a") -> np.ndarray:
-        """Numbers at places, 0 for -1."""
-        return np.append(getattr(self, column), 0)[at]
-
-
-class Automaton:
-    """States, arcs and failure arcs of the kept n-grams; symbols are the kept words."""
-
-    def __init__(self, grams: list[tuple[tuple[int, ...], int]], total: float):
-        """``grams``: (codes, count) of all kept n-grams, ``total``: denominator of the single-word probabilities."""
-        count = dict(grams)
-        self.symbols = np.array(sorted(g[0] for g in count if len(g) == 1), np.uint64)
-        symbol = {c: i for i, c in enumerate(self.symbols.tolist())}
-        contexts = {g[:-1] for g in count if len(g) > 1 and g[:-1] in count and g[1:] in count}
-        self.state = {(): 0} | {c: i for i, c in enumerate(sorted(contexts, key=lambda c: (len(c), c)), 1)}
-        self.fail = [0] * len(self.state)
-        self.left = [0.0] * len(self.state)
-        self.size = max(1, len(symbol))
-        single = {g: (n + ADDED) / total for g, n in count.items() if len(g) == 1}
-        taken = dict.fromkeys(self.state, 0.0)
-        for g, n in count.items():
-            if g[:-1] in contexts and g[1:] in count:
-                taken[g[:-1]] += (n - DISCOUNT) / count[g[:-1]]
-        weight = {c: max(1.0 - taken[c], 1e-9) for c in self.state if c}
-        for c, i in self.state.items():
-            if c:
-                self.fail[i] = self.state[self._longest(c[1:])]
-                self.left[i] = math.log10(weight[c])
-
-        def chance(context: tuple[int, ...], word: int) -> float:
-            while context and context not in weight:
-                context = context[1:]
-            if not context:
-                return single[word,]
-            lower = weight[context] * chance(context[1:], word)
-            n = count.get((*context, word)) if (*context[1:], word) in count else None
-            return lower if n is None else (n - DISCOUNT) / count[context] + lower
-
-        self.arcs = {}
-        for g in count:
-            if g[:-1] in contexts and g[1:] in count:
-                self.arcs[self.state[g[:-1]] * self.size + symbol[g[-1]]] = (math.log10(chance(g[:-1], g[-1])), self.state[self._longest(g[1 - ORDER :])])
-        self.enter = [self.state.get((c,), 0) for c in self.symbols.tolist()]
-
-    def _longest(self, context: tuple[int, ...]) -> tuple[int, ...]:
-        while context not in self.state:
-            context = context[1:]
-        return context
-
-    def score(self, symbols: list[int], singles: list[float]) -> float:
-        """log10 probability of a text: ``symbols`` (-1 where a word is none) and single-word log probabilities."""
-        arcs, fail, left, size, enter = self.arcs, self.fail, self.left, self.size, self.enter
-        total, state = 0.0, 0
-        for symbol, single in zip(symbols, singles, strict=True):
-            while state:
-                arc = arcs.get(state * size + symbol) if symbol >= 0 else None
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += left[state]
-                state = fail[state]
-            else:
-                total += single
-                state = enter[symbol] if symbol >= 0 else 0
-        return total
-
-
-class BlockAutomaton:
-    """The part of the automaton that a block's texts can reach, as ordered arrays.
-
-    ``grams`` are the arcs with their counts, ``contexts`` the states with the
-    count and the number of their arcs. The state after a word is the longest
-    context that ends there, so all places of a text take their arc, or their
-    failure arcs, at once.
-    """
-
-    def __init__(self, grams: _Known, contexts: _Known):
-        self.grams, self.contexts = grams, contexts
-
-    def chances(self, codes: np.ndarray, row: np.ndarray, counts: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """Probability of each word after the words before it; ``counts`` and ``single`` are those of the words alone."""
-        pair, has2, triple, has3 = _grams(codes, row)
-        lower, n_pair = single, self.grams.number(self.grams.of(pair, has2))
-        n_triple = self.grams.number(self.grams.of(triple, has3))
-        for there, n, context, context_n in ((has2, n_pair, codes, counts), (has3, n_triple, pair, n_pair)):
-            # the context of a place ends at the place before
-            context, context_n = np.roll(context, 1), np.maximum(np.roll(context_n, 1), 1)
-            state = self.contexts.of(context, there)
-            taken = (self.contexts.number(state) - DISCOUNT * self.contexts.number(state, "b")) / context_n
-            arc = np.where(n > 0, (n - DISCOUNT) / context_n, 0.0)
-            lower = np.where(state >= 0, arc + np.maximum(1.0 - taken, 1e-9) * lower, lower)
-        return lower
-
-
-def _placed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, held_out and the place of each row in its file; a frame that is not read from Parquet is written first."""
-    rows = docs.select("doc_id", "text")
-    try:
-        placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    except AnalysisException:
-        rows = keep(rows, "texts")
-        placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    return placed.withColumn("held_out", held)
-
-
-def _ask(docs: DataFrame, bits: int) -> DataFrame:
-    """part, block, kind, codes, a: the words (kind 1) and the pairs and triples (kind 2) of each block with their counts in training texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        current, texts = None, 0
+        return order, codes[order], np.concatenate([self.pair_count, self.triple_count])[order]
+
+    def chosen(self, told: _Told) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``grams`` of those that may be in the model."""
+        good = told(PRINTS, "a", np.uint8).astype(bool)
+        return tuple(x[good] for x in self.grams())
+
+    def learn(self, told: _Told) -> tuple[np.ndarray, np.ndarray]:
+        """Takes the counts over the corpus in place of its own; (is each pair, triple counted here first)."""
+        self.count = np.zeros(len(self.codes), np.int64)
+        self.count[self.word_order] = told(WORDS, "a", np.int64)
+        order = self.chosen(told)[0]
+        n, first = (np.zeros(len(self.pair_count) + len(self.triple_count), np.int64) for _ in range(2))
+        n[order], first[order] = told(GRAMS, "a", np.int64), told(GRAMS, "b", np.uint8)
+        self.pair_count, self.triple_count = np.split(n, [len(self.pair_count)])
+        return tuple(np.split(first.astype(bool), [len(self.pair_count)]))
+
+    def contexts(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(order of words and then pairs that may be states, by code; their ordered codes); after ``learn``."""
+        word = np.zeros(len(self.codes), bool)
+        word[self.pair[0]] = True
+        pair = np.zeros(len(self.pair_count), bool)
+        pair[self.triple[0]] = True
+        which = np.flatnonzero(np.concatenate([word & (self.count >= least), pair & (self.pair_count >= least)]))
+        codes = np.concatenate([self.codes, self.pair_codes])[which]
+        order = np.argsort(codes, kind="stable")
+        return which[order], codes[order]
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            codes, row, train = (np.concatenate(x) for x in zip(*held, strict=True))
-            pair, has2, triple, has3 = _grams(codes, row)
-            for kind, parts in ((1, [(codes, np.ones(len(codes), bool))]), (2, [(pair, has2), (triple, has3)])):
-                mine = _unique(np.concatenate([c[there] for c, there in parts]))
-                yield _asked(current, mine, [_within(np.concatenate([c[there & train] for c, there in parts]), mine)], bits, kind)
 
-        for batch in slices(batches):
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """A row per block of texts: ids, held out or not, numbers of words, the block's vocabulary (frequent words first) and its texts as numbers in it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, done, part = 0, 0, TaskContext.get().partitionId()
+
+        def flush() -> pa.RecordBatch:
+            ids, out, lengths = (pa.concat_arrays(x) for x in list(zip(*held, strict=True))[:3])
+            codes, words, count = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True, return_counts=True)
+            order = np.lexsort((codes, -count))
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            n = len(ids)
+            lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x) for x in (ids, out, lengths)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part << 32 | done], pa.int64()), *lists, _packed(codes[order], np.array([0, len(order)])), _packed(rank[words], np.array([0, len(words)]))],
+                ["block", "ids", "held", "lengths", "vocabulary", "words"])
+
+        for batch in slices(batches, block_bytes):
+            n_bytes = pc.sum(pc.binary_length(batch.column(0))).as_py() or 0
+            if held and size + n_bytes > block_bytes:
+                yield flush()
+                held, size, done = [], 0, done + 1
             codes, off = tokens(batch.column(0))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(off))
-            train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[row]
-            block = batch.column(2).to_numpy()[row]
-            edge = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            for a, b in zip(edge, np.append(edge[1:], len(block)), strict=True):
-                if current is not None and block[a] != current:
-                    yield from flush()
-                    held = []
-                current = block[a]
-                held.append((codes[a:b], row[a:b] + texts, train[a:b]))
-            texts += batch.num_rows
+            held.append((batch.column(1), batch.column(2), pa.array(np.diff(off), pa.int64()), codes))
+            size += n_bytes
         if held:
-            yield from flush()
-
-    return docs.select("text", "held_out", "block").mapInArrow(run, "part int, block bigint, kind int, codes binary, a binary")
-
-
-def _train_tokens(docs: DataFrame) -> int:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([len(tokens(batch.column(0))[0])])], ["n"])
+            yield flush()
 
-    return docs.filter(~F.col("held_out")).select("text").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+    key = F.col("doc_id")
+    out = F.coalesce(F.crc32(key.cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    return docs.select("text", key.cast("bigint").alias("doc_id"), out.alias("held_out")).mapInArrow(
+        run, "block bigint, ids array<bigint>, held array<boolean>, lengths array<bigint>, vocabulary binary, words binary")
 
 
 def score(docs: DataFrame, share: float | None = None, block_bytes: int = BLOCK_BYTES, least: int = LEAST) -> DataFrame:
@@ -344,81 +257,85 @@ def score(docs: DataFrame, share: float | None = None, block_bytes: int = BLOCK_
     the place of ``least`` if one is given. ``base_score`` is the
     add-``ADDED`` single-word model, ``score`` the automaton's log10
     probability. A null text is empty: its end alone. Runs jobs while it is
-    built; the counts of the blocks are written to the shared folder.
+    built; the blocks and their counts are written to the shared folder.
     """
-    placed = _placed(docs)
-    sums = placed.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    n_rows, n_bytes = sums["rows"], sums["bytes"] or 0
-    floor = least if share is None else share * _train_tokens(placed)
-    per_block = max(1, int(block_bytes * n_rows / max(1, n_bytes)))
-    bits = max(PART_BITS, math.ceil(math.log2(max(1, n_bytes / block_bytes))))
-    blocked = placed.select("doc_id", "text", "held_out", F.xxhash64("file", F.floor(F.col("row") / per_block)).alias("block"))
-    answer = "block bigint, kind int, codes binary, a binary, b binary"
-
-    def count(rows: pa.Table) -> pa.Table:
-        """Counts of a part's codes over the corpus for whoever asked; its totals as kind 0."""
-        outs, n_train, n_types = [], 0, 0
-        for kind in (1, 2):
-            mine = rows.filter(pc.equal(rows.column("kind"), kind))
-            codes, size, (total,), first, _ = _added(mine, ["a"])
-            good = total > 0 if kind == 1 else (total > 0) & (total >= floor)
-            if kind == 1:
-                n_train, n_types = int(total[first].sum()), int((first & good).sum())
-            outs.append(_answers(mine, size, good, kind, codes, total, first.astype(np.int64)))
-        outs.append(pa.table([pa.array([0], pa.int32()), pa.array([n_train]), pa.array([n_types])], ["kind", "n_train", "n_types"]))
-        return pa.concat_tables(outs, promote_options="default")
-
-    told = keep(_ask(blocked, bits).groupBy("part").applyInArrow(count, answer + ", n_train bigint, n_types bigint"), "gram-counts")
-    whole = told.agg(F.sum("n_train").alias("n_train"), F.sum("n_types").alias("n_types")).first()
-    n_train = whole["n_train"] or 0
-    below = n_train + ADDED * ((whole["n_types"] or 0) + 1)
-    told = told.filter("kind > 0").select("block", "kind", "codes", "a", "b")
-
-    def contexts(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        """What the block adds to the contexts of the kept n-grams that come first in it, and the contexts that it asks for."""
-        words, grams = _Known(counts, 1), _Known(counts, 2)
-        before = np.zeros(len(grams.codes), np.uint64)
-        asked = []
-        for batch in slices(iter(texts.combine_chunks().to_batches())):
-            codes, off = tokens(batch.column(1))
-            pair, has2, triple, has3 = _grams(codes, np.repeat(np.arange(batch.num_rows), np.diff(off)))
-            for gram, there, context, context_n in (
-                (pair, has2, codes, words.number(words.of(codes, np.ones(len(codes), bool)))), (triple, has3, pair, grams.number(grams.of(pair, has2)))):
-                after = np.flatnonzero(there)
-                at = grams.of(gram, there)[after]
-                before[at[at >= 0]] = context[after - 1][at >= 0]
-                asked.append(_unique(context[after - 1][context_n[after - 1] >= max(1, floor)]))
-        mine = grams.b > 0
-        codes = np.concatenate([*asked, before[mine]])
-        n = np.concatenate([np.zeros(len(codes) - int(mine.sum()), np.int64), grams.a[mine]])
-        kinds = np.concatenate([np.zeros(len(codes) - int(mine.sum()), np.int64), np.ones(int(mine.sum()), np.int64)])
-        order = np.argsort(codes)
-        s = codes[order]
-        start = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-        numbers = [np.add.reduceat(x[order], start) if len(start) else x for x in (n, kinds)]
-        return pa.Table.from_batches([_asked(texts.column("block")[0].as_py() if texts.num_rows else 0, s[start], numbers, bits, 3)])
-
-    def add(rows: pa.Table) -> pa.Table:
-        codes, size, (n, kinds), _, _ = _added(rows, ["a", "b"])
-        return _answers(rows, size, kinds > 0, 3, codes, n, kinds)
-
-    asked = blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(contexts, "part int, block bigint, kind int, codes binary, a binary, b binary")
-    told = told.unionByName(asked.groupBy("part").applyInArrow(add, answer))
-
-    def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        words, automaton = _Known(counts, 1), BlockAutomaton(_Known(counts, 2), _Known(counts, 3))
-        outs = []
-        for batch in slices(iter(texts.combine_chunks().to_batches())):
-            codes, off = tokens(batch.column(1))
-            c = words.number(words.of(codes, np.ones(len(codes), bool)))
-            single = (c + ADDED) / below
-            chance = automaton.chances(codes, np.repeat(np.arange(batch.num_rows), np.diff(off)), c, single)
-            known, base, full = (np.add.reduceat(x, off[:-1]) for x in ((c > 0).astype(np.int64), np.log10(single), np.log10(chance)))
-            outs.append(pa.table([
-                batch.column(0).cast(pa.int64()), batch.column(2), pa.array(np.diff(off)), pa.array(known), pa.array(np.full(batch.num_rows, n_train, np.int64)),
-                pa.array(base), pa.array(full)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        ddl = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        return pa.concat_tables(outs).cast(ddl) if outs else ddl.empty_table()
-
-    return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+    blocks = keep_by(_blocks(docs, block_bytes), "text-blocks", "block")
+    length = F.aggregate(F.arrays_zip("lengths", "held"), F.lit(0).cast("bigint"), lambda n, x: n + F.when(x["held"], 0).otherwise(x["lengths"]))
+    every = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda n, x: n + x)
+    sums = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum(length).alias("train"), F.sum(every).alias("all")).first()
+    n_train, n_all = sums["train"] or 0, sums["all"] or 0
+    floor = max(1, least if share is None else share * n_train)
+    bits = max(PART_BITS, math.ceil(math.log2(max(1, sums["blocks"]))))
+    print_bits = min(64, max(bits, math.ceil(math.log2(max(2, 2 * n_all))) + SPARE_BITS))
+    enough = math.ceil(floor)
+
+    def prints(row: pa.Table) -> pa.Table:
+        block = _Block(row)
+        _, codes, n = block.grams()
+        # the count of a fingerprint matters up to what is enough
+        short = _ask(block.key, PRINTS, codes >> np.uint64(64 - print_bits), bits, np.minimum(n, enough), width=print_bits)
+        return pa.concat_tables([_ask(block.key, WORDS, block.codes[block.word_order], bits, block.count[block.word_order]), short])
+
+    def known(rows: pa.Table) -> pa.Table:
+        """Counts of words and bits of fingerprints for whoever asked; the part's number of words of the training texts."""
+        mine = rows.filter(pc.equal(rows.column("kind"), WORDS))
+        bounds, (n,), first = _added(mine, "a")
+        types = int((first & (n > 0)).sum())
+        told = [_tell(mine, bounds, n)]
+        mine = rows.filter(pc.equal(rows.column("kind"), PRINTS))
+        bounds, (n,), _ = _added(mine, "a")
+        told.append(_tell(mine, bounds, (n >= enough).astype(np.uint8)))
+        told.append(pa.table([pa.array([0], pa.int32()), pa.array([types])], ["kind", "n_types"]))
+        return pa.concat_tables(told, promote_options="default").select(["part", "block", "kind", "a", "b", "n_types"])
+
+    first_told = keep(blocks.groupBy("block").applyInArrow(prints, ASKED).groupBy("part").applyInArrow(known, TOLD + ", n_types bigint"), "word-counts")
+    below = n_train + ADDED * ((first_told.agg(F.sum("n_types")).first()[0] or 0) + 1)
+    first_told = first_told.filter("kind > 0").drop("n_types")
+
+    def codes(row: pa.Table, told: pa.Table) -> pa.Table:
+        block = _Block(row)
+        _, ordered, n = block.chosen(_Told(told))
+        return _ask(block.key, GRAMS, ordered, bits, n)
+
+    def counts(rows: pa.Table) -> pa.Table:
+        bounds, (n,), first = _added(rows, "a")
+        good = n >= floor
+        return _tell(rows, bounds, np.where(good, n, 0), (first & good).astype(np.uint8))
+
+    def met(answers: DataFrame):
+        return blocks.groupBy("block").cogroup(answers.groupBy("block"))
+
+    told = first_told.unionByName(keep(met(first_told.filter(f"kind = {PRINTS}")).applyInArrow(codes, ASKED).groupBy("part").applyInArrow(counts, TOLD), "gram-counts"))
+
+    def arcs(row: pa.Table, told: pa.Table) -> pa.Table:
+        block = _Block(row)
+        first2, first3 = block.learn(_Told(told))
+        which, ordered = block.contexts(floor)
+        n = len(block.codes)
+        head = np.concatenate([block.pair[0][first2], n + block.triple[0][first3]])
+        size = np.concatenate([block.pair_count[first2], block.triple_count[first3]])
+        total = np.bincount(head, size, n + len(block.pair_count))
+        return _ask(block.key, CONTEXTS, ordered, bits, total[which], np.bincount(head, minlength=len(total))[which])
+
+    def states(rows: pa.Table) -> pa.Table:
+        bounds, sums, _ = _added(rows, "a", "b")
+        return _tell(rows, bounds, *sums)
+
+    told = told.unionByName(keep(met(told).applyInArrow(arcs, ASKED).groupBy("part").applyInArrow(states, TOLD), "context-counts"))
+
+    def scored(row: pa.Table, told: pa.Table) -> pa.Table:
+        block, answers = _Block(row), _Told(told)
+        block.learn(answers)
+        which, _ = block.contexts(floor)
+        n = len(block.codes)
+        total, arcs = (np.zeros(n + len(block.pair_count), np.int64) for _ in range(2))
+        total[which], arcs[which] = answers(CONTEXTS, "a", np.int64), answers(CONTEXTS, "b", np.int64)
+        model = Automaton(block.count, below, block.pair, block.pair_count, block.triple, block.triple_count, total[:n], arcs[:n], total[n:], arcs[n:])
+        start = block.off[:-1]
+        known, base, full = (np.add.reduceat(x, start) for x in ((block.count > 0).astype(np.int64)[block.words], model.single[block.words], model.walk(block.words, block.off)))
+        return pa.table([
+            block.ids, pa.array(block.held), pa.array(np.diff(block.off)), pa.array(known), pa.array(np.full(len(start), n_train, np.int64)), pa.array(base), pa.array(full)],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return met(told).applyInArrow(
         scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

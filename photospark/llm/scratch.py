@@ -19,6 +19,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_by(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """``keep`` as a table bucketed by ``columns``: later grouping and cogrouping by them moves none of its rows."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, *columns).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` hinted for broadcast if it has at most ``BROADCAST_ROWS`` rows; beyond, Spark chooses the join."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -6,12 +6,13 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from test_packing_tokens import ODD
 from test_repeats import brute_words
 
 import corpus_pipeline
-from photospark.llm import language, pii
+from photospark.llm import automaton, language, pii
 from photospark.llm.quality import quality
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -63,18 +64,47 @@ def test_scores(spark, share):
     check({r["doc_id"]: tuple(r)[1:] for r in rows}, direct(texts, share))
 
 
+def model_of(tokens, least):
+    """Automaton of the words 0, 1, ... of one text, all of them in the training part; its last word never occurs."""
+    n = max(tokens) + 2
+    count = Counter(tuple(tokens[i : i + k]) for k in (1, 2, 3) for i in range(len(tokens) - k + 1))
+    pairs = sorted(g for g in count if len(g) == 2)
+    triples = sorted(g for g in count if len(g) == 3)
+    kept = {g: c for g, c in count.items() if len(g) > 1 and c >= least}
+    place = {g: i for i, g in enumerate(pairs)}
+
+    def arcs(contexts):
+        after = [[c for g, c in kept.items() if g[:-1] == x] for x in contexts]
+        return np.array([sum(x) for x in after]), np.array([len(x) for x in after])
+
+    return automaton.Automaton(
+        np.array([count[w,] for w in range(n)]), len(tokens) + 0.1 * n,
+        tuple(np.array(x) for x in zip(*pairs)), np.array([kept.get(g, 0) for g in pairs]),
+        tuple(np.array(x) for x in zip(*[(place[g[:2]], g[2], place[g[1:]]) for g in triples])), np.array([kept.get(g, 0) for g in triples]),
+        *arcs([(w,) for w in range(n)]), *arcs(pairs))
+
+
 def test_probabilities_add_up_to_one():
     rng = random.Random(12)
-    tokens = [rng.randrange(1, 9) for _ in range(3000)]
-    count = Counter(tuple(tokens[i : i + n]) for n in (1, 2, 3) for i in range(len(tokens) - n + 1))
-    kept = [(g, n) for g, n in count.items() if len(g) == 1 or n >= 5]
-    model = language.Automaton(kept, 3000 + 0.1 * 9)
-    singles = [math.log10((count[(w,)] + 0.1) / (3000 + 0.9)) for w in range(1, 9)]
-    for context in ([], [0], [3], [1, 2], [5, 5]):
-        before = model.score(context, [singles[c] for c in context])
-        after = [10 ** (model.score([*context, s], [singles[c] for c in [*context, s]]) - before) for s in range(8)]
-        unseen = 10 ** (model.score([*context, -1], [singles[c] for c in context] + [math.log10(0.1 / (3000 + 0.9))]) - before)
-        assert sum(after) + unseen == pytest.approx(1, abs=1e-3)
+    model = model_of([rng.randrange(8) for _ in range(3000)], 5)
+    for context in ([], [0], [3], [1, 2], [5, 5], [8, 2]):
+        texts = [[*context, w] for w in range(9)]
+        walked = model.walk(np.concatenate(texts), np.arange(10) * len(texts[0]))
+        assert sum(10 ** walked[len(context) :: len(context) + 1]) == pytest.approx(1, abs=1e-9)
+
+
+def test_lanes_of_a_long_text_carry_its_state():
+    """A text cut into lanes costs what one lane that walks it from the start does."""
+    rng = random.Random(16)
+    tokens = [int(rng.paretovariate(0.6)) % 40 for _ in range(5000)]
+    model = model_of(tokens, 2)
+    lanes = model.walk(np.array(tokens), np.array([0, 1, 3, 700, 5000]))
+    for a, b in ((0, 1), (1, 3), (3, 700), (700, 5000)):
+        state, alone = np.zeros(1, np.int64), []
+        for w in tokens[a:b]:
+            cost, state = model.step(state, np.array([w]))
+            alone.append(cost[0])
+        assert np.array_equal(lanes[a:b], np.array(alone))
 
 
 def test_odd_tables(spark):
