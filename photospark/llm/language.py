@@ -69,6 +69,25 @@ def _gram_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(3) + mix(b))
 
 
+def _order(codes: np.ndarray) -> np.ndarray:
+    """Places of the codes by their leading bits, then by place (the last bits that number the places do not count): numbers sort faster than places of numbers."""
+    low = np.uint64((1 << len(codes).bit_length()) - 1)
+    return (np.sort((codes & ~low) | np.arange(len(codes), dtype=np.uint64)) & low).astype(np.int64)
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, number of each key among them)."""
+    low = len(keys).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + low > 63:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys << low | np.arange(len(keys)))
+    ordered = both >> low
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    at = np.empty(len(keys), np.int64)
+    at[both & ((1 << low) - 1)] = np.cumsum(new) - 1
+    return ordered[new], at
+
+
 def _bounds(codes: np.ndarray, bits: int, width: int) -> np.ndarray:
     """Ends of the parts (leading bits) in ordered codes of ``width`` bits, a 0 in front."""
     return np.append(np.searchsorted(codes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)), len(codes))
@@ -165,25 +184,27 @@ class _Block:
         text = np.repeat(np.arange(len(self.held)), np.diff(self.off))
         train = ~self.held[text]
         self.count = np.bincount(self.words[train], minlength=len(self.codes))
-        self.word_order = np.argsort(self.codes)
+        self.word_order = _order(self.codes)
         # places whose word ends a pair, and a triple, within its text
         two = np.flatnonzero(text[1:] == text[:-1]) + 1
         three = np.flatnonzero(text[2:] == text[:-2]) + 2
         size = max(1, len(self.codes))
-        pairs, at = np.unique(self.words[two - 1] * size + self.words[two], return_inverse=True)
+        pairs, at = _numbered(self.words[two - 1] * size + self.words[two])
         self.pair = (pairs // size, pairs % size)
         self.pair_count = np.bincount(at[train[two]], minlength=len(pairs))
         pair_at = np.zeros(len(self.words), np.int64)
         pair_at[two] = at
-        triples, where, at = np.unique(pair_at[three - 1] * size + self.words[three], return_index=True, return_inverse=True)
-        self.triple = (triples // size, triples % size, pair_at[three[where]])
+        triples, at = _numbered(pair_at[three - 1] * size + self.words[three])
+        tail = np.zeros(len(triples), np.int64)
+        tail[at] = pair_at[three]
+        self.triple = (triples // size, triples % size, tail)
         self.triple_count = np.bincount(at[train[three]], minlength=len(triples))
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order of pairs and then triples by code, their ordered codes, their counts in it)."""
+        """(order of pairs and then triples by leading bits of the code, their codes and counts in it)."""
         self.pair_codes = _gram_code(self.codes[self.pair[0]], self.codes[self.pair[1]])
         codes = np.concatenate([self.pair_codes, _gram_code(self.pair_codes[self.triple[0]], self.codes[self.triple[1]])])
-        order = np.argsort(codes, kind="stable")
+        order = _order(codes)
         return order, codes[order], np.concatenate([self.pair_count, self.triple_count])[order]
 
     def chosen(self, told: _Told) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +230,7 @@ class _Block:
         pair[self.triple[0]] = True
         which = np.flatnonzero(np.concatenate([word & (self.count >= least), pair & (self.pair_count >= least)]))
         codes = np.concatenate([self.codes, self.pair_codes])[which]
-        order = np.argsort(codes, kind="stable")
+        order = _order(codes)
         return which[order], codes[order]
 
 
