@@ -44,8 +44,6 @@ SMALL = 64
 BLOCK = 256
 #: A large bucket is compared without further splitting if one of its children holds this share of it.
 ALIKE = 0.5
-#: Pairs with fewer equal signature tokens are not verified (a pair at 0.8 has 25.6 on average; 11 or fewer happens once in 10**8).
-LEAST_EQUAL = 12
 #: Rows of a task that are worked on at a time.
 CHUNK = 4096
 #: Odd multipliers that order the n-gram hashes, one per coordinate, by a rule.
@@ -60,6 +58,15 @@ def runs_needed(threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
+def least_equal(threshold: float, recall: float) -> int:
+    """Equal signature tokens from which a pair is verified: a pair at the threshold has fewer with a tenth of the chance that the runs may miss it at most."""
+    k, below = 0, (1 - threshold) ** TOKENS
+    while k < TOKENS and below <= (1 - recall) / 10:
+        k += 1
+        below += math.comb(TOKENS, k) * threshold**k * (1 - threshold) ** (TOKENS - k)
+    return k
+
+
 def tree(runs: int) -> list[tuple[int, ...]]:
     """All nodes as paths of coordinates, level by level. Runs take their first coordinates in turn, children follow on."""
     level = [(i % TOKENS,) for i in range(runs * FANOUT)]
@@ -181,8 +188,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Itera
 class _Pairs:
     """Pairs of a table of whole units that are first met here and may reach the threshold."""
 
-    def __init__(self, table: pa.Table, nodes: list[tuple[int, ...]], threshold: float):
-        self.nodes, self.threshold = nodes, threshold
+    def __init__(self, table: pa.Table, nodes: list[tuple[int, ...]], threshold: float, least: int):
+        self.nodes, self.threshold, self.least = nodes, threshold, least
         self.unit, self.node, self.n = (table.column(c).to_numpy() for c in ("unit", "node", "n"))
         self.late, self.across = (table.column(c).to_numpy().astype(bool) for c in ("late", "across"))
         self.sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
@@ -214,7 +221,7 @@ class _Pairs:
         good = (np.minimum(n, m) >= self.threshold * np.maximum(n, m)) & (~self.across[i] | (self.late[i] != self.late[j]))
         i, j = i[good], j[good]
         equal = self.sig[i] == self.sig[j]
-        good = equal.sum(axis=1) >= LEAST_EQUAL
+        good = equal.sum(axis=1) >= self.least
         i, j, equal = i[good], j[good], equal[good]
         here = self.node[i]
         first = np.full(len(i), -1)
@@ -232,9 +239,9 @@ class _Pairs:
         return i[first == here], j[first == here]
 
 
-def _verified(table: pa.Table, nodes: list[tuple[int, ...]], threshold: float) -> pa.RecordBatch:
+def _verified(table: pa.Table, nodes: list[tuple[int, ...]], threshold: float, least: int) -> pa.RecordBatch:
     """Per row of whole units: links (documents behind the sets it reaches) and the smallest set it hangs together with."""
-    pairs = _Pairs(table, nodes, threshold)
+    pairs = _Pairs(table, nodes, threshold, least)
     rep, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy()
     sets = table.column("grams").combine_chunks()
     grams, off = sets.flatten().to_numpy(), sets.offsets.to_numpy().astype(np.int64)
@@ -327,7 +334,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     repeat an id count as copies. Runs jobs while it is built; steps are
     written to the shared folder.
     """
-    runs = runs_needed(threshold, recall)
+    runs, least = runs_needed(threshold, recall), least_equal(threshold, recall)
     nodes = tree(runs)
     sets = keep(signatures(docs, width), "signatures")
     classes = keep(sets.groupBy("k1", "k2").agg(
@@ -346,7 +353,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
             used = np.zeros(table.num_rows, bool)
-            for i, j in _Pairs(table, nodes, threshold):
+            for i, j in _Pairs(table, nodes, threshold, least):
                 used[i] = used[j] = True
             if used.any():
                 yield from table.filter(pa.array(used)).combine_chunks().to_batches()
@@ -366,7 +373,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, 512):
-            yield _verified(table, nodes, threshold)
+            yield _verified(table, nodes, threshold, least)
 
     found = keep(dealt(needed.join(whole, "rep")).mapInArrow(verify, "rep bigint, links bigint, knot bigint"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

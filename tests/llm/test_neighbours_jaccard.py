@@ -126,3 +126,27 @@ def test_recall_is_reached_by_the_runs():
     met = rng.random((20_000, jaccard.TOKENS)) < 0.8
     deepest = [p for p in nodes if len(p) == jaccard.DEPTH]
     assert np.any([np.all(met[:, p], axis=1) for p in deepest], axis=0).mean() >= 0.9999
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.6, 0.5, 0.3])
+def test_pairs_left_unverified_are_rarer_than_the_recall_allows(threshold):
+    least = jaccard.least_equal(threshold, jaccard.RECALL)
+    rng = np.random.default_rng(4)
+    equal = rng.binomial(jaccard.TOKENS, threshold, 1_000_000)
+    assert (equal < least).sum() <= 2
+    assert threshold != 0.8 or least == 12
+
+
+def test_links_at_a_low_threshold(spark):
+    rng = random.Random(6)
+    out = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(90)]
+        for _ in range(3):
+            x = list(base)
+            for _ in range(rng.randrange(1, 6)):
+                x[rng.randrange(len(x))] = f"w{rng.randrange(5000)}"
+            out.append(" ".join(x))
+    texts = dict(enumerate(out))
+    rows = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), threshold=0.5).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == similar(texts, 0.5)
