@@ -81,7 +81,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end: int = END, dtype: str = "<u2") -> DataFrame:
     """One row per packed sequence (``SCHEMA``).
 
-    ``dtype`` must hold every id of the vocabulary. Null texts are empty
+    An id that ``dtype`` does not hold ends the job with an error. Null texts are empty
     documents of the end id alone. A sequence is packed from the documents of
     one task; only the last sequences of a buffer stay partly empty. No shuffle.
     """
@@ -94,6 +94,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
         docs, *arrays = zip(*held, strict=True)
         doc = pa.concat_arrays([d.cast(pa.int64()) for d in docs])
         piece, length, ids, at = map(np.concatenate, arrays)
+        if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
+            raise ValueError(f"id {ids.max()} does not fit into {dtype}; name a wider dtype")
         bins = best_fit_decreasing(length.tolist(), capacity)
         matrix = np.full((len(bins), capacity), PAD, dtype)
         cuts = []

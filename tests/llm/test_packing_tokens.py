@@ -163,3 +163,10 @@ def test_packed_rows_give_the_ids_back(docs, ids, tmp_path):
         assert sum((found[k] for k in sorted(k for k in found if k[0] == i)), []) == own
     assert binary.packed(docs.limit(0)).count() == 0
     assert binary.packed(docs.select(F.lit(None).cast("bigint").alias("doc_id"), "text")).count() > 0
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    docs = spark.createDataFrame([(1, "some words with large ids, unquestionably")], "doc_id bigint, text string")
+    with pytest.raises(Exception, match="does not fit into <u1"):
+        binary.packed(docs, dtype="<u1").collect()
+    assert binary.packed(docs, dtype="<u4").first()["n_tokens"] == binary.packed(docs).first()["n_tokens"]
