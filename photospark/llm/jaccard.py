@@ -5,9 +5,10 @@ are split recursively: a node of the tree samples ``FANOUT`` coordinates of a
 min-hash signature (shared tokens in the sense of the method), and a set goes
 to the child of its own token at each. Buckets of up to ``SMALL`` sets are
 compared by brute force, larger ones are split again, down to ``DEPTH`` or until a child
-holds most of its parent; what is still large there is cut into blocks, and
-every pair of blocks is a unit of work of its own. ``runs`` trees are grown until the chance that a pair at the
-threshold meets nowhere is below ``1 - RECALL``.
+would hold most of its parent, which is counted before any set goes to its children.
+What is left goes to one task, strip by strip, up to ``UNIT`` sets or ``GRAMS`` n-grams; only
+beyond is it cut into blocks, and every pair of blocks is a unit of work of its own.
+``runs`` trees are grown until the chance that a pair at the threshold meets nowhere is below ``1 - RECALL``.
 
 A pair that meets in several buckets counts in the first only, which both
 signatures tell, so links are counted inside the tasks and never written as
@@ -39,13 +40,17 @@ RECALL = 0.999999
 TOKENS = 32
 FANOUT = 3
 DEPTH = 3
-#: Largest bucket that is compared at once, and block of a larger one that could not be split.
-SMALL = 64
-BLOCK = 256
+#: Sets of a bucket from which it is split: below, copies of its rows for the children cost more than comparing signatures.
+SMALL = 1024
+#: Sets and n-grams a task compares at once: a bucket of more n-grams is split, too, and what could not be split is cut into blocks of as many.
+UNIT = 4096
+GRAMS = 1 << 21
 #: A large bucket is compared without further splitting if one of its children holds this share of it.
 ALIKE = 0.5
-#: Rows of a task that are worked on at a time.
+#: Rows of a task that are worked on at a time, pairs whose signatures are compared at a time, and pairs that are verified at a time.
 CHUNK = 4096
+STRIP = 1 << 16
+PAIRS = 1 << 18
 #: Odd multipliers that order the n-gram hashes, one per coordinate, by a rule.
 FACTORS = mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -117,11 +122,13 @@ def signatures(docs: DataFrame, width: int = NGRAM) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, nodes: list[tuple[int, ...]], runs: int) -> tuple[DataFrame, DataFrame]:
-    """(leaf rows: rep, node, bucket, size; open rows: rep, node) of all sets that share a bucket."""
+    """(leaf rows: rep, node, bucket, size, grams; open rows: rep, node) of all sets that share a bucket."""
     sigs = classes.select("rep", "sig")
     first = range(runs * FANOUT)
-    rows = sigs.select("rep", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("node"), F.xxhash64(F.lit(i), F.get("sig", nodes[i][0])).alias("bucket")) for i in first])).alias("x")).select("rep", "x.*")
+    rows = classes.select("rep", "n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("node"), F.xxhash64(F.lit(i), F.get("sig", nodes[i][0])).alias("bucket")) for i in first])).alias("x")).select("rep", "n", "x.*")
+    leaf = ("rep", "node", "bucket", "size", "grams")
+    large = (F.col("size") > SMALL) | (F.col("grams") > GRAMS)
     leaves, opened = [], []
     children = {path: [] for path in nodes}
     for i, path in enumerate(nodes):
@@ -130,37 +137,37 @@ def _buckets(classes: DataFrame, nodes: list[tuple[int, ...]], runs: int) -> tup
     begin = 0
     for depth in range(DEPTH):
         rows = keep(rows, "paths")
-        sizes = keep(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket-sizes")
+        sizes = keep(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("grams")).filter("size > 1"), "bucket-sizes")
         met = rows.join(sizes, "bucket")
         if depth == DEPTH - 1:
-            leaves.append(met.select("rep", "node", "bucket", "size"))
+            leaves.append(met.select(*leaf))
             break
-        leaves.append(met.filter(F.col("size") <= SMALL).select("rep", "node", "bucket", "size"))
+        leaves.append(met.filter(~large).select(*leaf))
         # only what is split further needs its signature again
-        larger = keep(met.filter(F.col("size") > SMALL).join(sigs, "rep"), "larger")
+        larger = keep(met.filter(large).join(sigs, "rep"), "larger")
         level = [p for p in nodes if len(p) == depth + 1]
         kids = F.create_map(*[v for i, path in enumerate(level, begin) for v in (F.lit(i), F.array(*[
             F.struct(F.lit(c).alias("node"), F.lit(t).alias("token")) for c, t in children[path]]))])
         begin += len(level)
-        grown = larger.select("rep", "sig", "size", F.col("bucket").alias("parent"), F.explode(F.get(F.array(kids), 0)[F.col("node")]).alias("x"))
-        grown = grown.select("rep", "sig", "size", "parent", "x.node", F.xxhash64("parent", "x.node", F.get("sig", F.col("x.token"))).alias("bucket"))
-        # where a child holds most of its parent, the sets are alike and splitting them further only repeats them
-        parts = grown.groupBy("parent", "bucket", "size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= ALIKE * F.col("size"))
-        alike = small(keep(parts.select(F.col("parent").alias("bucket")).distinct(), "alike"))
-        leaves.append(larger.join(alike, "bucket", "left_semi").select("rep", "node", "bucket", "size"))
-        opened.append(larger.join(alike, "bucket", "left_anti").select("rep", "node"))
-        rows = grown.join(alike.withColumnRenamed("bucket", "parent"), "parent", "left_anti").select("rep", "node", "bucket")
+        own = F.get(F.array(kids), 0)[F.col("node")]
+        # where a child would hold most of its parent, the sets are alike and splitting them further only repeats them
+        most = [larger.groupBy("bucket", "size", F.get("sig", F.get(own, k)["token"]).alias("token")).agg(F.count(F.lit(1)).alias("held"))
+                .filter(F.col("held") >= ALIKE * F.col("size")).select("bucket") for k in range(FANOUT)]
+        alike = small(keep(reduce(DataFrame.unionByName, most).distinct(), "alike"))
+        leaves.append(larger.join(alike, "bucket", "left_semi").select(*leaf))
+        split = larger.join(alike, "bucket", "left_anti")
+        opened.append(split.select("rep", "node"))
+        grown = split.select("rep", "n", "sig", F.col("bucket").alias("parent"), F.explode(own).alias("x"))
+        rows = grown.select("rep", "n", "x.node", F.xxhash64("parent", "x.node", F.get("sig", F.col("x.token"))).alias("bucket"))
     return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, opened)
 
 
 def _units(leaves: DataFrame) -> DataFrame:
-    """Leaf rows as units of at most ``SMALL`` or two blocks of rows: a large bucket becomes all pairs of its blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    """Leaf rows as units of work: a bucket, or all pairs of its blocks if it passes ``UNIT`` sets or ``GRAMS`` n-grams."""
+    blocks = F.greatest(F.ceil(F.col("size") / UNIT), F.ceil(F.col("grams") / GRAMS)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(17), "rep"), blocks.cast("bigint")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(own, b).alias("low"), F.greatest(own, b).alias("high")))
-    one = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
-    rows = leaves.withColumn("own", F.when(F.col("size") > SMALL, own).otherwise(0))
-    rows = rows.withColumn("cell", F.explode(F.when(F.col("size") > SMALL, cells).otherwise(one)))
+    rows = leaves.withColumn("own", own).withColumn("cell", F.explode(cells))
     return rows.select("rep", "node", F.xxhash64("bucket", "cell.low", "cell.high").alias("unit"), (F.col("own") == F.col("cell.high")).alias("late"),
                        (F.col("cell.low") < F.col("cell.high")).alias("across"))
 
@@ -193,6 +200,7 @@ class _Pairs:
         self.unit, self.node, self.n = (table.column(c).to_numpy() for c in ("unit", "node", "n"))
         self.late, self.across = (table.column(c).to_numpy().astype(bool) for c in ("late", "across"))
         self.sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
+        self.tokens = np.ascontiguousarray(self.sig.T)
         self.open = np.zeros((table.num_rows, len(nodes)), bool)
         lists = table.column("open").combine_chunks()
         self.open[np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
@@ -202,20 +210,43 @@ class _Pairs:
         self.parents = [[index[path[:k]] for k in range(1, len(path))] for path in nodes]
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(left rows, right rows) of some units at a time."""
+        """(left rows, right rows) of about ``PAIRS`` pairs at a time, one strip more at most."""
+        held, count = [], 0
+        for i, j in self._near():
+            pair = self._first_met(i, j)
+            held.append(pair)
+            count += len(pair[0])
+            if count > PAIRS:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, count = [], 0
+        if count:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    def _near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a unit with enough equal tokens: small units together, of a larger one a strip of rows at a time."""
         held, count = [], 0
         for a, b in self.groups:
+            if b - a > 64:
+                high = max(1, STRIP // (b - a))
+                for top in range(a, b, high):
+                    stop = min(top + high, b)
+                    same = np.zeros((stop - top, b - top), np.uint8)
+                    for token in self.tokens:
+                        same += token[top:stop, None] == token[None, top:b]
+                    i, j = np.nonzero(same >= self.least)
+                    later = j > i
+                    yield i[later] + top, j[later] + top
+                continue
             i, j = np.triu_indices(b - a, 1)
             held.append((i + a, j + a))
             count += len(i)
-            if count > 1 << 16:
-                yield self._first_met(held)
+            if count > STRIP:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held, count = [], 0
         if held:
-            yield self._first_met(held)
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
-    def _first_met(self, held) -> tuple[np.ndarray, np.ndarray]:
-        i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+    def _first_met(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, m = self.n[i], self.n[j]
         # between two blocks only the pairs across count, those within are a unit of their own
         good = (np.minimum(n, m) >= self.threshold * np.maximum(n, m)) & (~self.across[i] | (self.late[i] != self.late[j]))
@@ -280,33 +311,35 @@ def _common(i: np.ndarray, j: np.ndarray, grams: np.ndarray, off: np.ndarray) ->
             out[k] = len(np.intersect1d(grams[off[a] : off[a + 1]], grams[off[b] : off[b + 1]], assume_unique=True))
         return out
     # many pairs of few sets: products of 0/1 tiles over the tokens that occur twice
-    for low in range(0, len(rows), 1024):
-        for low2 in range(0, len(rows), 1024):
-            left, right = rows[low : low + 1024], rows[low2 : low2 + 1024]
-            mine = np.flatnonzero(np.isin(i, left) & np.isin(j, right))
-            if not len(mine):
-                continue
-            both = np.unique(np.concatenate([left, right]))
-            size = np.diff(off)[both]
-            member = np.repeat(np.arange(len(both)), size)
-            tokens = np.concatenate([grams[off[r] : off[r + 1]] for r in both])
-            _, code, count = np.unique(tokens, return_inverse=True, return_counts=True)
-            shared = count > 1
-            place = np.cumsum(shared) - 1
-            inside = shared[code]
-            member, code = member[inside], place[code[inside]]
-            total = np.zeros((len(both), len(both)))
-            order = np.argsort(code, kind="stable")
-            member, code = member[order], code[order]
-            for c in range(0, int(shared.sum()), 4096):
-                a, b = np.searchsorted(code, [c, c + 4096])
-                tile = np.zeros((len(both), 4096), np.float32)
-                tile[member[a:b], code[a:b] - c] = 1
-                total += tile @ tile.T
-            out[mine] = total[np.searchsorted(both, i[mine]), np.searchsorted(both, j[mine])].astype(np.int64)
+    size = np.diff(off)[rows]
+    member = np.repeat(np.arange(len(rows)), size)
+    _, code, count = np.unique(np.concatenate([grams[off[r] : off[r + 1]] for r in rows]), return_inverse=True, return_counts=True)
+    shared = count > 1
+    inside = shared[code]
+    member, code = member[inside], (np.cumsum(shared) - 1)[code[inside]]
+    order = np.argsort(code, kind="stable")
+    member, code = member[order], code[order]
+    left, right = np.searchsorted(rows, i), np.searchsorted(rows, j)
+    cells = left // 512 * len(rows) + right // 512
+    by = np.argsort(cells, kind="stable")
+    for mine in np.split(by, np.flatnonzero(np.diff(cells[by])) + 1):
+        low, low2 = left[mine[0]] // 512 * 512, right[mine[0]] // 512 * 512
+        total = np.zeros((512, 512))
+        for c in range(0, int(shared.sum()), 4096):
+            a, b = np.searchsorted(code, [c, c + 4096])
+            total += _tile(member[a:b] - low, code[a:b] - c) @ _tile(member[a:b] - low2, code[a:b] - c).T
+        out[mine] = total[left[mine] - low, right[mine] - low2].astype(np.int64)
     return out
 
 
+def _tile(member: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """512 sets by 4096 tokens: 1 where the set holds the token."""
+    mine = (member >= 0) & (member < 512)
+    tile = np.zeros((512, 4096), np.float32)
+    tile[member[mine], code[mine]] = 1
+    return tile
+
+
 def _components(knots: DataFrame) -> DataFrame:
     """rep, label: smallest set of the component, for (rep, knot) rows; a knot ties at most one unit's sets together."""
     labels = keep(knots.select("rep").distinct().withColumn("label", F.col("rep")), "labels")

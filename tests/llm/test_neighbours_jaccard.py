@@ -105,6 +105,25 @@ def test_links_and_groups_of_large_and_small_groups(spark, texts):
     assert kept == {d for d, (c, _) in similar(texts).items() if c == d}
 
 
+def test_splits_and_blocks_lose_no_link(spark, texts, monkeypatch):
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    monkeypatch.setattr(jaccard, "SMALL", 40)
+    monkeypatch.setattr(jaccard, "UNIT", 100)
+    monkeypatch.setattr(jaccard, "GRAMS", 15_000)
+    rows = jaccard.near_duplicates(df).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == similar(texts)
+
+
+def test_common_grams_of_many_pairs():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.choice(6000, rng.integers(1, 90)).astype(np.int64) * rng.integers(1, 3)) for _ in range(1300)]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    i, j = rng.integers(0, 1300, (2, 20_000))
+    i, j = i[i != j], j[i != j]
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    assert jaccard._common(i, j, np.concatenate(sets), off).tolist() == want
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id bigint, text string")
     got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(df).collect())
