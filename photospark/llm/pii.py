@@ -22,6 +22,9 @@ NEAR = 40
 CONTEXT = 0.35
 #: Spans with a lower score are dropped.
 LEAST = 0.5
+#: Spans that are worked on at a time within a text.
+CHUNK = 256
+SPANS = "array<struct<kind:string,start:int,stop:int,score:double>>"
 
 
 @dataclass(frozen=True)
@@ -87,29 +90,41 @@ def _confirmed(kind: Kind, match: Column) -> Column:
     return F.lit(True)
 
 
+def _chunks(items: Column) -> Column:
+    """An array as arrays of ``CHUNK`` items, so that what a step appends to stays short."""
+    return bind(items, lambda x: F.transform(
+        F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / CHUNK).cast("int")), lambda c: F.slice(x, c * CHUNK + 1, F.lit(CHUNK))))
+
+
 def _spans(kind: Kind, text: Column, found: Column) -> Column:
-    """Confirmed spans of one kind, left to right, as (kind, start, stop, score)."""
-    steps = F.arrays_zip(
-        F.transform(F.split(text, kind.pattern, -1), lambda x: F.length(x)).alias("gap"), found.alias("match"))
+    """Confirmed spans of one kind, left to right, as (kind, start, stop, score).
+
+    One pass over the pieces between the matches, which carries the place and
+    the ``NEAR`` characters before it; time grows with the text and its matches.
+    """
+    steps = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), found.alias("match"))
 
     def move(acc, x):
-        start = acc["at"] + x["gap"]
-        stop = start + F.length(x["match"])
-        return F.when(x["match"].isNull(), acc).otherwise(F.struct(
-            stop.alias("at"),
-            F.when(_confirmed(kind, x["match"]), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"))))).otherwise(acc["out"]).alias("out"),
-        ))
-
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-    placed = F.aggregate(steps, none, move, lambda acc: acc["out"])
-
-    def scored(s):
-        first = F.greatest(s["start"] - NEAR, F.lit(0))
-        near = F.substring(text, first + 1, s["start"] - first)
-        score = F.lit(kind.score) + F.when(near.rlike(f"(?i)(?<![a-z])(?:{kind.words})"), CONTEXT).otherwise(0.0)
-        return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.least(score, F.lit(1.0)).alias("score"))
-
-    spans = F.transform(placed, scored)
+        def step(near):
+            start = acc["at"] + F.length(x["gap"])
+            stop = start + F.length(x["match"])
+            score = F.lit(kind.score) + F.when(near.rlike(f"(?i)(?<![a-z])(?:{kind.words})"), CONTEXT).otherwise(0.0)
+            span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), stop.alias("stop"), F.least(score, F.lit(1.0)).alias("score"))
+            return F.struct(
+                stop.alias("at"), F.right(F.concat(near, x["match"]), F.lit(NEAR)).alias("near"),
+                F.when(_confirmed(kind, x["match"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+        return F.when(x["match"].isNull(), acc).otherwise(bind(F.right(F.concat(acc["near"], x["gap"]), F.lit(NEAR)), step))
+
+    none = F.array().cast(SPANS)
+
+    def through(acc, chunk):
+        begin = F.struct(acc["at"].alias("at"), acc["near"].alias("near"), none.alias("out"))
+        return bind(F.aggregate(chunk, begin, move), lambda end: F.struct(
+            end["at"].alias("at"), end["near"].alias("near"), F.concat(acc["outs"], F.array(end["out"])).alias("outs")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("near"), F.array().cast(f"array<{SPANS}>").alias("outs"))
+    spans = F.aggregate(_chunks(steps), start, through, lambda acc: F.flatten(acc["outs"]))
     return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LEAST)
 
 
@@ -120,7 +135,7 @@ def _found(docs: DataFrame) -> DataFrame:
     for i, kind in enumerate(KINDS):
         cue = F.contains("text", F.lit(kind.cue)) if kind.cue else F.col("text").rlike("[0-9]")
         rows = rows.withColumn(f"m{i}", F.when(cue, F.regexp_extract_all("text", F.lit(kind.pattern), 0)).otherwise(none))
-    empty = F.array().cast("array<struct<kind:string,start:int,stop:int,score:double>>")
+    empty = F.array().cast(SPANS)
     spans = [F.when(F.size(f"m{i}") > 0, _spans(kind, F.col("text"), F.col(f"m{i}"))).otherwise(empty) for i, kind in enumerate(KINDS)]
     return rows.select("row", "text", F.concat(*spans).alias("pii"))
 
@@ -148,16 +163,30 @@ def mask(docs: DataFrame) -> DataFrame:
     """
     ordered = F.sort_array(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
 
-    def put(acc, s):
-        inside = s["start"] < acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], -s["back"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(
-                acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(ordered, start, put, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    def put(base, part):
+        def step(acc, s):
+            before = F.substring(part, acc["at"] - base + 1, s["start"] - acc["at"])
+            return F.struct(
+                F.greatest(acc["at"], -s["back"]).alias("at"),
+                F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
+                    acc["out"], F.array(F.concat(before, F.lit("["), F.upper(s["kind"]), F.lit("]"))))).alias("out"))
+
+        return step
+
+    words = F.array().cast("array<string>")
+
+    def through(acc, chunk):
+        # ``rest`` is the text from ``base`` on; the spans of the chunk need it up to the start of the last
+        last = F.element_at(chunk, -1)["start"]
+        begin = F.struct(acc["at"].alias("at"), words.alias("out"))
+        done = bind(F.substring(acc["rest"], F.lit(1), last - acc["base"]), lambda part: F.aggregate(chunk, begin, put(acc["base"], part)))
+        return bind(done, lambda end: F.struct(
+            end["at"].alias("at"), last.alias("base"), F.substring(acc["rest"], last - acc["base"] + 1, F.length(acc["rest"])).alias("rest"),
+            F.concat(acc["outs"], F.array(F.array_join(end["out"], ""))).alias("outs")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("base"), F.col("text").alias("rest"), words.alias("outs"))
+    masked = F.aggregate(_chunks(ordered), start, through, lambda acc: F.concat(
+        F.array_join(acc["outs"], ""), F.substring(acc["rest"], acc["at"] - acc["base"] + 1, F.length(acc["rest"]))))
     rows = _found(docs).withColumn("masked", F.when(F.size("pii") > 0, masked))
     new = {"text": F.coalesce("masked", F.col("row")["text"])}
     if "n_chars" in docs.columns:

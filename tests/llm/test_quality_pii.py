@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +160,47 @@ def test_mask(spark):
     assert pii.mask(docs.limit(0)).count() == 0
 
 
+def masked(text, spans):
+    out, at = [], 0
+    for start, back, kind in sorted((s["start"], -s["stop"], s["kind"]) for s in spans):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, -back)
+    return "".join(out) + text[at:]
+
+
+def test_scores_and_mask_of_many_spans(spark):
+    rng = random.Random(9)
+    bits = ["a@b.c", "x4111111111111111@d.e", "4111111111111111", "1.2.3.4", "+49 30 1234567", "é", "mail ", "Call ", "card", "x" * 30, " ", ".", "\n",
+            " 078-05-1120 ", " ssn", " GB82 WEST 1234 5698 7654 32 "]
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (5, 40, 600, 2000, 3000)] + ["a@b.c " * n for n in (255, 256, 257, 512, 513)]
+    texts += ["word " * 100_000 + "a@b.c", "ü@b.c " + "word " * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    words = {k.name: (k.score, re.compile(rf"(?i)(?<![a-z])(?:{k.words})")) for k in pii.KINDS}
+    spans = {r["doc_id"]: r["pii"] for r in pii.find(docs).collect()}
+    assert sum(map(len, spans.values())) > 3000
+    base = lambda d: ",".join(f"{s['kind']}:{s['start']}:{s['stop']}" for s in spans[d] if s["kind"] not in ("iban", "ssn"))
+    for d, text in enumerate(texts):
+        assert base(d) == base_spans(text)
+        for s in spans[d]:
+            least, near = words[s["kind"]]
+            assert s["score"] == min(1.0, least + (0.35 if near.search(text[max(0, s["start"] - 40) : s["start"]]) else 0.0))
+    assert {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()} == {d: masked(t, spans[d]) for d, t in enumerate(texts)}
+
+
+def test_time_grows_with_the_spans(spark):
+    text = "".join(f"write to user{i}@mail.example or " for i in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    begin = time.monotonic()
+    spans = pii.find(docs).first()["pii"]
+    found = time.monotonic()
+    got = pii.mask(docs).first()["text"]
+    print(found - begin, time.monotonic() - found)
+    assert [(s["start"], s["stop"]) for s in spans] == [m.span() for m in re.finditer(r"user[0-9]+@mail\.example", text)]
+    assert got == "write to [EMAIL] or " * 100_000
+    assert time.monotonic() - begin < 120
+
+
 @pytest.mark.parametrize("digits,good", [("4111111111111111", True), ("4111111111111112", False)])
 def test_luhn(spark, digits, good):
     assert spark.range(1).select(pii.luhn(F.lit(digits))).first()[0] is good
