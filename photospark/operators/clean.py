@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from photospark.functions import rules
 from photospark.functions.ranktree import biweight_location
 from photospark.plans.groups import (
-    MAX_GROUP_ROWS, group_quantiles, join_to_groups, small_side, split_by_size, spread,
+    MAX_GROUP_ROWS, group_quantiles, join_to_groups, large_quantiles, small_side, split_by_size, spread,
     with_group_median,
 )
 from photospark.plans.lineage import pin
@@ -60,20 +60,20 @@ def sigma_clip(
     out = out.filter("_keep").drop("_keep", "_m", "_s")
     if large is None:
         return out
-    kept_rows, before = large, None
+    # the rounds need the values alone
+    kept, kept_rows, before = large.select(*keys, x.alias(value)).persist(), large, None
+    cached = kept
     for _ in range(iters):
-        limits = small_side(
-            group_quantiles(kept_rows, keys, {"_m": (x, 0.5)}, max_rows, {"_s": F.stddev_pop(x), "_n": F.count(x)})
-        )
+        limits = small_side(large_quantiles(kept, keys, {"_m": (x, 0.5)}, {"_s": F.stddev_pop(x), "_n": F.count(x)}))
         left = limits.agg(F.sum("_n")).first()[0]
         if left == before:
             break
         before = left
-        kept_rows = (
-            kept_rows.join(limits, list(keys))
-            .filter(~(F.abs(x - F.col("_m")) > F.col("_s") * sigma))
-            .drop("_m", "_s", "_n")
+        kept, kept_rows = (
+            rows.join(limits, list(keys)).filter(~(F.abs(x - F.col("_m")) > F.col("_s") * sigma)).drop("_m", "_s", "_n")
+            for rows in (kept, kept_rows)
         )
+    cached.unpersist()
     return out.unionByName(kept_rows)
 
 

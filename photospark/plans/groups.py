@@ -4,9 +4,9 @@ Spark's exact ``percentile`` keeps all distinct values of a group in one task.
 That is right for a light curve of normal length and wrong for a group that
 holds a large part of the table. The functions here count the groups first
 (one map-side combined aggregation). Groups up to ``max_rows`` use the built-in
-aggregate or window; larger ones are narrowed by repeated quantile brackets,
-each of which is a partial aggregation, until the few rows around the wanted
-rank are left. Both ways are exact.
+aggregate or window; for larger ones the rows in cells of the value range are
+counted, then those in cells of the cell that holds the wanted rank, until a
+single value is left; each pass is a partial aggregation. Both ways are exact.
 """
 
 from __future__ import annotations
@@ -24,9 +24,8 @@ MAX_GROUP_ROWS = 2_000_000
 #: Rows of a counted table that may be broadcast.
 BROADCAST_ROWS = 200_000
 
-_GRID = 1000
-_ACCURACY = 10_000
-_MAX_PASSES = 16
+#: Cells that a range of values is cut into by a pass.
+_CELLS = 1 << 16
 
 
 def row_limit(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS) -> int | None:
@@ -121,7 +120,7 @@ def group_quantiles(
     """
     keys = list(keys)
     others = [column.alias(name) for name, column in (extra or {}).items()]
-    small, large, large_keys = split_by_size(df, keys, max_rows)
+    small, large, _ = split_by_size(df, keys, max_rows)
     # one percentile aggregate, hence one map of values, per expression: fractions of the same Column object share it
     shared: dict[int, tuple[Column, list[tuple[str, float]]]] = {}
     for name, (value, frac) in values.items():
@@ -133,11 +132,17 @@ def group_quantiles(
     out = grouped.select(*keys, *[lists[name] for name in values], *(extra or {}))
     if large is None:
         return out
-    parts = large.groupBy(*keys).agg(*others) if others else large_keys
+    return out.unionByName(large_quantiles(large, keys, values, extra))
+
+
+def large_quantiles(df: DataFrame, keys: Sequence[str], values: dict[str, tuple[Column, float]], extra: dict[str, Column] | None = None) -> DataFrame:
+    """``group_quantiles`` of groups that are known to be large: the values are kept and counted in passes."""
+    keys = list(keys)
+    others = [column.alias(name) for name, column in (extra or {}).items()]
+    parts = df.groupBy(*keys).agg(*others) if others else df.select(*keys).distinct()
     for name, (value, frac) in values.items():
-        part = _bracketed_quantile(large, keys, value, frac, name, max_rows)
-        parts = parts.join(part, keys, "left")
-    return out.unionByName(parts)
+        parts = parts.join(_celled_quantile(df, keys, value, frac, name), keys, "left")
+    return parts.select(*keys, *values, *(extra or {}))
 
 
 def with_group_median(
@@ -149,75 +154,66 @@ def with_group_median(
     out = small.withColumns({name: F.median(value).over(window) for name, value in values.items()})
     if large is None:
         return out
-    medians = group_quantiles(large, keys, {n: (v, 0.5) for n, v in values.items()}, max_rows)
+    medians = large_quantiles(large, keys, {n: (v, 0.5) for n, v in values.items()})
     return out.unionByName(large.join(small_side(medians), list(keys), "left"))
 
 
-def _bracketed_quantile(df, keys, value, frac, name, max_rows):
-    """One exact quantile per group by narrowing a value bracket around the wanted rank."""
+def _cell(v: Column, low: Column, high: Column) -> Column:
+    """Cell of a value between ``low`` and ``high``, rising with the value; the two ends never share one.
+
+    Equal steps, equal ratios where the values span more than a factor of two,
+    the sign where both signs occur. Values that are not finite have cells of their own.
+    """
+    share = lambda part, whole: F.floor(part / whole * _CELLS)
+    inner = (
+        F.when((low < 0) & (high > 0), F.signum(v).cast("bigint"))
+        .when((low > 0) & (high / 2 > low), share(F.log(v) - F.log(low), F.log(high) - F.log(low)))
+        .when((high < 0) & (low / 2 < high), share(F.log(-low) - F.log(-v), F.log(-low) - F.log(-high)))
+        .when(high > low, share(v - low, high - low))
+        .otherwise(F.lit(0).cast("bigint"))
+    )
+    return (
+        F.when(F.isnan(v), F.lit(2 * _CELLS)).when(v == float("inf"), F.lit(2 * _CELLS - 1)).when(v == float("-inf"), F.lit(-_CELLS))
+        .otherwise(inner).cast("bigint")
+    )
+
+
+def _celled_quantile(df, keys, value, frac, name):
+    """One exact quantile per group by counting the cells of a value range, then those of the cell that holds the wanted rank.
+
+    A pass shuffles at most ``_CELLS`` counts per group and task. Every pass
+    cuts the range by that factor, so that a few passes reach a single value
+    however often values repeat.
+    """
     keys = list(keys)
-    rows = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    position = (F.col("_n") - 1) * F.lit(float(frac))
-    state = small_side(
-        rows.groupBy(*keys)
-        .agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .withColumn("_below", F.lit(0).cast("bigint"))
-        .withColumn("_inside", F.col("_n"))
+    rows = df.select(*keys, (value.cast("double") + F.lit(0.0)).alias("_v")).filter(F.col("_v").isNotNull()).persist()
+    v = F.col("_v")
+    finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    found = pin(
+        rows.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+        .withColumns({"_below": F.lit(0).cast("bigint"), "_whole": F.lit(True), "_done": F.lit(False), "_next": F.lit(None).cast("double")})
     )
-    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    open_groups = (F.col("_inside") > max_rows) & (F.col("_lo") < F.col("_hi"))
-    margin = 1
-    for _ in range(_MAX_PASSES):
-        work = small_side(state.filter(open_groups))
-        if work.isEmpty():
-            break
-        grid = (
-            rows.join(work, keys)
-            .filter(inside)
-            .groupBy(*keys)
-            .agg(
-                F.percentile_approx(
-                    "_v", [i / _GRID for i in range(_GRID + 1)], _ACCURACY
-                ).alias("_grid")
-            )
+    position = (F.col("_n") - 1) * F.lit(float(frac))
+    weight = position - F.floor(position)
+    running = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_cell"))
+    holds = lambda rank: (rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end"))
+    low, high = holds(F.floor(position)), holds(F.ceil(position))
+    done = found.filter("_done")
+    while n_open := (work := found.filter(~F.col("_done")).select(*keys, "_n", "_below", "_lo", "_hi", "_whole")).count():
+        cells = (
+            rows.join(F.broadcast(work) if n_open <= BROADCAST_ROWS else work, keys)
+            .filter(F.col("_whole") | v.between(F.col("_lo"), F.col("_hi")))
+            .groupBy(*keys, "_n", "_below", _cell(v, F.col("_lo"), F.col("_hi")).alias("_cell"))
+            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+            .withColumn("_end", F.col("_below") + running)
         )
-        rank = (F.floor(position) - F.col("_below")) / F.col("_inside") * _GRID
-        low = F.greatest(F.floor(rank) - margin, F.lit(0)).cast("int")
-        high = F.least(F.ceil(rank) + 1 + margin, F.lit(_GRID)).cast("int")
-        narrowed = small_side(work.join(grid, keys).select(
-            *keys, "_n",
-            F.when(low == 0, F.col("_lo")).otherwise(F.get("_grid", low)).alias("_lo"),
-            F.when(high == _GRID, F.col("_hi")).otherwise(F.get("_grid", high)).alias("_hi"),
-        ))
-        counted = (
-            rows.join(narrowed, keys)
-            .groupBy(*keys)
-            .agg(
-                F.first("_n").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
-                F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
-                F.count_if(inside).alias("_inside"),
-            )
-            .filter(
-                (F.floor(position) >= F.col("_below"))
-                & (F.ceil(position) < F.col("_below") + F.col("_inside"))
-            )
+        # ranks in two cells are the last value of the one and the first of the other
+        found = pin(
+            cells.filter(low | high).groupBy(*keys, "_n").agg(
+                F.max(F.when(low, F.col("_end") - F.col("_c"))).alias("_below"), F.max(F.when(low, F.col("_min"))).alias("_lo"),
+                F.max(F.when(low, F.col("_max"))).alias("_hi"), F.max(F.when(high, F.col("_min"))).alias("_next"), F.count(F.lit(1)).alias("_held"),
+            ).withColumns({"_whole": F.lit(False), "_done": (F.col("_held") > 1) | (F.col("_lo") == F.col("_hi"))}).drop("_held")
         )
-        counted = pin(counted)
-        before = work.agg(F.sum("_inside")).first()[0]
-        state = small_side(state.join(counted, keys, "left_anti").unionByName(counted))
-        after = state.join(work, keys, "left_semi").agg(F.sum("_inside")).first()[0]
-        if after * 2 > before:
-            margin *= 2
-            if margin > _GRID:
-                break
-    pairs = rows.join(state, keys).filter(inside).groupBy(
-        *keys, "_n", "_below", "_v"
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    running = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
-    ranked = pairs.withColumn("_end", F.col("_below") + running)
-    low_value = F.min(F.when(F.col("_end") > F.floor(position), F.col("_v")))
-    high_value = F.min(F.when(F.col("_end") > F.ceil(position), F.col("_v")))
-    weight = F.first(position - F.floor(position))
-    return ranked.groupBy(*keys).agg(
-        (low_value * (F.lit(1.0) - weight) + high_value * weight).alias(name)
-    )
+        done = done.unionByName(found.filter("_done"))
+    rows.unpersist()
+    return done.select(*keys, (F.col("_hi") * (F.lit(1.0) - weight) + F.col("_next") * weight).alias(name))

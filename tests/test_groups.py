@@ -68,3 +68,19 @@ def test_pin_uses_checkpoint_folder(spark):
     assert df.count() == 5
     assert "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
     assert spark.conf.get("spark.checkpoint.dir").split(":")[-1] in spark.sparkContext.getCheckpointDir()
+
+
+def test_group_quantiles_repeated_values_take_few_passes(spark, monkeypatch):
+    """Values that repeat more often than ``max_rows`` and values of any size are found within a few passes."""
+    from photospark.plans import groups
+
+    rng = np.random.default_rng(5)
+    ties = np.repeat(np.round(1 + rng.random(400), 4), 60)
+    wide = np.concatenate([-(10.0 ** rng.uniform(-300, 300, 900)), 10.0 ** rng.uniform(-300, 300, 1100), [np.inf, -np.inf, 0.0]])
+    frame = pd.concat([pd.DataFrame({"k": k, "x": x}) for k, x in ((1, ties), (2, wide), (3, np.full(300, 2.5)))], ignore_index=True)
+    passes = []
+    monkeypatch.setattr(groups, "pin", lambda df: passes.append(1) or pin(df))
+    got = group_quantiles(spark.createDataFrame(frame), ["k"], {"q": (F.col("x"), 0.3)}, 20).toPandas().set_index("k").q
+    for k, part in frame.groupby("k"):
+        assert got[k] == pytest.approx(np.percentile(part.x, 30), rel=1e-12)
+    assert len(passes) <= 8
