@@ -11,9 +11,11 @@ single value is left; each pass is a partial aggregation. Both ways are exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,38 @@ def spread(df: DataFrame, keys: Sequence[str], n_groups: int | None = None) -> D
     return df.repartition(n, *keys)
 
 
+def group_starts(rows: pa.RecordBatch | pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Rows at which a new group starts, for rows sorted by whole-number keys; nulls are a group."""
+    new = np.arange(rows.num_rows) == 0
+    for key in keys:
+        column = rows.column(key)
+        null, value = (np.asarray(c) for c in (column.is_null(), column.fill_null(0)))
+        new[1:] |= (value[1:] != value[:-1]) | (null[1:] != null[:-1])
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches of a partition sorted by ``keys`` as (rows of whole groups, bounds of the groups)."""
+    def told(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        rows = pa.Table.from_batches(held)
+        return rows, np.append(group_starts(rows, keys), rows.num_rows)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and len(group_starts(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]), keys)) > 1:
+            yield told(held)
+            held = []
+        last = int(group_starts(batch, keys)[-1])
+        if last:
+            yield told([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield told(held)
+
+
 class Split(NamedTuple):
     """Rows of normal groups, rows of large ones and the keys of the large ones (``None`` if there are none)."""
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,15 +72,14 @@ def _told(rows: DataFrame, errors: bool) -> DataFrame:
 
 def decode_series(files: DataFrame, errors: bool = False) -> DataFrame:
     """Decode archive contents (tic_id, sector, kind, content) into cadences, or list the broken ones."""
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for tic, sector, name, content in zip(batch["tic_id"], batch["sector"], batch["kind"], batch["content"]):
-                try:
-                    yield archive.decode(tic, sector, name, content)
-                except Exception as error:
-                    yield archive.broken(tic, sector, name, error)
-
-    return _told(files.select("tic_id", "sector", "kind", "content").mapInPandas(decode, archive.ROWS), errors)
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = (
+            (tic, sector, name, lambda content=content: content)
+            for batch in batches for tic, sector, name, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+        )
+        yield from archive.batches(files)
+
+    return _told(files.select("tic_id", "sector", "kind", "content").mapInArrow(decode, archive.ROWS), errors)
 
 
 def read_series_meta(

@@ -155,3 +155,40 @@ def test_diagnostic_tables(spark):
     out = publish.diagnostic_tables(cat, df, views, power, fits, 5)
     counts = {k: v.count() for k, v in out.items()}
     assert counts == {"light_curve": 600, "epochs": 10, "periodogram": 1, "folded": 5, "classes": 4}
+
+
+def test_many_small_archives_are_one_batch():
+    """Archives of a few cadences share batches; a broken one is a row among them."""
+    import io
+
+    import numpy as np
+
+    from photospark.sources import archive
+
+    files = []
+    for i in range(500):
+        time = np.array([i, i + 0.5, np.nan])
+        columns = {"time": time, "flux": time + 1, "flux_err": time * 0, "quality": np.arange(3, dtype=np.int32)}
+        content = archive.encode(**columns, meta_json=np.array("{}"))
+        with np.load(io.BytesIO(content), allow_pickle=False) as data:
+            assert all(np.array_equal(data[n], c, equal_nan=True) for n, c in columns.items()) and str(data["meta_json"]) == "{}"
+        files.append((i, 1, "raw", lambda content=content[:60] if i % 5 == 0 else content: content))
+    got = list(archive.batches(iter(files)))
+    assert len(got) == 1 and got[0].num_rows == 400 * 3 + 100
+    rows = got[0].to_pandas()
+    assert (rows["error"].notna() == (rows["tic_id"] % 5 == 0)).all()
+    one = rows[rows["tic_id"] == 7]
+    assert one["time"].tolist()[:2] == [7.0, 7.5] and one["time_us"].isna().tolist() == [False, False, True] and one["quality"].tolist() == [0, 1, 2]
+
+
+def test_whole_groups_over_batches():
+    import pyarrow as pa
+
+    from photospark.plans.groups import whole_groups
+
+    keys = [None, None, 1, 1, 1, 1, 2, 3, 3, None]
+    rows = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(range(10))], ["k", "i"])
+    for step in (1, 2, 3, 10):
+        batches = iter([rows.slice(at, step) for at in range(0, 10, step)])
+        found = [t.slice(a, b - a).column("i").to_pylist() for t, ends in whole_groups(batches, ["k"]) for a, b in zip(ends[:-1], ends[1:])]
+        assert found == [[0, 1], [2, 3, 4, 5], [6], [7, 8], [9]]

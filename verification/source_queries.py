@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import io
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from photospark.functions.scalars import clean_num
-from photospark.plans.groups import spread
+from photospark.plans.groups import spread, whole_groups
 from photospark.plans.lineage import scratch_path
 from photospark.schema import TRICERATOPS_SCHEMA
 from photospark.sources import publish as sink
@@ -22,14 +23,21 @@ from verification.rule_queries import _DISP_SQL
 from verification.views import with_views
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block of cadences as an archive."""
-    buffer = io.BytesIO()
-    np.savez_compressed(
-        buffer, time=pdf["time"].to_numpy(), flux=pdf["flux"].to_numpy(), flux_err=pdf["flux_err"].to_numpy(),
-        quality=pdf["quality"].to_numpy(np.int32), meta_json="{}",
-    )
-    return pd.DataFrame({"tic_id": [pdf["tic_id"].iat[0]], "sector": [pdf["block"].iat[0]], "kind": ["raw"], "content": [buffer.getvalue()]})
+def _pack(blocks: DataFrame) -> DataFrame:
+    """The cadences of every (tic_id, block) as an archive."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meta = np.array("{}")
+        for rows, bounds in whole_groups(batches, ["tic_id", "block"]):
+            columns = {name: rows.column(name).to_numpy() for name in ("time", "flux", "flux_err")} | {"quality": rows.column("quality").to_numpy().astype(np.int32)}
+            for some in np.array_split(np.arange(len(bounds) - 1), max(1, len(bounds) // 2_000)):
+                files = [archive.encode(**{n: c[bounds[i]:bounds[i + 1]] for n, c in columns.items()}, meta_json=meta) for i in some]
+                first = rows.select(["tic_id", "block"]).take(bounds[some])
+                yield pa.RecordBatch.from_arrays([
+                    first.column(0).combine_chunks(), first.column(1).combine_chunks(), pa.array(["raw"] * len(files)), pa.array(files, pa.binary()),
+                ], ["tic_id", "sector", "kind", "content"])
+
+    placed = spread(blocks, ["tic_id", "block"]).sortWithinPartitions("tic_id", "block")
+    return placed.select("tic_id", "block", "time", "flux", "flux_err", "quality").mapInArrow(pack, "tic_id bigint, sector int, kind string, content binary")
 
 
 @query(
@@ -39,7 +47,7 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 )
 def _(spark, sf):
     blocks = views.lc_user(spark, sf).withColumn("block", F.floor(F.col("time")).cast("int"))
-    files = spread(blocks, ["tic_id", "block"]).groupBy("tic_id", "block").applyInPandas(_pack, "tic_id bigint, sector int, kind string, content binary")
+    files = _pack(blocks)
     rows = series.decode_series(files)
     return rounded(rows.groupBy("tic_id", "sector").agg(
         F.count(F.lit(1)).alias("n"), F.sum(clean_num(F.col("flux"))).alias("total"),
@@ -51,7 +59,7 @@ def _archives(spark, sf):
     """Archives of every star and third of a month of ``lc_user`` in the shared folder; those of some stars are cut off."""
     path = scratch_path(spark, "archives")
     blocks = views.lc_user(spark, sf).withColumn("block", F.floor(F.col("time") / 10).cast("int"))
-    files = spread(blocks, ["tic_id", "block"]).groupBy("tic_id", "block").applyInPandas(_pack, "tic_id bigint, sector int, kind string, content binary")
+    files = _pack(blocks)
     cut = F.when(F.col("tic_id") % 10 == 3, F.expr("substring(content, 1, 100)")).otherwise(F.col("content"))
     archive.write_archives(files.withColumn("content", cut), path)
     return path
