@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from photospark.operators.catalogue import tidy_dispositions
+from photospark.sources.archive import store_of
 
 TCE_SCHEMA = T.StructType([
     T.StructField("kepid", T.LongType()),
@@ -64,6 +68,29 @@ def write_catalogue(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def write_results_json(df: DataFrame, path: str) -> None:
+    """Every row as a JSON document in a file of its own.
+
+    Spark's writer opens, checksums and commits each file on its own, which costs
+    tens of milliseconds a row. A task that runs again writes the same names.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = store_of(path)
+        store.create_dir(base, recursive=True)
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                hidden = f"{base}/.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(hidden) as out:
+                    out.write(text.encode())
+                store.move(hidden, f"{base}/part-{part:05d}-{n:08d}.json")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    # counting alone would not run the writer for its rows
+    df.select(F.to_json(F.struct("*"))).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
 def read_results_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Per-star result documents, one or many per folder; absent fields are null."""
     return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)

@@ -192,3 +192,17 @@ def test_whole_groups_over_batches():
         batches = iter([rows.slice(at, step) for at in range(0, 10, step)])
         found = [t.slice(a, b - a).column("i").to_pylist() for t, ends in whole_groups(batches, ["k"]) for a, b in zip(ends[:-1], ends[1:])]
         assert found == [[0, 1], [2, 3, 4, 5], [6], [7, 8], [9]]
+
+
+def test_results_are_a_document_per_row(spark, tmp_path):
+    """Repeated keys and missing fields keep their rows, and no part of a file is left."""
+    import os
+
+    from photospark.schema import TRICERATOPS_SCHEMA
+
+    path = str(tmp_path / "results")
+    rows = [(1, 0.5, "a"), (1, 0.5, "a"), (None, None, "b"), (2, None, None)]
+    tables.write_results_json(spark.createDataFrame(rows, "tic_id bigint, fpp double, status string").repartition(2), path)
+    assert len(os.listdir(path)) == 4 and all(n.endswith(".json") and n[0] != "." for n in os.listdir(path))
+    read = tables.read_results_json(spark, path, TRICERATOPS_SCHEMA).select("tic_id", "fpp", "status").collect()
+    assert sorted(map(tuple, read), key=str) == sorted(rows, key=str)

@@ -160,9 +160,10 @@ def _(spark, sf):
 @query("io8_read_results_json", f"SELECT s_suppkey AS tic_id, {sql_r6('s_acctbal / 10000')} AS fpp, NULL::DOUBLE AS nfpp, s_name AS status FROM supplier")
 def _(spark, sf):
     path = scratch_path(spark, "results")
-    table(spark, sf, "supplier").select(
+    results = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("tic_id"), (F.col("s_acctbal") / 10000).alias("fpp"), F.col("s_name").alias("status"), F.lit(1).alias("other")
-    ).repartition(F.col("tic_id")).write.option("maxRecordsPerFile", 1).json(path)
+    )
+    tables.write_results_json(results.repartition(F.col("tic_id")), path)
     read = tables.read_results_json(spark, path, TRICERATOPS_SCHEMA)
     return rounded(read.select("tic_id", "fpp", "nfpp", "status"))
 
