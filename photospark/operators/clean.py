@@ -20,6 +20,8 @@ from photospark.schema import DAY_US, SERIES_KEY
 
 #: Cadences of a window up to which it is cheaper to sort each window than to build a rank tree.
 DIRECT_WINDOW = 400
+#: Cadences of a rank tree beside their neighbours, where windows are shorter than a quarter of that.
+TREE_ROWS = 100_000
 #: Microseconds by which the two times of a cadence may differ.
 TIME_SLACK_US = 500_000
 
@@ -167,9 +169,17 @@ def sliding_biweight(times: np.ndarray, values: np.ndarray, half: np.ndarray, it
     rank tree whose cost does not depend on what a window holds. Both are exact.
     """
     first, last = np.searchsorted(times, times - half, side="left"), np.searchsorted(times, times + half, side="right")
-    if len(times) and (last - first).max() <= DIRECT_WINDOW and np.isfinite(values).all():
+    widest = int((last - first).max()) if len(times) else 0
+    if widest <= DIRECT_WINDOW and len(times) and np.isfinite(values).all():
         return _direct_biweight(values, first, last, iterations, cval)
-    return biweight_location(times, values, half, iterations, cval)
+    # a rank tree holds about 50 bytes per cadence and level, so a long series has one per stretch of it
+    step = max(TREE_ROWS, 4 * widest)
+    out = np.empty(len(times))
+    for start in range(0, len(times), step):
+        stop = min(start + step, len(times))
+        a, b = first[start:stop].min(), last[start:stop].max()
+        out[start:stop] = biweight_location(times[a:b], values[a:b], half[a:b], iterations, cval)[start - a : stop - a]
+    return out
 
 
 def _direct_biweight(values: np.ndarray, first: np.ndarray, last: np.ndarray, iterations: int, cval: float) -> np.ndarray:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import cand_df, series_df, series_frame, transit_curve
+from photospark.functions.ranktree import biweight_location
 from photospark.functions import rules
 from photospark.operators import clean
 
@@ -147,3 +148,18 @@ def test_no_python_udf_in_masks(spark):
     df = series_df(spark, transit_curve(n=600))
     plan = clean.sigma_clip(clean.quality_mask(df))._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "InPandas" not in plan
+
+
+def test_rank_trees_of_a_long_series_are_bounded(monkeypatch):
+    """A long series is detrended by trees over stretches of it, with the trend of one tree over all of it."""
+    rng = np.random.default_rng(8)
+    times = np.sort(rng.integers(0, 10**9, 12_000))
+    values = 1 + rng.normal(0, 0.01, len(times))
+    values[::50] = np.nan
+    half = np.full(len(times), 25_000_000)
+    want = clean.biweight_location(times, values, half, 6, 5.0)
+    sizes = []
+    monkeypatch.setattr(clean, "TREE_ROWS", 3_000)
+    monkeypatch.setattr(clean, "biweight_location", lambda t, *rest: sizes.append(len(t)) or biweight_location(t, *rest))
+    np.testing.assert_allclose(clean.sliding_biweight(times, values, half, 6, 5.0), want, rtol=1e-12)
+    assert len(sizes) == 4 and max(sizes) <= 4_500
