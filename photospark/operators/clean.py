@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,10 @@ from photospark.schema import DAY_US, SERIES_KEY
 DIRECT_WINDOW = 400
 #: Cadences of a rank tree beside their neighbours, where windows are shorter than a quarter of that.
 TREE_ROWS = 100_000
+#: Cadences and stars that one call of the cleaning kernel holds on average.
+BATCH_ROWS = 20_000
+#: Cadences above which a series has a call of its own.
+ALONE_ROWS = 4_000
 #: Microseconds by which the two times of a cadence may differ.
 TIME_SLACK_US = 500_000
 
@@ -399,42 +404,112 @@ def _scaled(values: np.ndarray) -> float:
     return middle if middle > 0 else 1.0
 
 
-def _clean_series(pdf: pd.DataFrame, tmags: list, window, gap_threshold, edge_days, min_cadences, iterations) -> tuple[list, pd.DataFrame | None]:
-    """(status rows, clean curve or ``None``) of one series, one status row per entry of ``tmags``."""
-    if not len(pdf):
-        return [("MISSING_RAW", None, None, None)] * len(tmags), None
-    apart = np.abs(pdf["time"].to_numpy(float) * DAY_US - pdf["time_us"].to_numpy(float)) > TIME_SLACK_US
+def _clean_series(series: dict[str, np.ndarray], tmags: list, window, gap_threshold, edge_days, min_cadences, iterations) -> tuple[list, tuple | None]:
+    """(status rows, clean curve or ``None``) of one series in the order of its times, one status row per entry of ``tmags``.
+
+    A curve is the positions of its cadences and their new columns.
+    """
+    time, flux, flux_err = (np.asarray(series[c], float) for c in ("time", "flux", "flux_err"))
+    apart = np.abs(time * DAY_US - np.asarray(series["time_us"], float)) > TIME_SLACK_US
     if apart.any():
-        raise ValueError(f"{int(apart.sum())} of {len(pdf)} cadences have two different times")
-    good = pdf[["time", "flux", "flux_err"]].notna().all(axis=1).to_numpy()
-    if "quality" in pdf:
-        good &= (pdf["quality"].fillna(0).to_numpy(np.int64) & rules.QUALITY_BITMASK) == 0
-    n_masked = int(good.sum())
-    pdf = pdf[good].sort_values("time_us", kind="stable")
-    pdf = pdf[clip_mask(pdf["flux"].to_numpy(float))]
-    scale = _scaled(pdf["flux"].to_numpy(float))
-    pdf = pdf.assign(flux=pdf["flux"] / scale, flux_err=pdf["flux_err"] / scale)
-    n_gaps, near = gap_edges(pdf["time"].to_numpy(float), gap_threshold, edge_days)
-    pdf = pdf[~near]
+        raise ValueError(f"{int(apart.sum())} of {len(time)} cadences have two different times")
+    good = ~(np.isnan(time) | np.isnan(flux) | np.isnan(flux_err))
+    if "quality" in series:
+        quality = np.where(np.isnan(series["quality"]), 0, series["quality"]).astype(np.int64)
+        good &= (quality & rules.QUALITY_BITMASK) == 0
+    at = np.flatnonzero(good)
+    n_masked = len(at)
+    at = at[clip_mask(flux[at])]
+    scale = _scaled(flux[at])
+    n_gaps, near = gap_edges(time[at], gap_threshold, edge_days)
+    at = at[~near]
+    flux, flux_err = flux[at] / scale, flux_err[at] / scale
 
     def status(tmag) -> str:
         if n_masked < min_cadences:
             return "TOO_FEW_CADENCES"
         if tmag is not None and tmag < rules.BRIGHT_TMAG:
             return "SATURATED"
-        return "TOO_FEW_CADENCES" if len(pdf) < min_cadences else "PREPROCESSED"
+        return "TOO_FEW_CADENCES" if len(at) < min_cadences else "PREPROCESSED"
 
-    done = ("PREPROCESSED", len(pdf), n_gaps, float(pdf["flux_err"].median())) if len(pdf) else None
+    done = ("PREPROCESSED", len(at), n_gaps, float(np.median(flux_err))) if len(at) else None
     rows = [done if (s := status(t)) == "PREPROCESSED" else (s, None, None, None) for t in tmags]
     if done not in rows:
         return rows, None
-    flux, times = pdf["flux"].to_numpy(float), pdf["time_us"].to_numpy(np.int64)
+    times = np.asarray(series["time_us"][at]).astype(np.int64)
     full = int(window * DAY_US)
     span = int(times[-1] - times[0])
     half = full // 2 if span >= full else span // 4 if span > 0 else int(0.1 * DAY_US) // 2
     trend = sliding_biweight(times, flux, np.full(len(times), half), iterations, 5.0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return rows, pdf.assign(flux=np.where(trend == 0, np.nan, flux / trend), flux_norm=flux / _scaled(flux), trend=trend)
+        return rows, (at, {
+            "flux": np.where(trend == 0, np.nan, flux / trend), "flux_err": flux_err, "flux_norm": flux / _scaled(flux), "trend": trend})
+
+
+def _clean_batch(rows: pa.Table, stars: pa.Table, columns: Sequence[str], options: tuple) -> pa.Table:
+    """Clean cadences and status rows of many series: ``rows`` holds their cadences, ``stars`` their magnitudes, both in any order."""
+    n = rows.num_rows
+    held = {k: pa.chunked_array([*rows.column(k).chunks, *stars.column(k).chunks], rows.schema.field(k).type).combine_chunks() for k in SERIES_KEY}
+    number = _numbered(list(held.values()))
+    data = {c: rows.column(c).to_numpy() for c in ("time_us", "time", "flux", "flux_err", "quality") if c in rows.column_names}
+    order = np.lexsort((data["time_us"], number[:n]))
+    data = {c: values[order] for c, values in data.items()}
+    starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+    # the magnitudes of a series, and the stars that have no cadence
+    by_star = np.argsort(number[n:], kind="stable")
+    theirs, tmag = number[n:][by_star], stars.column("tmag").to_numpy()[by_star]
+    found = number[order[starts]]
+    lows, highs = np.searchsorted(theirs, found, side="left"), np.searchsorted(theirs, found, side="right")
+    missing = n + by_star[~np.isin(theirs, found)]
+    told, told_of, kept, new = [], [], [], []
+    for first, last, low, high in zip(starts, [*starts[1:], n], lows, highs):
+        tmags = [None if np.isnan(t) else float(t) for t in tmag[low:high]] or [None]
+        try:
+            status, curve = _clean_series({c: values[first:last] for c, values in data.items()}, tmags, *options)
+        except Exception as error:  # noqa: BLE001 - whatever is wrong with one series, the others go on
+            status, curve = [(f"ERROR: {error}", None, None, None)] * len(tmags), None
+        told += status
+        told_of += [order[first]] * len(status)
+        if curve is not None:
+            kept.append(order[first:last][curve[0]])
+            new.append(curve[1])
+    told += [("MISSING_RAW", None, None, None)] * len(missing)
+    status_of = np.concatenate([np.array(told_of, np.int64), missing])
+    kept = np.concatenate([np.empty(0, np.int64), *kept])
+
+    def joined(name: str) -> pa.ChunkedArray:
+        """A column of the cadences, then of the status rows; what is no number is null."""
+        kind = {"status": pa.string(), "n_cadences": pa.int64(), "n_gaps": pa.int64()}.get(name, pa.float64())
+        curve = None
+        if name in rows.column_names:
+            kind = rows.schema.field(name).type
+            if pa.types.is_timestamp(kind) and kind.tz is not None:
+                kind = pa.timestamp("us", "UTC")
+            curve = rows.column(name).combine_chunks().take(pa.array(kept)).cast(kind)
+        if name in ("flux", "flux_err", "flux_norm", "trend"):
+            curve = np.concatenate([np.empty(0), *(columns[name] for columns in new)])
+        if pa.types.is_floating(kind) and curve is not None:
+            curve = pa.array(np.asarray(curve), kind, from_pandas=True)
+        elif curve is None:
+            curve = pa.nulls(len(kept), kind)
+        if name in held:
+            status = held[name].take(pa.array(status_of))
+        elif name in STATUS:
+            status = pa.array([row[STATUS.index(name)] for row in told], kind, from_pandas=True)
+        else:
+            status = pa.nulls(len(told), kind)
+        return pa.chunked_array([pa.array(curve, kind), status], kind)
+
+    return pa.table({name: joined(name) for name in columns})
+
+
+def _numbered(columns: list[pa.Array]) -> np.ndarray:
+    """A whole number from 0 per row, the same for rows that agree in all columns; nulls are equal."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        codes = column.dictionary_encode(null_encoding="encode")
+        out = out * len(codes.dictionary) + codes.indices.to_numpy()
+    return np.unique(out, return_inverse=True)[1]
 
 
 def preprocess_rows(
@@ -450,11 +525,12 @@ def preprocess_rows(
     """The cleaning chain in one frame: clean cadences (``status`` null) and one status row per series.
 
     Mask, clip and normalise, drop gap edges, apply the exclusion rules,
-    detrend, in one kernel per series: the series are shuffled once and nothing
-    is written in between. A series that fails does not end the job; it gives
-    ``ERROR: `` and the reason, and no cadences. Only series that reach
-    ``PREPROCESSED`` have cadences. ``meta`` may list series without data; they
-    get ``MISSING_RAW``. Series above ``max_rows`` take the steps one by one.
+    detrend, in one kernel: the series are shuffled once and nothing is written
+    in between. A call of the kernel takes a batch of short series and of stars,
+    or one series above ``ALONE_ROWS``. A series that fails does not end the
+    job; it gives ``ERROR: `` and the reason, and no cadences. Only series that
+    reach ``PREPROCESSED`` have cadences. ``meta`` may list series without data;
+    they get ``MISSING_RAW``. Series above ``max_rows`` take the steps one by one.
     """
     keys = list(SERIES_KEY)
     options = (window, gap_threshold, edge_days, min_cadences, iterations)
@@ -462,26 +538,34 @@ def preprocess_rows(
     kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields} | {
         "flux_norm": "double", "trend": "double", "status": "string", "n_cadences": "bigint", "n_gaps": "bigint", "median_flux_err": "double"}
     counts = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    n_series, largest = counts.agg(F.count(F.lit(1)), F.max("_n")).first()
-    small, stars, large = series, meta.select(*keys, F.col("tmag").cast("double").alias("tmag")), None
+    short = F.col("_n") <= ALONE_ROWS
+    n_series, largest, n_alone, n_rows = counts.agg(
+        F.count(F.lit(1)), F.max("_n"), F.count_if(~short), F.sum(F.when(short, F.col("_n")))
+    ).first()
+    stars = meta.select(*[F.col(k).cast(series.schema[k].dataType).alias(k) for k in keys], F.col("tmag").cast("double").alias("tmag"))
+    n_stars = stars.count()
+    small, large, alone = series, None, None
     if max_rows is not None and (largest or 0) > max_rows:
         small, large, large_keys = split_by_size(series, keys, max_rows)
         theirs, stars = stars.join(large_keys, keys, "left_semi"), stars.join(large_keys, keys, "left_anti")
-
-    def kernel(key: tuple, rows: pd.DataFrame, star: pd.DataFrame) -> pd.DataFrame:
-        tmags = [None if pd.isna(t) else float(t) for t in star["tmag"]] or [None]
-        try:
-            status, curve = _clean_series(rows, tmags, *options)
-        except Exception as error:  # noqa: BLE001 - whatever is wrong with one series, the others go on
-            status, curve = [(f"ERROR: {error}", None, None, None)] * len(tmags), None
-        out = pd.DataFrame(status, columns=list(STATUS)).assign(**dict(zip(keys, key)))
-        out[["n_cadences", "n_gaps"]] = out[["n_cadences", "n_gaps"]].astype("Int64")
-        if curve is not None:
-            out = pd.concat([curve.reset_index(drop=True), out], ignore_index=True)
-        return out.reindex(columns=columns)
-
-    placed = [spread(df, keys, n_series).groupBy(*keys) for df in (small, stars)]
-    out = placed[0].cogroup(placed[1]).applyInPandas(kernel, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    if n_alone:
+        alone = small_side(counts.filter(~short).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_alone")))
+    # as many batches as their rows ask for, and enough of them for all tasks
+    n_batches = max(1, -(-((n_rows or 0) + n_stars) // BATCH_ROWS), min(n_series + n_stars, 8 * series.sparkSession.sparkContext.defaultParallelism))
+
+    def placed(df: DataFrame):
+        own = F.xxhash64(*keys)
+        batch = F.pmod(own, F.lit(n_batches))
+        if alone is not None:
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            df, batch = df.join(alone, same, "left"), F.when(F.col("_alone"), own).otherwise(batch)
+        df = df.withColumn("_batch", batch).drop("_alone", *[f"_{k}" for k in keys])
+        return spread(df, ["_batch"], n_batches + n_alone).groupBy("_batch")
+
+    def kernel(rows: pa.Table, star: pa.Table) -> pa.Table:
+        return _clean_batch(rows, star, columns, options)
+
+    out = placed(small).cogroup(placed(stars)).applyInArrow(kernel, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
     if large is None:
         return out
     curves, status = _preprocess_large(large, theirs, *options, max_rows)

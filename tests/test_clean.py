@@ -1,6 +1,9 @@
 """Cleaning operators on small synthetic series."""
 
+import uuid
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +166,44 @@ def test_rank_trees_of_a_long_series_are_bounded(monkeypatch):
     monkeypatch.setattr(clean, "biweight_location", lambda t, *rest: sizes.append(len(t)) or biweight_location(t, *rest))
     np.testing.assert_allclose(clean.sliding_biweight(times, values, half, 6, 5.0), want, rtol=1e-12)
     assert len(sizes) == 4 and max(sizes) <= 4_500
+
+
+def test_preprocess_takes_many_series_and_stars_in_a_call(spark, monkeypatch, tmp_path):
+    """Calls of the kernel grow with the cadences and stars, not with the number of series; their size changes no row."""
+    whole = getattr(clean, "_clean_batch", None)
+
+    def counted(*args):
+        (tmp_path / uuid.uuid4().hex).touch()
+        return whole(*args)
+
+    monkeypatch.setattr(clean, "_clean_batch", counted, raising=False)
+    frames = [transit_curve(n=60 + t % 3, tic=t, seed=t, span=3.0) for t in range(300)]
+    frames[7] = frames[7].assign(time=frames[7].time + 1.0)
+    frames[8].loc[:5, "flux"] = np.nan
+    frames[9].loc[:30, "quality"] = 128
+    df = series_df(spark, *frames, transit_curve(n=900, tic=300, span=9.0)).withColumns({
+        "tic_id": F.when(F.col("tic_id") != 11, F.col("tic_id")), "flux": F.col("flux").cast("float"), "note": F.concat(F.lit("n"), F.col("time_us")),
+        "exact": F.when(F.col("tic_id") != 12, F.lit(2**60 + 1) + F.col("time_us")),
+    })
+    # magnitudes of integer keys: some stars bright, one listed twice, one without key, many without cadences
+    meta = spark.range(3_000).selectExpr("int(nullif(id, 11)) tic_id", "1 sector", "if(id % 50 = 3, 4.0D, if(id % 50 = 4, double('NaN'), 10.0D)) tmag")
+    meta = meta.union(spark.createDataFrame([(20, 1, 3.0)], meta.schema))
+
+    def rows():
+        found = clean.preprocess_rows(df, meta, min_cadences=40).toPandas()
+        return found.sort_values(["status", "tic_id", "time_us", "n_cadences"]).reset_index(drop=True)
+
+    got = rows()
+    assert 0 < len(list(tmp_path.iterdir())) <= 64
+    told = got[got.status.notna()].set_index("tic_id").status
+    assert len(told) == 3_001 and (told == "MISSING_RAW").sum() == 2_699
+    assert told[7] == "ERROR: 61 of 61 cadences have two different times" and told[9] == "TOO_FEW_CADENCES" and told[53] == "SATURATED"
+    assert sorted(told[20]) == ["PREPROCESSED", "SATURATED"] and told[np.isnan(told.index)].tolist() == ["PREPROCESSED"]
+    assert got[got.status.notna()].set_index("tic_id").n_cadences[[4, 8, 300]].tolist() == [61, 56, 900]
+    curves = got[got.status.isna()]
+    assert curves.note.eq("n" + curves.time_us.astype("int64").astype(str)).all() and (curves.trend - 1).abs().max() < 0.02
+    assert {r.exact - r.time_us for r in clean.preprocess_rows(df, meta, min_cadences=40).filter("exact is not null").select("exact", "time_us").collect()} == {2**60 + 1}
+    # every series in a call of its own
+    monkeypatch.setattr(clean, "ALONE_ROWS", 0)
+    pd.testing.assert_frame_equal(got, rows())
+    assert len(list(tmp_path.iterdir())) > 300
