@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photospark.functions import rules
 from photospark.functions.ranktree import biweight_location
+from photospark.functions.scalars import is_number
 from photospark.plans.groups import (
     MAX_GROUP_ROWS, group_quantiles, join_to_groups, large_quantiles, small_side, split_by_size, spread,
     with_group_median,
@@ -29,6 +29,9 @@ BATCH_ROWS = 20_000
 ALONE_ROWS = 4_000
 #: Microseconds by which the two times of a cadence may differ.
 TIME_SLACK_US = 500_000
+#: What is told of a series that fails: times further apart than that, nothing left to detrend.
+TIMES_APART = "%d of %d cadences have two different times"
+NO_CADENCE = "no cadence is left"
 
 
 def quality_mask(series: DataFrame, bitmask: int = rules.QUALITY_BITMASK) -> DataFrame:
@@ -71,11 +74,14 @@ def sigma_clip(
     kept, kept_rows, before = large.select(*keys, x.alias(value)).persist(), large, None
     cached = kept
     for _ in range(iters):
-        limits = small_side(large_quantiles(kept, keys, {"_m": (x, 0.5)}, {"_s": F.stddev_pop(x), "_n": F.count(x)}))
-        left = limits.agg(F.sum("_n")).first()[0]
+        middles = small_side(large_quantiles(kept, keys, {"_m": (x, 0.5)}, {"_mean": F.avg(x), "_n": F.count(x)}))
+        left = middles.agg(F.sum("_n")).first()[0]
         if left == before:
             break
         before = left
+        # squares about the known mean, as in ``clip_mask``: what a merge of deviations rounds would decide at a limit that is met exactly
+        squares = kept.join(middles, list(keys)).groupBy(*keys, "_m", "_n").agg(F.avg((x - F.col("_mean")) * (x - F.col("_mean"))).alias("_s"))
+        limits = small_side(squares.withColumn("_s", F.sqrt("_s")))
         kept, kept_rows = (
             rows.join(limits, list(keys)).filter(~(F.abs(x - F.col("_m")) > F.col("_s") * sigma)).drop("_m", "_s", "_n")
             for rows in (kept, kept_rows)
@@ -88,7 +94,7 @@ def median_normalise(
     series: DataFrame, keys: Sequence[str] = SERIES_KEY, max_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Divide flux and its error by the median flux of the series where that is positive."""
-    scale = F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.lit(1.0))
+    scale = F.when(is_number(F.col("_m")) & (F.col("_m") > 0), F.col("_m")).otherwise(F.lit(1.0))
     return (
         with_group_median(series, keys, {"_m": F.col("flux")}, max_rows)
         .withColumns({"flux": F.col("flux") / scale, "flux_err": F.col("flux_err") / scale})
@@ -234,6 +240,7 @@ def biweight_detrend(
     chunk_days: float = 4.0,
     keys: Sequence[str] = SERIES_KEY,
     piece_rows: int = 100_000,
+    errors: bool = False,
 ) -> DataFrame:
     """Divide the flux by a sliding robust mean; adds ``trend`` and replaces ``flux``.
 
@@ -242,7 +249,8 @@ def biweight_detrend(
     neighbours on each side; a long series becomes many independent pieces.
     Where a series is so dense that a piece would pass ``piece_rows``, its
     pieces are shorter, down to an eighth of the window. Values that are no
-    finite number take no part in the trend.
+    finite number take no part in the trend. With ``errors`` a piece that fails
+    does not end the job; it gives one row with its keys and the reason in ``_error``.
     """
     keys = list(keys)
     spans = series.groupBy(*keys).agg(
@@ -264,23 +272,54 @@ def biweight_detrend(
     first = F.floor((F.col("time_us") - F.col("_half")) / F.col("_chunk")).cast("bigint")
     last = F.floor((F.col("time_us") + F.col("_half")) / F.col("_chunk")).cast("bigint")
     placed = placed.withColumn("_piece", F.explode(F.sequence(first, last)))
-    columns = series.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields) + ", trend double"
+    columns = [*series.columns, "trend", *(["_error"] if errors else [])]
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields} | {"trend": "double", "_error": "string"}
 
-    def detrend(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time_us", kind="stable")
-        core = (pdf["_home"] == pdf["_piece"]).to_numpy()
-        if not core.any():
-            return pdf.iloc[:0][columns].assign(trend=pd.Series(dtype=float))
-        flux = pdf["flux"].to_numpy(float)
-        trend = sliding_biweight(pdf["time_us"].to_numpy(), flux, pdf["_half"].to_numpy(), iterations, cval)
-        out = pdf[columns].copy()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out["flux"] = np.where(trend == 0, np.nan, flux / trend)
-        out["trend"] = trend
-        return out[core]
+    def trend_of(rows: pa.Table, order: np.ndarray) -> np.ndarray:
+        times, flux, reach = (rows.column(c).to_numpy()[order] for c in ("time_us", "flux", "_half"))
+        return sliding_biweight(times, np.asarray(flux, float), reach, iterations, cval)
+
+    def detrend(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("time_us").to_numpy(), kind="stable")
+        core = rows.column("_home").to_numpy()[order] == rows.column("_piece").to_numpy()[order]
+        at, trend, error = order[core], np.empty(0), None
+        try:
+            trend = trend_of(rows, order)[core] if len(at) else trend
+        except Exception as reason:  # noqa: BLE001 - whatever is wrong with one piece, the others go on
+            if not errors:
+                raise
+            at, error = order[:1], str(reason)
+
+        def made(name: str) -> pa.Array:
+            if name == "_error":
+                return pa.array([error] * len(at), pa.string())
+            kind = pa.float64() if name == "trend" else plain_kind(rows.schema.field(name).type)
+            if error is not None and name not in keys:
+                return pa.nulls(len(at), kind)
+            if name == "trend":
+                return pa.array(trend, kind, from_pandas=True)
+            if name == "flux":
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    flat = np.where(trend == 0, np.nan, np.asarray(rows.column(name).to_numpy()[at], float) / trend)
+                return pa.array(flat, kind, from_pandas=True)
+            return plain_rows(rows, name, at)
+
+        return pa.table({name: made(name) for name in columns})
+
+    placed = spread(placed, [*keys, "_piece"]).groupBy(*keys, "_piece")
+    return placed.applyInArrow(detrend, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
 
-    return spread(placed, [*keys, "_piece"]).groupBy(*keys, "_piece").applyInPandas(detrend, schema)
+
+def plain_kind(kind: pa.DataType) -> pa.DataType:
+    """The type in which a kernel gives a column of type ``kind`` back to Spark."""
+    return pa.timestamp("us", "UTC") if pa.types.is_timestamp(kind) and kind.tz is not None else kind
+
+
+def plain_rows(rows: pa.Table, name: str, at: np.ndarray) -> pa.Array:
+    """A column at the positions ``at``; what is no number is null."""
+    kind = plain_kind(rows.schema.field(name).type)
+    out = rows.column(name).combine_chunks().take(pa.array(at)).cast(kind)
+    return pa.array(np.asarray(out), kind, from_pandas=True) if pa.types.is_floating(kind) else out
 
 
 def transit_preserved(
@@ -336,38 +375,50 @@ def _preprocess_large(
     iterations: int,
     max_rows: int | None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The chain for series too long for one task, step by step over partial aggregates: (clean curves, status)."""
-    keys = list(SERIES_KEY)
+    """The chain for series too long for one task, step by step over partial aggregates: (clean curves, status).
+
+    The rows are those of ``_clean_series``, errors included: a series has them
+    whatever its length. ``_series`` numbers the series, whose key may be null;
+    ``meta`` has every number once or more, with a null magnitude where no star is listed.
+    """
+    key = ["_series"]
+    kinds = {f.name: f.dataType for f in series.schema.fields}
+    series = series.withColumns({c: F.col(c).cast("double") for c in ("time", "flux", "flux_err")})
     quality = F.col("quality") if "quality" in series.columns else None
-    usable = rules.quality_ok(F.col("time"), F.col("flux"), F.col("flux_err"), quality)
-    counts = pin(series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(usable).alias("n_masked")))
-    normal = pin(median_normalise(sigma_clip(quality_mask(series), max_rows=max_rows), max_rows=max_rows))
-    gaps = find_gaps(normal, gap_threshold)
-    good = mark_gap_edges(normal, gaps, edge_days).filter(~F.col("gap_mask")).drop("gap_mask")
-    stats = series_stats(good, gaps, max_rows=max_rows)
-    status = pin(
-        meta.select(*keys, "tmag")
-        .join(counts, keys, "full_outer")
-        .join(stats, keys, "left")
-        .select(
-            *keys,
-            rules.preprocess_status(
-                F.col("n_raw"), F.col("n_masked"), F.col("n_cadences"), F.col("tmag"), min_cadences=min_cadences
-            ).alias("status"),
-            "n_cadences", "n_gaps", "median_flux_err",
-        )
+    usable = rules.quality_ok(F.col("time"), F.col("flux"), F.col("flux_err"), quality) & F.col("time_us").isNotNull()
+    apart = is_number(F.col("time")) & (F.abs(F.col("time") * F.lit(float(DAY_US)) - F.col("time_us")) > TIME_SLACK_US)
+    counts = pin(
+        series.groupBy(*key).agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(usable).alias("n_masked"), F.count_if(apart).alias("n_apart"))
     )
+    sound = series.join(small_side(counts.filter("n_apart = 0").select(*key)), key, "left_semi")
+    masked = quality_mask(sound).filter("time_us is not null")
+    normal = pin(median_normalise(sigma_clip(masked, keys=key, max_rows=0), keys=key, max_rows=max_rows))
+    gaps = pin(find_gaps(normal, gap_threshold, key))
+    good = pin(mark_gap_edges(normal, gaps, edge_days, key).filter(~F.col("gap_mask")).drop("gap_mask"))
+    # a median has no value where one of its values is none, as infinite ones leave behind
+    numbers = good.groupBy(*key).agg(*[F.min(is_number(F.col(c))).alias(f"_{c}") for c in ("flux", "flux_err")])
+    stats = series_stats(good, gaps, key, max_rows).join(numbers, key).withColumn(
+        "median_flux_err", F.when(F.col("_flux_err") & is_number(F.col("median_flux_err")), F.col("median_flux_err"))
+    )
+    error = F.when(F.col("n_apart") > 0, F.format_string(TIMES_APART, "n_apart", "n_raw"))
+    told = rules.preprocess_status(
+        F.col("n_raw"), F.col("n_masked"), F.col("n_cadences"), F.col("tmag"), error, min_cadences=min_cadences
+    )
+    told = F.when((told == "PREPROCESSED") & F.col("n_cadences").isNull(), f"ERROR: {NO_CADENCE}").otherwise(told)
+    status = pin(meta.join(counts, key).join(stats, key, "left").withColumn("status", told))
+    kept = good.join(small_side(status.filter("status = 'PREPROCESSED'").select(*key, "_flux").distinct()), key)
+    kept = with_group_median(kept, key, {"_m": F.col("flux")}, max_rows)
+    positive = F.col("_flux") & is_number(F.col("_m")) & (F.col("_m") > 0)
+    kept = kept.withColumn("flux_norm", F.when(positive, F.col("flux") / F.col("_m")).otherwise(F.col("flux"))).drop("_m", "_flux")
+    flat = pin(biweight_detrend(kept, window, iterations, keys=key, errors=True))
+    failed = small_side(flat.filter("_error is not null").groupBy(*key).agg(F.min("_error").alias("_error")))
+    curves = flat.filter("_error is null").drop("_error").join(failed, key, "left_anti")
+    status = status.join(failed, key, "left").withColumn("status", F.coalesce(F.concat(F.lit("ERROR: "), F.col("_error")), F.col("status")))
     done = F.col("status") == "PREPROCESSED"
-    status = status.select(
-        *keys, "status",
-        *[F.when(done, F.col(c)).alias(c) for c in ("n_cadences", "n_gaps", "median_flux_err")],
+    return (
+        curves.select(*[F.col(c).cast(kinds.get(c, "double")).alias(c) for c in curves.columns if c != "_series"]),
+        status.select(*SERIES_KEY, "status", *[F.when(done, F.col(c)).alias(c) for c in STATUS if c != "status"]),
     )
-    kept = good.join(status.filter(done).select(*keys), keys, "left_semi")
-    kept = with_group_median(kept, keys, {"_m": F.col("flux")}, max_rows)
-    kept = kept.withColumn(
-        "flux_norm", F.when(F.col("_m") > 0, F.col("flux") / F.col("_m")).otherwise(F.col("flux"))
-    ).drop("_m")
-    return biweight_detrend(kept, window, iterations), status
 
 
 #: Columns of a status row beside the series key.
@@ -389,13 +440,17 @@ def clip_mask(flux: np.ndarray, sigma: float = 5.0, iters: int = 5) -> np.ndarra
 
 
 def gap_edges(time: np.ndarray, threshold: float, edge_days: float) -> tuple[int, np.ndarray]:
-    """(number of gaps, which cadences lie within ``edge_days`` of one) for sorted times."""
+    """(number of gaps, which cadences lie within ``edge_days`` of one), as ``find_gaps`` and ``mark_gap_edges`` have them."""
+    order = np.argsort(time, kind="stable")
+    time = time[order]
     at = np.flatnonzero(np.diff(time) > threshold)
     near = np.zeros(len(time) + 1, np.int64)
     for low, high in ((time[at] - edge_days, time[at]), (time[at + 1], time[at + 1] + edge_days)):
         np.add.at(near, np.searchsorted(time, low, side="left"), 1)
         np.add.at(near, np.searchsorted(time, high, side="right"), -1)
-    return len(at), np.cumsum(near)[:-1] > 0
+    marked = np.empty(len(time), bool)
+    marked[order] = np.cumsum(near)[:-1] > 0
+    return len(at), marked
 
 
 def _scaled(values: np.ndarray) -> float:
@@ -412,8 +467,8 @@ def _clean_series(series: dict[str, np.ndarray], tmags: list, window, gap_thresh
     time, flux, flux_err = (np.asarray(series[c], float) for c in ("time", "flux", "flux_err"))
     apart = np.abs(time * DAY_US - np.asarray(series["time_us"], float)) > TIME_SLACK_US
     if apart.any():
-        raise ValueError(f"{int(apart.sum())} of {len(time)} cadences have two different times")
-    good = ~(np.isnan(time) | np.isnan(flux) | np.isnan(flux_err))
+        raise ValueError(TIMES_APART % (apart.sum(), len(time)))
+    good = ~(np.isnan(time) | np.isnan(series["time_us"]) | np.isnan(flux) | np.isnan(flux_err))
     if "quality" in series:
         quality = np.where(np.isnan(series["quality"]), 0, series["quality"]).astype(np.int64)
         good &= (quality & rules.QUALITY_BITMASK) == 0
@@ -430,7 +485,9 @@ def _clean_series(series: dict[str, np.ndarray], tmags: list, window, gap_thresh
             return "TOO_FEW_CADENCES"
         if tmag is not None and tmag < rules.BRIGHT_TMAG:
             return "SATURATED"
-        return "TOO_FEW_CADENCES" if len(at) < min_cadences else "PREPROCESSED"
+        if len(at) < min_cadences:
+            return "TOO_FEW_CADENCES"
+        return "PREPROCESSED" if len(at) else f"ERROR: {NO_CADENCE}"
 
     done = ("PREPROCESSED", len(at), n_gaps, float(np.median(flux_err))) if len(at) else None
     rows = [done if (s := status(t)) == "PREPROCESSED" else (s, None, None, None) for t in tmags]
@@ -482,14 +539,10 @@ def _clean_batch(rows: pa.Table, stars: pa.Table, columns: Sequence[str], option
         kind = {"status": pa.string(), "n_cadences": pa.int64(), "n_gaps": pa.int64()}.get(name, pa.float64())
         curve = None
         if name in rows.column_names:
-            kind = rows.schema.field(name).type
-            if pa.types.is_timestamp(kind) and kind.tz is not None:
-                kind = pa.timestamp("us", "UTC")
-            curve = rows.column(name).combine_chunks().take(pa.array(kept)).cast(kind)
+            kind = plain_kind(rows.schema.field(name).type)
+            curve = plain_rows(rows, name, kept)
         if name in ("flux", "flux_err", "flux_norm", "trend"):
-            curve = np.concatenate([np.empty(0), *(columns[name] for columns in new)])
-        if pa.types.is_floating(kind) and curve is not None:
-            curve = pa.array(np.asarray(curve), kind, from_pandas=True)
+            curve = pa.array(np.concatenate([np.empty(0), *(columns[name] for columns in new)]), kind, from_pandas=True)
         elif curve is None:
             curve = pa.nulls(len(kept), kind)
         if name in held:
@@ -498,7 +551,7 @@ def _clean_batch(rows: pa.Table, stars: pa.Table, columns: Sequence[str], option
             status = pa.array([row[STATUS.index(name)] for row in told], kind, from_pandas=True)
         else:
             status = pa.nulls(len(told), kind)
-        return pa.chunked_array([pa.array(curve, kind), status], kind)
+        return pa.chunked_array([curve, status], kind)
 
     return pa.table({name: joined(name) for name in columns})
 
@@ -530,7 +583,8 @@ def preprocess_rows(
     or one series above ``ALONE_ROWS``. A series that fails does not end the
     job; it gives ``ERROR: `` and the reason, and no cadences. Only series that
     reach ``PREPROCESSED`` have cadences. ``meta`` may list series without data;
-    they get ``MISSING_RAW``. Series above ``max_rows`` take the steps one by one.
+    they get ``MISSING_RAW``. Series above ``max_rows`` take the steps one by
+    one, with the same rows; their steps, detrending included, run in this call.
     """
     keys = list(SERIES_KEY)
     options = (window, gap_threshold, edge_days, min_cadences, iterations)
@@ -545,11 +599,14 @@ def preprocess_rows(
     stars = meta.select(*[F.col(k).cast(series.schema[k].dataType).alias(k) for k in keys], F.col("tmag").cast("double").alias("tmag"))
     n_stars = stars.count()
     small, large, alone = series, None, None
+    named, same = [F.col(k).alias(f"_{k}") for k in keys], [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     if max_rows is not None and (largest or 0) > max_rows:
-        small, large, large_keys = split_by_size(series, keys, max_rows)
-        theirs, stars = stars.join(large_keys, keys, "left_semi"), stars.join(large_keys, keys, "left_anti")
+        long = small_side(counts.filter(F.col("_n") > max_rows).select(*named, F.monotonically_increasing_id().alias("_series")))
+        large = series.join(long, same).drop(*[f"_{k}" for k in keys])
+        theirs = long.join(stars, same, "left").select("_series", *[F.col(f"_{k}").alias(k) for k in keys], "tmag")
+        small, stars = series.join(long, same, "left_anti"), stars.join(long, same, "left_anti")
     if n_alone:
-        alone = small_side(counts.filter(~short).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_alone")))
+        alone = small_side(counts.filter(~short).select(*named, F.lit(True).alias("_alone")))
     # as many batches as their rows ask for, and enough of them for all tasks
     n_batches = max(1, -(-((n_rows or 0) + n_stars) // BATCH_ROWS), min(n_series + n_stars, 8 * series.sparkSession.sparkContext.defaultParallelism))
 
@@ -557,7 +614,6 @@ def preprocess_rows(
         own = F.xxhash64(*keys)
         batch = F.pmod(own, F.lit(n_batches))
         if alone is not None:
-            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
             df, batch = df.join(alone, same, "left"), F.when(F.col("_alone"), own).otherwise(batch)
         df = df.withColumn("_batch", batch).drop("_alone", *[f"_{k}" for k in keys])
         return spread(df, ["_batch"], n_batches + n_alone).groupBy("_batch")
@@ -569,7 +625,7 @@ def preprocess_rows(
     if large is None:
         return out
     curves, status = _preprocess_large(large, theirs, *options, max_rows)
-    return out.unionByName(curves, allowMissingColumns=True).unionByName(status.select(*keys, *STATUS), allowMissingColumns=True)
+    return out.unionByName(curves, allowMissingColumns=True).unionByName(status, allowMissingColumns=True)
 
 
 def preprocess(series: DataFrame, meta: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

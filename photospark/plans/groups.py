@@ -250,4 +250,6 @@ def _celled_quantile(df, keys, value, frac, name):
         )
         done = done.unionByName(found.filter("_done"))
     rows.unpersist()
-    return done.select(*keys, (F.col("_hi") * (F.lit(1.0) - weight) + F.col("_next") * weight).alias(name))
+    between = F.col("_hi") * (F.lit(1.0) - weight) + F.col("_next") * weight
+    # an infinite value times a weight of 0 is no number
+    return done.select(*keys, F.when(F.col("_hi") == F.col("_next"), F.col("_hi")).otherwise(between).alias(name))

@@ -132,6 +132,104 @@ def test_preprocess_ways_agree_and_a_broken_series_is_told(spark, max_rows):
     assert rows.trend.between(0.98, 1.02).all() and np.allclose(rows.flux * rows.trend / rows.flux_norm, 1, atol=0.02)
 
 
+def odd_series(spark):
+    """Series and stars that are broken, bright, unsorted, without key, without times, infinite, flagged or listed twice."""
+    def curve(tic, n=300, span=6.0, **changes):
+        return transit_curve(n=n, tic=tic, span=span, seed=tic).assign(**changes)
+
+    frames = {t: curve(t) for t in range(1, 17)}
+    gappy = curve(6, 400, 8.0)
+    frames[6] = gappy[(gappy.time < 3) | (gappy.time > 4.5)].sample(frac=1, random_state=1)
+    frames[2]["time"] += 1.0
+    frames[3].loc[7, "time"] = np.inf
+    frames[4].loc[:5, "flux"] = np.nan
+    frames[5]["time"] += np.random.default_rng(0).uniform(-0.4, 0.4, 300) / 86_400  # within the slack, so out of order
+    frames[7].loc[10:12, "flux"] = np.inf
+    frames[8].loc[:200, ["flux", "flux_err"]] = np.inf
+    frames[9]["flux"] = np.repeat([-np.inf, np.inf], 150)
+    frames[10] = pd.concat([frames[10]] * 2)
+    frames[11]["quality"] = 128
+    frames[12].loc[::37, "flux"] *= 1.5
+    frames[14]["flux"] *= -1
+    df = series_df(spark, *frames.values()).withColumns({
+        "tic_id": F.when(F.col("tic_id") != 13, F.col("tic_id")), "flux_err": F.col("flux_err").cast("float"),
+        "time_us": F.when(~((F.col("tic_id") == 15) & (F.col("time_us") % 3 == 0)), F.col("time_us")),
+        "exact": F.when(F.col("time_us") % 2 == 0, F.lit(2**60 + 1) + F.col("time_us")), "at": F.timestamp_micros("time_us"),
+        "odd": F.when(F.col("time_us") % 3 == 0, float("nan")).otherwise(1.0), "note": F.concat(F.lit("n"), F.col("time_us")),
+    })
+    tmags = [(t, 1, 10.0) for t in (1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 14, 15)]
+    tmags += [(None, 1, 9.0), (None, 1, 3.0), (1, 1, 3.0), (1, 1, float("nan")), (5, 1, None), (99, 1, 5.0), (2, 1, 3.0)]
+    return df, spark.createDataFrame(tmags, "tic_id int, sector int, tmag double")
+
+
+@pytest.mark.parametrize("min_cadences, options", [(100, {}), (0, {"gap_threshold": 0.05, "edge_days": 0.02})])
+def test_preprocess_rows_do_not_depend_on_the_length_of_a_series(spark, min_cadences, options):
+    """A series taken step by step has the rows, errors included, and the types of one taken by the kernel."""
+    df, meta = odd_series(spark)
+
+    def rows(max_rows):
+        found = clean.preprocess_rows(df, meta, min_cadences=min_cadences, max_rows=max_rows, **options)
+        told = found.filter("status is not null").select("tic_id", "status", "n_cadences", "n_gaps", "median_flux_err")
+        curves = found.filter("status is null").toPandas()
+        return (
+            found.schema.simpleString(), sorted(told.collect(), key=repr),
+            curves.sort_values(["tic_id", "time_us", "time", "flux_norm"]).reset_index(drop=True),
+        )
+
+    kinds, told, curves = rows(None)
+    other_kinds, other_told, other_curves = rows(50)
+    assert other_kinds == kinds and other_told == told
+    pd.testing.assert_frame_equal(other_curves, curves, rtol=1e-9)
+    status = {}
+    for row in told:
+        status.setdefault(row.tic_id, []).append(row.status)
+    assert status[2] == ["ERROR: 300 of 300 cadences have two different times"] * 2
+    assert status[3] == ["ERROR: 1 of 300 cadences have two different times"]
+    assert status[11] == ["TOO_FEW_CADENCES" if min_cadences else "ERROR: no cadence is left"]
+    assert sorted(status[None]) == ["PREPROCESSED", "SATURATED"] and status[99] == ["MISSING_RAW"]
+    assert set(curves.tic_id.dropna()) == {t for t, s in status.items() if t is not None and "PREPROCESSED" in s} >= {1, 5, 6, 15, 16}
+
+
+def test_preprocess_of_broken_long_series_only(spark):
+    df = series_df(spark, transit_curve(n=700, tic=5).assign(time_us=0))
+    meta = spark.createDataFrame([(6, 1, 10.0)], "tic_id bigint, sector int, tmag double")
+    curves, status = clean.preprocess(df, meta, max_rows=500)
+    assert sorted((r.tic_id, r.status) for r in status.collect()) == [(5, "ERROR: 699 of 700 cadences have two different times"), (6, "MISSING_RAW")]
+    assert curves.count() == 0
+
+
+def test_long_series_that_can_not_be_detrended_is_told(spark, monkeypatch):
+    whole = clean.sliding_biweight
+
+    def failing(times, values, *rest):
+        if values.max() > 1.5:
+            raise ValueError("too bright")
+        return whole(times, values, *rest)
+
+    monkeypatch.setattr(clean, "sliding_biweight", failing)
+    bright = transit_curve(n=700, tic=2)
+    bright.loc[350:, "flux"] *= 8.0
+    df = series_df(spark, transit_curve(n=700, tic=1), bright)
+    meta = spark.createDataFrame([(1, 1, 10.0), (2, 1, 9.0), (2, 1, 3.0)], "tic_id bigint, sector int, tmag double")
+    curves, status = clean.preprocess(df, meta, max_rows=500)
+    assert sorted((r.tic_id, r.status, r.n_cadences) for r in status.collect()) == [(1, "PREPROCESSED", 700)] + [(2, "ERROR: too bright", None)] * 2
+    assert {r.tic_id for r in curves.collect()} == {1} and curves.columns == [*df.columns, "flux_norm", "trend"]
+    with pytest.raises(Exception, match="too bright"):
+        clean.biweight_detrend(df).collect()
+
+
+def test_clip_of_long_series_at_a_limit_met_exactly(spark):
+    """Two of 50 values lie 5 deviations from the rest, which is not further than 5."""
+    rng = np.random.default_rng(0)
+    frames = []
+    for tic in range(60):
+        flux = np.zeros(50)
+        flux[[3, 40]] = [5.0 * (1 + tic % 7), -5.0 * (1 + tic % 7)]
+        frames.append(series_frame(np.arange(50) / 100, rng.permutation(flux), tic=tic))
+    assert all(clean.clip_mask(f.flux.to_numpy()).all() for f in frames)
+    assert clean.sigma_clip(series_df(spark, *frames).repartition(6), max_rows=0).count() == 3_000
+
+
 def test_preprocess_shuffles_the_series_once(spark):
     df = series_df(spark, transit_curve(n=700))
     meta = spark.createDataFrame([(1, 1, 10.0)], "tic_id bigint, sector int, tmag double")

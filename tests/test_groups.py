@@ -32,6 +32,13 @@ def test_group_quantiles_exact(spark, values, max_rows):
         assert got.loc[k, "q"] == pytest.approx(np.percentile(part.x, 84), abs=1e-12)
 
 
+@pytest.mark.parametrize("max_rows", [10_000, 2])
+def test_group_quantiles_of_infinite_values(spark, max_rows):
+    rows = [(1, v) for v in (1.0, np.inf, np.inf)] + [(2, v) for v in (-np.inf, -np.inf, 5.0, 7.0)] + [(3, v) for v in (1.0, 2.0, np.inf)]
+    got = group_quantiles(spark.createDataFrame(rows, "k int, x double"), ["k"], {"m": (F.col("x"), 0.5)}, max_rows).collect()
+    assert {r.k: r.m for r in got} == {1: np.inf, 2: -np.inf, 3: 2.0}
+
+
 def test_split_by_size(spark, values):
     df = spark.createDataFrame(values)
     small, large, keys = split_by_size(df, ["k"], 100)
