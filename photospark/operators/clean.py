@@ -312,7 +312,16 @@ def biweight_detrend(
 
 def plain_kind(kind: pa.DataType) -> pa.DataType:
     """The type in which a kernel gives a column of type ``kind`` back to Spark."""
-    return pa.timestamp("us", "UTC") if pa.types.is_timestamp(kind) and kind.tz is not None else kind
+    if pa.types.is_timestamp(kind) and kind.tz is not None:
+        return pa.timestamp("us", "UTC")
+    plain = lambda field: field.with_type(plain_kind(field.type)).with_nullable(True)
+    if pa.types.is_struct(kind):
+        return pa.struct([plain(field) for field in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(plain(kind.value_field))
+    if pa.types.is_map(kind):
+        return pa.map_(plain_kind(kind.key_type), plain(kind.item_field))
+    return kind
 
 
 def plain_rows(rows: pa.Table, name: str, at: np.ndarray) -> pa.Array:
@@ -382,8 +391,8 @@ def _preprocess_large(
     ``meta`` has every number once or more, with a null magnitude where no star is listed.
     """
     key = ["_series"]
-    kinds = {f.name: f.dataType for f in series.schema.fields}
-    series = series.withColumns({c: F.col(c).cast("double") for c in ("time", "flux", "flux_err")})
+    measured = {c: series.schema[c].dataType for c in ("time", "flux", "flux_err")}
+    series = series.withColumns({c: F.col(c).cast("double") for c in measured})
     quality = F.col("quality") if "quality" in series.columns else None
     usable = rules.quality_ok(F.col("time"), F.col("flux"), F.col("flux_err"), quality) & F.col("time_us").isNotNull()
     apart = is_number(F.col("time")) & (F.abs(F.col("time") * F.lit(float(DAY_US)) - F.col("time_us")) > TIME_SLACK_US)
@@ -416,7 +425,7 @@ def _preprocess_large(
     status = status.join(failed, key, "left").withColumn("status", F.coalesce(F.concat(F.lit("ERROR: "), F.col("_error")), F.col("status")))
     done = F.col("status") == "PREPROCESSED"
     return (
-        curves.select(*[F.col(c).cast(kinds.get(c, "double")).alias(c) for c in curves.columns if c != "_series"]),
+        curves.withColumns({c: F.col(c).cast(kind) for c, kind in measured.items()}).drop("_series"),
         status.select(*SERIES_KEY, "status", *[F.when(done, F.col(c)).alias(c) for c in STATUS if c != "status"]),
     )
 

@@ -155,7 +155,7 @@ def odd_series(spark):
         "tic_id": F.when(F.col("tic_id") != 13, F.col("tic_id")), "flux_err": F.col("flux_err").cast("float"),
         "time_us": F.when(~((F.col("tic_id") == 15) & (F.col("time_us") % 3 == 0)), F.col("time_us")),
         "exact": F.when(F.col("time_us") % 2 == 0, F.lit(2**60 + 1) + F.col("time_us")), "at": F.timestamp_micros("time_us"),
-        "odd": F.when(F.col("time_us") % 3 == 0, float("nan")).otherwise(1.0), "note": F.concat(F.lit("n"), F.col("time_us")),
+        "odd": F.when(F.col("time_us") % 3 == 0, float("nan")).otherwise(1.0), "held": F.array(F.struct(F.timestamp_micros("time_us").alias("at"))), "note": F.concat(F.lit("n"), F.col("time_us")),
     })
     tmags = [(t, 1, 10.0) for t in (1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 14, 15)]
     tmags += [(None, 1, 9.0), (None, 1, 3.0), (1, 1, 3.0), (1, 1, float("nan")), (5, 1, None), (99, 1, 5.0), (2, 1, 3.0)]
